@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, sharding, toxicity
+from . import langid, mixing, pii, sharding, substrings, toxicity
 
-_MODULES = (langid, mixing, toxicity, sharding, pii)
+_MODULES = (langid, substrings, mixing, toxicity, sharding, pii)
 
 
 def queries() -> dict:
