@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, sharding, substrings, toxicity
+from . import jaccard, langid, mixing, pii, sharding, substrings, toxicity
 
-_MODULES = (langid, substrings, mixing, toxicity, sharding, pii)
+_MODULES = (langid, substrings, mixing, toxicity, sharding, pii, jaccard)
 
 
 def queries() -> dict:
