@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = 1 << 21
 U = np.uint64
@@ -57,6 +58,11 @@ def n_bytes(docs: DataFrame, col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(col))).alias("n")).first()["n"] or 0)
 
 
+def extended(src: DataFrame, more: str, without: tuple = ("_text", "_key", "_b")) -> T.StructType:
+    """src's schema without some columns, then the columns of a DDL string."""
+    return T.StructType([f for f in src.schema if f.name not in without] + T.StructType.fromDDL(more).fields)
+
+
 def bits(n: float, low: int, high: int) -> int:
     """The b with 2**b >= n, within low..high."""
     return int(min(high, max(low, np.ceil(np.log2(max(2.0, n))))))

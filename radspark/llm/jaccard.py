@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Slice, U, bits, by_bucket, gram_hashes, inside, mix, n_bytes, prefix_sums, read, row_key, slices, stretch_hashes, word_hashes, words, written
@@ -360,6 +360,22 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple =
     return out
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without near copies: of each component one row stays, of least key (null last), then least row hash.
+
+    Rows with empty sets are linked with nothing, so they all stay.
+    """
+    of, root = classify(docs, text, (key,))
+    ids = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_key")).join(of, "_key")
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
+    cls = ids.where("n > 0").groupBy("cls").agg(best.alias("best")).join(root, F.col("cls") == F.col("v"), "left")
+    stay = cls.groupBy(F.coalesce("root", "cls")).agg(F.min("best").alias("best")).select(F.col("best._key").alias("_key"), F.lit(True).alias("one"))
+    stay = stay.union(of.where("n = 0").select("_key", F.lit(False)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(key, text).alias("_key")).join(stay, "_key")
+    w = Window.partitionBy("_key").orderBy(F.xxhash64("row"))
+    return rows.withColumn("i", F.row_number().over(w)).where("i = 1 or not one").select("row.*")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, read, slices
+from .common import LETTER, LOWER, extended, read, slices
 
 N = (1, 2, 3)
 DIM_BITS = 14
@@ -120,8 +120,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: tuple
     """The kept columns, lang_pred and score, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col(text).alias("_text"))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"]
-    return src.mapInArrow(_scorer(shared), ", ".join([*names, "lang_pred string", "score double"]))
+    return src.mapInArrow(_scorer(shared), extended(src, "lang_pred string, score double"))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def rounded(parts: DataFrame, most: int, fan: int = FAN) -> DataFrame:
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple = WEIGHTS, cap: int = CAP, keep: tuple = ()) -> DataFrame:
-    """For every row: key, size, source_size, target, copies, taken = copies * size, and the kept columns."""
+    """For every row: key, size, source_size, target, copies, taken = copies * size, and the kept columns in a struct `row`."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"))
     cls = written(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "mixdocs")
     t = written(targets(cls.select("source", (F.col("size") * F.col("m")).alias("size")), weights, cap), "mixtargets")
@@ -122,15 +122,15 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
         # a class's rows, one by one
         one = c.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     else:
-        kept = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("_s"), size_of(text).alias("_n"), F.struct(*keep).alias("_row"))
+        kept = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("_s"), size_of(text).alias("_n"), F.struct(*keep).alias("row"))
         on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
         one = kept.withColumnRenamed("doc_id", "_d").join(c, on)
-        many = Window.partitionBy("k").orderBy(F.xxhash64("_row"))
+        many = Window.partitionBy("k").orderBy(F.xxhash64("row"))
         one = one.withColumn("i", F.when(F.col("m") > 1, F.row_number().over(many)).otherwise(1))
     part = F.floor(F.col("copies") / F.col("m")) + (F.col("i") <= F.col("copies") % F.col("m")).cast("int")
-    out = one.select("doc_id", "size", "source_size", "target", part.cast("long").alias("copies"), *([F.col("_row")] if keep else []))
+    out = one.select("doc_id", "size", "source_size", "target", part.cast("long").alias("copies"), *(["row"] if keep else []))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *(["_row.*"] if keep else []))
+    return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *(["row"] if keep else []))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

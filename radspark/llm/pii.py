@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import extended, read
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -234,8 +234,7 @@ def find(docs: DataFrame, text: Column | str = "text", keep: tuple[str, ...] = (
     """The kept columns, counts of the base kinds, the digest of base spans, and all spans as kind:start:end."""
     text = F.col(text) if isinstance(text, str) else text
     src = docs.select(*keep, text.alias("_text"))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"]
-    return src.mapInArrow(_digest, ", ".join([*names, *(f"n_{k} bigint" for k in BASE), "base_sha256 string", "spans string"]))
+    return src.mapInArrow(_digest, extended(src, ", ".join([*(f"n_{k} bigint" for k in BASE), "base_sha256 string", "spans string"])))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

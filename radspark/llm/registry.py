@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, pii, sharding, substrings, suffixes, toxicity
+from . import decontam, jaccard, langid, mixing, neighbours, pii, sharding, substrings, suffixes, toxicity
 
-_MODULES = (langid, substrings, mixing, suffixes, toxicity, sharding, pii, jaccard)
+_MODULES = (langid, substrings, decontam, mixing, suffixes, neighbours, toxicity, sharding, pii, jaccard)
 
 
 def queries() -> dict:

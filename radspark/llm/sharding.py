@@ -100,7 +100,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         rows = written(rows, "shardrows")
     total = rows.count()
     if total == 0:
-        return rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))  # no rows, same columns
     deep = 2
     while 16**deep * ROWS_PER_BLOCK < total:
         deep += 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, U, anchors, bits, by_bucket, gram_hashes, inside, n_bytes, prefix_sums, read, row_key, runs, slices, text_buffers, word_hashes, words, written
+from .common import Slice, U, anchors, bits, by_bucket, extended, gram_hashes, inside, n_bytes, prefix_sums, read, row_key, runs, slices, text_buffers, word_hashes, words
 
 WINDOW = 35
 GRAM = 16
@@ -276,7 +276,7 @@ def dedup(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), keep: t
     found = rows.select("_key", "_text").mapInArrow(_windows(shared, n_buckets, window, gram), "b int, data binary")
     found = found.groupBy("b").applyInArrow(_exact(n_buckets), "b int, data binary")
     rows = rows.withColumn("_b", (F.lit(n_buckets) + F.pmod("_key", F.lit(n_buckets))).cast("int"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "_key", "_b")), "n_words bigint, n_removed bigint", "kept_sha256 string" if digest else "kept string"])
+    schema = extended(rows, "n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digest else "kept string"))
     return rows.groupBy("_b").cogroup(found.groupBy(F.col("b").alias("_b"))).applyInArrow((_finish_digest if digest else _finish)(window), schema)
 
 

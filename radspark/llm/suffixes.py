@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, U, anchors, bits, by_bucket, gram_hashes, n_bytes, prefix_sums, read, row_key, slices, text_buffers
+from .common import Slice, U, anchors, bits, by_bucket, extended, gram_hashes, n_bytes, prefix_sums, read, row_key, slices, text_buffers
 from .substrings import MAX_BITS, covered, sketch, spans_by_key
 
 LENGTH = 200
@@ -259,7 +259,7 @@ def dedup(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), keep: t
     found = rows.select("_key", "_text").mapInArrow(_send(shared, n_buckets), "b int, data binary")
     found = found.groupBy("b").applyInArrow(_bucket(n_buckets), "b int, data binary")
     rows = rows.withColumn("_b", (F.lit(n_buckets) + F.pmod("_key", F.lit(n_buckets))).cast("int"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "_key", "_b")), "n_bytes bigint, n_removed bigint, n_spans bigint", "kept_sha256 string" if digest else "kept binary"])
+    schema = extended(rows, "n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary"))
     return rows.groupBy("_b").cogroup(found.groupBy(F.col("b").alias("_b"))).applyInArrow(_finish_digest if digest else _finish, schema)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, U, mix, prefix_sums, read, slices, stretch_hashes, words
+from .common import LETTER, LOWER, U, extended, mix, prefix_sums, read, slices, stretch_hashes, words
 
 BITS = 20
 DRIFT = 0.35
@@ -204,8 +204,7 @@ def score(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",), text:
     """The kept columns, score, and the significant segments as word positions."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col(text).alias("_text"))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"]
-    return src.mapInArrow(_scorer(shared), ", ".join([*names, "score double", "segments array<struct<first:bigint,past:bigint,sum:double>>"]))
+    return src.mapInArrow(_scorer(shared), extended(src, "score double, segments array<struct<first:bigint,past:bigint,sum:double>>"))
 
 
 THRESHOLD = 0.7
