@@ -107,12 +107,18 @@ def _scorer(shared):
 
 
 def learn(labelled: DataFrame, lang: str, text: str, order: Column, per_class: int = 400):
-    """Fits on at most per_class rows of each language, those first by order."""
+    """Fits on at most per_class rows of each language, those first by order.
+
+    Rows are chosen by order alone, in 64 parts of each language and then among the parts' first, so that no task
+    gets more than 64 * per_class short rows; their texts follow by a join with the chosen rows.
+    """
     src = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), order.alias("_o"))
-    w = Window.partitionBy("_lang").orderBy("_o")
-    # the row number limit is pushed below the shuffle, so a task gets per_class rows of each partition at most
-    top = src.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_class)
-    got = top.select("_lang", "_text").mapInArrow(_packed, "lang string, bits binary").collect()
+    part = Window.partitionBy("_lang", F.pmod(F.xxhash64("_o"), F.lit(64))).orderBy("_o")
+    top = src.select("_lang", "_o").withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= per_class)
+    top = top.withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_o"))).where(F.col("_k") <= per_class)
+    chosen = top.select("_lang", "_o").distinct()  # per_class rows a language
+    rows = src.join(F.broadcast(chosen), ["_lang", "_o"], "left_semi").dropDuplicates(["_lang", "_o"])
+    got = rows.select("_lang", "_text").mapInArrow(_packed, "lang string, bits binary").collect()
     return fit(sorted((r["lang"], bytes(r["bits"])) for r in got))
 
 
