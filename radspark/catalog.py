@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .operators import export, popgen, reads
+from .plans.dialect import CHECK, Op
+from .sources import encodings
+
+OPS: dict[str, Op] = popgen.OPS | reads.OPS | export.OPS
+
+
+def _query(op: Op) -> Callable:
+    return lambda spark, sf_dir: op(spark, **{name: encodings.load(spark, sf_dir, name) for name in op.inputs})
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: _query(op) for name, op in OPS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    every = encodings.encodings(CHECK)
+    return {name: op.check_sql({i: every[i] for i in op.inputs}) for name, op in OPS.items()}
