@@ -6,6 +6,7 @@ vectorised, so memory is bounded by the slice (or by one document, where a docum
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's own values. Equal rows share a key, and so a result."""
     return F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in cols])

@@ -4,14 +4,15 @@ A document's set holds the distinct hashes of its SHINGLE-word shingles. Tokens
 frequent (by the count class of a sketch over all documents), so two sets that reach the threshold share a token among the first
 n - ceil(t n) + 1 of each. Documents with equal sets are one class; from then on classes are compared.
 
-Round 1 verifies each class against the least class that shares a prefix token with it; the links found give
-components. Round 2 takes the prefix tokens that still meet in different components and verifies every pair of
-classes from different components that share one. No link between components can be missed, and pairs inside a component
-need no test, so groups of near copies cost about a comparison a member, not the square.
+Round 1 puts each class with the least class that shares a prefix token with it, verifies it against that one and
+some of the others there; the links found give components. Round 2 takes the prefix tokens that still meet in different components. Of a
+token with up to SMALL classes, every pair from different components is verified. Classes that meet in larger
+tokens form piles, and in a pile every class outside the largest component probes all others, chunk against chunk. So no
+link between components is missed, pairs inside a component need no test, and no pairs of a large group are listed.
 
-A verification task holds one class's set and a trie of at most GROUP partner sets in global order. The search
-walks the trie, shares the overlap of common beginnings, and leaves a subtree when the overlap so far and what
-remains of the shorter side cannot reach the threshold.
+A verification task holds the sets of about GROUP classes as a trie in global order. The search walks the trie, shares the
+overlap of common beginnings, and leaves a subtree when the overlap so far and what remains of the shorter side
+cannot reach the threshold.
 
 Words are those of the lower-cased text (A-Z only). Texts with fewer words than a shingle have their whole
 sequence as the only token; null, empty and blank texts have none and are linked with nothing. Repeated rows are
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Slice, U, bits, by_bucket, gram_hashes, inside, mix, n_bytes, prefix_sums, read, row_key, slices, stretch_hashes, word_hashes, words, written
+from .common import LOWER, Slice, U, bits, by_bucket, free, gram_hashes, inside, mix, n_bytes, prefix_sums, read, row_key, slices, stretch_hashes, word_hashes, words, written
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
 GROUP = 2048
+PROBES = 64  # of the first round, which need not find all links
+SMALL = 64  # tokens with more classes are settled by piles
 SEGMENT = 20
 MAX_BITS = 27
 FLUSH = 1 << 20
@@ -133,30 +136,33 @@ def classes(token: np.ndarray, first: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- candidates
 
 
-def _scan(shared, n_buckets: int, percent: int):
-    """Rows of two kinds: per document (key, n, cls), and packed (token, cls) of prefixes by bucket."""
+def _documents(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches, "_text"):
+            token, first = token_sets(s, shared.value)
+            yield pa.RecordBatch.from_arrays([s.column("_key"), pa.array(np.diff(first), pa.int64()), pa.array(classes(token, first))], names=["_key", "n", "cls"])
+
+    return run
+
+
+def _prefixes(shared, n_buckets: int, percent: int):
+    """Packed (token, cls) of all documents' prefixes, by bucket of the token; equal pairs of a flush once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
         held, n_held = [], 0
 
-        def batch(key, n, cls, b, data):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(b, pa.int32()), pa.array(data, pa.binary())], names=["key", "n", "cls", "b", "data"])
-
         def flush():
             pair = np.unique(np.concatenate(held))
             rows = [(b, pair[i].tobytes()) for b, i in by_bucket((pair["t"] % U(n_buckets)).astype(np.int64))]
-            k = len(rows)
-            return batch([None] * k, [None] * k, [None] * k, [r[0] for r in rows], [r[1] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["b", "data"])
 
         for s in slices(batches, "_text"):
-            token, first = token_sets(s, order)
+            token, first = token_sets(s, shared.value)
             n = np.diff(first)
             cls = classes(token, first)
-            yield batch(s.ints("_key"), n, cls, [None] * s.n, [None] * s.n)
             prefix = np.where(n > 0, n - (-(-percent * n // 100)) + 1, 0)
             at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(prefix.sum())
-            p = np.empty(len(at), [("t", U), ("c", np.int64)])
+            p = np.empty(len(at), _PAIR)
             p["t"], p["c"] = token[at], np.repeat(cls, prefix)
             held.append(p)
             n_held += len(p)
@@ -227,17 +233,63 @@ class Trie:
         return found
 
 
-def _verify(percent: int):
+class Labels:
+    """Components of the classes in a task, merged as links are found."""
+
+    def __init__(self, roots: np.ndarray) -> None:
+        self.of = np.unique(roots, return_inverse=True)[1].ravel()
+
+    def largest(self) -> int:
+        return int(np.bincount(self.of).argmax())
+
+    def join(self, i: int, hits: list[int]) -> list[int]:
+        """Merges i with hits; returns one hit of each component that was another."""
+        hits = [j for j in hits if self.of[j] != self.of[i]]
+        if not hits:
+            return []
+        new, at = np.unique(self.of[hits], return_index=True)
+        self.of[np.isin(self.of, new)] = self.of[i]
+        return [hits[j] for j in at]
+
+
+def probe_rest(sets: list[np.ndarray], labels: Labels, probing: list[int], percent: int, most: int | None = None) -> list[tuple[int, int]]:
+    """Links found by probing the trie of all sets with those outside the largest component, until none is untried."""
+    trie, links, untried = Trie(sets), [], np.zeros(len(sets), bool)
+    untried[probing] = True
+    while most is None or most > 0:
+        out = np.flatnonzero(untried & (labels.of != labels.largest()))
+        if not len(out):
+            break
+        i = int(out[0])
+        untried[i] = False
+        links += [(i, j) for j in labels.join(i, trie.search(sets[i], percent))]
+        most = None if most is None else most - 1
+    return links
+
+
+def _verify(percent: int, probes: int):
     def run(t: pa.Table) -> pa.Table:
-        """One class's set (`centre`) and its partners': the links between them."""
+        """A star: one class's set and its partners', probed with that class and up to `probes` partners. Or a pile: all
+        that stand outside its largest component are probed."""
         sets: dict[int, np.ndarray] = {}
+        roots: dict[int, int] = {}
         centre = t.column("centre")[0].as_py()
-        for c, x in zip(t.column("member").to_pylist(), t.column("data"), strict=True):
-            sets.setdefault(c, np.frombuffer(x.as_buffer(), U))
-        probe = sets.pop(centre, None)
+        star = t.column("root").null_count > 0
+        for c, r, x in zip(t.column("member").to_pylist(), t.column("root").to_pylist(), t.column("data"), strict=True):
+            if c not in sets:
+                sets[c], roots[c] = np.frombuffer(x.as_buffer(), U), c if star else r
         names = list(sets)
-        hit = [] if probe is None else Trie([sets[c] for c in names]).search(probe, percent)
-        return pa.table({"a": pa.array([centre] * len(hit), pa.int64()), "b": pa.array([names[i] for i in hit], pa.int64())})
+        links = []
+        if len(names) > 1 and (not star or centre in sets):
+            all_sets, labels = [sets[c] for c in names], Labels(np.array([roots[c] for c in names]))
+            if star:
+                k = names.index(centre)
+                links = [(k, j) for j in labels.join(k, Trie(all_sets).search(sets[centre], percent))]
+                if probes and len(names) > 2:
+                    links += probe_rest(all_sets, labels, [i for i in range(len(names)) if i != k], percent, probes)
+            else:
+                links = probe_rest(all_sets, labels, list(range(len(names))), percent)
+        return pa.table({"a": pa.array([names[i] for i, _ in links], pa.int64()), "b": pa.array([names[j] for _, j in links], pa.int64())})
 
     return run
 
@@ -292,32 +344,48 @@ def _sets(shared, bloom):
     return run
 
 
-def _links(pairs: DataFrame, rows: DataFrame, reps: DataFrame, shared, percent: int) -> DataFrame:
-    """pairs (centre, member) -> those that link, as (a, b)."""
-    wanted = pairs.select(F.col("centre").alias("cls")).union(pairs.select("member")).distinct()
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Task rows of pairs (centre, member): partners in groups of about GROUP, each with the centre itself."""
+    n = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    dealt = pairs.join(n, "centre").select("centre", F.pmod(F.xxhash64("member"), F.col("groups")).alias("g"), "member")
+    own = n.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.col("centre").alias("member"))
+    return dealt.union(own).select("centre", "g", "member", F.lit(None).cast("long").alias("root"))
+
+
+def _piles(pile: DataFrame) -> DataFrame:
+    """Task rows of pile (pile, cls, root): chunks of about GROUP / 2 classes, each pair of chunks a task."""
+    n = pile.groupBy("pile").agg(F.ceil(F.count(F.lit(1)) / (GROUP // 2)).alias("chunks"))
+    i, j = F.col("i"), F.col("j")
+    rows = pile.join(n, "pile").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return rows.select(F.col("pile").alias("centre"), (F.least(i, j) * F.col("chunks") + F.greatest(i, j)).alias("g"), F.col("cls").alias("member"), "root")
+
+
+def _links(tasks: DataFrame, rows: DataFrame, reps: DataFrame, shared, percent: int, probes: int = 0) -> DataFrame:
+    """Task rows (centre, g, member, root) -> links found, as (a, b). Sets are made anew from the texts of the classes wanted."""
+    wanted = tasks.select(F.col("member").alias("cls")).distinct()
     bloom = rows.sparkSession.sparkContext.broadcast(_Bloom.of(reps.join(wanted, "cls").select("_key")))
     sets = rows.select("_key", "_text").mapInArrow(_sets(shared, bloom), "cls long, data binary")
-    # partners of one class go to groups of about GROUP, each with the class's own set
-    n = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    dealt = pairs.join(n, "centre").select("centre", "member", F.pmod(F.xxhash64("member"), F.col("groups")).alias("g"))
-    own = n.select("centre", F.col("centre").alias("member"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
-    full = dealt.union(own).join(sets, F.col("member") == F.col("cls")).select("centre", "g", "member", "data")
-    return full.groupBy("centre", "g").applyInArrow(_verify(percent), "a long, b long")
+    full = tasks.join(sets, F.col("member") == F.col("cls")).select("centre", "g", "member", "root", "data")
+    return full.groupBy("centre", "g", F.col("root").isNull()).applyInArrow(_verify(percent, probes), "a long, b long")
 
 
 def _cross(t: pa.Table) -> pa.Table:
-    """Pairs of classes from different components that share a token (all rows have one token), of lengths that can link."""
-    cls, root, n = (t.column(c).to_numpy() for c in ("cls", "root", "n"))
-    at = np.argsort(n, kind="stable")
-    cls, root, n = cls[at], root[at], n[at]
-    a, b = [], []
-    for i in range(len(cls)):
-        to = int(np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
-        j = i + 1 + np.flatnonzero(root[i + 1 : to] != root[i])
-        a.append(np.full(len(j), cls[i]))
-        b.append(cls[j])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table({"centre": pa.array(np.minimum(a, b)), "member": pa.array(np.maximum(a, b))})
+    """Pairs of classes from different components that share a token, of lengths that can link."""
+    token, cls, root, n = (t.column(c).to_numpy() for c in ("token", "cls", "root", "n"))
+    order = np.lexsort((n, token))
+    token, cls, root, n = token[order], cls[order], root[order], n[order]
+    found = []
+    at, step = np.arange(len(token)), 1
+    while True:  # pairs `step` apart in order of token and length; those too long for one only get longer
+        at = at[at + step < len(token)]
+        at = at[(token[at] == token[at + step]) & (100 * n[at] >= PERCENT * n[at + step])]
+        if not len(at):
+            break
+        i = at[root[at] != root[at + step]]
+        found.append(np.stack([np.minimum(cls[i], cls[i + step]), np.maximum(cls[i], cls[i + step])], 1))
+        step += 1
+    pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"centre": pa.array(pair[:, 0]), "member": pa.array(pair[:, 1])})
 
 
 def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -327,19 +395,25 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     order = frequency_classes(rows, bits(size / 30, 12, MAX_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(order)
     n_buckets = max(16, -(-size // (3 << 20)))
-    scan = written(rows.select("_key", "_text").mapInArrow(_scan(shared, n_buckets, percent), "key long, n long, cls long, b int, data binary"), "prefixes")
-    of = written(scan.where("b is null").select(F.col("key").alias("_key"), "n", "cls").distinct(), "classes")
-    member = scan.where("b is not null").select("b", "data").groupBy("b").applyInArrow(_meet, "token long, cls long, least long")
-    member = written(member, "meetings")
+    texts = rows.select("_key", "_text")
+    of = written(texts.mapInArrow(_documents(shared), "_key long, n long, cls long").distinct(), "classes")
+    member = written(texts.mapInArrow(_prefixes(shared, n_buckets, percent), "b int, data binary").groupBy("b").applyInArrow(_meet, "token long, cls long, least long"), "meetings")
+    free(docs.sparkSession)
     reps = of.where("n > 0").groupBy("cls").agg(F.min("_key").alias("_key"), F.first("n").alias("n"))
     one = member.where("cls <> least").groupBy(F.col("cls").alias("member")).agg(F.min("least").alias("centre")).select("centre", "member")
-    links = written(_links(written(one, "pairs1"), rows, reps, shared, percent), "links1")
+    links = written(_links(written(_stars(one), "tasks1"), rows, reps, shared, percent, PROBES), "links1")
+    free(docs.sparkSession)
     root = components(links)
-    named = member.select("token", "cls").join(root, F.col("cls") == F.col("v"), "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    left = named.join(mixed, "token", "left_semi").join(reps.select("cls", "n"), "cls").select("token", "cls", "root", "n")
-    two = written(left.groupBy("token").applyInArrow(_cross, "centre long, member long").distinct(), "pairs2")
-    more = written(_links(two, rows, reps, shared, percent), "links2")
+    named = member.join(root, F.col("cls") == F.col("v"), "left").select("token", "cls", "least", F.coalesce("root", "cls").alias("root"))
+    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
+    left = written(named.join(mixed, "token").join(reps.select("cls", "n"), "cls").select("token", "cls", "least", "root", "n", "m"), "mixed")
+    few = left.where(F.col("m") <= SMALL).withColumn("b", F.pmod(F.xxhash64("token"), F.lit(n_buckets)))
+    two = few.groupBy("b").applyInArrow(_cross, "centre long, member long").distinct()
+    many = left.where(F.col("m") > SMALL)
+    pile = components(many.select(F.col("cls").alias("a"), F.col("least").alias("b")))
+    pile = many.select("cls", "root").distinct().join(pile, F.col("cls") == F.col("v")).select(pile["root"].alias("pile"), "cls", many["root"])
+    tasks = written(_stars(written(two, "pairs2")).unionByName(_piles(pile)), "tasks2")
+    more = written(_links(tasks, rows, reps, shared, percent), "links2")
     root = components(links.union(more))
     return of, root
 

@@ -139,3 +139,20 @@ def test_trie():
         probe = np.array(base, np.uint64)
         want = [i for i, s in enumerate(sets) if 100 * len(set(base) & set(s.tolist())) >= 80 * len(set(base) | set(s.tolist()))]
         assert sorted(jaccard.Trie(sets).search(probe)) == want
+
+
+def test_jaccard_pile(spark, monkeypatch):
+    """A large group of near copies of which some link and some don't, by piles of several chunks."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "GROUP", 20)
+    monkeypatch.setattr(jaccard, "PROBES", 1)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), None, 1))
+    got = jaccard.join(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute_components(rows)))
