@@ -4,9 +4,14 @@ A document's set holds the distinct hashes of its SHINGLE-word shingles. Tokens
 frequent (by the count class of a sketch over all documents), so two sets that reach the threshold share a token among the first
 n - ceil(t n) + 1 of each. Documents with equal sets are one class; from then on classes are compared.
 
-Round 1 puts each class with the least class that shares a prefix token with it, verifies it against that one and
-some of the others there; the links found give components. Round 2 takes the prefix tokens that still meet in different components. Of a
-token with up to SMALL classes, every pair from different components is verified. Classes that meet in larger
+Prefixes bound the overlap: beyond the prefix that ends first, its set holds ceil(t n) - 1 more tokens, so two sets
+overlap in at most that many and the prefix tokens they share. Sets are only fetched for pairs that this bound lets
+reach the threshold.
+
+Round 1 puts each class with the class that is most often the least of those that share its prefix tokens, verifies it
+against that one and some of the others there; the links found give components. Round 2 takes the prefix tokens that still
+meet in different components. Of tokens with up to SMALL classes, every pair from different components is counted, and
+verified if the shared tokens, with all larger tokens of either set for good measure, satisfy the bound. Classes that meet in larger
 tokens form piles, and in a pile every class outside the largest component probes all others, chunk against chunk. So no
 link between components is missed, pairs inside a component need no test, and no pairs of a large group are listed.
 
@@ -146,13 +151,13 @@ def _documents(shared):
 
 
 def _prefixes(shared, n_buckets: int, percent: int):
-    """Packed (token, cls) of all documents' prefixes, by bucket of the token; equal pairs of a flush once."""
+    """Packed (token, cls, set size) of all documents' prefixes, by bucket of the token; equal ones of a flush once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
         def flush():
-            pair = np.unique(np.concatenate(held))
+            pair = _distinct(np.concatenate(held))
             rows = [(b, pair[i].tobytes()) for b, i in by_bucket((pair["t"] % U(n_buckets)).astype(np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["b", "data"])
 
@@ -163,7 +168,7 @@ def _prefixes(shared, n_buckets: int, percent: int):
             prefix = np.where(n > 0, n - (-(-percent * n // 100)) + 1, 0)
             at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(prefix.sum())
             p = np.empty(len(at), _PAIR)
-            p["t"], p["c"] = token[at], np.repeat(cls, prefix)
+            p["t"], p["c"], p["n"] = token[at], np.repeat(cls, prefix), np.repeat(n, prefix)
             held.append(p)
             n_held += len(p)
             if n_held >= FLUSH:
@@ -175,18 +180,34 @@ def _prefixes(shared, n_buckets: int, percent: int):
     return run
 
 
-_PAIR = np.dtype([("t", U), ("c", np.int64)])
+_PAIR = np.dtype([("t", U), ("c", np.int64), ("n", np.uint32)])
+
+
+def _distinct(pair: np.ndarray) -> np.ndarray:
+    """In order of token and class, each once."""
+    pair = pair[np.lexsort((pair["c"], pair["t"]))]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair["t"][1:] != pair["t"][:-1]) | (pair["c"][1:] != pair["c"][:-1])
+    return pair[new]
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """A bucket's tokens that two classes share, as (token, classes) rows of bounded length, each with the token's least class."""
-    pair = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _PAIR) for x in t.column("data")]))
+    """A bucket's tokens that two classes share: (token, class, set size) rows, each with the token's least class and its size."""
+    pair = _distinct(np.concatenate([np.frombuffer(x.as_buffer(), _PAIR) for x in t.column("data")]))
     cut = np.flatnonzero(pair["t"][1:] != pair["t"][:-1]) + 1
     a = np.concatenate([[0], cut])
     n = np.diff(np.concatenate([a, [len(pair)]]))
     two = np.repeat(n > 1, n)
-    least = np.repeat(pair["c"][a], n)[two]
-    return pa.table({"token": pa.array(pair["t"][two].view(np.int64)), "cls": pa.array(pair["c"][two]), "least": pa.array(least)})
+    least, least_n = np.repeat(pair["c"][a], n)[two], np.repeat(pair["n"][a], n)[two]
+    pair = pair[two]
+    return pa.table({"token": pa.array(pair["t"].astype(np.int64)), "cls": pa.array(pair["c"].copy()), "n": pa.array(pair["n"].astype(np.int64)), "least": pa.array(least), "least_n": pa.array(least_n.astype(np.int64))})
+
+
+def _may_link(shared, n: str, m: str, percent: int):
+    """Whether sets of n and m tokens can link whose prefixes share at most so many tokens."""
+    low, high = F.least(n, m), F.greatest(n, m)
+    beyond = F.ceil(high * percent / 100) - 1
+    return (shared + beyond >= F.ceil((low + high) * percent / (100 + percent))) & (low * 100 >= high * percent)
 
 
 # ---------------------------------------------------------------- verification
@@ -369,23 +390,33 @@ def _links(tasks: DataFrame, rows: DataFrame, reps: DataFrame, shared, percent:
     return full.groupBy("centre", "g", F.col("root").isNull()).applyInArrow(_verify(percent, probes), "a long, b long")
 
 
-def _cross(t: pa.Table) -> pa.Table:
-    """Pairs of classes from different components that share a token, of lengths that can link."""
-    token, cls, root, n = (t.column(c).to_numpy() for c in ("token", "cls", "root", "n"))
-    order = np.lexsort((n, token))
-    token, cls, root, n = token[order], cls[order], root[order], n[order]
-    found = []
-    at, step = np.arange(len(token)), 1
-    while True:  # pairs `step` apart in order of token and length; those too long for one only get longer
-        at = at[at + step < len(token)]
-        at = at[(token[at] == token[at + step]) & (100 * n[at] >= PERCENT * n[at + step])]
-        if not len(at):
-            break
-        i = at[root[at] != root[at + step]]
-        found.append(np.stack([np.minimum(cls[i], cls[i + step]), np.maximum(cls[i], cls[i + step])], 1))
-        step += 1
-    pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"centre": pa.array(pair[:, 0]), "member": pa.array(pair[:, 1])})
+def _cross(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Pairs of classes from different components that share tokens, of lengths that can link: how many of the
+        bucket's tokens they share, their sizes, and the lesser number of larger tokens."""
+        token, cls, root, n, large = (t.column(c).to_numpy() for c in ("token", "cls", "root", "n", "large"))
+        order = np.lexsort((n, token))
+        token, cls, root, n, large = token[order], cls[order], root[order], n[order], large[order]
+        found = []
+        at, step = np.arange(len(token)), 1
+        while True:  # pairs `step` apart in order of token and length; those too long for one only get longer
+            at = at[at + step < len(token)]
+            at = at[(token[at] == token[at + step]) & (100 * n[at] >= percent * n[at + step])]
+            if not len(at):
+                break
+            i = at[root[at] != root[at + step]]
+            j = i + step
+            found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), n[i], n[j], np.minimum(large[i], large[j])], 1))
+            step += 1
+        pair = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:, :2] != pair[:-1, :2]).any(1)
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(pair)))
+        return pa.table([pa.array(x) for x in (*np.ascontiguousarray(pair[at].T), count)], names=["centre", "member", "low", "high", "large", "count"])
+
+    return run
 
 
 def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -397,19 +428,25 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     n_buckets = max(16, -(-size // (3 << 20)))
     texts = rows.select("_key", "_text")
     of = written(texts.mapInArrow(_documents(shared), "_key long, n long, cls long").distinct(), "classes")
-    member = written(texts.mapInArrow(_prefixes(shared, n_buckets, percent), "b int, data binary").groupBy("b").applyInArrow(_meet, "token long, cls long, least long"), "meetings")
+    member = written(texts.mapInArrow(_prefixes(shared, n_buckets, percent), "b int, data binary").groupBy("b").applyInArrow(_meet, "token long, cls long, n long, least long, least_n long"), "meetings")
     free(docs.sparkSession)
     reps = of.where("n > 0").groupBy("cls").agg(F.min("_key").alias("_key"), F.first("n").alias("n"))
-    one = member.where("cls <> least").groupBy(F.col("cls").alias("member")).agg(F.min("least").alias("centre")).select("centre", "member")
+    near = member.where("cls <> least").groupBy("cls", "n", "least", "least_n").agg(F.count(F.lit(1)).alias("count"))
+    # the least class may hide others that a pair shares, so twice the count is granted; what that misses is left to round 2
+    near = near.where(_may_link(F.col("count") * 2, "n", "least_n", percent))
+    one = near.groupBy(F.col("cls").alias("member")).agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("centre")).select("centre", "member")
     links = written(_links(written(_stars(one), "tasks1"), rows, reps, shared, percent, PROBES), "links1")
     free(docs.sparkSession)
     root = components(links)
-    named = member.join(root, F.col("cls") == F.col("v"), "left").select("token", "cls", "least", F.coalesce("root", "cls").alias("root"))
+    named = member.join(root, F.col("cls") == F.col("v"), "left").select("token", "cls", "n", "least", F.coalesce("root", "cls").alias("root"))
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
-    left = written(named.join(mixed, "token").join(reps.select("cls", "n"), "cls").select("token", "cls", "least", "root", "n", "m"), "mixed")
-    few = left.where(F.col("m") <= SMALL).withColumn("b", F.pmod(F.xxhash64("token"), F.lit(n_buckets)))
-    two = few.groupBy("b").applyInArrow(_cross, "centre long, member long").distinct()
+    left = written(named.join(mixed, "token").select("token", "cls", "least", "root", "n", "m"), "mixed")
     many = left.where(F.col("m") > SMALL)
+    large = many.groupBy("cls").agg(F.count(F.lit(1)).alias("large"))
+    few = left.where(F.col("m") <= SMALL).join(large, "cls", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
+    two = few.withColumn("b", F.pmod(F.xxhash64("token"), F.lit(n_buckets))).groupBy("b").applyInArrow(_cross(percent), "centre long, member long, low long, high long, large long, count long")
+    two = two.groupBy("centre", "member", "low", "high", "large").agg(F.sum("count").alias("count"))
+    two = two.where(_may_link(F.col("count") + F.col("large"), "low", "high", percent)).select("centre", "member")
     pile = components(many.select(F.col("cls").alias("a"), F.col("least").alias("b")))
     pile = many.select("cls", "root").distinct().join(pile, F.col("cls") == F.col("v")).select(pile["root"].alias("pile"), "cls", many["root"])
     tasks = written(_stars(written(two, "pairs2")).unionByName(_piles(pile)), "tasks2")
