@@ -226,10 +226,32 @@ class Trie:
             m = min(len(x), len(y))
             d = np.flatnonzero(x[:m] != y[:m])
             self.common[j] = d[0] if len(d) else m
+        # all sets one after another, with tokens numbered in global order
+        self.start = np.concatenate([[0], np.cumsum(self.lens)])
+        self.tokens, ids = np.unique(np.concatenate([sets[i] for i in self.order]) if sets else np.zeros(0, U), return_inverse=True)
+        self.ids = ids.ravel().astype(np.int32)
+
+    def _leaves(self, leaf: np.ndarray, depth: int, got: int, n: int, rest: int, mark: np.ndarray, percent: int) -> list[int]:
+        """Of leaves that share `depth` tokens, `got` of them the probe's: those that link. All at once."""
+        m = self.lens[leaf]
+        low, high = np.minimum(n, m), np.maximum(n, m)
+        may = (got + np.minimum(rest, m - depth) >= -(-percent * (n + m) // (100 + percent))) & (100 * low >= percent * high)
+        leaf, m = leaf[may], m[may]
+        if not len(leaf):
+            return []
+        ends = np.cumsum(m - depth)
+        at = np.repeat(self.start[leaf] + depth - (ends - (m - depth)), m - depth) + np.arange(ends[-1])
+        hits = np.concatenate([[0], np.cumsum(mark[self.ids[at]])])
+        over = got + hits[ends] - hits[ends - (m - depth)]
+        return [self.order[i] for i in leaf[100 * over >= percent * (n + m - over)]]
 
     def search(self, probe: np.ndarray, percent: int = PERCENT) -> list[int]:
         """The sets whose similarity with the probe reaches the threshold."""
         found, n = [], len(probe)
+        at = np.searchsorted(self.tokens, probe)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == probe] if len(self.tokens) else at
+        mark = np.zeros(len(self.tokens), bool)
+        mark[at] = True
         stack = [(0, len(self.order), 0, 0)] if self.order else []  # arrays lo..hi share `depth` tokens, `got` of them the probe's
         while stack:
             lo, hi, depth, got = stack.pop()
@@ -237,9 +259,7 @@ class Trie:
             share = int(self.common[lo : hi - 1].min()) if hi - lo > 1 else len(rep)
             least, most = int(self.lens[lo:hi].min()), int(self.lens[lo:hi].max())
             if share > depth:
-                part = rep[depth:share]
-                at = np.searchsorted(probe, part)
-                got += int((probe[np.minimum(at, n - 1)] == part).sum())
+                got += int(mark[self.ids[self.start[lo] + depth : self.start[lo] + share]].sum())
                 depth = share
             rest = n - int(np.searchsorted(probe, rep[depth - 1], "right")) if depth else n
             # the bound grows by at most one with each token more, and the need by less, so the longest decides
@@ -249,8 +269,10 @@ class Trie:
                 if 100 * got >= percent * (n + len(rep) - got):
                     found.append(self.order[lo])
                 continue
-            edges = [lo, *(lo + 1 + np.flatnonzero(self.common[lo : hi - 1] == depth)).tolist(), hi]
-            stack.extend((a, b, depth, got) for a, b in zip(edges[:-1], edges[1:], strict=True))
+            edges = np.concatenate([[lo], lo + 1 + np.flatnonzero(self.common[lo : hi - 1] == depth), [hi]])
+            one = np.diff(edges) == 1
+            found += self._leaves(edges[:-1][one], depth, got, n, rest, mark, percent)
+            stack.extend((a, b, depth, got) for a, b in zip(edges[:-1][~one].tolist(), edges[1:][~one].tolist(), strict=True))
         return found
 
 
