@@ -473,7 +473,8 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     pile = many.select("cls", "root").distinct().join(pile, F.col("cls") == F.col("v")).select(pile["root"].alias("pile"), "cls", many["root"])
     tasks = written(_stars(written(two, "pairs2")).unionByName(_piles(pile)), "tasks2")
     more = written(_links(tasks, rows, reps, shared, percent), "links2")
-    root = components(links.union(more))
+    # the stars of the first components stand for its links
+    root = components(root.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
     return of, root
 
 
