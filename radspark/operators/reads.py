@@ -6,6 +6,7 @@ from ..plans.dialect import Dialect, Op
 
 READS = ("reads",)
 K = 15
+STEP = 256
 CODES = ("ACGTAC", "TTGACA", "GGCATT", "CATGCA", "GTACCA")
 
 
@@ -23,10 +24,17 @@ def oligo_dedup(d):
     return {}, "SELECT substring(qual, 1, 8) AS oligo, seq, min(read_id) AS read_id, count(*) AS copies FROM @reads GROUP BY substring(qual, 1, 8), seq"
 
 
-def _kmers(d: Dialect) -> dict[str, str]:
+def _places(d: Dialect, key: str, x: str, width: int) -> dict[str, str]:
+    """(key, piece, p, j): every place of x where `width` characters start, as place j of piece p, so that a long read is not copied for each place."""
     return {
-        "places": f"SELECT read_id, seq, {d.unnest('1', f'length(seq) - {K - 1}', 'i')} FROM @reads WHERE length(seq) >= {K}",
-        "kmer": f"SELECT read_id, i, substring(seq, cast(i as int), {K}) AS k FROM places",
+        "pieces": f"SELECT {key}, {d.pieces(x, STEP, width - 1)} FROM @reads WHERE length({x}) >= {width}",
+        "places": f"SELECT {key}, z.piece AS piece, z.p AS p, {d.unnest('1', f'length(z.piece) - {width - 1}', 'j')} FROM pieces",
+    }
+
+
+def _kmers(d: Dialect) -> dict[str, str]:
+    return _places(d, "read_id", "seq", K) | {
+        "kmer": f"SELECT read_id, p * {STEP} + j AS i, substring(piece, cast(j as int), {K}) AS k FROM places",
         "freq": "SELECT k, count(*) AS n FROM kmer GROUP BY k",
     }
 
@@ -105,11 +113,11 @@ def consensus(d):
 
 def quality_trim(d):
     """Windows of 10 quality scores, each the code of its character less 48: reads with a mean below 25 in one are cut there."""
-    return {
-        "places": f"SELECT read_id, qual, {d.unnest('1', 'length(qual)', 'i')} FROM @reads WHERE length(qual) > 0",
-        "q": "SELECT read_id, i, avg(1E0 * (ascii(substring(qual, cast(i as int), 1)) - 48)) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m, count(*) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w FROM places",
-        "c": "SELECT read_id, min(CASE WHEN w = 10 AND m < 20 THEN i END) AS cut FROM q GROUP BY read_id",
-    }, "SELECT r.read_id, coalesce(c.cut - 1, length(r.seq)) AS cut, substring(r.seq, 1, cast(coalesce(c.cut - 1, length(r.seq)) as int)) AS seq FROM @reads r JOIN c ON r.read_id = c.read_id"
+    scores = " + ".join(f"{d.ascii(f'substring(piece, cast(j + {k} as int), 1)')} - 48" for k in range(10))
+    return _places(d, "read_id", "qual", 10) | {
+        "q": f"SELECT read_id, p * {STEP} + j AS i, ({scores}) / 1E1 AS m FROM places",
+        "c": "SELECT read_id, min(i) AS cut FROM q WHERE m < 20 GROUP BY read_id",
+    }, "SELECT r.read_id, coalesce(c.cut - 1, length(r.seq)) AS cut, substring(r.seq, 1, cast(coalesce(c.cut - 1, length(r.seq)) as int)) AS seq FROM @reads r LEFT JOIN c ON r.read_id = c.read_id"
 
 
 def qc_chain(d):

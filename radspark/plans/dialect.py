@@ -34,6 +34,13 @@ class Dialect:
         """A select item with the integers lo..hi, for lo <= hi."""
         return f"explode(sequence(cast({lo} as int), cast({hi} as int))) AS {name}" if self.spark else f"unnest(range(CAST({lo} AS INT), CAST({hi} AS INT) + 1)) AS {name}"
 
+    def pieces(self, x: str, step: int, more: int) -> str:
+        """A select item with structs `z` (p, piece): piece p starts after step * p characters and has `more` characters of the next, for x longer than `more`."""
+        piece, last = f"substring({x}, cast(p * {step} + 1 as int), {step + more})", self.div(f"length({x}) - {more + 1}", str(step))
+        if self.spark:
+            return f"explode(transform(sequence(0, cast({last} as int)), p -> named_struct('p', p, 'piece', {piece}))) AS z"
+        return f"unnest(list_transform(range(0, CAST({last} AS INT) + 1), lambda p: {{'p': p, 'piece': {piece}}})) AS z"
+
     def hamming(self, a: str, b: str) -> str:
         if self.spark:
             return f"aggregate(sequence(1, greatest(length({a}), 1)), 0, (s, i) -> s + if(substring({a}, i, 1) <> substring({b}, i, 1), 1, 0))"

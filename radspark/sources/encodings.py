@@ -1,7 +1,8 @@
 """Genomic inputs made from the star-schema tables, the same in both engines.
 
 popmap(sample, pop, grp); calls(locus, col, sample, pop, a1, a2, dp): genotypes of up to four sites a locus;
-haps(locus, sample, pop, h1, h2); sites(chr, bp, stat, alleles, pop); reads(read_id, sample, seq, qual).
+haps(locus, sample, pop, h1, h2); sites(chr, bp, stat, alleles, pop); reads(read_id, sample, seq, qual): all letters of a
+text, with a quality character each.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ def encodings(d: Dialect) -> dict[str, str]:
       CASE WHEN {_alt(d, 2)} THEN {letter('(lo + 1) % 4 + 1')} ELSE {letter('lo % 4 + 1')} END AS a2, cast(dp as int) AS dp
       FROM ({base}) b"""
     seq = d.replace_all("lower(text)", "[^a-z]", "")
-    seq = f"substring(translate({seq}, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 64)"
+    seq = f"translate({seq}, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+    reads = f"SELECT doc_id AS read_id, source AS sample, {seq} AS seq, concat(md5(text), md5(concat(text, 'q'))) AS q FROM @documents"
     return {
         "popmap": "SELECT cast(s_suppkey % 12 as int) AS sample, cast(min(s_suppkey % 3) as int) AS pop, cast(min(s_suppkey % 3 % 2) as int) AS grp FROM @supplier GROUP BY s_suppkey % 12",
         "calls": calls,
         "haps": f"SELECT locus, sample, pop, {d.cat('a1', '', 'col')} AS h1, {d.cat('a2', '', 'col')} AS h2 FROM ({calls}) c GROUP BY locus, sample, pop HAVING count(*) = 4",
         "sites": f"""SELECT cast(user_id % 5 as int) AS chr, cast(user_id % 3 as int) AS pop, {"unix_timestamp(ts)" if d.spark else "CAST(floor(epoch(ts)) AS BIGINT)"} AS bp, value AS stat, cast(2 + event_id % 9 as int) AS alleles, event_id FROM @events""",
-        "reads": f"SELECT doc_id AS read_id, source AS sample, {seq} AS seq, concat(md5(text), md5(concat(text, 'q'))) AS qual FROM @documents",
+        "reads": f"SELECT read_id, sample, seq, substring(repeat(q, cast({d.div('length(seq)', '64')} + 1 as int)), 1, length(seq)) AS qual FROM ({reads}) t",
         "mates": "SELECT conv_id, turn, role, substring(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 24) AS seq FROM @conversations",
         "barcodes": "SELECT c_custkey AS read_id, substring(translate(md5(cast(c_custkey % 97 as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 6) AS observed, c_mktsegment AS sample FROM @customer",
         "catalog": "SELECT p_partkey AS locus, cast(p_partkey % 5 as int) AS chr, p_partkey * 37 AS bp, p_brand AS marker, p_size AS n_snps, p_retailprice AS lnl FROM @part",
