@@ -46,6 +46,10 @@ class Dialect:
             return f"aggregate(sequence(1, greatest(length({a}), 1)), 0, (s, i) -> s + if(substring({a}, i, 1) <> substring({b}, i, 1), 1, 0))"
         return f"hamming({a}, {b})"
 
+    def differ(self, a: str, b: str) -> str:
+        """Hamming distance of strings of equal length, in one pass over them."""
+        return f"aggregate(zip_with(split({a}, ''), split({b}, ''), (x, y) -> if(x <=> y, 0, 1)), 0, (s, i) -> s + i)" if self.spark else f"hamming({a}, {b})"
+
     def replace_all(self, x: str, pattern: str, by: str) -> str:
         return f"regexp_replace({x}, '{pattern}', '{by}')" if self.spark else f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -37,3 +38,25 @@ def test_quality_windows_of_the_whole_read(spark):
     got = {r["read_id"]: (r["cut"], len(r["seq"])) for r in reads.OPS["window_quality_trim"](spark, reads=df).collect()}
     # a window of m low scores has the mean 40 - 3.8 m, below 20 from m = 6 on
     assert got == {1: (596, 596), 2: (5, 5), 3: (0, 0), 4: (300, 300)}
+
+
+def test_similarity_of_any_length(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (1, 3, 6, 7, 8, 20, 60, 64, 100, 1000):
+        for _ in range(6):
+            s = [rng.choice("ACGT") for _ in range(n)]
+            rows.append("".join(s))
+            for i in rng.sample(range(n), min(n, rng.randint(1, 9))):
+                s[i] = rng.choice("ACGT")
+            rows.append("".join(s))
+    rows = [(i, "a", s) for i, s in enumerate(rows + rows[:5] + [""])]
+    first = {}
+    for i, _, s in rows:
+        first.setdefault(s, i)
+    dist = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(i, j, dist(a, b)) for a, i in first.items() for b, j in first.items() if i < j and len(a) == len(b) and dist(a, b) <= 6}
+    df = spark.createDataFrame(rows, "read_id long, sample string, seq string")
+    got = reads.OPS["similarity_join_hamming"](spark, reads=df).collect()
+    assert {len(rows[i][2]) for i, _, _ in want} == {1, 3, 6, 7, 8, 20, 60, 64, 100, 1000}
+    assert sorted(map(tuple, got)) == sorted(want)
