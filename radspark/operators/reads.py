@@ -104,10 +104,10 @@ def unmatched_reads(d):
 
 
 def consensus(d):
-    """Commonest base at each of the first 20 columns of a sample's reads, ties to the first letter."""
-    return {
-        "places": f"SELECT sample, seq, {d.unnest('1', '20', 'i')} FROM @reads WHERE length(seq) >= 20",
-        "n": "SELECT sample, i, substring(seq, cast(i as int), 1) AS b, count(*) AS n FROM places GROUP BY sample, i, substring(seq, cast(i as int), 1)",
+    """Commonest base at each column of a sample's reads, up to the longest, ties to the first letter."""
+    return _places(d, "sample", "seq", 1) | {
+        "bases": f"SELECT sample, p * {STEP} + j AS i, substring(piece, cast(j as int), 1) AS b FROM places",
+        "n": "SELECT sample, i, b, count(*) AS n FROM bases GROUP BY sample, i, b",
         "k": "SELECT sample, i, b, row_number() OVER (PARTITION BY sample, i ORDER BY n DESC, b) AS k FROM n",
     }, f"SELECT sample, {d.cat('b', '', 'i')} AS consensus FROM k WHERE k = 1 GROUP BY sample"
 

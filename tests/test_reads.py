@@ -60,3 +60,16 @@ def test_similarity_of_any_length(spark):
     got = reads.OPS["similarity_join_hamming"](spark, reads=df).collect()
     assert {len(rows[i][2]) for i, _, _ in want} == {1, 3, 6, 7, 8, 20, 60, 64, 100, 1000}
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_consensus_of_every_column(spark):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.choice([1, 5, 19, 20, 255, 256, 257, 700]))) for _ in range(60)] + [""]
+    rows = [(i, "ab"[i % 2], s) for i, s in enumerate(seqs)]
+    want = {}
+    for sample in "ab":
+        own = [s for _, m, s in rows if m == sample]
+        columns = [Counter(s[i] for s in own if len(s) > i) for i in range(max(map(len, own)))]
+        want[sample] = "".join(min(c, key=lambda b: (-c[b], b)) for c in columns)
+    df = spark.createDataFrame(rows, "read_id long, sample string, seq string")
+    assert {r["sample"]: r["consensus"] for r in reads.OPS["consensus"](spark, reads=df).collect()} == want
