@@ -1,14 +1,9 @@
-"""Largest inner products by a forest of hash prefixes.
+"""Largest inner products, all of them scored.
 
-Vectors get one more component that makes their norms equal (the queries' is 0), so the largest inner product is the
-smallest angle. A tree keeps the long hash strings (BITS signs of random projections) of its vectors as a sorted
-array; a query descends to its longest common prefix by binary search, and all trees ascend together, a bit at
-a time, until their ranges hold SPREAD x the vectors. Everything in the ranges is a candidate, with no cap, and
-is scored exactly in double precision.
-
-Vectors are dealt to blocks of about BLOCK rows, each with a forest over its distinct vectors, and queries to groups;
-every group meets every block, and the best of the blocks are merged. Copies of a vector share an entry, which
-lists the smallest ids first, so that a very common vector fills no range. Vectors null, zero, of another length
+Vectors are dealt to blocks of about BLOCK rows and queries to groups; every group meets every block, and the best of the
+blocks are merged. A block is scored by matrix products, and what can be among the k nearest by them is scored
+again in double precision by a sum that does not depend on the other rows, so that equal vectors get equal scores.
+Copies of a vector share an entry, which lists the smallest ids first. Vectors null, zero, of another length
 than most, or with null or non-finite components take no part, nor rows without id. Ties go to the smaller id; a
 repeated (id, vector) query is answered once.
 """
@@ -22,15 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import read, written
 
-TREES = 32
-BITS = 64
-SPREAD = 0.8
 BLOCK = 8192
 QUERIES_PER_GROUP = 4096
 NEAREST = 20
 MODULUS = 20
-SEED = 97
-_DEEPEST = 24
+_ROWS = 256
 
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -41,48 +32,16 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return v.where(F.size("v") == (n["n"] if n else 0))
 
 
-class Forest:
-    """Sorted arrays of hash strings over the rows of x."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = SEED) -> None:
-        self.x = x
-        norm = (x * x).sum(1)
-        lifted = np.hstack([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]])
-        self.planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1] + 1, BITS))
-        codes = [self._codes(lifted, p) for p in self.planes]
-        self.order = [np.argsort(c, kind="stable") for c in codes]
-        self.sorted = [c[o] for c, o in zip(codes, self.order, strict=True)]
-
-    @staticmethod
-    def _codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
-        return np.packbits(x @ planes > 0, axis=1).view(">u8").ravel().astype(np.uint64)
-
-    def ranges(self, q: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree the range of the sorted array at the level where all trees stop."""
-        lifted = np.hstack([q, np.zeros((len(q), 1))])
-        codes = [self._codes(lifted, p) for p in self.planes]
-        lo, hi = np.zeros((len(q), len(codes)), np.int64), np.zeros((len(q), len(codes)), np.int64)
-        going = np.arange(len(q))
-        least = min(spread * len(self.x), len(codes) * len(self.x))
-        for depth in range(_DEEPEST, -1, -1):
-            below = np.uint64((1 << (BITS - depth)) - 1)
-            for t, c in enumerate(codes):
-                lo[going, t] = np.searchsorted(self.sorted[t], c[going] & ~below, "left")
-                hi[going, t] = np.searchsorted(self.sorted[t], c[going] | below, "right")
-            going = going[(hi[going] - lo[going]).sum(1) < least]
-            if not len(going):
-                break
-        return lo, hi
-
-    def nearest(self, q: np.ndarray, k: int, spread: float = SPREAD):
-        """For each query, rows of x among the candidates with the k largest products, ties at the last included."""
-        lo, hi = self.ranges(q, spread)
-        for i in range(len(q)):
-            mark = np.zeros(len(self.x), bool)
-            for t in range(len(self.order)):
-                mark[self.order[t][lo[i, t] : hi[i, t]]] = True
-            at = np.flatnonzero(mark)
-            score = self.x[at] @ q[i]
+def nearest(x: np.ndarray, q: np.ndarray, k: int):
+    """For each query, the rows of x with the k largest products, ties at the last included."""
+    # far above the rounding of a product, far below what tells vectors apart
+    slack = 1e-12 * x.shape[1] * np.sqrt((x * x).sum(1).max())
+    for first in range(0, len(q), _ROWS):
+        for one, rough in zip(q[first : first + _ROWS], q[first : first + _ROWS] @ x.T, strict=True):
+            at = np.arange(len(x))
+            if len(x) > k:
+                at = np.flatnonzero(~(rough < np.partition(rough, len(x) - k)[len(x) - k] - slack * np.sqrt((one * one).sum())))
+            score = (x[at] * one).sum(1)
             if len(at) > k:
                 keep = score >= np.partition(score, len(at) - k)[len(at) - k]
                 at, score = at[keep], score[keep]
@@ -95,7 +54,7 @@ def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1)
 
 
-def _search(k: int, spread: float):
+def _search(k: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if block.num_rows and queries.num_rows:
@@ -106,7 +65,7 @@ def _search(k: int, spread: float):
             order = np.lexsort((ids, inv))
             start = np.searchsorted(inv[order], np.arange(len(uniq) + 1))
             # of an entry's ids in order, k and the query's own are all that can be among the k nearest
-            for i, (at, score) in enumerate(Forest(uniq).nearest(q, k + 1, spread)):
+            for i, (at, score) in enumerate(nearest(uniq, q, k + 1)):
                 got = [(-float(s), int(v)) for a, s in zip(at, score, strict=True) for v in ids[order[start[a] : start[a + 1]]][: k + np.searchsorted(ids[order[start[a] : start[a + 1]]], qid[i], "right") - np.searchsorted(ids[order[start[a] : start[a + 1]]], qid[i], "left")] if v != qid[i]]
                 for s, v in sorted(got)[:k]:
                     for col, value in zip(out, (qid[i], qkey[i], v, -s), strict=True):
@@ -116,15 +75,15 @@ def _search(k: int, spread: float):
     return run
 
 
-def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, modulus: int = MODULUS, spread: float = SPREAD) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each row whose id is divisible by modulus."""
+def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, modulus: int = MODULUS) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest of each row whose id is divisible by modulus."""
     v = written(clean(vectors, vec_id, embedding), "vectors")
     q = v.where(F.col("id") % modulus == 0).withColumn("qkey", F.xxhash64("id", "v")).dropDuplicates(["id", "qkey"])
     blocks = max(1, -(-v.count() // BLOCK))
     groups = max(1, -(-q.count() // QUERIES_PER_GROUP))
     x = v.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"))
     qs = q.select("id", "v", "qkey", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("xb"))
-    found = x.groupBy("xb", "qb").cogroup(qs.groupBy("xb", "qb")).applyInArrow(_search(k, spread), "query_id long, qkey long, vec_id long, score double")
+    found = x.groupBy("xb", "qb").cogroup(qs.groupBy("xb", "qb")).applyInArrow(_search(k), "query_id long, qkey long, vec_id long, score double")
     w = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -31,6 +31,24 @@ def test_recall_and_edges(spark):
     assert len(neighbours.search(spark.createDataFrame(rows[:7], df.schema)).collect()) == 6
 
 
+def test_exact_on_few_distinct_and_skewed(spark):
+    """Unit vectors with few distinct ones, a table of less than 40, and few long vectors among many: all equal the brute force."""
+    rng = np.random.default_rng(4)
+    unit = lambda z: z / np.sqrt((z * z).sum(1))[:, None]
+    few = unit(rng.standard_normal((35, 16)))
+    few = few[np.concatenate([np.arange(35), np.full(1965, 34)])]
+    skewed = unit(rng.standard_normal((2000, 16)))
+    skewed[rng.choice(2000, 40, replace=False)] *= 50
+    for x in (unit(rng.standard_normal((30, 16))), few, skewed):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in range(0, len(x), 20):
+            score = (x * x[q]).sum(1)
+            assert got[q] == sorted((i for i in range(len(x)) if i != q), key=lambda i: (-score[i], i))[:20]
+
+
 def words_of(t):
     import re
 
