@@ -7,9 +7,12 @@ sum of least weights over sum of greatest, at least 0.8. Sequences below a shing
 Such a window holds at least 8/9 of m - SHINGLE + 1 shingles that occur in some item, so windows with fewer are not
 fingerprinted. The others' 64-bit SimHash is looked up in a multi-index: fingerprints are cut into RADIUS + 1
 blocks, and two within RADIUS agree in one of them at least, so the lookup finds all items within RADIUS;
-exact similarity decides. At similarity 0.8 the expected distance is under 10 with a deviation under 3.
+exact similarity decides. At similarity 0.8 the expected distance is under 10 with a deviation under 3, if no shingle
+repeats; a few heavy shingles decide all bits together, so items and windows with a repeated shingle are compared exactly
+without the lookup.
 
-Items without words match nothing; null and empty texts hold nothing. Equal items are all reported. Item text goes to tasks in
+Items without words match nothing; null and empty texts hold nothing. Equal items are all reported,
+items without id under a null id. Item text goes to tasks in
 parts of at most PART bytes, one pass over the documents for each part.
 """
 
@@ -54,8 +57,9 @@ def similarity(a: Counter, b: Counter) -> float:
 class Items:
     """The items of a part: shingles, fingerprints, and the multi-index."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.by_size: dict[int, list[tuple[int, Counter, int]]] = defaultdict(list)
+    def __init__(self, rows: list[tuple[int | None, str]]) -> None:
+        self.by_size: dict[int, list[tuple[int | None, Counter, int]]] = defaultdict(list)
+        self.repetitive: dict[int, set[int]] = defaultdict(set)
         grams: dict[int, set[int]] = defaultdict(set)
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -65,6 +69,8 @@ class Items:
                 continue
             g = gram_hashes(sums, min(SHINGLE, m))
             grams[min(SHINGLE, m)].update(g.tolist())
+            if len(np.unique(g)) < len(g):
+                self.repetitive[m].add(len(self.by_size[m]))
             self.by_size[m].append((item, Counter(g.tolist()), fingerprint(g)))
         self.grams = {k: np.array(sorted(v), U) for k, v in grams.items()}
         self.maps = {}
@@ -92,9 +98,9 @@ class Items:
             found.update(self.index.get((m, b, (f >> lo) & ((1 << (hi - lo)) - 1)), ()))
         return {i for i in found if (self.by_size[m][i][2] ^ f).bit_count() <= RADIUS}
 
-    def hits(self, s: Slice, percent: int = PERCENT) -> dict[int, dict[int, tuple[float, int, int]]]:
+    def hits(self, s: Slice, percent: int = PERCENT) -> dict[int, dict[int | None, tuple[float, int, int]]]:
         """Row of the slice -> item -> best similarity, first word and number of words of the window."""
-        out: dict[int, dict[int, tuple[float, int, int]]] = defaultdict(dict)
+        out: dict[int, dict[int | None, tuple[float, int, int]]] = defaultdict(dict)
         sums, first = word_sums(s.buf, s.off)
         for k in self.grams:
             g = gram_hashes(sums, k)
@@ -112,7 +118,8 @@ class Items:
                     least = -(-2 * percent * w // (100 + percent))
                     for p in np.flatnonzero(count[w:] - count[:-w] >= least):
                         part = g[lo + p : lo + p + w]
-                        for i in self.near(m, fingerprint(part)):
+                        repeats = len(np.unique(part)) < w
+                        for i in range(len(self.by_size[m])) if repeats else self.near(m, fingerprint(part)) | self.repetitive.get(m, set()):
                             item, weights, _ = self.by_size[m][i]
                             sim = similarity(Counter(part.tolist()), weights)
                             if 100 * sim >= percent and sim > out[doc].get(item, (0,))[0]:
@@ -128,7 +135,7 @@ def _scan(shared):
         for s in slices(batches, "_text"):
             hits = shared.value.hits(s)
             names = [n for n in s.batch.schema.names if n != "_text"]
-            col = [[{"item_id": i, "similarity": v, "first": a, "size": m} for i, (v, a, m) in sorted(hits[r].items())] if hits.get(r) else [] for r in range(s.n)]
+            col = [[{"item_id": i, "similarity": v, "first": a, "size": m} for i, (v, a, m) in sorted(hits[r].items(), key=lambda h: (h[0] is None, h[0] or 0))] if hits.get(r) else [] for r in range(s.n)]
             yield pa.RecordBatch.from_arrays([*(s.column(n) for n in names), pa.array(col, _HIT)], names=[*names, "hits"])
 
     return run
@@ -138,7 +145,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple
     """The kept columns and `hits` (item_id, similarity, first word, words), for every row."""
     spark = docs.sparkSession
     parts = max(1, -(-2 * n_bytes(benchmark) // part))
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("p"))
+    items = benchmark.select(F.col("item_id").cast("long"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("p"))
     src = docs.select(*keep, F.col(text).alias("_text"))
     out = None
     for p in range(parts):

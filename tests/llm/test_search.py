@@ -93,3 +93,14 @@ def test_decontam(spark):
         assert sorted((str(r["doc_id"]), str(sorted(h["item_id"] for h in r["hits"]))) for r in got) == want
     assert decontam.find(df.limit(0), bench).count() == 0
     assert all(not r["hits"] for r in decontam.find(df, bench.limit(0)).collect())
+
+
+def test_decontam_repetitive_and_without_id(spark):
+    say = lambda a, b: " ".join([a, b] * 6 + [a])
+    plain = " ".join(f"w{i}" for i in range(20))
+    items = [(i, say(f"a{i}", f"b{i}")) for i in range(8)] + [(None, plain), (9, plain + " more")]
+    docs = [(i, say(f"b{i}", f"a{i}")) for i in range(8)] + [(20, "so " + plain + " more"), (21, "so " + plain), (22, "clean")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontam.find(df, bench).collect()}
+    assert got == {i: [i] for i in range(8)} | {20: [9, None], 21: [9, None], 22: []}
