@@ -7,6 +7,7 @@ from ..plans.dialect import Dialect, Op
 READS = ("reads",)
 K = 15
 STEP = 256
+QUALITY = 20
 CODES = ("ACGTAC", "TTGACA", "GGCATT", "CATGCA", "GTACCA")
 
 
@@ -112,12 +113,12 @@ def consensus(d):
     }, f"SELECT sample, {d.cat('b', '', 'i')} AS consensus FROM k WHERE k = 1 GROUP BY sample"
 
 
-def quality_trim(d):
-    """Windows of 10 quality scores, each the code of its character less 48: reads with a mean below 25 in one are cut there."""
+def quality_trim(d, least=QUALITY):
+    """Windows of 10 quality scores, each the code of its character less 48: reads with a mean below `least` in one are cut there."""
     scores = " + ".join(f"{d.ascii(f'substring(piece, cast(j + {k} as int), 1)')} - 48" for k in range(10))
     return _places(d, "read_id", "qual", 10) | {
         "q": f"SELECT read_id, p * {STEP} + j AS i, ({scores}) / 1E1 AS m FROM places",
-        "c": "SELECT read_id, min(i) AS cut FROM q WHERE m < 20 GROUP BY read_id",
+        "c": f"SELECT read_id, min(i) AS cut FROM q WHERE m < {least} GROUP BY read_id",
     }, "SELECT r.read_id, coalesce(c.cut - 1, length(r.seq)) AS cut, substring(r.seq, 1, cast(coalesce(c.cut - 1, length(r.seq)) as int)) AS seq FROM @reads r LEFT JOIN c ON r.read_id = c.read_id"
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from radspark.operators import reads
+from radspark.plans.dialect import Op
 from radspark.sources import encodings
 
 LONG = "the quick brown fox jumps over a lazy dog and runs away, " * 20
@@ -38,6 +39,8 @@ def test_quality_windows_of_the_whole_read(spark):
     got = {r["read_id"]: (r["cut"], len(r["seq"])) for r in reads.OPS["window_quality_trim"](spark, reads=df).collect()}
     # a window of m low scores has the mean 40 - 3.8 m, below 20 from m = 6 on
     assert got == {1: (596, 596), 2: (5, 5), 3: (0, 0), 4: (300, 300)}
+    strict = Op(("reads",), lambda d: reads.quality_trim(d, least=25))(spark, reads=df).collect()
+    assert {r["read_id"]: r["cut"] for r in strict} == {1: 594, 2: 5, 3: 0, 4: 300}
 
 
 def test_similarity_of_any_length(spark):
