@@ -85,11 +85,11 @@ def similarity_join(d):
     """Pairs of distinct sequences of equal length at Hamming distance 1..6: two such share one of 7 parts of their bases, so an
     equi-join on (length, part, hash of the bases) finds all candidates and the distance decides. Below 7 bases a part is empty,
     so that all sequences of a length are candidates."""
-    at = lambda i: d.div(f"n * {i}", "7")
-    part = " UNION ALL ".join(f"SELECT id, n, {i} AS part, md5(substring(seq, cast({at(i)} + 1 as int), cast({at(i + 1)} - {at(i)} as int))) AS bases FROM u" for i in range(7))
+    at = lambda i: d.div(f"n * ({i})", "7")
     return {
         "u": "SELECT seq, length(seq) AS n, min(read_id) AS id FROM @reads WHERE length(seq) > 0 GROUP BY seq",
-        "p": part,
+        "v": f"SELECT seq, n, id, {d.unnest('0', '6', 'part')} FROM u",
+        "p": f"SELECT id, n, part, md5(substring(seq, cast({at('part')} + 1 as int), cast({at('part + 1')} - {at('part')} as int))) AS bases FROM v",
         "c": "SELECT DISTINCT a.n AS n, a.id AS id1, b.id AS id2 FROM p a JOIN p b ON a.n = b.n AND a.part = b.part AND a.bases = b.bases AND a.id < b.id",
         "h": f"SELECT c.id1 AS id1, c.id2 AS id2, {d.differ('a.seq', 'b.seq')} AS dist FROM c JOIN u a ON a.id = c.id1 AND a.n = c.n JOIN u b ON b.id = c.id2 AND b.n = c.n",
     }, "SELECT id1, id2, dist FROM h WHERE dist <= 6"
