@@ -1,11 +1,21 @@
-"""Largest inner products, all of them scored.
-
-Vectors are dealt to blocks of about BLOCK rows and queries to groups; every group meets every block, and the best of the
-blocks are merged. A block is scored by matrix products, and what can be among the k nearest by them is scored
-again in double precision by a sum that does not depend on the other rows, so that equal vectors get equal scores.
-Copies of a vector share an entry, which lists the smallest ids first. Vectors null, zero, of another length
-than most, or with null or non-finite components take no part, nor rows without id. Ties go to the smaller id; a
-repeated (id, vector) query is answered once.
+"""Largest inner products by a forest of hash prefixes.
+
+Vectors of like length (within a factor of 2) get one more component that makes their norms equal (the query's is 0), so
+the largest inner product is the smallest angle. A tree keeps long hash strings (BITS signs of random projections) as a sorted
+array. A query descends in every tree to the entries that share the longest prefix with it, found by one binary
+search and a look at both neighbours; then all trees ascend together, a bit at a time, until the ranges of entries
+that share that prefix hold LEAST distinct entries or SPREAD of all, whichever is more, and never fewer than k besides the
+query's own. At the root a range is the whole array, so a small table is searched in full. Every entry in the ranges
+is a candidate, with no cap, and its product is taken in double precision by a sum that does not depend
+on the other rows, so that equal vectors get equal scores.
+
+Lengths are searched from the longest down; a shorter one is left out only where its norms cannot reach the k-th best
+product so far. Vectors are dealt to blocks of about BLOCK rows, each with a forest over its distinct vectors, and queries to
+groups; every group meets every block, so candidates grow with queries x vectors (SPREAD of that), and the best of the blocks are merged.
+Copies of a vector share an entry, which lists the smallest ids first, so that a very common vector fills no range.
+Vectors null, zero, of another length than most, or with null or non-finite components take no part, nor rows
+without id. Ties go to the smaller id; a repeated (id, vector) query is answered once; no rows give no rows. Other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +31,11 @@ BLOCK = 8192
 QUERIES_PER_GROUP = 4096
 NEAREST = 20
 MODULUS = 20
-_ROWS = 256
+TREES = 64
+BITS = 64
+SPREAD = 0.4
+LEAST = 2048
+SEED = 97
 
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -32,19 +46,106 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return v.where(F.size("v") == (n["n"] if n else 0))
 
 
-def nearest(x: np.ndarray, q: np.ndarray, k: int):
-    """For each query, the rows of x with the k largest products, ties at the last included."""
-    # far above the rounding of a product, far below what tells vectors apart
-    slack = 1e-12 * x.shape[1] * np.sqrt((x * x).sum(1).max())
-    for first in range(0, len(q), _ROWS):
-        for one, rough in zip(q[first : first + _ROWS], q[first : first + _ROWS] @ x.T, strict=True):
-            at = np.arange(len(x))
-            if len(x) > k:
-                at = np.flatnonzero(~(rough < np.partition(rough, len(x) - k)[len(x) - k] - slack * np.sqrt((one * one).sum())))
-            score = (x[at] * one).sum(1)
-            if len(at) > k:
-                keep = score >= np.partition(score, len(at) - k)[len(at) - k]
-                at, score = at[keep], score[keep]
+def codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Hash strings of rows as numbers, the first sign being the highest bit."""
+    return np.packbits(x @ planes > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of BITS-bit strings."""
+    x = a ^ b
+    n = np.full(x.shape, BITS)
+    for step in (32, 16, 8, 4, 2, 1):
+        high = x >= np.uint64(1 << step)
+        n[high] -= step
+        x = np.where(high, x >> np.uint64(step), x)
+    return n - (x > 0)
+
+
+class Forest:
+    """Sorted arrays of hash strings over the rows of x, whose norms are alike."""
+
+    def __init__(self, x: np.ndarray, planes: np.ndarray) -> None:
+        self.x, self.planes = x, planes
+        norm = (x * x).sum(1)
+        self.longest = float(np.sqrt(norm.max()))
+        lifted = np.hstack([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]])
+        each = [codes(lifted, p) for p in planes]
+        self.order = [np.argsort(c, kind="stable") for c in each]
+        self.sorted = [c[o] for c, o in zip(each, self.order, strict=True)]
+
+    def descend(self, q: np.ndarray) -> np.ndarray:
+        """For each tree, the longest prefix that the query shares with an entry."""
+        out = np.empty(len(q), np.int64)
+        for t, c in enumerate(self.sorted):
+            i = int(np.searchsorted(c, q[t]))
+            out[t] = common_bits(c[max(i - 1, 0) : i + 1], q[t : t + 1]).max()
+        return out
+
+    def range(self, q: np.ndarray, depth: int, longest: np.ndarray) -> list[tuple[int, int, int]]:
+        """(tree, first, past last) of entries that share `depth` bits, of trees that have any."""
+        below = np.uint64((1 << (BITS - depth)) - 1)
+        out = []
+        for t in np.flatnonzero(longest >= depth):
+            c = self.sorted[t]
+            out.append((int(t), int(np.searchsorted(c, q[t] & ~below)), int(np.searchsorted(c, q[t] | below, "right"))))
+        return out
+
+    def marked(self, ranges: list[tuple[int, int, int]]) -> np.ndarray:
+        mark = np.zeros(len(self.x), bool)
+        for t, lo, hi in ranges:
+            mark[self.order[t][lo:hi]] = True
+        return mark
+
+    def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
+        """Entries of the deepest level, common to all trees, at which the ranges hold `enough` distinct ones. As a higher level
+        holds all that a lower one does, the ascent halves the levels left instead of trying each."""
+        if enough >= len(self.x):
+            return np.arange(len(self.x))  # the root
+        longest = self.descend(q)
+        high, low, best = 0, int(longest.max()), None
+        while high < low:
+            depth = (high + low + 1) // 2
+            ranges = self.range(q, depth, longest)
+            mark = self.marked(ranges) if sum(b - a for _, a, b in ranges) >= enough else None
+            if mark is not None and int(mark.sum()) >= enough:
+                high, best = depth, mark
+            else:
+                low = depth - 1
+        return np.arange(len(self.x)) if best is None else np.flatnonzero(best)
+
+
+class Forests:
+    """A forest for each range of norms, the longest vectors first."""
+
+    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = SEED) -> None:
+        self.planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1] + 1, BITS))
+        # not cut at 1, so that unit vectors are one range
+        size = np.floor(np.log2(np.sqrt((x * x).sum(1))) + 0.5)
+        self.parts = [np.flatnonzero(size == s) for s in np.unique(size)[::-1]]
+        self.forests = [Forest(x[i], self.planes) for i in self.parts]
+
+    def nearest(self, q: np.ndarray, k: int, spread: float = SPREAD, least: int = LEAST):
+        """For each query, rows of x among the candidates with the k largest products, ties at the last included."""
+        lifted = np.hstack([q, np.zeros((len(q), 1))])
+        hashed = np.stack([codes(lifted, p) for p in self.planes], 1)
+        for one, h in zip(q, hashed, strict=True):
+            at, score = np.zeros(0, np.int64), np.zeros(0)
+            length = np.sqrt((one * one).sum())
+            for rows, f in zip(self.parts, self.forests, strict=True):
+                if len(at) >= k and score.min() > f.longest * length * (1 + 1e-9):
+                    break
+                c = f.candidates(h, max(k, least, int(np.ceil(spread * len(rows)))))
+                y = f.x[c]
+                if len(c) > 4 * k:
+                    # far above the rounding of a product, far below what tells vectors apart
+                    rough, slack = y @ one, 1e-12 * len(one) * f.longest * length
+                    close = rough >= np.partition(rough, len(c) - k)[len(c) - k] - slack
+                    c, y = c[close], y[close]
+                at, score = np.concatenate([at, rows[c]]), np.concatenate([score, (y * one).sum(1)])
+                if len(at) > k:
+                    keep = score >= np.partition(score, len(at) - k)[len(at) - k]
+                    at, score = at[keep], score[keep]
             yield at, score
 
 
@@ -54,7 +155,7 @@ def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1)
 
 
-def _search(k: int):
+def _search(k: int, spread: float, least: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if block.num_rows and queries.num_rows:
@@ -64,9 +165,13 @@ def _search(k: int):
             inv = inv.ravel()
             order = np.lexsort((ids, inv))
             start = np.searchsorted(inv[order], np.arange(len(uniq) + 1))
-            # of an entry's ids in order, k and the query's own are all that can be among the k nearest
-            for i, (at, score) in enumerate(nearest(uniq, q, k + 1)):
-                got = [(-float(s), int(v)) for a, s in zip(at, score, strict=True) for v in ids[order[start[a] : start[a + 1]]][: k + np.searchsorted(ids[order[start[a] : start[a + 1]]], qid[i], "right") - np.searchsorted(ids[order[start[a] : start[a + 1]]], qid[i], "left")] if v != qid[i]]
+            for i, (at, score) in enumerate(Forests(uniq).nearest(q, k + 1, spread, least)):
+                got = []
+                for a, s in zip(at, score, strict=True):
+                    held = ids[order[start[a] : start[a + 1]]]
+                    own = np.searchsorted(held, qid[i], "right") - np.searchsorted(held, qid[i], "left")
+                    # of an entry's ids in order, k and the query's own are all that can be among the k nearest
+                    got += [(-float(s), int(v)) for v in held[: k + own] if v != qid[i]]
                 for s, v in sorted(got)[:k]:
                     for col, value in zip(out, (qid[i], qkey[i], v, -s), strict=True):
                         col.append(value)
@@ -75,15 +180,15 @@ def _search(k: int):
     return run
 
 
-def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, modulus: int = MODULUS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest of each row whose id is divisible by modulus."""
+def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, modulus: int = MODULUS, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each row whose id is divisible by modulus."""
     v = written(clean(vectors, vec_id, embedding), "vectors")
     q = v.where(F.col("id") % modulus == 0).withColumn("qkey", F.xxhash64("id", "v")).dropDuplicates(["id", "qkey"])
     blocks = max(1, -(-v.count() // BLOCK))
     groups = max(1, -(-q.count() // QUERIES_PER_GROUP))
     x = v.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"))
     qs = q.select("id", "v", "qkey", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("xb"))
-    found = x.groupBy("xb", "qb").cogroup(qs.groupBy("xb", "qb")).applyInArrow(_search(k), "query_id long, qkey long, vec_id long, score double")
+    found = x.groupBy("xb", "qb").cogroup(qs.groupBy("xb", "qb")).applyInArrow(_search(k, spread, least), "query_id long, qkey long, vec_id long, score double")
     w = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from radspark.llm import decontam, neighbours
 
@@ -49,6 +50,47 @@ def test_exact_on_few_distinct_and_skewed(spark):
             assert got[q] == sorted((i for i in range(len(x)) if i != q), key=lambda i: (-score[i], i))[:20]
 
 
+def test_forest_levels():
+    """The candidates are those of the deepest common level that holds enough; the descent finds the longest prefixes."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    f = neighbours.Forests(x, trees=6).forests[0]
+    shared = lambda a, b: 64 - (int(a) ^ int(b)).bit_length()
+    for i in range(0, 400, 37):
+        v = np.append(-x[i] * 0.5 + x[0], 0)[None]
+        q = np.array([neighbours.codes(v, p)[0] for p in f.planes])
+        depth = np.array([[shared(a, b) for a in c] for c, b in zip([c[np.argsort(o)] for c, o in zip(f.sorted, f.order, strict=True)], q, strict=True)])
+        assert f.descend(q).tolist() == depth.max(1).tolist()
+        for enough in (1, 20, 150, 399, 400, 500):
+            level = next((d for d in range(64, 0, -1) if (depth.max(0) >= d).sum() >= enough), 0)
+            assert f.candidates(q, enough).tolist() == np.flatnonzero(depth.max(0) >= level).tolist()
+
+
+def test_copies_in_two_blocks_and_recall(spark, monkeypatch):
+    """Several blocks and groups: equal vectors rank by id wherever they lie; recall on `embeddings` with a share of it scored."""
+    monkeypatch.setattr(neighbours, "BLOCK", 700)
+    monkeypatch.setattr(neighbours, "QUERIES_PER_GROUP", 40)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2100, 24))
+    x[100:160] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.search(df, least=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[100]] == list(range(101, 121)) and len({s for _, s in got[100]}) == 1
+    assert all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for f in got.values() for a, b in zip(f, f[1:], strict=False))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hit = total = 0
+    for r in neighbours.search(df, least=64, spread=0.6).groupBy("query_id").agg(F.collect_set("vec_id").alias("found")).collect():
+        s = (x * x[np.flatnonzero(ids == r["query_id"])[0]]).sum(1)
+        want = set(sorted((i for i in ids if i != r["query_id"]), key=lambda i: (-s[np.searchsorted(ids, i)], i))[:20])
+        hit, total = hit + len(want & set(r["found"])), total + 20
+    assert total == 2000 and hit / total >= 0.9
+
+
 def words_of(t):
     import re
 
