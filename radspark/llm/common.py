@@ -30,9 +30,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own with a local master, whose
+    executors are this machine; an error on a cluster, where such a folder is out of the others' reach."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="radspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
