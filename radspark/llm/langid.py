@@ -5,12 +5,17 @@ hold, over the root of the product of what each holds: a blended-spectrum presen
 Nyström landmarks turn it into features, one-versus-rest ridge regression over these gives a weight for each
 landmark and language, and texts are scored in batches: presence matrix x landmarks x weights.
 
-Fitting uses at most per_class labelled rows of each language (those of least row hash); all else covers all rows.
-Texts that are null or hold no letter are `und` with score 0, as are all texts where there is nothing to learn from.
+Fitting uses at most per_class labelled rows of each language (those of least row hash), and of these at most
+per_class_landmarks of a language as landmarks, in the order of a hash of what they hold, max_landmarks in all or one a
+language; all else covers all rows. Whole texts are scored, however long. Texts that are null or hold no letter are
+`und` with score 0, as are all texts where there is nothing to learn from. Repeated rows count once in fitting and get equal
+predictions; of languages that tie, the first by name wins. No rows give no rows. A caller's columns `lang_pred`, `score` or `_text` are not to be kept under these
+names; rename them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,8 +62,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: list[tuple[str, bytes]], per_class_landmarks: int = 32, max_landmarks: int = 128, ridge: float = 1e-2) -> dict | None:
-    """Landmarks and weights from (language, packed presence) in a fixed order."""
-    rows = [r for r in rows if np.frombuffer(r[1], np.uint8).any()]
+    """Landmarks and weights from (language, packed presence); the order given does not matter."""
+    rows = sorted((r for r in rows if np.frombuffer(r[1], np.uint8).any()), key=lambda r: (r[0], hashlib.blake2b(r[1]).digest()))
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
@@ -109,17 +114,18 @@ def _scorer(shared):
 def learn(labelled: DataFrame, lang: str, text: str, order: Column, per_class: int = 400):
     """Fits on at most per_class rows of each language, those first by order.
 
-    Rows are chosen by order alone, in 64 parts of each language and then among the parts' first, so that no task
-    gets more than 64 * per_class short rows; their texts follow by a join with the chosen rows.
+    Rows are chosen by order alone, in 64 parts of each language, then in 4, then among these parts' first, so that no task
+    gets more than 16 * per_class short rows; their texts follow by a join with the chosen rows.
     """
     src = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), order.alias("_o"))
-    part = Window.partitionBy("_lang", F.pmod(F.xxhash64("_o"), F.lit(64))).orderBy("_o")
-    top = src.select("_lang", "_o").withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= per_class)
-    top = top.withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_o"))).where(F.col("_k") <= per_class)
+    top = src.select("_lang", "_o")
+    for parts in (64, 4, 1):
+        part = Window.partitionBy("_lang", F.pmod(F.xxhash64("_o"), F.lit(parts))).orderBy("_o")
+        top = top.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= per_class)
     chosen = top.select("_lang", "_o").distinct()  # per_class rows a language
     rows = src.join(F.broadcast(chosen), ["_lang", "_o"], "left_semi").dropDuplicates(["_lang", "_o"])
     got = rows.select("_lang", "_text").mapInArrow(_packed, "lang string, bits binary").collect()
-    return fit(sorted((r["lang"], bytes(r["bits"])) for r in got))
+    return fit([(r["lang"], bytes(r["bits"])) for r in got])
 
 
 def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
