@@ -3,13 +3,15 @@
 Each word, and each word beginning of PREFIXES bytes, has log-odds between toxic and clean documents under a Dirichlet
 prior (half a document, and its share of both classes together). A position of the text takes the log-odds, among its
 word's and beginnings', that their standard error supports best, or 0 where none is supported, and pays a drift, so
-that scores of clean text fall. A linear scan finds all maximal segments of positive sum; their
+that scores of clean text fall. The support asked for grows with the toxic documents learned from, to Z_MOST, as more words then reach
+any level by chance. A linear scan finds all maximal segments of positive sum; their
 sums follow an extreme-value law in clean text, which gives each document the chance that clean text of its length
 holds such a segment. A logistic fit over that and the sum of significant segments gives the score.
 
 Fitting uses at most per_class labelled documents of each class (least row hash); scoring covers all words of all
 rows. Null and empty texts have no words and get the score of a text without segments. Without labelled documents
-of both classes every score is 0.
+of both classes every score is 0. Repeated rows get equal scores, and count once in fitting. A caller's columns `score`, `segments`
+or `_text` are not to be kept under these names; rename them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import LETTER, LOWER, U, extended, mix, prefix_sums, read, slices,
 
 BITS = 20
 DRIFT = 0.35
-Z_LEAST = 3.0
+Z_MOST = 3.0
 SIGNIFICANT = 3.0  # -ln p from which a segment counts
 
 
@@ -57,14 +59,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0][at]), pa.array(n[1][at])], names=["w", "n0", "n1"])
 
 
-def log_odds(n: np.ndarray, strength: float = 500.0) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of words, and their support, from their counts in clean (row 0) and toxic (row 1) documents."""
+def log_odds(n: np.ndarray, toxic: int, strength: float = 500.0) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of words, and their support, from their counts in clean (row 0) and toxic (row 1) documents, of which there are `toxic`."""
     prior = n.sum(0) / max(1, n.sum()) * strength + 0.5
     total, a0 = n.sum(1), prior.sum()
     lo = [np.log(n[k] + prior) - np.log(total[k] + a0 - n[k] - prior) for k in (0, 1)]
     delta = lo[1] - lo[0]
     z = delta / np.sqrt(1 / (n[0] + prior) + 1 / (n[1] + prior))
-    ok = np.abs(z) >= Z_LEAST
+    ok = np.abs(z) >= min(Z_MOST, np.sqrt(np.log(max(2.0, toxic))))
     return np.where(ok, delta, 0.0).astype(np.float32), np.where(ok, np.abs(z), 0.0).astype(np.float32)
 
 
@@ -86,26 +88,28 @@ def decay(scores: np.ndarray, weight: np.ndarray) -> float:
 def segments(score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past last, sum), of score[i] - drift, in one scan.
 
-    Only words above the drift can begin or end one, so the scan visits these, and what lies between is a sum.
+    Only words above the drift can begin or end one, so the scan visits these, and what lies between is a sum. Each
+    candidate knows the nearest one before it that starts lower, so that a new one jumps from there to there and
+    never passes the same candidates twice: the work is linear in the words.
     """
     value = score - drift
     up = np.flatnonzero(value > 0)
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(value)])
-    stack: list[tuple[int, int, float, float]] = []  # first, past last, sum before, sum after
-    for i in up:
-        new = (int(i), int(i) + 1, float(total[i]), float(total[i + 1]))
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                break
-            new = (stack[j][0], new[1], stack[j][2], new[3])
-            del stack[j:]
-        stack.append(new)
-    return [(a, b, after - before) for a, b, before, after in stack]
+    first, past, before, after, lower = [], [], [], [], []
+    for i, lo, hi in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist(), strict=True):
+        start, j = i, len(first) - 1
+        while j >= 0 and before[j] >= lo:
+            j = lower[j]
+        while j >= 0 and after[j] < hi:  # joins candidate j and all after it
+            start, lo, to = first[j], before[j], lower[j]
+            for x in (first, past, before, after, lower):
+                del x[j:]
+            j = to
+        for x, v in ((first, start), (past, i + 1), (before, lo), (after, hi), (lower, j)):
+            x.append(v)
+    return [(a, b, y - x) for a, b, x, y in zip(first, past, before, after, strict=True)]
 
 
 def features(buf: np.ndarray, off: np.ndarray, model: dict) -> Iterator[tuple[float, float, list]]:
@@ -159,12 +163,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def first_of_each(rows: DataFrame, cls: str, key: str, n: int) -> DataFrame:
+    """At most n rows of each class, those of least hash of their key, which no two rows share.
+
+    The hashes' range is cut into 256 parts. Parts are counted; those below the n-th row stay whole, and only the part that
+    holds it is sorted, so that no task takes a class.
+    """
+    rows = rows.withColumn("_h", F.xxhash64(key)).withColumn("_part", F.shiftright("_h", 56))
+    count = rows.groupBy(cls, "_part").agg(F.count("*").alias("_n"))  # 256 rows a class at most
+    upto = F.sum("_n").over(Window.partitionBy(cls).orderBy("_part"))
+    room = count.select(cls, "_part", "_n", (F.lit(n) - upto + F.col("_n")).alias("_room")).where("_room > 0")
+    rows = rows.join(F.broadcast(room), [cls, "_part"])
+    cut = rows.where("_room < _n").withColumn("_k", F.row_number().over(Window.partitionBy(cls, "_part").orderBy("_h", key)))
+    return rows.where("_room >= _n").select(cls, key).union(cut.where("_k <= _room").select(cls, key))
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> dict | None:
     """docs (doc_id, text), labels (doc_id, toxic); a document with several labels counts as its largest."""
     spark = docs.sparkSession
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
-    w = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    y = y.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_class).drop("_k")
+    y = first_of_each(y, "_y", "doc_id", per_class)
     # 2 * per_class rows of 12 bytes at most
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(y), "doc_id").select("_y", "_text").dropDuplicates(["_y", "_text"])
     got = rows.mapInArrow(_counts, "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
@@ -172,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> dict | N
     n[0, got["w"]], n[1, got["w"]] = got["n0"], got["n1"]
     if not n.sum(1).all():
         return None
-    score, z = log_odds(n)
+    score, z = log_odds(n, rows.where("_y = 1").count())
     model = {"score": score, "z": z, "rate": decay(score.astype(float) - DRIFT, n[0] + 1e-9), "k": 0.0}
     f = rows.mapInArrow(_features(spark.sparkContext.broadcast(model)), "y int, best double, more double").toPandas()
     clean = f["best"][f["y"] == 0]

@@ -90,17 +90,81 @@ def test_learning(spark):
     assert langid.predict(df.limit(0), None).count() == 0
 
 
+def maximal(v):
+    """Segments whose proper parts all sum to less, and that lie in no longer such segment."""
+    n, total = len(v), [0]
+    for x in v:
+        total.append(total[-1] + x)
+    own = lambda a, b: total[b] - total[a]
+    ok = {(a, b) for a in range(n) for b in range(a + 1, n + 1) if own(a, b) > 0 and all(own(c, d) < own(a, b) for c in range(a, b) for d in range(c + 1, b + 1) if (c, d) != (a, b))}
+    return sorted((a, b) for a, b in ok if not any((c, d) != (a, b) and c <= a and b <= d for c, d in ok))
+
+
 def test_segments():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        x = np.where(rng.random(30) < 0.4, rng.integers(1, 6, 30), 0).astype(float)
-        best = 0.0
-        v = x - 0.8
-        for a in range(30):
-            for b in range(a + 1, 31):
-                best = max(best, v[a:b].sum())
-        found = toxicity.segments(x, 0.8)
-        assert abs(max((s for *_, s in found), default=0.0) - best) < 1e-9
-        assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
+    for n in (1, 2, 7, 14):
+        for _ in range(60):
+            x = np.where(rng.random(n) < 0.5, rng.integers(1, 6, n), 0).astype(float)
+            found = toxicity.segments(x, 1.25)  # sums are exact, so ties are
+            assert [(a, b) for a, b, _ in found] == maximal((x - 1.25).tolist())
+            assert all(v == (x - 1.25)[a:b].sum() for a, b, v in found)
+    falling = np.tile([3.0, 0, 0, 0], 200_000)  # candidates that never join: a walk back over all of them would not end
+    assert len(toxicity.segments(falling, 1.25)) == 200_000
+
+
+def test_extreme_values():
+    """In random text the best segment beats ln of the length plus x with a chance of about 1 - exp(-exp(-x))."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    kinds, weight = np.array([-1.0, 2.0]), np.array([0.8, 0.2])
+    rate = toxicity.decay(kinds, weight)
+    assert abs((weight * np.exp(rate * kinds)).sum() - 1) < 1e-9
+    best = lambda n: np.array([max((v for *_, v in toxicity.segments(rng.choice(kinds, n, p=weight), 0.0)), default=0.0) for _ in range(1500)])
+    a, b = rate * best(500), rate * best(2000)  # long enough for the ends to matter little
+    assert abs((b.mean() - a.mean()) - np.log(4)) < 0.15
+    x = a - a.mean() + np.euler_gamma
+    assert abs((x > 1.5).mean() - (1 - np.exp(-np.exp(-1.5)))) < 0.04
+
+
+def test_classes_first_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).selectExpr("id doc_id", "cast(id % 10 = 0 as int) _y").repartition(7)
+    got = toxicity.first_of_each(df, "_y", "doc_id", 700).collect()
+    rows = df.withColumn("h", F.xxhash64("doc_id")).collect()
+    for y in (0, 1):
+        want = sorted((r["h"], r["doc_id"]) for r in rows if r["_y"] == y)[:700]
+        assert sorted(r["doc_id"] for r in got if r["_y"] == y) == sorted(i for _, i in want)
+    assert toxicity.first_of_each(df.limit(0), "_y", "doc_id", 5).count() == 0
+
+
+def test_held_out_on_documents(spark):
+    """Held-out accuracy and recall on the smaller tables; equal rows get equal predictions."""
+    sf = "/root/testdata/sf0.01"
+    rows = langid.op1_langid(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+    y = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+    rows = toxicity.op7_toxicity(spark, sf).where("held_out").join(y, "doc_id").collect()
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) >= 10 and sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from radspark.llm import common
+
+    class Cluster:
+        master = "spark://a:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext, conf = Cluster(), {}
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://a/b/"}
+    assert common.shared_dir(Session()) == "hdfs://a/b"
