@@ -5,15 +5,17 @@ similarity of two word sequences is that of their SHINGLE-word shingles weighted
 sum of least weights over sum of greatest, at least 0.8. Sequences below a shingle's length are one shingle.
 
 Such a window holds at least 8/9 of m - SHINGLE + 1 shingles that occur in some item, so windows with fewer are not
-fingerprinted. The others' 64-bit SimHash is looked up in a multi-index: fingerprints are cut into RADIUS + 1
-blocks, and two within RADIUS agree in one of them at least, so the lookup finds all items within RADIUS;
-exact similarity decides. At similarity 0.8 the expected distance is under 10 with a deviation under 3, if no shingle
-repeats; a few heavy shingles decide all bits together, so items and windows with a repeated shingle are compared exactly
-without the lookup.
-
-Items without words match nothing; null and empty texts hold nothing. Equal items are all reported,
-items without id under a null id. Item text goes to tasks in
-parts of at most PART bytes, one pass over the documents for each part.
+fingerprinted. The others' SimHash of BITS bits is looked up in a multi-index: fingerprints are cut into BLOCKS blocks, and
+two within RADIUS differ in RADIUS // BLOCKS bits at most in one of them at least. A block keeps its distinct values, probed
+by their distance, and the items of each; so the lookup finds all items within RADIUS, and looks at about a tenth
+of unrelated ones. Exact similarity decides. At similarity 0.8 the expected distance is under 20 with a deviation of 4, if no
+shingle repeats; a few heavy shingles decide all bits together, so items and windows with a repeated shingle are compared
+exactly without the lookup.
+
+Items without words match nothing; null and empty texts hold nothing, long ones are read whole. Equal items are all reported,
+items without id under a null id; of windows of equal similarity the first is reported. Repeated rows get equal hits. Tables
+without rows give no hits, or no rows. A caller's columns `hits`, `_text` or `_key` are not to be kept under these names; rename
+them. Item text goes to tasks in parts of at most PART bytes, one pass over the documents for each part.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, Slice, U, extended, gram_hashes, inside, n_bytes, prefix_sums, read, row_key, slices, word_hashes, words, written
+from .common import LETTER, LOWER, Slice, U, extended, gram_hashes, inside, mix, n_bytes, prefix_sums, read, row_key, slices, word_hashes, words, written
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 24
+BITS = 128
+RADIUS = 40
+BLOCKS = 4  # of 32 bits
 PART = 8 << 20
 _ALNUM = LETTER.copy()
 _ALNUM[48:58] = True
-_BLOCKS = [(64 * i // (RADIUS + 1), 64 * (i + 1) // (RADIUS + 1)) for i in range(RADIUS + 1)]
 
 
 def word_sums(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,10 +46,36 @@ def word_sums(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return prefix_sums(word_hashes(low, starts, ends)), first
 
 
-def fingerprint(shingle: np.ndarray) -> int:
-    """SimHash: each bit by the weighted majority of the shingles' bits; a tie is 0."""
-    ones = np.unpackbits(shingle.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
-    return int.from_bytes(np.packbits(2 * ones > len(shingle)).tobytes(), "big")
+def fingerprint(shingle: np.ndarray) -> np.ndarray:
+    """SimHash in blocks: each bit by the weighted majority of the shingles' bits; a tie is 0."""
+    wide = np.stack([shingle, mix(shingle ^ U(0x9E3779B97F4A7C15))], 1)
+    ones = np.unpackbits(wide.view(np.uint8).reshape(len(shingle), BITS // 8), axis=1).sum(0)
+    return np.packbits(2 * ones > len(shingle)).view(np.uint32)
+
+
+class Index:
+    """Fingerprints of items of one size by block."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints = prints
+        self.blocks = []
+        for b in range(BLOCKS):
+            value, inv = np.unique(prints[:, b], return_inverse=True)
+            order = np.argsort(inv, kind="stable")
+            self.blocks.append((value, order, np.searchsorted(inv[order], np.arange(len(value) + 1))))
+
+    def looked_at(self, f: np.ndarray) -> np.ndarray:
+        """Items one of whose blocks is within RADIUS // BLOCKS of f's."""
+        mark = np.zeros(len(self.prints), bool)
+        for b, (value, order, start) in enumerate(self.blocks):
+            for v in np.flatnonzero(np.bitwise_count(value ^ f[b]) <= RADIUS // BLOCKS):
+                mark[order[start[v] : start[v + 1]]] = True
+        return np.flatnonzero(mark)
+
+    def near(self, f: np.ndarray) -> set[int]:
+        """All items whose fingerprints differ from f in RADIUS bits at most."""
+        at = self.looked_at(f)
+        return set(at[np.bitwise_count(self.prints[at] ^ f).sum(1) <= RADIUS].tolist())
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -58,7 +87,7 @@ class Items:
     """The items of a part: shingles, fingerprints, and the multi-index."""
 
     def __init__(self, rows: list[tuple[int | None, str]]) -> None:
-        self.by_size: dict[int, list[tuple[int | None, Counter, int]]] = defaultdict(list)
+        self.by_size: dict[int, list[tuple[int | None, Counter, np.ndarray]]] = defaultdict(list)
         self.repetitive: dict[int, set[int]] = defaultdict(set)
         grams: dict[int, set[int]] = defaultdict(set)
         for item, text in rows:
@@ -78,11 +107,7 @@ class Items:
             t = np.zeros(1 << 20, bool)
             t[(g >> U(44)).astype(np.int64)] = True
             self.maps[k] = t
-        self.index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for m, items in self.by_size.items():
-            for i, (_, _, f) in enumerate(items):
-                for b, (lo, hi) in enumerate(_BLOCKS):
-                    self.index[m, b, (f >> lo) & ((1 << (hi - lo)) - 1)].append(i)
+        self.index = {m: Index(np.stack([f for _, _, f in items])) for m, items in self.by_size.items()}
 
     def known(self, k: int, g: np.ndarray) -> np.ndarray:
         hit = self.maps[k][(g >> U(44)).astype(np.int64)]
@@ -91,13 +116,6 @@ class Items:
         hit[at] = s[np.minimum(np.searchsorted(s, g[at]), len(s) - 1)] == g[at]
         return hit
 
-    def near(self, m: int, f: int) -> set[int]:
-        """All items of m words whose fingerprints differ from f in RADIUS bits at most."""
-        found = set()
-        for b, (lo, hi) in enumerate(_BLOCKS):
-            found.update(self.index.get((m, b, (f >> lo) & ((1 << (hi - lo)) - 1)), ()))
-        return {i for i in found if (self.by_size[m][i][2] ^ f).bit_count() <= RADIUS}
-
     def hits(self, s: Slice, percent: int = PERCENT) -> dict[int, dict[int | None, tuple[float, int, int]]]:
         """Row of the slice -> item -> best similarity, first word and number of words of the window."""
         out: dict[int, dict[int | None, tuple[float, int, int]]] = defaultdict(dict)
@@ -119,7 +137,7 @@ class Items:
                     for p in np.flatnonzero(count[w:] - count[:-w] >= least):
                         part = g[lo + p : lo + p + w]
                         repeats = len(np.unique(part)) < w
-                        for i in range(len(self.by_size[m])) if repeats else self.near(m, fingerprint(part)) | self.repetitive.get(m, set()):
+                        for i in range(len(self.by_size[m])) if repeats else self.index[m].near(fingerprint(part)) | self.repetitive.get(m, set()):
                             item, weights, _ = self.by_size[m][i]
                             sim = similarity(Counter(part.tolist()), weights)
                             if 100 * sim >= percent and sim > out[doc].get(item, (0,))[0]:
@@ -147,16 +165,19 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple
     parts = max(1, -(-2 * n_bytes(benchmark) // part))
     items = benchmark.select(F.col("item_id").cast("long"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("p"))
     src = docs.select(*keep, F.col(text).alias("_text"))
-    out = None
+    out, sent = None, []
     for p in range(parts):
         shared = spark.sparkContext.broadcast(Items(sorted(((r["item_id"], r["text"]) for r in items.where(F.col("p") == p).collect()), key=str)))
         schema = "hits array<struct<item_id:bigint,similarity:double,first:bigint,size:bigint>>"
         if parts == 1:
             return src.mapInArrow(_scan(shared), extended(src, schema))
         keyed = docs.select(row_key(*docs.columns).alias("_key"), F.col(text).alias("_text"))
+        sent.append(shared)
         one = keyed.mapInArrow(_scan(shared), f"_key long, {schema}").where(F.size("hits") > 0).dropDuplicates(["_key"])
         out = one if out is None else out.unionByName(one)
     every = written(out.groupBy("_key").agg(F.flatten(F.collect_list("hits")).alias("hits")), "hits")
+    for shared in sent:
+        shared.unpersist()
     keyed = docs.select(*keep, row_key(*docs.columns).alias("_key")).join(every, "_key", "left")
     return keyed.drop("_key").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<item_id:bigint,similarity:double,first:bigint,size:bigint>>")))
 

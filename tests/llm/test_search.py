@@ -137,6 +137,36 @@ def test_decontam(spark):
     assert all(not r["hits"] for r in decontam.find(df, bench.limit(0)).collect())
 
 
+def test_multi_index():
+    """All fingerprints within the radius are found, and few others are looked at."""
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 1 << 32, (3000, 4), dtype=np.uint32)
+    prints[2990:] = prints[:10]
+    index = decontam.Index(prints)
+    share = []
+    for i in range(60):
+        f = prints[i].copy()
+        for bit in rng.choice(128, int(rng.integers(0, 60)), replace=False):
+            f[bit // 32] ^= np.uint32(1 << bit % 32)
+        near = set(np.flatnonzero(np.bitwise_count(prints ^ f).sum(1) <= decontam.RADIUS).tolist())
+        assert index.near(f) == near
+        share.append(len(index.looked_at(f)) / 3000)
+    assert np.mean(share) < 0.12
+
+
+def test_fingerprint_distance():
+    """At similarity 0.8 fingerprints stay within the radius."""
+    rng = np.random.default_rng(6)
+    far = []
+    for n in (9, 18, 45, 90):
+        for _ in range(300):
+            a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            b = a.copy()
+            b[: n // 9] = rng.integers(0, 1 << 64, n // 9, dtype=np.uint64)
+            far.append(int(np.bitwise_count(decontam.fingerprint(a) ^ decontam.fingerprint(b)).sum()))
+    assert max(far) <= decontam.RADIUS and np.mean(far) < 20
+
+
 def test_decontam_repetitive_and_without_id(spark):
     say = lambda a, b: " ".join([a, b] * 6 + [a])
     plain = " ".join(f"w{i}" for i in range(20))
