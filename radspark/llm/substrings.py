@@ -7,7 +7,8 @@ partition sketches its anchors, the sketches are merged cell by cell, and the me
 sketch never underestimates. Windows found twice within one flush of a task are settled there and
 only a token of them is sent, so the rows of a very frequent window are bounded by the number of flushes.
 
-Windows are judged on the input and compared by 64-bit hashes of their words. Null texts have no words. Equal rows
+Windows are judged on the input and compared by 96 bits, two hashes of their words under different multipliers: among 1e13
+windows (some 70 TB of text) a false pair is expected with a chance of 1 in 1000. Null texts have no words. Equal rows
 repeat each other's windows, so both lose them. Sketch cells grow with the corpus up to 2**MAX_BITS a row (64 MB for
 both rows): beyond that more windows pass the prefilter, and the result stays exact.
 """
@@ -20,10 +21,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, U, anchors, bits, by_bucket, extended, gram_hashes, inside, n_bytes, prefix_sums, read, row_key, runs, slices, text_buffers, word_hashes, words
+from .common import Slice, U, anchors, bits, by_bucket, extended, gram_hashes, inside, mix, n_bytes, powers, prefix_sums, read, row_key, runs, slices, text_buffers, word_hashes, words
 
 WINDOW = 35
 GRAM = 16
@@ -32,6 +34,9 @@ MAX_BITS = 28
 HOT = 64  # anchors seen this often send their windows to buckets one by one
 FLUSH = 1 << 20
 SETTLED = 0xFFFFFFFF
+PART_BYTES = 64 << 20  # of partial sketches merged by a task
+
+_SECOND = U(0xD1342543DE82EF95)
 
 # ---------------------------------------------------------------- the sketch
 
@@ -62,17 +67,20 @@ class Sketch:
         return self._test(self.hot, h)
 
 
+def _packed(seg: int, at: np.ndarray, count: np.ndarray) -> tuple[int, bytes]:
+    return seg, (at & ((1 << SEGMENT) - 1)).astype(np.uint32).tobytes() + count.astype(np.uint8).tobytes()
+
+
 def _partial(found, b: int):
     """Each task counts its own anchors; found(slice) gives their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, salt = [], 0, TaskContext.get().partitionId()
 
         def flush():
             at, count = np.unique(np.concatenate([c for h in held for c in cells(h, b)]), return_counts=True)
-            count = np.minimum(count, HOT).astype(np.uint8)
-            rows = [(seg, (at[i] & ((1 << SEGMENT) - 1)).astype(np.uint32).tobytes() + count[i].tobytes()) for seg, i in by_bucket(at >> SEGMENT)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["seg", "cells"])
+            rows = [_packed(seg, at[i], np.minimum(count[i], HOT)) for seg, i in by_bucket(at >> SEGMENT)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["seg", "salt", "cells"])
 
         for s in slices(batches, "_text"):
             h = found(s)
@@ -81,26 +89,46 @@ def _partial(found, b: int):
                 n += len(h)
             if n >= FLUSH:
                 yield flush()
-                held, n = [], 0
+                held, n, salt = [], 0, salt + 7919
         if n:
             yield flush()
 
     return run
 
 
-def _merge(t: pa.Table) -> pa.Table:
+def _added(t: pa.Table) -> np.ndarray:
     total = np.zeros(1 << SEGMENT, np.uint16)
     for x in t.column("cells"):
         raw = x.as_buffer()
         n = raw.size // 5
         at = np.frombuffer(raw, np.uint32, n)
         total[at] = np.minimum(total[at] + np.frombuffer(raw, np.uint8, n, 4 * n), HOT)
+    return total
+
+
+def _add(t: pa.Table) -> pa.Table:
+    total = _added(t)
+    at = np.flatnonzero(total)
+    return pa.table({"seg": t.column("seg").slice(0, 1), "salt": t.column("salt").slice(0, 1), "cells": pa.array([_packed(0, at, total[at])[1]], pa.binary())})
+
+
+def _merge(t: pa.Table) -> pa.Table:
+    total = _added(t)
     return pa.table({"seg": t.column("seg").slice(0, 1), "twice": pa.array([np.packbits(total >= 2).tobytes()], pa.binary()), "hot": pa.array([np.packbits(total >= HOT).tobytes()], pa.binary())})
 
 
-def sketch(texts: DataFrame, found, b: int) -> Sketch:
-    """texts (_text). What comes to the driver is two bits a cell."""
-    part = texts.select("_text").mapInArrow(_partial(found, b), "seg int, cells binary")
+def sketch(texts: DataFrame, found, b: int, expected: float = 0, part_bytes: int = PART_BYTES) -> Sketch:
+    """texts (_text). What comes to the driver is two bits a cell.
+
+    Partial sketches are merged in a tree: where the partials of a segment would be more than part_bytes (5 bytes for each cell
+    of the `expected` anchors), they are first added up in groups, and 64 groups at a time, so that no task gets all
+    of them.
+    """
+    part = texts.select("_text").mapInArrow(_partial(found, b), "seg int, salt long, cells binary")
+    groups = int(-(-expected * 2 * 5 // (max(1, (2 << b) >> SEGMENT) * part_bytes)))
+    while groups > 1:
+        part = part.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("seg", "salt").applyInArrow(_add, "seg int, salt long, cells binary")
+        groups = -(-groups // 64) if groups > 64 else 1
     out = Sketch(b)
     piece = 1 << SEGMENT >> 3
     for r in part.groupBy("seg").applyInArrow(_merge, "seg int, twice binary, hot binary").collect():
@@ -122,15 +150,24 @@ def grams(s: Slice, window: int, gram: int):
 
 
 def _window_anchors(s: Slice, window: int, gram: int):
-    """Window hashes by first word, their anchors, which windows lie in one text, and the anchor grams."""
+    """The sums windows are hashed by, their anchors, which windows lie in one text, the anchor grams, texts' first words."""
     sums, first, g = grams(s, window, gram)
     n = len(sums) - window  # windows in the slice
     if n <= 0:
         none = np.zeros(0, U)
-        return none, none, np.zeros(0, bool), none, first
+        return sums, none, np.zeros(0, bool), none, first
     low, chosen = anchors(g, window - gram + 1)
-    ok = inside(first, n, window)
-    return gram_hashes(sums, window), low[:n], ok, g[chosen], first
+    return sums, low[:n], inside(first, n, window), g[chosen], first
+
+
+def second_hashes(sums: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits of the windows that start at the given words, under a multiplier of their own."""
+    p = powers(len(sums))[1][: len(sums) - 1]
+    word = mix((sums[1:] - sums[:-1]) * p ^ _SECOND)  # the words' hashes, apart from their places
+    h = np.zeros(len(at), U)
+    for j in range(window):
+        h = h * _SECOND + word[at + j]
+    return (mix(h) >> U(32)).astype(np.uint32)
 
 
 def _windows(shared, n_buckets: int, window: int, gram: int):
@@ -139,11 +176,11 @@ def _windows(shared, n_buckets: int, window: int, gram: int):
         held, n = [], 0
 
         def flush():
-            h, key, pos, to = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            hs = h[order]
+            h, h2, key, pos, to = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((h2, h))
+            hs, hs2 = h[order], h2[order]
             same = np.zeros(len(h), bool)
-            eq = hs[1:] == hs[:-1]
+            eq = (hs[1:] == hs[:-1]) & (hs2[1:] == hs2[:-1])
             same[1:] |= eq
             same[:-1] |= eq
             head = np.ones(len(h), bool)
@@ -158,20 +195,21 @@ def _windows(shared, n_buckets: int, window: int, gram: int):
             p2[settled] = SETTLED
             send = np.zeros(len(h), bool)
             send[order[head]] = True
-            h, key, p2, to = h[send], key[send], p2[send], to[send]
+            h, h2, key, p2, to = h[send], h2[send], key[send], p2[send], to[send]
             for b, i in by_bucket(to):
-                rows.append((b, h[i].tobytes() + key[i].tobytes() + np.diff(p2[i], prepend=0).astype(np.uint32).tobytes()))
+                rows.append((b, h[i].tobytes() + key[i].tobytes() + h2[i].tobytes() + np.diff(p2[i], prepend=0).astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["b", "data"])
 
         for s in slices(batches, "_text"):
-            h, low, ok, _, first = _window_anchors(s, window, gram)
+            sums, low, ok, _, first = _window_anchors(s, window, gram)
             at = np.flatnonzero(ok)
             at = at[sk.repeated(low[at])]
             if not len(at):
                 continue
             doc = np.searchsorted(first, at, "right") - 1
-            route = np.where(sk.frequent(low[at]), h[at], low[at])
-            held.append((h[at], s.ints("_key")[doc], at - first[doc], (route % U(n_buckets)).astype(np.int64)))
+            h = gram_hashes(sums, window)[at]
+            route = np.where(sk.frequent(low[at]), h, low[at])
+            held.append((h, second_hashes(sums, at, window), s.ints("_key")[doc], at - first[doc], (route % U(n_buckets)).astype(np.int64)))
             n += len(at)
             if n >= FLUSH:
                 yield flush()
@@ -192,10 +230,15 @@ def _exact(n_buckets: int):
         parts = []
         for x in t.column("data"):
             raw = x.as_buffer()
-            n = raw.size // 20
-            parts.append((np.frombuffer(raw, U, n), np.frombuffer(raw, np.int64, n, 8 * n), np.cumsum(np.frombuffer(raw, np.uint32, n, 16 * n).astype(np.int64)) & SETTLED))
-        h, key, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        _, inv, count = np.unique(h, return_inverse=True, return_counts=True)
+            n = raw.size // 24
+            parts.append((np.frombuffer(raw, U, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint32, n, 16 * n), np.cumsum(np.frombuffer(raw, np.uint32, n, 20 * n).astype(np.int64)) & SETTLED))
+        h, key, h2, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((h2, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+        inv = np.empty(len(h), np.int64)
+        inv[order] = np.cumsum(new) - 1
+        count = np.bincount(inv)
         hit = np.bincount(inv[pos == SETTLED], minlength=len(count)) > 0
         hit |= count > 1
         keep = hit[inv] & (pos != SETTLED)
@@ -270,7 +313,7 @@ def dedup(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), keep: t
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), row_key(*key, text).alias("_key"))
     size = n_bytes(docs, text)
     b = bits(size / 6 * 0.4, 12, MAX_BITS)
-    sk = sketch(rows, lambda s: _window_anchors(s, window, gram)[3], b)
+    sk = sketch(rows, lambda s: _window_anchors(s, window, gram)[3], b, expected=size / 6 * 0.1)
     shared = docs.sparkSession.sparkContext.broadcast(sk)
     n_buckets = max(16, -(-size // (3 << 20)))
     found = rows.select("_key", "_text").mapInArrow(_windows(shared, n_buckets, window, gram), "b int, data binary")
