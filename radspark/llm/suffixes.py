@@ -5,11 +5,12 @@ least hash in it, at the same place in each occurrence; so suffixes that start a
 bytes before it. A merged sketch of anchor counts (never too low) drops suffixes whose anchor occurs once.
 
 The rest go by anchor to buckets. A bucket takes its suffixes in batches. Each batch gets a suffix array, its
-contexts sorted by the bytes from the anchor on, with the lengths its neighbours share, and likewise the array of the
-bytes before the anchor read backwards. The batch is merge-scanned against each level of the family: for each offset of the
-anchor in a string, suffixes match if they lie in one run of the first array that shares LENGTH - offset bytes and in
-one run of the second that shares offset bytes. Levels of equal size merge, so a suffix is merged a logarithmic
-number of times. Equal contexts are one entry of an array.
+contexts sorted by the bytes from the anchor on, and likewise the array of the bytes before the anchor read backwards,
+and is scanned in itself: for each offset of the anchor in a string, suffixes match if they lie in one run of the first array
+that shares LENGTH - offset bytes and in one run of the second that shares offset bytes. Then it is merge-scanned
+against each level of the family: of both, the suffixes whose gram the other has too are merged, array with array, and
+scanned. Levels of equal size merge, again array with array, so a suffix is merged a logarithmic number of times. Equal
+contexts are one entry of an array.
 
 Texts count as UTF-8 bytes, null as none; matches never cross documents; strings are judged on the input. Equal
 rows repeat each other's strings. Matches compare bytes, not hashes. A task holds a bucket's distinct contexts
@@ -35,7 +36,7 @@ LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 PIECE = 1 << 18  # bytes of a slice: its arrays stay in cache
 FLUSH = 1 << 15
-BATCH = 1 << 15
+BATCH = 1 << 12
 SETTLED = 0xFFFFFFFF
 RECORD = np.dtype([("key", np.int64), ("pos", np.uint32), ("la", np.uint8), ("ra", np.uint8), ("ctx", np.uint8, (WIDTH,))])
 
@@ -121,18 +122,63 @@ def _send(shared, n_buckets: int):
     return run
 
 
+def strings(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as strings of equal length, which compare like them."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+
+def merge_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of two sorted arrays' elements in the merged one, equal ones of the first before those of the second."""
+    of_b = np.searchsorted(a, b, "right") + np.arange(len(b))
+    mark = np.ones(len(a) + len(b), bool)
+    mark[of_b] = False
+    return np.flatnonzero(mark), of_b
+
+
 class Level:
-    """Contexts in suffix-array order."""
+    """Contexts in suffix-array order; `back` lists them in order of the bytes before the anchor, read backwards."""
 
-    def __init__(self, ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(np.ascontiguousarray(ctx[:, LEFT:]).view(f"S{LENGTH}").ravel(), kind="stable")
-        self.ctx, self.la, self.ra, self.ids = ctx[order], la[order], ra[order], ids[order]
+    FIELDS = ("ctx", "la", "ra", "ids")
+
+    def __init__(self, ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, ids: np.ndarray, back: np.ndarray) -> None:
+        self.ctx, self.la, self.ra, self.ids, self.back = ctx, la, ra, ids, back
+
+    @classmethod
+    def sort(cls, ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, ids: np.ndarray) -> Level:
+        order = np.argsort(strings(ctx[:, LEFT:]), kind="stable")
+        out = cls(ctx[order], la[order], ra[order], ids[order], np.arange(len(ids)))
+        out.back = np.argsort(strings(out.before()), kind="stable")
+        return out
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def before(self) -> np.ndarray:
+        """The bytes before the anchors, read backwards, in the order of `back`."""
+        return self.ctx[self.back, LEFT - 1 :: -1][:, :LEFT]
+
+    def where(self, keep: np.ndarray) -> Level:
+        place = np.cumsum(keep) - 1
+        return Level(*(getattr(self, x)[keep] for x in self.FIELDS), place[self.back[keep[self.back]]])
+
     def merged(self, other: Level) -> Level:
-        return Level(*(np.concatenate([getattr(self, x), getattr(other, x)]) for x in ("ctx", "la", "ra", "ids")))
+        """Both as one; sorted arrays are merged, nothing is sorted again."""
+        at, to = merge_places(strings(self.ctx[:, LEFT:]), strings(other.ctx[:, LEFT:]))
+        both = []
+        for name in self.FIELDS:
+            x, y = getattr(self, name), getattr(other, name)
+            z = np.empty((len(x) + len(y), *x.shape[1:]), x.dtype)
+            z[at], z[to] = x, y
+            both.append(z)
+        back = np.empty(len(both[0]), np.int64)
+        at_back, to_back = merge_places(strings(self.before()), strings(other.before()))
+        back[at_back], back[to_back] = at[self.back], to[other.back]
+        return Level(*both, back)
+
+    def sharing(self, other: Level) -> Level:
+        """The contexts whose anchor gram the other level has too."""
+        own, theirs = strings(self.ctx[:, LEFT : LEFT + GRAM]), strings(other.ctx[:, LEFT : LEFT + GRAM])
+        return self.where(theirs[np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)] == own)
 
 
 def shared_lengths(rows: np.ndarray) -> np.ndarray:
@@ -150,24 +196,19 @@ def scan(x: Level, low: np.ndarray, high: np.ndarray) -> None:
         n = len(x)
         if n < 2:
             return
-        right = shared_lengths(x.ctx[:, LEFT:])
-        back = np.ascontiguousarray(x.ctx[:, LEFT - 1 :: -1][:, :LEFT])
-        order = np.argsort(back.view(f"S{LEFT}").ravel(), kind="stable")
-        left = shared_lengths(back[order])
+        right, left = shared_lengths(x.ctx[:, LEFT:]), shared_lengths(x.before())
         most_r = np.maximum(right, np.append(right[1:], 0))
         most_l = np.empty(n, np.int64)
-        most_l[order] = np.maximum(left, np.append(left[1:], 0))
+        most_l[x.back] = np.maximum(left, np.append(left[1:], 0))
         can = most_r + most_l >= LENGTH
         if can.all():
             break
-        y = object.__new__(Level)
-        y.ctx, y.la, y.ra, y.ids = x.ctx[can], x.la[can], x.ra[can], x.ids[can]
-        x = y
+        x = x.where(can)
     la, ra = x.la.astype(np.int64), x.ra.astype(np.int64)
     lid = np.empty(n, np.int64)
     for o in range(LEFT + 1):
         rid = np.cumsum(right < LENGTH - o)
-        lid[order] = np.cumsum(left < o)
+        lid[x.back] = np.cumsum(left < o)
         at = np.flatnonzero((la >= o) & (ra >= LENGTH - o))
         if len(at) < 2:
             continue
@@ -189,11 +230,12 @@ def family(ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, batch: int = BATCH)
     levels: list[Level] = []
     for a in range(0, len(ctx), batch):
         i = np.arange(a, min(a + batch, len(ctx)))
-        new = Level(ctx[i], la[i], ra[i], i)
-        if not levels:
-            scan(new, low, high)
+        new = Level.sort(ctx[i], la[i], ra[i], i)
+        scan(new, low, high)
         for old in levels:
-            scan(old.merged(new), low, high)
+            near = old.sharing(new)
+            if len(near):
+                scan(near.merged(new.sharing(old)), low, high)
         levels.append(new)
         while len(levels) > 1 and len(levels[-2]) <= len(levels[-1]):
             last = levels.pop()
@@ -253,7 +295,7 @@ def dedup(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), keep: t
     keep = key if keep is None else keep
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), row_key(*key, text).alias("_key"))
     size = n_bytes(docs, text)
-    sk = sketch(rows, lambda s: anchor_places(s)[1], bits(size / 40 * 4, 12, MAX_BITS))
+    sk = sketch(rows, lambda s: anchor_places(s)[1], bits(size / 40 * 4, 12, MAX_BITS), expected=size / 40)
     shared = docs.sparkSession.sparkContext.broadcast(sk)
     n_buckets = max(16, -(-size // (3 << 20)))
     found = rows.select("_key", "_text").mapInArrow(_send(shared, n_buckets), "b int, data binary")

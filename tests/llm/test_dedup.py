@@ -88,6 +88,77 @@ def test_family_levels(monkeypatch):
     assert all((a == b).all() for a, b in zip(one, many, strict=True))
 
 
+def test_levels_are_merged_not_sorted():
+    """A merged level is the level of both, in both orders; sharing keeps what has its gram in the other."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    make = lambda n: (rng.integers(97, 100, (n, suffixes.WIDTH)).astype(np.uint8), rng.integers(50, 100, n).astype(np.uint8), rng.integers(50, 100, n).astype(np.uint8), rng.integers(0, 10**6, n))
+    for n, m in ((1, 1), (40, 3), (3, 40), (50, 50)):
+        a, b = make(n), make(m)
+        b[0][0] = a[0][0]
+        x, y = suffixes.Level.sort(*a), suffixes.Level.sort(*b)
+        got = x.merged(y)
+        want = suffixes.Level.sort(*(np.concatenate(z) for z in zip(a, b, strict=True)))
+        assert (got.ctx == want.ctx).all() and sorted(got.ids) == sorted(want.ids)
+        assert (got.before() == want.before()).all() and sorted(got.back) == list(range(n + m))
+        assert (got.ctx[got.back] == want.ctx[want.back]).all(axis=1).sum() >= n + m - 2  # equal ones may change places
+        grams = {r[suffixes.LEFT : suffixes.LEFT + suffixes.GRAM].tobytes() for r in y.ctx}
+        assert sorted(x.sharing(y).ids) == sorted(i for i, r in zip(x.ids, x.ctx, strict=True) if r[suffixes.LEFT : suffixes.LEFT + suffixes.GRAM].tobytes() in grams)
+
+
+def test_sketch_merged_in_a_tree(spark):
+    df = spark.range(400).selectExpr("repeat(concat('w', id % 150, ' '), cast(20 + id % 60 as int)) _text").repartition(9)
+    found = lambda s: substrings._window_anchors(s, 35, 16)[3]
+    one = substrings.sketch(df, found, 12)
+    many = substrings.sketch(df, found, 12, expected=10**4, part_bytes=1000)
+    assert one.twice.any() and one.hot.any() and (one.twice == many.twice).all() and (one.hot == many.hot).all()
+
+
+def test_hot_passages_and_long_texts(spark):
+    """Passages in over HOT documents, next to ever other words; a text much longer than a slice; a passage repeated in one text."""
+    rng = random.Random(9)
+    say = lambda m: [f"v{rng.randrange(5000)}" for _ in range(m)]
+    hot = say(70)
+    rows = [(i, " ".join(say(rng.randint(0, 40)) + hot[rng.randint(0, 3) : 66 + rng.randint(0, 4)] + say(rng.randint(0, 40))), None, 1) for i in range(150)]
+    rows += [(900, " ".join(hot + say(3) + hot), None, 1), (901, " ".join(say(400_000) + hot), None, 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    texts = [t.encode().split() for _, t, _, _ in rows]
+    want = [(i, len(w), sum(m)) for (i, *_), w, m in zip(rows, texts, brute(texts, 35), strict=True)]
+    assert sorted(tuple(r) for r in substrings.dedup(df).select("doc_id", "n_words", "n_removed").collect()) == sorted(want)
+    rows = rows[:-1]
+    texts = [t.encode() for _, t, _, _ in rows]
+    want = [(i, len(t), sum(m)) for (i, *_), t, m in zip(rows, texts, brute(texts, 200), strict=True)]
+    got = suffixes.dedup(df.where("doc_id <> 901")).select("doc_id", "n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_windows_over_many_flushes(spark, monkeypatch):
+    """Windows settled in one flush and met again in others give the same spans."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(i, t or "") for i, (_, t, _, _) in enumerate(corpus(random.Random(4), 40))]
+    df = spark.createDataFrame([(t,) for _, t in rows], "_text string")
+    sk = substrings.sketch(df, lambda s: substrings._window_anchors(s, 35, 16)[3], 14)
+    shared = type("Shared", (), {"value": sk})
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t])], names=["_key", "_text"]) for i, t in rows]
+    results = []
+    for flush in (1 << 20, 90, 1):
+        monkeypatch.setattr(substrings, "FLUSH", flush)
+        by = {}
+        for out in substrings._windows(shared, 3, 35, 16)(iter(batches)):
+            for b, data in zip(out.column("b").to_pylist(), out.column("data").to_pylist(), strict=True):
+                by.setdefault(b, []).append(data)
+        spans = [x for b, v in by.items() for x in substrings._exact(3)(pa.table({"b": pa.array([b] * len(v), pa.int32()), "data": pa.array(v, pa.binary())})).column("data").to_pylist()]
+        marks = {i: np.zeros(len(t.split()), bool) for i, t in rows}
+        for k, (p, m) in substrings.spans_by_key(pa.chunked_array([pa.array(spans, pa.binary())])).items():
+            marks[k] |= substrings.covered(len(marks[k]), p, p + m - 1 + 35)
+        results.append({k: v.tolist() for k, v in marks.items()})
+    assert results[0] == results[1] == results[2]
+    assert [results[0][i] for i, _ in rows] == brute([t.encode().split() for _, t in rows], 35)
+
+
 def brute_components(rows):
     sets = []
     for _, t, *_ in rows:
