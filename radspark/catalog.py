@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .operators import export, popgen, reads
-from .plans.dialect import CHECK, Op
+from .plans.dialect import CHECK, Fn, Op
 from .sources import encodings
 
-OPS: dict[str, Op] = popgen.OPS | reads.OPS | export.OPS
+OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS
 
 
-def _query(op: Op) -> Callable:
+def _query(op: Op | Fn) -> Callable:
     return lambda spark, sf_dir: op(spark, **{name: encodings.load(spark, sf_dir, name) for name in op.inputs})
 
 
@@ -21,4 +21,5 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     every = encodings.encodings(CHECK)
-    return {name: op.check_sql({i: every[i] for i in op.inputs}) for name, op in OPS.items()}
+    sql = {name: op.check_sql({i: every[i] for i in op.inputs}) for name, op in OPS.items()}
+    return {name: text for name, text in sql.items() if text}

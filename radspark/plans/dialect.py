@@ -18,8 +18,8 @@ class Dialect:
     def div(self, a: str, b: str) -> str:
         return f"(({a}) div ({b}))" if self.spark else f"(({a}) // ({b}))"
 
-    def r(self, x: str, digits: int = 6) -> str:
-        """Rounded with the same arithmetic in both engines."""
+    def r(self, x: str, digits: int = 9) -> str:
+        """Rounded with the same arithmetic in both engines; at 9 digits quotients of small counts are not half way between two."""
         return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
 
     def cat(self, x: str, sep: str, order: str) -> str:
@@ -62,10 +62,15 @@ SPARK, CHECK = Dialect(True), Dialect(False)
 
 @dataclass(frozen=True)
 class Op:
-    """An operator: the inputs it takes, common table expressions by name, and the final select."""
+    """An operator: the inputs it takes, common table expressions by name, and the final select.
+
+    `check` is SQL written apart from build() that says what must come out, its inputs marked with @ as well; without it the
+    checking engine gets build()'s own text.
+    """
 
     inputs: tuple[str, ...]
     build: Callable[[Dialect], tuple[dict[str, str], str]]
+    check: str | None = None
 
     def __call__(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:
         """The operator over frames of one's own."""
@@ -76,7 +81,30 @@ class Op:
         return spark.sql(f"WITH {head} {ref(last)}" if head else ref(last), **{k: inputs[k] for k in self.inputs})
 
     def check_sql(self, encodings: dict[str, str]) -> str:
+        if self.check:
+            return _checked(self.check, encodings)
         ctes, last = self.build(CHECK)
         every = {k: encodings[k] for k in encodings} | ctes
         sql = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in every.items()) + " " + last
         return re.sub(r"@(\w+)", r"\1", sql)
+
+
+def _checked(sql: str, encodings: dict[str, str]) -> str:
+    head, sql = ", ".join(f"{k} AS ({v})" for k, v in encodings.items()), sql.strip()
+    sql = f"WITH RECURSIVE {head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH RECURSIVE {head} {sql}"
+    return re.sub(r"@(\w+)", r"\1", sql)
+
+
+@dataclass(frozen=True)
+class Fn:
+    """An operator as a function of frames, where SQL alone doesn't say it; check as in Op."""
+
+    inputs: tuple[str, ...]
+    run: Callable[..., DataFrame]
+    check: str | None = None
+
+    def __call__(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:
+        return self.run(spark, **{k: inputs[k] for k in self.inputs})
+
+    def check_sql(self, encodings: dict[str, str]) -> str | None:
+        return _checked(self.check, encodings) if self.check else None

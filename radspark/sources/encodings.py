@@ -1,8 +1,11 @@
 """Genomic inputs made from the star-schema tables, the same in both engines.
 
 popmap(sample, pop, grp); calls(locus, col, sample, pop, a1, a2, dp): genotypes of up to four sites a locus;
-haps(locus, sample, pop, h1, h2); sites(chr, bp, stat, alleles, pop); reads(read_id, sample, seq, qual): all letters of a
-text, with a quality character each.
+depths(locus, col, sample, pop, na, nc, ng, nt): read counts of the bases there, with some errors;
+haps(locus, sample, pop, grp, h1, h2): a letter for each site of the locus, N where the sample has no call;
+positions(locus, chr, bp, strand): loci that overlap their neighbours; sites(chr, bp, stat, alleles, fixed, pop), stat -7 where
+there is none; reads(read_id, sample, seq, qual): all letters of a text, with a quality character each; mates(conv_id, turn, role,
+seq): the letters of a turn.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.dialect import SPARK, Dialect
 
-TABLES = {"popmap": ("supplier",), "calls": ("lineitem",), "haps": ("lineitem",), "sites": ("events",), "reads": ("documents",), "mates": ("conversations",), "barcodes": ("customer",), "catalog": ("part",), "annotations": ("supplier",)}
+TABLES = {"popmap": ("supplier",), "calls": ("lineitem",), "depths": ("lineitem",), "haps": ("lineitem",), "positions": ("lineitem",), "sites": ("events",), "reads": ("documents",), "mates": ("conversations",), "barcodes": ("customer",), "catalog": ("part",), "annotations": ("supplier",)}
 
 
 def _alt(d: Dialect, j: int) -> str:
@@ -25,17 +28,23 @@ def encodings(d: Dialect) -> dict[str, str]:
       CASE WHEN {_alt(d, 1)} THEN {letter('(lo + 1) % 4 + 1')} ELSE {letter('lo % 4 + 1')} END AS a1,
       CASE WHEN {_alt(d, 2)} THEN {letter('(lo + 1) % 4 + 1')} ELSE {letter('lo % 4 + 1')} END AS a2, cast(dp as int) AS dp
       FROM ({base}) b"""
+    depth = lambda x: f"CASE WHEN a1 = '{x}' THEN dp - {d.div('dp', '2')} ELSE 0 END + CASE WHEN a2 = '{x}' THEN {d.div('dp', '2')} ELSE 0 END + CASE WHEN (locus + 3 * col + sample) % 28 = {'ACGT'.index(x)} THEN 1 ELSE 0 END AS n{x.lower()}"
     seq = d.replace_all("lower(text)", "[^a-z]", "")
     seq = f"translate({seq}, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
     reads = f"SELECT doc_id AS read_id, source AS sample, {seq} AS seq, concat(md5(text), md5(concat(text, 'q'))) AS q FROM @documents"
     return {
         "popmap": "SELECT cast(s_suppkey % 12 as int) AS sample, cast(min(s_suppkey % 3) as int) AS pop, cast(min(s_suppkey % 3 % 2) as int) AS grp FROM @supplier GROUP BY s_suppkey % 12",
         "calls": calls,
-        "haps": f"SELECT locus, sample, pop, {d.cat('a1', '', 'col')} AS h1, {d.cat('a2', '', 'col')} AS h2 FROM ({calls}) c GROUP BY locus, sample, pop HAVING count(*) = 4",
-        "sites": f"""SELECT cast(user_id % 5 as int) AS chr, cast(user_id % 3 as int) AS pop, {"unix_timestamp(ts)" if d.spark else "CAST(floor(epoch(ts)) AS BIGINT)"} AS bp, value AS stat, cast(2 + event_id % 9 as int) AS alleles, event_id FROM @events""",
+        "depths": f"SELECT locus, col, sample, pop, {', '.join(depth(x) for x in 'ACGT')} FROM ({calls}) c",
+        "haps": f"""SELECT g.locus, g.sample, g.pop, g.pop % 2 AS grp, {d.cat("coalesce(c.a1, 'N')", '', 's.col')} AS h1, {d.cat("coalesce(c.a2, 'N')", '', 's.col')} AS h2
+          FROM (SELECT DISTINCT locus, sample, pop FROM ({calls}) c) g JOIN (SELECT DISTINCT locus, col FROM ({calls}) c) s ON g.locus = s.locus
+          LEFT JOIN ({calls}) c ON c.locus = s.locus AND c.col = s.col AND c.sample = g.sample GROUP BY g.locus, g.sample, g.pop""",
+        "positions": f"SELECT DISTINCT {d.div('l_partkey', '4')} AS locus, cast({d.div('l_partkey', '4')} % 5 as int) AS chr, {d.div(d.div('l_partkey', '4'), '5')} * 40 + 100 AS bp, CASE WHEN {d.div('l_partkey', '4')} % 3 = 0 THEN '-' ELSE '+' END AS strand FROM @lineitem",
+        "sites": f"""SELECT cast(user_id % 5 as int) AS chr, cast(user_id % 3 as int) AS pop, {"unix_timestamp(ts)" if d.spark else "CAST(floor(epoch(ts)) AS BIGINT)"} AS bp, CASE WHEN event_id % 13 = 0 THEN -7E0 ELSE value END AS stat,
+          event_id % 11 = 0 AS fixed, cast(2 + event_id % 9 as int) AS alleles, event_id FROM @events""",
         "reads": f"SELECT read_id, sample, seq, substring(repeat(q, cast({d.div('length(seq)', '64')} + 1 as int)), 1, length(seq)) AS qual FROM ({reads}) t",
-        "mates": "SELECT conv_id, turn, role, substring(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 24) AS seq FROM @conversations",
-        "barcodes": "SELECT c_custkey AS read_id, substring(translate(md5(cast(c_custkey % 97 as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 6) AS observed, c_mktsegment AS sample FROM @customer",
+        "mates": f"SELECT conv_id, turn, role, {seq} AS seq FROM @conversations",
+        "barcodes": "SELECT c_custkey AS read_id, substring(translate(md5(cast(c_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 6) AS observed, c_mktsegment AS sample FROM @customer",
         "catalog": "SELECT p_partkey AS locus, cast(p_partkey % 5 as int) AS chr, p_partkey * 37 AS bp, p_brand AS marker, p_size AS n_snps, p_retailprice AS lnl FROM @part",
         "annotations": "SELECT s_suppkey * 3 AS locus, s_name AS note FROM @supplier",
     }
