@@ -1,62 +1,33 @@
-"""Rows of export formats, one text row each, ready for df.write.text."""
+"""Rows of export formats that plain SQL says, one text row each; sinks.py has the others."""
 
 from __future__ import annotations
 
 from ..plans.dialect import Op
 
 CALLS = ("calls",)
-_CODE = "CASE a{0} WHEN 'A' THEN '01' WHEN 'C' THEN '02' WHEN 'G' THEN '03' WHEN 'T' THEN '04' ELSE '00' END"
-_NUM = "CASE {0} WHEN 'A' THEN '1' WHEN 'C' THEN '2' WHEN 'G' THEN '3' WHEN 'T' THEN '4' ELSE '0' END"
-_SITES = "SELECT DISTINCT locus, col FROM @calls"
-_GRID = "SELECT s.locus, s.col, p.sample, p.pop, c.a1, c.a2, c.dp FROM sites_ s CROSS JOIN (SELECT DISTINCT sample, pop FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample"
-
-
-def genepop(d):
-    return {"sites_": _SITES, "grid": _GRID}, f"SELECT pop, sample, concat(cast(sample as varchar(10)), ',\t', {d.cat(f'concat({_CODE.format(1)}, {_CODE.format(2)})', chr(9), 'locus, col')}) AS line FROM grid GROUP BY pop, sample"
-
-
-def structure(d):
-    return {"sites_": _SITES, "grid": _GRID, "two": "SELECT pop, sample, 1 AS copy, locus, col, a1 AS a FROM grid UNION ALL SELECT pop, sample, 2, locus, col, a2 FROM grid"}, f"SELECT pop, sample, copy, {d.cat(_NUM.format('a'), chr(9), 'locus, col')} AS line FROM two GROUP BY pop, sample, copy"
-
-
-def plink_ped(d):
-    letter = lambda x: f"coalesce({x}, '0')"
-    return {"sites_": _SITES, "grid": _GRID}, f"SELECT pop, sample, {d.cat('concat(' + letter('a1') + ', chr(9), ' + letter('a2') + ')', chr(9), 'locus, col')} AS line FROM grid GROUP BY pop, sample"
 
 
 def treemix(d):
-    long = "SELECT locus, col, pop, a1 AS a FROM @calls UNION ALL SELECT locus, col, pop, a2 FROM @calls"
+    """Counts of both alleles of each population at biallelic sites, 0,0 where it has none."""
+    called = "a1 IS NOT NULL AND a2 IS NOT NULL"
+    long = f"SELECT locus, col, pop, a1 AS a FROM @calls WHERE {called} UNION ALL SELECT locus, col, pop, a2 FROM @calls WHERE {called}"
     return {
+        "pops": "SELECT DISTINCT pop FROM @calls",
         "m": f"SELECT locus, col, min(a) AS x FROM ({long}) l GROUP BY locus, col HAVING count(DISTINCT a) = 2",
         "n": f"SELECT l.locus, l.col, l.pop, sum(CASE WHEN l.a = m.x THEN 1 ELSE 0 END) AS nx, sum(CASE WHEN l.a <> m.x THEN 1 ELSE 0 END) AS ny FROM ({long}) l JOIN m ON l.locus = m.locus AND l.col = m.col GROUP BY l.locus, l.col, l.pop",
-    }, f"SELECT locus, col, {d.cat('concat(cast(nx as varchar(10)), chr(44), cast(ny as varchar(10)))', ' ', 'pop')} AS line FROM n GROUP BY locus, col"
-
-
-def vcf_rows(d):
-    gt = "CASE WHEN a1 IS NULL THEN './.' ELSE concat(CASE WHEN a1 = ref THEN '0' ELSE '1' END, '/', CASE WHEN a2 = ref THEN '0' ELSE '1' END, ':', cast(dp as varchar(10))) END"
-    return {
-        "sites_": _SITES,
-        "m": "SELECT locus, col, min(a) AS ref, CASE WHEN min(a) <> max(a) THEN max(a) ELSE '.' END AS alt FROM (SELECT locus, col, a1 AS a FROM @calls UNION ALL SELECT locus, col, a2 FROM @calls) l GROUP BY locus, col",
-        "grid": _GRID.replace("SELECT s.locus", "SELECT m.ref, m.alt, s.locus").replace("FROM sites_ s", "FROM sites_ s JOIN m ON s.locus = m.locus AND s.col = m.col"),
-    }, f"SELECT locus, col + 1 AS pos, concat(ref, ' ', alt) AS alleles, count(dp) AS ns, {d.cat(gt, chr(9), 'sample')} AS genotypes FROM grid GROUP BY locus, col, ref, alt"
-
-
-def phylip(d):
-    """IUPAC letter of each population at sites variable in all."""
-    code = "CASE WHEN x = y THEN x WHEN x = 'A' AND y = 'C' THEN 'M' WHEN x = 'A' AND y = 'G' THEN 'R' WHEN x = 'A' AND y = 'T' THEN 'W' WHEN x = 'C' AND y = 'G' THEN 'S' WHEN x = 'C' AND y = 'T' THEN 'Y' WHEN x = 'G' AND y = 'T' THEN 'K' ELSE 'N' END"
-    return {
-        "v": "SELECT locus, col FROM (SELECT locus, col, a1 AS a FROM @calls UNION ALL SELECT locus, col, a2 FROM @calls) l GROUP BY locus, col HAVING count(DISTINCT a) = 2",
-        "p": "SELECT c.locus, c.col, c.pop, min(least(a1, a2)) AS x, max(greatest(a1, a2)) AS y FROM @calls c JOIN v ON c.locus = v.locus AND c.col = v.col GROUP BY c.locus, c.col, c.pop",
-        "q": f"SELECT pop, locus, col, {code} AS b, count(*) OVER (PARTITION BY locus, col) AS pops FROM p",
-    }, f"SELECT pop, count(*) AS sites, {d.cat('b', '', 'locus, col')} AS line FROM q WHERE pops = 3 GROUP BY pop"
-
-
-def fasta(d):
-    return {}, "SELECT concat('>CLocus_', cast(locus as varchar(20)), '_Sample_', cast(sample as varchar(10)), '_Allele_0') AS name, h1 AS seq FROM @haps UNION ALL SELECT concat('>CLocus_', cast(locus as varchar(20)), '_Sample_', cast(sample as varchar(10)), '_Allele_1'), h2 FROM @haps"
+        "every": "SELECT m.locus, m.col, p.pop, coalesce(n.nx, 0) AS nx, coalesce(n.ny, 0) AS ny FROM m CROSS JOIN pops p LEFT JOIN n ON n.locus = m.locus AND n.col = m.col AND n.pop = p.pop",
+    }, f"SELECT locus, col, {d.cat('concat(cast(nx as varchar(10)), chr(44), cast(ny as varchar(10)))', ' ', 'pop')} AS line FROM every GROUP BY locus, col"
 
 
 def haplotype_matrix(d):
-    return {}, f"SELECT locus, count(*) AS samples, {d.cat('CASE WHEN h1 = h2 THEN h1 ELSE concat(least(h1, h2), chr(47), greatest(h1, h2)) END', chr(9), 'sample')} AS line FROM @haps GROUP BY locus"
+    """A line a locus, a cell a sample: its haplotypes, - where a site is uncalled."""
+    cell = "CASE WHEN position('N' IN concat(h1, h2)) > 0 THEN '-' WHEN h1 = h2 THEN h1 ELSE concat(least(h1, h2), chr(47), greatest(h1, h2)) END"
+    return {}, f"SELECT locus, count(*) AS samples, {d.cat(cell, chr(9), 'sample')} AS line FROM @haps GROUP BY locus"
+
 
+_CHECK_TREEMIX = """WITH c_copy AS (SELECT locus, col, pop, unnest([a1, a2]) AS a FROM @calls WHERE a1 IS NOT NULL AND a2 IS NOT NULL), c_two AS (SELECT locus, col, min(a) AS lo FROM c_copy GROUP BY ALL HAVING count(DISTINCT a) = 2),
+  c_n AS (SELECT locus, col, p.pop, (SELECT count(*) FILTER (a = lo) || ',' || count(*) FILTER (a <> lo) FROM c_copy c WHERE c.locus = t.locus AND c.col = t.col AND c.pop = p.pop) AS v FROM c_two t CROSS JOIN (SELECT DISTINCT pop FROM @calls) p)
+  SELECT locus, col, string_agg(v, ' ' ORDER BY pop) AS line FROM c_n GROUP BY ALL"""
+_CHECK_MATRIX = "SELECT locus, count(*) AS samples, string_agg(CASE WHEN contains(h1 || h2, 'N') THEN '-' WHEN h1 = h2 THEN h1 ELSE array_to_string(list_sort([h1, h2]), '/') END, chr(9) ORDER BY sample) AS line FROM @haps GROUP BY locus"
 
-OPS = {"export_genepop": Op(CALLS, genepop), "export_structure": Op(CALLS, structure), "export_plink": Op(CALLS, plink_ped), "export_treemix": Op(CALLS, treemix), "export_vcf_rows": Op(CALLS, vcf_rows), "export_phylip": Op(CALLS, phylip), "export_fasta": Op(("haps",), fasta), "haplotype_matrix": Op(("haps",), haplotype_matrix)}
+OPS = {"export_treemix": Op(CALLS, treemix, _CHECK_TREEMIX), "haplotype_matrix": Op(("haps",), haplotype_matrix, _CHECK_MATRIX)}

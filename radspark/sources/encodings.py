@@ -5,7 +5,7 @@ depths(locus, col, sample, pop, na, nc, ng, nt): read counts of the bases there,
 haps(locus, sample, pop, grp, h1, h2): a letter for each site of the locus, N where the sample has no call;
 positions(locus, chr, bp, strand): loci that overlap their neighbours; sites(chr, bp, stat, alleles, fixed, pop), stat -7 where
 there is none; reads(read_id, sample, seq, qual): all letters of a text, with a quality character each; mates(conv_id, turn, role,
-seq): the letters of a turn.
+seq): the letters of a turn; loci(locus, consensus, cols), alignments, names, numbers, cigars: inputs of the readers and functions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.dialect import SPARK, Dialect
 
-TABLES = {"popmap": ("supplier",), "calls": ("lineitem",), "depths": ("lineitem",), "haps": ("lineitem",), "positions": ("lineitem",), "sites": ("events",), "reads": ("documents",), "mates": ("conversations",), "barcodes": ("customer",), "catalog": ("part",), "annotations": ("supplier",)}
+TABLES = {"popmap": ("supplier",), "calls": ("lineitem",), "depths": ("lineitem",), "haps": ("lineitem",), "positions": ("lineitem",), "loci": ("lineitem",), "alignments": ("customer",), "names": ("customer",), "numbers": ("part",), "cigars": ("lineitem",), "sites": ("events",), "reads": ("documents",), "mates": ("conversations",), "barcodes": ("customer",), "catalog": ("part",), "annotations": ("supplier",)}
 
 
 def _alt(d: Dialect, j: int) -> str:
@@ -42,6 +42,15 @@ def encodings(d: Dialect) -> dict[str, str]:
         "positions": f"SELECT DISTINCT {d.div('l_partkey', '4')} AS locus, cast({d.div('l_partkey', '4')} % 5 as int) AS chr, {d.div(d.div('l_partkey', '4'), '5')} * 40 + 100 AS bp, CASE WHEN {d.div('l_partkey', '4')} % 3 = 0 THEN '-' ELSE '+' END AS strand FROM @lineitem",
         "sites": f"""SELECT cast(user_id % 5 as int) AS chr, cast(user_id % 3 as int) AS pop, {"unix_timestamp(ts)" if d.spark else "CAST(floor(epoch(ts)) AS BIGINT)"} AS bp, CASE WHEN event_id % 13 = 0 THEN -7E0 ELSE value END AS stat,
           event_id % 11 = 0 AS fixed, cast(2 + event_id % 9 as int) AS alleles, event_id FROM @events""",
+        "loci": f"SELECT locus, translate(concat(md5(cast(locus as varchar(20))), md5(concat('l', cast(locus as varchar(20)))), md5(concat('m', cast(locus as varchar(20))))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS consensus, {d.cat('cast(col as varchar(9))', ',', 'col')} AS cols FROM (SELECT DISTINCT locus, col FROM ({calls}) c) s GROUP BY locus",
+        "alignments": f"""SELECT name, line, flag, chr, pos, mapq, seq, qual, CASE WHEN line % 7 = 0 THEN '5S27M' WHEN line % 7 = 1 THEN '20M2D12M' WHEN line % 7 = 2 THEN '10M3I16M3S' WHEN line % 7 = 3 THEN '8S24M' ELSE '32M' END AS cigar
+          FROM (SELECT concat('r', cast({d.div('c_custkey', '2')} as varchar(20))) AS name, c_custkey AS line, cast(CASE WHEN c_custkey % 2 = 1 THEN 64 ELSE 128 END + CASE WHEN {d.div('c_custkey', '2')} % 3 = c_custkey % 2 THEN 16 ELSE 0 END
+            + CASE WHEN c_custkey % 11 = 0 THEN 4 ELSE 0 END + CASE WHEN c_custkey % 13 = 0 THEN 256 ELSE 0 END + CASE WHEN c_custkey % 17 = 0 THEN 2048 ELSE 0 END AS int) AS flag, concat('chr', cast({d.div('c_custkey', '2')} % 5 as varchar(9))) AS chr,
+            {d.div('c_custkey', '4')} * 40 + c_custkey % 2 * 300 AS pos, cast(c_nationkey * 2 as int) AS mapq, translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, md5(c_name) AS qual FROM @customer) c""",
+        "names": f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('M', cast(c_nationkey as varchar(9)), ':', cast(c_custkey as varchar(20)), ':FC:', cast(c_custkey % 8 as varchar(9)), ':11:', cast(c_custkey * 3 as varchar(20)), ':', cast(c_custkey * 5 as varchar(20)), ' ', cast(1 + c_custkey % 2 as varchar(9)), ':', CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END, ':0:ACGT')
+          WHEN c_custkey % 3 = 1 THEN concat('H', cast(c_nationkey as varchar(9)), ':', cast(c_custkey % 8 as varchar(9)), ':12:', cast(c_custkey as varchar(20)), ':7#GG/', cast(1 + c_custkey % 2 as varchar(9))) ELSE c_name END AS name FROM @customer""",
+        "numbers": "SELECT p_partkey AS id, cast(p_size as int) AS n, cast(p_partkey % 30 as int) AS k, p_type AS words FROM @part",
+        "cigars": f"""SELECT l_orderkey * 8 + l_linenumber AS id, concat(cast(cast(l_quantity as int) as varchar(9)), 'M', cast(l_linenumber as varchar(9)), CASE WHEN l_orderkey % 2 = 0 THEN 'I' ELSE 'D' END, cast(l_suppkey % 9 + 1 as varchar(9)), CASE l_orderkey % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'S' WHEN 2 THEN '=' WHEN 3 THEN 'X' ELSE 'I' END) AS cigar FROM @lineitem""",
         "reads": f"SELECT read_id, sample, seq, substring(repeat(q, cast({d.div('length(seq)', '64')} + 1 as int)), 1, length(seq)) AS qual FROM ({reads}) t",
         "mates": f"SELECT conv_id, turn, role, {seq} AS seq FROM @conversations",
         "barcodes": "SELECT c_custkey AS read_id, substring(translate(md5(cast(c_custkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 6) AS observed, c_mktsegment AS sample FROM @customer",
