@@ -4,14 +4,15 @@ Vectors of like length (within a factor of 2) get one more component that makes
 the largest inner product is the smallest angle. A tree keeps long hash strings (BITS signs of random projections) as a sorted
 array. A query descends in every tree to the entries that share the longest prefix with it, found by one binary
 search and a look at both neighbours; then all trees ascend together, a bit at a time, until the ranges of entries
-that share that prefix hold LEAST distinct entries or SPREAD of all, whichever is more, and never fewer than k besides the
-query's own. At the root a range is the whole array, so a small table is searched in full. Every entry in the ranges
-is a candidate, with no cap, and its product is taken in double precision by a sum that does not depend
-on the other rows, so that equal vectors get equal scores.
+that share that prefix hold enough distinct entries: WIDTH / n ** FALL of them, n being all vectors, or LEAST / n if that is
+more, and never fewer than k besides the query's own. At the root a range is the whole array, so a small table is
+searched in full. Every entry in the ranges is a candidate, with no cap. Products are taken in single precision first, and of
+all that can be among the k largest by these, in double precision by a sum that does not depend on the other rows, so
+that equal vectors get equal scores.
 
 Lengths are searched from the longest down; a shorter one is left out only where its norms cannot reach the k-th best
 product so far. Vectors are dealt to blocks of about BLOCK rows, each with a forest over its distinct vectors, and queries to
-groups; every group meets every block, so candidates grow with queries x vectors (SPREAD of that), and the best of the blocks are merged.
+groups; every group meets every block, so candidates grow as queries x n ** (1 - FALL), and the best of the blocks are merged.
 Copies of a vector share an entry, which lists the smallest ids first, so that a very common vector fills no range.
 Vectors null, zero, of another length than most, or with null or non-finite components take no part, nor rows
 without id. Ties go to the smaller id; a repeated (id, vector) query is answered once; no rows give no rows. Other columns
@@ -33,9 +34,15 @@ NEAREST = 20
 MODULUS = 20
 TREES = 64
 BITS = 64
-SPREAD = 0.4
+WIDTH, FALL = 2.6, 0.2
 LEAST = 2048
 SEED = 97
+_ROWS = 256
+
+
+def share(n: int, least: int = LEAST) -> float:
+    """Of n vectors, the share that a query's candidates are at least."""
+    return min(1.0, max(least / n, WIDTH / n**FALL)) if n else 1.0
 
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -66,53 +73,57 @@ class Forest:
     """Sorted arrays of hash strings over the rows of x, whose norms are alike."""
 
     def __init__(self, x: np.ndarray, planes: np.ndarray) -> None:
-        self.x, self.planes = x, planes
         norm = (x * x).sum(1)
         self.longest = float(np.sqrt(norm.max()))
+        self.x, self.planes, self.small = x, planes, (x / self.longest).astype(np.float32)
         lifted = np.hstack([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]])
         each = [codes(lifted, p) for p in planes]
-        self.order = [np.argsort(c, kind="stable") for c in each]
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in each]
         self.sorted = [c[o] for c, o in zip(each, self.order, strict=True)]
 
     def descend(self, q: np.ndarray) -> np.ndarray:
-        """For each tree, the longest prefix that the query shares with an entry."""
-        out = np.empty(len(q), np.int64)
+        """For queries (rows of q) and trees, the longest prefix that the query shares with an entry."""
+        out = np.empty(q.shape, np.int64)
         for t, c in enumerate(self.sorted):
-            i = int(np.searchsorted(c, q[t]))
-            out[t] = common_bits(c[max(i - 1, 0) : i + 1], q[t : t + 1]).max()
+            i = np.searchsorted(c, q[:, t])
+            out[:, t] = np.maximum(common_bits(c[np.maximum(i - 1, 0)], q[:, t]), common_bits(c[np.minimum(i, len(c) - 1)], q[:, t]))
         return out
 
-    def range(self, q: np.ndarray, depth: int, longest: np.ndarray) -> list[tuple[int, int, int]]:
-        """(tree, first, past last) of entries that share `depth` bits, of trees that have any."""
-        below = np.uint64((1 << (BITS - depth)) - 1)
-        out = []
-        for t in np.flatnonzero(longest >= depth):
-            c = self.sorted[t]
-            out.append((int(t), int(np.searchsorted(c, q[t] & ~below)), int(np.searchsorted(c, q[t] | below, "right"))))
-        return out
+    def ranges(self, q: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past last of the entries that share the query's first `depth` bits, by query and tree."""
+        below = np.where(depth == 0, ~np.uint64(0), (np.uint64(1) << (BITS - np.maximum(depth, 1)).astype(np.uint64)) - np.uint64(1))
+        lo, hi = np.empty(q.shape, np.int64), np.empty(q.shape, np.int64)
+        for t, c in enumerate(self.sorted):
+            lo[:, t] = np.searchsorted(c, q[:, t] & ~below)
+            hi[:, t] = np.searchsorted(c, q[:, t] | below, "right")
+        return lo, hi
 
-    def marked(self, ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    def entries(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Distinct entries of one query's ranges."""
         mark = np.zeros(len(self.x), bool)
-        for t, lo, hi in ranges:
-            mark[self.order[t][lo:hi]] = True
-        return mark
-
-    def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """Entries of the deepest level, common to all trees, at which the ranges hold `enough` distinct ones. As a higher level
-        holds all that a lower one does, the ascent halves the levels left instead of trying each."""
+        mark[np.concatenate([o[a:b] for o, a, b in zip(self.order, lo.tolist(), hi.tolist(), strict=True)])] = True
+        return np.flatnonzero(mark)
+
+    def candidates(self, q: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query, the entries of the deepest level, common to all trees, at which the ranges hold `enough` distinct ones. As
+        a higher level holds all that a lower one does, the ascent halves the levels left instead of trying each."""
+        root = np.arange(len(self.x))
+        best = [root] * len(q)
         if enough >= len(self.x):
-            return np.arange(len(self.x))  # the root
-        longest = self.descend(q)
-        high, low, best = 0, int(longest.max()), None
-        while high < low:
-            depth = (high + low + 1) // 2
-            ranges = self.range(q, depth, longest)
-            mark = self.marked(ranges) if sum(b - a for _, a, b in ranges) >= enough else None
-            if mark is not None and int(mark.sum()) >= enough:
-                high, best = depth, mark
-            else:
-                low = depth - 1
-        return np.arange(len(self.x)) if best is None else np.flatnonzero(best)
+            return best
+        high, low = np.zeros(len(q), np.int64), self.descend(q).max(1)
+        while True:
+            going = np.flatnonzero(high < low)
+            if not len(going):
+                return best
+            depth = (high[going] + low[going] + 1) // 2
+            lo, hi = self.ranges(q[going], depth)
+            for i, d, a, b, n in zip(going.tolist(), depth.tolist(), lo, hi, (hi - lo).sum(1).tolist(), strict=True):
+                found = self.entries(a, b) if n >= enough else root[:0]
+                if len(found) >= enough:
+                    high[i], best[i] = d, found
+                else:
+                    low[i] = d - 1
 
 
 class Forests:
@@ -125,28 +136,32 @@ class Forests:
         self.parts = [np.flatnonzero(size == s) for s in np.unique(size)[::-1]]
         self.forests = [Forest(x[i], self.planes) for i in self.parts]
 
-    def nearest(self, q: np.ndarray, k: int, spread: float = SPREAD, least: int = LEAST):
+    def nearest(self, q: np.ndarray, k: int, spread: float):
         """For each query, rows of x among the candidates with the k largest products, ties at the last included."""
+        for first in range(0, len(q), _ROWS):
+            yield from self._nearest(q[first : first + _ROWS], k, spread)
+
+    def _nearest(self, q: np.ndarray, k: int, spread: float) -> list[tuple[np.ndarray, np.ndarray]]:
         lifted = np.hstack([q, np.zeros((len(q), 1))])
         hashed = np.stack([codes(lifted, p) for p in self.planes], 1)
-        for one, h in zip(q, hashed, strict=True):
-            at, score = np.zeros(0, np.int64), np.zeros(0)
-            length = np.sqrt((one * one).sum())
-            for rows, f in zip(self.parts, self.forests, strict=True):
-                if len(at) >= k and score.min() > f.longest * length * (1 + 1e-9):
-                    break
-                c = f.candidates(h, max(k, least, int(np.ceil(spread * len(rows)))))
-                y = f.x[c]
+        length = np.sqrt((q * q).sum(1))
+        small = (q / length[:, None]).astype(np.float32)
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        for rows, f in zip(self.parts, self.forests, strict=True):
+            open_ = [i for i, (at, score) in enumerate(out) if len(at) < k or score.min() <= f.longest * length[i] * (1 + 1e-9)]
+            if not open_:
+                return out
+            for i, c in zip(open_, f.candidates(hashed[open_], max(k, int(np.ceil(spread * len(rows))))), strict=True):
                 if len(c) > 4 * k:
-                    # far above the rounding of a product, far below what tells vectors apart
-                    rough, slack = y @ one, 1e-12 * len(one) * f.longest * length
-                    close = rough >= np.partition(rough, len(c) - k)[len(c) - k] - slack
-                    c, y = c[close], y[close]
-                at, score = np.concatenate([at, rows[c]]), np.concatenate([score, (y * one).sum(1)])
+                    # far above the rounding of a product in single precision
+                    rough, slack = f.small[c] @ small[i], 1e-6 * q.shape[1]
+                    c = c[rough >= np.partition(rough, len(c) - k)[len(c) - k] - slack]
+                at, score = np.concatenate([out[i][0], rows[c]]), np.concatenate([out[i][1], (f.x[c] * q[i]).sum(1)])
                 if len(at) > k:
                     keep = score >= np.partition(score, len(at) - k)[len(at) - k]
                     at, score = at[keep], score[keep]
-            yield at, score
+                out[i] = at, score
+        return out
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -155,7 +170,7 @@ def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1)
 
 
-def _search(k: int, spread: float, least: int):
+def _search(k: int, spread: float):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if block.num_rows and queries.num_rows:
@@ -165,7 +180,7 @@ def _search(k: int, spread: float, least: int):
             inv = inv.ravel()
             order = np.lexsort((ids, inv))
             start = np.searchsorted(inv[order], np.arange(len(uniq) + 1))
-            for i, (at, score) in enumerate(Forests(uniq).nearest(q, k + 1, spread, least)):
+            for i, (at, score) in enumerate(Forests(uniq).nearest(q, k + 1, spread)):
                 got = []
                 for a, s in zip(at, score, strict=True):
                     held = ids[order[start[a] : start[a + 1]]]
@@ -180,15 +195,16 @@ def _search(k: int, spread: float, least: int):
     return run
 
 
-def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, modulus: int = MODULUS, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, modulus: int = MODULUS, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row whose id is divisible by modulus."""
     v = written(clean(vectors, vec_id, embedding), "vectors")
     q = v.where(F.col("id") % modulus == 0).withColumn("qkey", F.xxhash64("id", "v")).dropDuplicates(["id", "qkey"])
-    blocks = max(1, -(-v.count() // BLOCK))
+    n = v.count()
+    blocks = max(1, -(-n // BLOCK))
     groups = max(1, -(-q.count() // QUERIES_PER_GROUP))
     x = v.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"))
     qs = q.select("id", "v", "qkey", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("xb"))
-    found = x.groupBy("xb", "qb").cogroup(qs.groupBy("xb", "qb")).applyInArrow(_search(k, spread, least), "query_id long, qkey long, vec_id long, score double")
+    found = x.groupBy("xb", "qb").cogroup(qs.groupBy("xb", "qb")).applyInArrow(_search(k, share(n, least)), "query_id long, qkey long, vec_id long, score double")
     w = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
