@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import export, files, popgen, reads
+from .operators import export, files, loci, popgen, reads
 from .plans.dialect import CHECK, Fn, Op
 from .sources import encodings
 
-OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS | files.OPS
+OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS | files.OPS | loci.OPS
 
 
 def _query(op: Op | Fn) -> Callable:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from ..plans.dialect import Dialect, Op
+from ..plans.dialect import Op
 
 READS = ("reads",)
-K = 15
-STEP = 256
-QUALITY = 20
 CODES = ("ACGTAC", "TTGACA", "GGCATT", "CATGCA", "GTACCA")
 
 
@@ -25,49 +22,6 @@ def oligo_dedup(d):
     return {}, "SELECT substring(qual, 1, 8) AS oligo, seq, min(read_id) AS read_id, count(*) AS copies FROM @reads GROUP BY substring(qual, 1, 8), seq"
 
 
-def _places(d: Dialect, key: str, x: str, width: int) -> dict[str, str]:
-    """(key, piece, p, j): every place of x where `width` characters start, as place j of piece p, so that a long read is not copied for each place."""
-    return {
-        "pieces": f"SELECT {key}, {d.pieces(x, STEP, width - 1)} FROM @reads WHERE length({x}) >= {width}",
-        "places": f"SELECT {key}, z.piece AS piece, z.p AS p, {d.unnest('1', f'length(z.piece) - {width - 1}', 'j')} FROM pieces",
-    }
-
-
-def _kmers(d: Dialect) -> dict[str, str]:
-    return _places(d, "read_id", "seq", K) | {
-        "kmer": f"SELECT read_id, p * {STEP} + j AS i, substring(piece, cast(j as int), {K}) AS k FROM places",
-        "freq": "SELECT k, count(*) AS n FROM kmer GROUP BY k",
-    }
-
-
-def kmer_count(d):
-    return _kmers(d), "SELECT k AS kmer, n FROM freq"
-
-
-def kmer_hist(d):
-    return _kmers(d), "SELECT n, count(*) AS kmers FROM freq GROUP BY n"
-
-
-def kmer_abundant_filter(d):
-    """Reads of which more than 80% of the k-mers occur 5 times or more are dropped."""
-    return _kmers(d), "SELECT m.read_id, count(*) AS kmers, sum(CASE WHEN f.n >= 5 THEN 1 ELSE 0 END) AS abundant FROM kmer m JOIN freq f ON m.k = f.k GROUP BY m.read_id HAVING sum(CASE WHEN f.n >= 5 THEN 1 ELSE 0 END) <= floor(0.8 * count(*) + 0.5)"
-
-
-def kmer_rare_filter(d):
-    """Reads with a run of at least 2 k-mers seen once are dropped; runs by the difference of position and rank."""
-    return _kmers(d) | {
-        "rare": "SELECT m.read_id, m.i, m.i - row_number() OVER (PARTITION BY m.read_id ORDER BY m.i) AS run FROM kmer m JOIN freq f ON m.k = f.k WHERE f.n = 1",
-        "bad": "SELECT read_id FROM (SELECT read_id, run, count(*) AS n FROM rare GROUP BY read_id, run) z WHERE n >= 2 GROUP BY read_id",
-    }, "SELECT r.read_id, r.sample FROM @reads r LEFT JOIN bad ON r.read_id = bad.read_id WHERE bad.read_id IS NULL"
-
-
-def kmer_median(d):
-    """Median k-mer frequency of each read: of an even count, the mean of the middle two."""
-    return _kmers(d) | {
-        "o": "SELECT m.read_id, f.n, row_number() OVER (PARTITION BY m.read_id ORDER BY f.n, m.i) AS k, count(*) OVER (PARTITION BY m.read_id) AS m FROM kmer m JOIN freq f ON m.k = f.k",
-    }, f"SELECT read_id, max(m) AS kmers, {d.r('avg(1E0 * n)')} AS median FROM o WHERE k = floor((m + 1) / 2E0) OR k = floor((m + 2) / 2E0) GROUP BY read_id"
-
-
 def revcomp(d):
     return {}, "SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM @reads"
 
@@ -78,25 +32,15 @@ def group_reads(d):
 
 
 def coverage_stats(d):
-    return {"c": "SELECT sample, seq, count(*) AS n FROM @reads GROUP BY sample, seq"}, f"SELECT sample, count(*) AS stacks, max(n) AS max_depth, {d.r('avg(1E0 * n)')} AS mean_depth, {d.r('sqrt((sum(n * n) - sum(n) * sum(n) / (1E0 * count(*))) / nullif(count(*) - 1, 0))', 5)} AS sd FROM c GROUP BY sample"
+    """Depth of a sample's stacks; the deviation is that of all of them."""
+    return {"c": "SELECT sample, seq, count(*) AS n FROM @reads GROUP BY sample, seq"}, f"SELECT sample, count(*) AS stacks, max(n) AS max_depth, sum(n) AS depth, {d.r('avg(1E0 * n)')} AS mean_depth, {d.r('sqrt(greatest(0E0, sum(n * n) / (1E0 * count(*)) - avg(1E0 * n) * avg(1E0 * n)))', 5)} AS sd FROM c GROUP BY sample"
 
 
-def similarity_join(d):
-    """Pairs of distinct sequences of equal length at Hamming distance 1..6: two such share one of 7 parts of their bases, so an
-    equi-join on (length, part, hash of the bases) finds all candidates and the distance decides. Below 7 bases a part is empty,
-    so that all sequences of a length are candidates."""
-    at = lambda i: d.div(f"n * ({i})", "7")
-    return {
-        "u": "SELECT seq, length(seq) AS n, min(read_id) AS id FROM @reads WHERE length(seq) > 0 GROUP BY seq",
-        "v": f"SELECT seq, n, id, {d.unnest('0', '6', 'part')} FROM u",
-        "p": f"SELECT id, n, part, md5(substring(seq, cast({at('part')} + 1 as int), cast({at('part + 1')} - {at('part')} as int))) AS bases FROM v",
-        "c": "SELECT DISTINCT a.n AS n, a.id AS id1, b.id AS id2 FROM p a JOIN p b ON a.n = b.n AND a.part = b.part AND a.bases = b.bases AND a.id < b.id",
-        "h": f"SELECT c.id1 AS id1, c.id2 AS id2, {d.differ('a.seq', 'b.seq')} AS dist FROM c JOIN u a ON a.id = c.id1 AND a.n = c.n JOIN u b ON b.id = c.id2 AND b.n = c.n",
-    }, "SELECT id1, id2, dist FROM h WHERE dist <= 6"
+_CHECK_COVERAGE = f"WITH c_c AS (SELECT sample, seq, count(*) AS n FROM @reads GROUP BY ALL) SELECT sample, count(*) AS stacks, max(n) AS max_depth, CAST(sum(n) AS BIGINT) AS depth, floor(avg(n) * 1e9 + 0.5) / 1e9 AS mean_depth, floor(stddev_pop(n) * 1e5 + 0.5) / 1e5 AS sd FROM c_c GROUP BY sample"
 
 
 def exact_match_join(d):
-    """Reads matched to the catalog of the first sample's sequences; several reads of a locus, one row."""
+    """Reads matched to the catalog of sequences that two samples or more hold; several reads of a locus, one row."""
     return {"cat": "SELECT seq, min(read_id) AS cat_id FROM @reads GROUP BY seq HAVING count(DISTINCT sample) > 1"}, "SELECT c.cat_id, r.sample, count(*) AS depth, min(r.read_id) AS first_read FROM @reads r JOIN cat c ON r.seq = c.seq GROUP BY c.cat_id, r.sample"
 
 
@@ -104,51 +48,20 @@ def unmatched_reads(d):
     return {"cat": "SELECT seq FROM @reads GROUP BY seq HAVING count(DISTINCT sample) > 1"}, "SELECT r.read_id, r.sample FROM @reads r LEFT JOIN cat c ON r.seq = c.seq WHERE c.seq IS NULL"
 
 
-def consensus(d):
-    """Commonest base at each column of a sample's reads, up to the longest, ties to the first letter."""
-    return _places(d, "sample", "seq", 1) | {
-        "bases": f"SELECT sample, p * {STEP} + j AS i, substring(piece, cast(j as int), 1) AS b FROM places",
-        "n": "SELECT sample, i, b, count(*) AS n FROM bases GROUP BY sample, i, b",
-        "k": "SELECT sample, i, b, row_number() OVER (PARTITION BY sample, i ORDER BY n DESC, b) AS k FROM n",
-    }, f"SELECT sample, {d.cat('b', '', 'i')} AS consensus FROM k WHERE k = 1 GROUP BY sample"
-
-
-def quality_trim(d, least=QUALITY):
-    """Windows of 10 quality scores, each the code of its character less 48: reads with a mean below `least` in one are cut there."""
-    scores = " + ".join(f"{d.ascii(f'substring(piece, cast(j + {k} as int), 1)')} - 48" for k in range(10))
-    return _places(d, "read_id", "qual", 10) | {
-        "q": f"SELECT read_id, p * {STEP} + j AS i, ({scores}) / 1E1 AS m FROM places",
-        "c": f"SELECT read_id, min(i) AS cut FROM q WHERE m < {least} GROUP BY read_id",
-    }, "SELECT r.read_id, coalesce(c.cut - 1, length(r.seq)) AS cut, substring(r.seq, 1, cast(coalesce(c.cut - 1, length(r.seq)) as int)) AS seq FROM @reads r LEFT JOIN c ON r.read_id = c.read_id"
-
-
-def qc_chain(d):
-    """Why a read goes: too short, a cut site missing, or low complexity; else kept."""
-    return {}, "SELECT sample, CASE WHEN length(seq) < 40 THEN 'short' WHEN seq LIKE '%AAAAAA%' THEN 'homopolymer' WHEN position('TGCA' IN seq) = 0 THEN 'no_cutsite' ELSE 'retained' END AS verdict, count(*) AS n FROM @reads GROUP BY 1, 2"
-
-
-def barcode_rescue(d):
-    """The first listed barcode, in code order, within 2 mismatches."""
-    codes = " UNION ALL ".join(f"SELECT '{c}' AS code" for c in CODES)
-    return {
-        "codes": codes,
-        "m": f"SELECT b.read_id, b.observed, c.code, {d.hamming('b.observed', 'c.code')} AS dist FROM @barcodes b CROSS JOIN codes c",
-        "k": "SELECT read_id, observed, code, dist, row_number() OVER (PARTITION BY read_id ORDER BY code) AS k FROM m WHERE dist <= 2",
-    }, "SELECT read_id, observed, code, dist FROM k WHERE k = 1"
-
-
-def unknown_barcodes(d):
-    listed = ", ".join(f"'{c}'" for c in CODES)
-    return {}, f"SELECT observed, count(*) AS n FROM @barcodes WHERE observed NOT IN ({listed}) GROUP BY observed"
+def mates_of(d) -> str:
+    return "SELECT a.conv_id, a.turn, a.role, a.seq AS seq1, b.seq AS seq2 FROM @mates a JOIN @mates b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0"
 
 
 def mate_join(d):
     return {}, "SELECT a.conv_id, a.turn, a.seq AS forward, b.seq AS reverse_ FROM @mates a JOIN @mates b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0"
 
 
-def pcr_dups(d):
-    """One pair a first-mate sequence and insert length; here the length is that of the text between."""
-    return {"p": "SELECT a.conv_id, a.turn, a.seq, b.turn - a.turn AS insert_ FROM @mates a JOIN @mates b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.turn <= a.turn + 2"}, "SELECT seq, insert_, count(*) AS pairs, count(*) - 1 AS duplicates FROM p GROUP BY seq, insert_"
+def clone_pairs(d, oligo=8):
+    """Pairs by both sequences and a random oligo of each (its first letters): the first pair of each, and how many there are."""
+    return {"p": mates_of(d)}, f"SELECT md5(concat(seq1, '|', seq2)) AS pair, substring(seq1, 1, {oligo}) AS oligo1, substring(seq2, 1, {oligo}) AS oligo2, min(conv_id * 1000 + turn) AS first_pair, count(*) AS copies FROM p GROUP BY seq1, seq2"
+
+
+_CHECK_CLONE_PAIRS = "WITH c_m AS (SELECT *, lead(seq) OVER w AS s2, lead(turn) OVER w AS t2 FROM @mates WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT md5(seq || '|' || s2) AS pair, left(seq, 8) AS oligo1, left(s2, 8) AS oligo2, min(conv_id * 1000 + turn) AS first_pair, count(*) AS copies FROM c_m WHERE turn % 2 = 0 AND t2 = turn + 1 GROUP BY seq, s2"
 
 
 def catalog_index(d):
@@ -168,9 +81,24 @@ def blacklist(d):
     return {}, "SELECT c.locus, c.chr, c.bp FROM @catalog c WHERE NOT EXISTS (SELECT 1 FROM @annotations a WHERE a.locus = c.locus)"
 
 
-_KMER = {"kmer_count": kmer_count, "kmer_hist": kmer_hist, "kmer_abundant_filter": kmer_abundant_filter, "kmer_rare_filter": kmer_rare_filter, "kmer_median": kmer_median}
-_READS = {"clone_filter": clone_filter, "clone_dist": clone_dist, "oligo_dedup": oligo_dedup, "revcomp": revcomp, "group_reads": group_reads, "coverage_stats": coverage_stats, "similarity_join_hamming": similarity_join, "exact_match_join": exact_match_join, "unmatched_reads": unmatched_reads, "consensus": consensus, "window_quality_trim": quality_trim, "qc_chain": qc_chain}
-OPS = {k: Op(READS, f) for k, f in (_READS | _KMER).items()} | {
-    "barcode_rescue": Op(("barcodes",), barcode_rescue), "unknown_barcodes": Op(("barcodes",), unknown_barcodes), "mate_join": Op(("mates",), mate_join), "pcr_dups": Op(("mates",), pcr_dups),
-    "catalog_index": Op(("catalog", "annotations"), catalog_index), "catalog_filter_page": Op(("catalog",), catalog_page), "whitelist_semi": Op(("catalog", "annotations"), whitelist), "blacklist_anti": Op(("catalog", "annotations"), blacklist),
+def catalog_count(d):
+    return {}, "SELECT count(*) AS loci FROM @catalog WHERE n_snps BETWEEN 5 AND 40 AND chr IN (1, 2, 3)"
+
+
+# Checks written apart from the texts above.
+_CHECK_CLONES = "SELECT min(read_id) AS read_id, sample, seq FROM @reads GROUP BY sample, seq"
+_CHECK_DIST = "SELECT clones, count(*) AS n FROM (SELECT count(*) AS clones FROM @reads GROUP BY sample, seq) z GROUP BY clones"
+_CHECK_OLIGO = "SELECT left(qual, 8) AS oligo, seq, min(read_id) AS read_id, count(*) AS copies FROM @reads GROUP BY ALL"
+_CHECK_RC = "SELECT read_id, translate(reverse(seq), 'CAGT', 'GTCA') AS rc FROM @reads"
+_CHECK_GROUPS = "SELECT sample, seq, count(*) AS n, min(read_id) AS first_read, if(count(*) < 3, 'secondary', 'primary') AS stack FROM @reads GROUP BY ALL"
+_CHECK_EXACT = "WITH c_r AS (SELECT *, min(read_id) OVER (PARTITION BY seq) AS cat_id, min(sample) OVER (PARTITION BY seq) <> max(sample) OVER (PARTITION BY seq) AS shared FROM @reads) SELECT cat_id, sample, count(*) AS depth, min(read_id) AS first_read FROM c_r WHERE shared GROUP BY ALL"
+_CHECK_UNMATCHED = "WITH c_r AS (SELECT read_id, sample, min(sample) OVER (PARTITION BY seq) <> max(sample) OVER (PARTITION BY seq) AS shared FROM @reads) SELECT read_id, sample FROM c_r WHERE shared IS NOT TRUE"
+_CHECK_MATES = "WITH c_m AS (SELECT *, lead(seq) OVER w AS s2, lead(turn) OVER w AS t2 FROM @mates WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, seq AS forward, s2 AS reverse_ FROM c_m WHERE turn % 2 = 0 AND t2 = turn + 1"
+_CHECK_INDEX = "SELECT chr, marker, count(*) AS loci, sum(n_snps) AS snps, count(*) FILTER (locus IN (SELECT locus FROM @annotations)) AS annotated, floor(avg(lnl) * 1e4 + 0.5) / 1e4 AS mean_lnl FROM @catalog GROUP BY ALL"
+
+_READS = {"clone_filter": (clone_filter, _CHECK_CLONES), "clone_dist": (clone_dist, _CHECK_DIST), "oligo_dedup": (oligo_dedup, _CHECK_OLIGO), "revcomp": (revcomp, _CHECK_RC), "group_reads": (group_reads, _CHECK_GROUPS), "coverage_stats": (coverage_stats, _CHECK_COVERAGE),
+    "exact_match_join": (exact_match_join, _CHECK_EXACT), "unmatched_reads": (unmatched_reads, _CHECK_UNMATCHED)}
+OPS = {k: Op(READS, f, check) for k, (f, check) in _READS.items()} | {
+    "mate_join": Op(("mates",), mate_join, _CHECK_MATES), "clone_filter_pairs": Op(("mates",), clone_pairs, _CHECK_CLONE_PAIRS),
+    "catalog_index": Op(("catalog", "annotations"), catalog_index, _CHECK_INDEX), "catalog_filter_page": Op(("catalog",), catalog_page), "catalog_filter_count": Op(("catalog",), catalog_count), "whitelist_semi": Op(("catalog", "annotations"), whitelist), "blacklist_anti": Op(("catalog", "annotations"), blacklist),
 }
