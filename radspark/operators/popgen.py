@@ -428,7 +428,7 @@ def _linked(d: Dialect) -> dict[str, str]:
 
 def dprime(d):
     """Linkage of biallelic sites of a locus from phased haplotypes: D, D', chi-square, and the four-gamete rule."""
-    return _linked(d), f"SELECT locus, i, j, n, {d.r('dd')} AS d, d_prime, {d.r('n * dd * dd / (fa * (1 - fa) * fb * (1 - fb))', 6)} AS chisq, gametes = 3 AS no_recombination FROM ld"
+    return _linked(d), f"SELECT locus, i, j, n, {d.r('dd')} AS d, d_prime, {d.r('n * dd * dd / (fa * (1 - fa) * fb * (1 - fb))')} AS chisq, gametes = 3 AS no_recombination FROM ld"
 
 
 def dprime_buckets(d):
@@ -443,7 +443,7 @@ _CHECK_LD = """WITH c_h AS (SELECT locus, unnest([h1, h2]) AS h FROM @haps),
   c_f AS (SELECT t.locus, t.i, t.j, max(t.n) AS n, max(gametes) AS gametes, coalesce(sum(c) FILTER (x = a AND y = b), 0) AS ab, sum(c) FILTER (x = a) AS na, sum(c) FILTER (y = b) AS nb FROM c_t t JOIN c_c USING (locus, i, j) GROUP BY t.locus, t.i, t.j),
   c_d AS (SELECT *, (ab * n - na * nb) / (1.0 * n * n) AS dd, na / n AS pa, nb / n AS pb FROM c_f),
   c_ld AS (SELECT *, """ + _r("CASE WHEN dd > 0 THEN dd / least(pa - pa * pb, pb - pa * pb) ELSE -dd / least(pa * pb, 1 - pa - pb + pa * pb) END") + " AS d_prime FROM c_d)"
-_CHECK_DPRIME = _CHECK_LD + f" SELECT locus, i, j, CAST(n AS BIGINT) AS n, {_r('dd')} AS d, d_prime, {_r('n * dd * dd / (pa * (1 - pa) * pb * (1 - pb))', 6)} AS chisq, gametes = 3 AS no_recombination FROM c_ld"
+_CHECK_DPRIME = _CHECK_LD + f" SELECT locus, i, j, CAST(n AS BIGINT) AS n, {_r('dd')} AS d, d_prime, {_r('n * dd * dd / (pa * (1 - pa) * pb * (1 - pb))')} AS chisq, gametes = 3 AS no_recombination FROM c_ld"
 _CHECK_BUCKETS = _CHECK_LD + f" SELECT (j - i) * 20 AS distance, count(*) AS pairs, {_r('avg(d_prime)', 6)} AS mean_d_prime FROM c_ld GROUP BY j - i"
 
 
