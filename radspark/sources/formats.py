@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- lines
 
@@ -30,8 +31,11 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def rows(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """A tab-separated file with # comments; empty fields are null."""
-    return spark.read.csv(path, sep="\t", schema=schema, comment="#", quote="", mode="FAILFAST")
+    """A tab-separated file with # comments; empty and missing fields are null, and what is no number where one is due an error."""
+    fields = T.StructType.fromDDL(schema).fields
+    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    text = spark.read.text(path).where("value <> '' and value not like '#%'")
+    return text.select(*[F.nullif(F.get(cells, F.lit(i)), F.lit("")).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def require(ok: Column, value: Column, message: str) -> Column:
@@ -265,7 +269,8 @@ def locus_genotypes(text: DataFrame, loci: DataFrame) -> DataFrame:
     """Genotypes joined with their locus' sequence (loci: fasta()). Heterozygotes without a phase set count as missing."""
     calls = vcf_calls(text)
     unphased = (F.col("a1") != F.col("a2")) & F.col("ps").isNull() & F.array_contains(F.split("format", ":"), "PS")
-    calls = calls.withColumn("a1", F.when(~unphased | unphased.isNull(), F.col("a1"))).withColumn("a2", F.when(~unphased | unphased.isNull(), F.col("a2")))
+    calls = calls.withColumn("_known", ~F.coalesce(unphased, F.lit(False)))
+    calls = calls.withColumn("a1", F.when(F.col("_known"), F.col("a1"))).withColumn("a2", F.when(F.col("_known"), F.col("a2"))).drop("_known")
     return calls.join(loci.select(F.col("name").alias("chrom"), F.col("seq").alias("consensus"), F.col("comment").alias("about")), "chrom")
 
 

@@ -3,8 +3,7 @@ from collections import Counter
 
 import pytest
 
-from radspark.operators import reads
-from radspark.plans.dialect import Op
+from radspark.operators import assembly, cleaning, kmers, reads
 from radspark.sources import encodings
 
 LONG = "the quick brown fox jumps over a lazy dog and runs away, " * 20
@@ -29,18 +28,16 @@ def test_reads_are_whole(spark, whole):
     want = Counter()
     for r in rows.values():
         want.update(r["seq"][i : i + 15] for i in range(len(r["seq"]) - 14))
-    assert {r["kmer"]: r["n"] for r in reads.OPS["kmer_count"](spark, reads=whole).collect()} == want
+    assert {r["kmer"]: r["n"] for r in kmers.count(whole).collect()} == want
 
 
 def test_quality_windows_of_the_whole_read(spark):
     high, low = chr(48 + 40), chr(48 + 2)
-    rows = [(1, "a", "A" * 700, high * 600 + low * 100), (2, "a", "A" * 5, high * 5), (3, "a", "", ""), (4, "a", "A" * 300, high * 300)]
+    rows = [(1, "a", "A" * 700, high * 600 + low * 100), (2, "a", "A" * 5, high * 5), (3, "a", "", ""), (4, "a", "A" * 300, high * 300), (5, "a", "A" * 100, low * 50 + high * 50)]
     df = spark.createDataFrame(rows, "read_id long, sample string, seq string, qual string")
-    got = {r["read_id"]: (r["cut"], len(r["seq"])) for r in reads.OPS["window_quality_trim"](spark, reads=df).collect()}
-    # a window of m low scores has the mean 40 - 3.8 m, below 20 from m = 6 on
-    assert got == {1: (596, 596), 2: (5, 5), 3: (0, 0), 4: (300, 300)}
-    strict = Op(("reads",), lambda d: reads.quality_trim(d, least=25))(spark, reads=df).collect()
-    assert {r["read_id"]: r["cut"] for r in strict} == {1: 594, 2: 5, 3: 0, 4: 300}
+    got = {r["read_id"]: (r["verdict"], r["cut"]) for r in cleaning.quality_trim(df, window=0.1, least=20, base=48, min_length=3).collect()}
+    # a window of 70 with m low scores has the mean 40 - 38 m / 70, below 20 from m = 37 on
+    assert got == {1: ("retained", 567), 2: ("retained", 5), 3: ("short", None), 4: ("retained", 300), 5: ("low_quality", None)}
 
 
 def test_similarity_of_any_length(spark):
@@ -60,7 +57,7 @@ def test_similarity_of_any_length(spark):
     dist = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
     want = {(i, j, dist(a, b)) for a, i in first.items() for b, j in first.items() if i < j and len(a) == len(b) and dist(a, b) <= 6}
     df = spark.createDataFrame(rows, "read_id long, sample string, seq string")
-    got = reads.OPS["similarity_join_hamming"](spark, reads=df).collect()
+    got = assembly.similar_by_parts(df).collect()
     assert {len(rows[i][2]) for i, _, _ in want} == {1, 3, 6, 7, 8, 20, 60, 64, 100, 1000}
     assert sorted(map(tuple, got)) == sorted(want)
 
@@ -75,4 +72,100 @@ def test_consensus_of_every_column(spark):
         columns = [Counter(s[i] for s in own if len(s) > i) for i in range(max(map(len, own)))]
         want[sample] = "".join(min(c, key=lambda b: (-c[b], b)) for c in columns)
     df = spark.createDataFrame(rows, "read_id long, sample string, seq string")
-    assert {r["sample"]: r["consensus"] for r in reads.OPS["consensus"](spark, reads=df).collect()} == want
+    assert {r["sample"]: r["consensus"] for r in assembly.consensus(df).collect()} == want
+
+
+def test_kmer_filters_by_brute_force(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
+    seqs = [(b[: rng.randint(0, 60)] + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 9)))) for b in base * 8] + ["", "ACGTN" * 5, "A" * 40]
+    rows = [(i, "s", s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "read_id long, sample string, seq string")
+    k = 7
+    cut = lambda s: [s[i : i + k] for i in range(len(s) - k + 1) if set(s[i : i + k]) <= set("ACGT")]
+    count = Counter(x for s in seqs for x in cut(s))
+    assert {r["read_id"]: r["freq"] for r in kmers.frequencies(df, k).collect()} == {i: [count[x] for x in cut(s)] for i, s in enumerate(seqs)}
+
+    def median(v):
+        v, h = sorted(v), len(v) // 2
+        return 0 if not v else (v[h - 1] + v[h]) / 2 if len(v) % 2 == 0 else v[max(0, h - 1)]
+
+    keep = set()
+    for i, s in enumerate(seqs):
+        n = [count[x] for x in cut(s)]
+        bound, run, bad = int(median(n) * 0.5 + 0.5), 0, False
+        for f in range(len(n)):
+            if f >= k:
+                run -= n[f - k + 1] <= bound
+            run += n[f] <= bound
+            bad |= run >= 3
+        if not bad:
+            keep.add(i)
+    assert {r["read_id"] for r in kmers.rare_filter(df, k, 0.5, 3).collect()} == keep
+    seen, kept = Counter(), set()
+    for i, s in enumerate(seqs):
+        if median([seen[x] for x in cut(s)]) <= 2:
+            kept.add(i)
+        seen.update(cut(s))
+    assert {r["read_id"] for r in kmers.normalise(df, k, 2).collect()} == kept
+    assert kmers.frequencies(df.limit(0), k).count() == 0
+
+
+def test_chain_and_adapters():
+    c = cleaning.Checks(min_length=10, enzyme="sbfI", adapter="GATCGGAAGAGC", adapter_kmer=5, adapter_mismatches=1, min_quality=0)
+    site = "TGCAGG"
+    body = "ACGTTACGATTACAGGA"
+    assert cleaning.checked(site + body, "", False, c)[0] == "retained"
+    assert cleaning.checked("TGCATG" + body, "", False, c)[:2] == ("retained", site + body)
+    assert cleaning.checked("TTTATG" + body, "", False, c)[0] == "no_cutsite"
+    assert cleaning.checked(site + "ACN" + body, "", False, c)[0] == "uncalled"
+    assert cleaning.checked(site + body + "GATCGGATGAGC", "", False, c)[0] == "adapter"
+    assert cleaning.checked(site + body + "GATCGG", "", False, c)[0] == "adapter"
+    assert cleaning.checked(site, "", False, c)[0] == "short" and cleaning.checked(site + body, "", True, c)[0] == "chastity"
+    trim = cleaning.Checks(min_length=10, adapter="GATCGGAAGAGC", min_quality=0, trim=True)
+    assert cleaning.checked(body + "GATCGGAAGAGCTT", "", False, trim) == ("retained", body, "")
+
+
+def test_similar_pairs_share_rare_kmers(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(25):
+        s = [rng.choice("ACGT") for _ in range(64)]
+        for v in range(4):
+            t = s.copy()
+            for i in rng.sample(range(64), v):
+                t[i] = rng.choice("ACGT")
+            rows.append((len(rows), v % 2, "".join(t)))
+    df = spark.createDataFrame(rows, "id long, sample int, seq string")
+    dist = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = sorted((s, i, j, dist(a, b)) for i, s, a in rows for j, t, b in rows if i < j and s == t and 1 <= dist(a, b) <= 3)
+    assert sorted(map(tuple, assembly.similar_pairs(df, 3, 64, ["sample"]).collect())) == want
+
+
+def test_catalog_by_order(spark):
+    rows = [("a", 1, "ACGTACGTAC" * 4), ("a", 2, "TTGACCATGA" * 4), ("b", 3, "ACGTACGTAC" * 4), ("b", 4, "TTGACCATGA" * 3 + "TTGACCATGC"), ("c", 5, "TTGACCATGA" * 3 + "TTGACCACGC"), ("c", 6, "GGGTTACAAC" * 4)]
+    df = spark.createDataFrame(rows, "sample string, locus long, seq string")
+    got = sorted((r["catalog"], r["locus"]) for r in assembly.build_catalog(df, 1, 40).collect())
+    assert got == [(1, 1), (1, 3), (2, 2), (2, 4), (2, 5), (6, 6)]
+    assert assembly.build_catalog(df.limit(0)).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    from radspark.operators import graphs
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
+    got = dict(map(tuple, graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {300: 300, 301: 300}
+    assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stream_of_reads(spark, tmp_path):
+    from radspark import streaming
+
+    rows = [(i, "s", "ACGTACGTACGTACGTAC"[i % 3 :], "I" * 5) for i in range(12)]
+    spark.createDataFrame(rows, "read_id long, sample string, seq string, qual string").selectExpr("*", "timestamp'2024-01-01 00:00:00' ts").write.parquet(f"{tmp_path}/in")
+    for name, f in (("clones", streaming.clone_filter), ("kept", streaming.normalise)):
+        q = f(streaming.arriving(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert spark.table("clones").count() == 3
+    assert 0 < spark.table("kept").count() < 12
