@@ -10,7 +10,9 @@ logarithm of the number of documents. One residual of each source is left; a coi
 target by less than one document.
 
 Equal (doc_id, source, size) rows are one class, rounded together; its copies are dealt evenly to its rows.
-Null and empty texts have size 0 and are taken 0 times. Groups are bounded at every level, whatever a source's size.
+Null and empty texts have size 0 and are taken 0 times; a source of such texts alone has target 0, and a table without rows gives none. Of sources
+that reach their stop together all stop at once. However long a text, it is one document of its words. Kept columns come in a struct, so that their
+names don't clash. Groups are bounded at every level, whatever a source's size.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ the shard's earlier blocks.
 
 Blocks hold a bounded number of rows on average (B grows with the table), so no task sorts a whole shard.
 Draws and permutations come from hashes of row values and a seed: reruns agree. Equal rows are interchangeable.
-A null text has size 1 and the checksum of no bytes, 0.
+A null text has size 1 and the checksum of no bytes, 0. Under the law `rows`, the one in force, equal texts are rows like any others: they may come
+into different shards, and only counts are balanced, so a very long text weighs no more than a short one. Rows are told apart by key, checksum and size
+alone, and many rows equal in these meet in one block. A table without rows gives none. Kept columns come in a struct, so that their names don't
+clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ only a token of them is sent, so the rows of a very frequent window are bounded
 
 Windows are judged on the input and compared by 96 bits, two hashes of their words under different multipliers: among 1e13
 windows (some 70 TB of text) a false pair is expected with a chance of 1 in 1000. Null texts have no words. Equal rows
-repeat each other's windows, so both lose them. Sketch cells grow with the corpus up to 2**MAX_BITS a row (64 MB for
+repeat each other's windows, so both lose them. A table without rows gives none; a text longer than a slice is worked on whole. A caller's columns n_words,
+n_removed, kept, kept_sha256, _text, _key or _b are not to be kept under these names; rename them. Sketch cells grow with the corpus up to 2**MAX_BITS a row (64 MB for
 both rows): beyond that more windows pass the prefilter, and the result stays exact.
 """
 

@@ -12,7 +12,8 @@ against each level of the family: of both, the suffixes whose gram the other has
 scanned. Levels of equal size merge, again array with array, so a suffix is merged a logarithmic number of times. Equal
 contexts are one entry of an array.
 
-Texts count as UTF-8 bytes, null as none; matches never cross documents; strings are judged on the input. Equal
+A table without rows gives none; a text longer than a slice is worked on whole. A caller's columns n_bytes, n_removed, n_spans, kept, kept_sha256, _text,
+_key or _b are not to be kept under these names; rename them. Texts count as UTF-8 bytes, null as none; matches never cross documents; strings are judged on the input. Equal
 rows repeat each other's strings. Matches compare bytes, not hashes. A task holds a bucket's distinct contexts
 (368 bytes each); contexts found twice within a flush of a task are settled there and sent once.
 """

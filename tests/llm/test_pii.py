@@ -44,6 +44,20 @@ def test_extra_kinds():
     assert len(got["url"]) == 1 and len(got["account"]) == 1
 
 
+def test_digests(spark):
+    """The digest of the base spans and the list of all, in code points, against the patterns."""
+    import hashlib
+
+    texts = ["é a@b.co, +49 (0) 1234 5678 and 1.2.3.4", "x" * 70_000 + " 4111 1111 1111 1111 é mail b@c.de https://q.io/z", "", None, "1.2.3.4.5 a@b.c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(df).collect():
+        want = brute(texts[r["doc_id"]] or "")
+        names = [f"{k}:{s}:{e}" for k in PATTERNS for s, e in want[k]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert (r["spans"].split(",") if r["spans"] else [])[: len(names)] == names
+        assert [r[f"n_{k}"] for k in PATTERNS] == [len(want[k]) for k in PATTERNS]
+
+
 def test_frame_edge_cases(spark):
     df = spark.createDataFrame([(1, None, "k"), (None, "", "k"), (3, "mail a@b.co now", None), (3, "mail a@b.co now", None), (4, "x " * 200000 + "a@b.co", "k")], "doc_id long, text string, spans string")
     rows = pii.find(df).collect()
