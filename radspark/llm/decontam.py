@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, Slice, U, extended, gram_hashes, inside, mix, n_bytes, prefix_sums, read, row_key, slices, word_hashes, words, written
+from .common import LETTER, LOWER, Slice, U, extended, gram_hashes, inside, mix, n_bytes, prefix_sums, read, row_key, slices, slide, word_hashes, words, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -36,6 +36,7 @@ BITS = 128
 RADIUS = 40
 BLOCKS = 4  # of 32 bits
 PART = 8 << 20
+STRETCH = 1 << 12
 _ALNUM = LETTER.copy()
 _ALNUM[48:58] = True
 
@@ -46,11 +47,31 @@ def word_sums(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return prefix_sums(word_hashes(low, starts, ends)), first
 
 
-def fingerprint(shingle: np.ndarray) -> np.ndarray:
-    """SimHash in blocks: each bit by the weighted majority of the shingles' bits; a tie is 0."""
+def _bits(shingle: np.ndarray) -> np.ndarray:
+    """BITS bits of each shingle."""
     wide = np.stack([shingle, mix(shingle ^ U(0x9E3779B97F4A7C15))], 1)
-    ones = np.unpackbits(wide.view(np.uint8).reshape(len(shingle), BITS // 8), axis=1).sum(0)
-    return np.packbits(2 * ones > len(shingle)).view(np.uint32)
+    return np.unpackbits(wide.view(np.uint8).reshape(len(shingle), BITS // 8), axis=1)
+
+
+def fingerprints(shingle: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """SimHash in blocks, of the stretches of `size` shingles that start at the given places: each bit by the weighted majority of the
+    shingles' bits; a tie is 0. The sums slide along."""
+    total = np.zeros((len(shingle) + 1, BITS), np.int32)
+    np.cumsum(_bits(shingle), axis=0, out=total[1:])
+    return np.packbits(2 * (total[at + size] - total[at]) > size, axis=1).view(np.uint32)
+
+
+def fingerprint(shingle: np.ndarray) -> np.ndarray:
+    return fingerprints(shingle, np.zeros(1, np.int64), len(shingle))[0]
+
+
+def repetitive(shingle: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Which of the stretches hold a shingle twice."""
+    order = np.argsort(shingle, kind="stable")
+    before = np.full(len(shingle), -1)
+    same = shingle[order[1:]] == shingle[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return slide(before, size, np.maximum)[at] >= at
 
 
 class Index:
@@ -58,24 +79,22 @@ class Index:
 
     def __init__(self, prints: np.ndarray) -> None:
         self.prints = prints
-        self.blocks = []
-        for b in range(BLOCKS):
-            value, inv = np.unique(prints[:, b], return_inverse=True)
-            order = np.argsort(inv, kind="stable")
-            self.blocks.append((value, order, np.searchsorted(inv[order], np.arange(len(value) + 1))))
+        self.blocks = [np.unique(prints[:, b], return_inverse=True) for b in range(BLOCKS)]
 
     def looked_at(self, f: np.ndarray) -> np.ndarray:
-        """Items one of whose blocks is within RADIUS // BLOCKS of f's."""
-        mark = np.zeros(len(self.prints), bool)
-        for b, (value, order, start) in enumerate(self.blocks):
-            for v in np.flatnonzero(np.bitwise_count(value ^ f[b]) <= RADIUS // BLOCKS):
-                mark[order[start[v] : start[v + 1]]] = True
-        return np.flatnonzero(mark)
+        """For fingerprints (rows of f), which items have a block within RADIUS // BLOCKS of theirs."""
+        mark = np.zeros((len(f), len(self.prints)), bool)
+        for b, (value, inv) in enumerate(self.blocks):
+            mark |= (np.bitwise_count(value ^ f[:, b, None]) <= RADIUS // BLOCKS)[:, inv.ravel()]
+        return mark
 
-    def near(self, f: np.ndarray) -> set[int]:
-        """All items whose fingerprints differ from f in RADIUS bits at most."""
-        at = self.looked_at(f)
-        return set(at[np.bitwise_count(self.prints[at] ^ f).sum(1) <= RADIUS].tolist())
+    def near(self, f: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row of f, item) of all whose fingerprints differ in RADIUS bits at most."""
+        step = max(1, (1 << 20) // len(self.prints))
+        for a in range(0, len(f), step):
+            row, item = np.nonzero(self.looked_at(f[a : a + step]))
+            ok = np.bitwise_count(self.prints[item] ^ f[a + row]).sum(1) <= RADIUS
+            yield from zip((a + row[ok]).tolist(), item[ok].tolist(), strict=True)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -116,6 +135,15 @@ class Items:
         hit[at] = s[np.minimum(np.searchsorted(s, g[at]), len(s) - 1)] == g[at]
         return hit
 
+    def compared(self, part: np.ndarray, at: np.ndarray, m: int) -> Iterator[tuple[int, int]]:
+        """(window, item) to be compared exactly, in order of the windows: by the lookup, or all where a shingle repeats."""
+        w = max(m - SHINGLE, 0) + 1
+        again = repetitive(part, at, w)
+        pairs = set(self.index[m].near(fingerprints(part, at, w)))
+        pairs |= {(i, item) for i in np.flatnonzero(again).tolist() for item in range(len(self.by_size[m]))}
+        pairs |= {(i, item) for item in self.repetitive.get(m, ()) for i in range(len(at))}
+        return iter(sorted(pairs))
+
     def hits(self, s: Slice, percent: int = PERCENT) -> dict[int, dict[int | None, tuple[float, int, int]]]:
         """Row of the slice -> item -> best similarity, first word and number of words of the window."""
         out: dict[int, dict[int | None, tuple[float, int, int]]] = defaultdict(dict)
@@ -134,14 +162,17 @@ class Items:
                         continue
                     w = m - k + 1
                     least = -(-2 * percent * w // (100 + percent))
-                    for p in np.flatnonzero(count[w:] - count[:-w] >= least):
-                        part = g[lo + p : lo + p + w]
-                        repeats = len(np.unique(part)) < w
-                        for i in range(len(self.by_size[m])) if repeats else self.index[m].near(fingerprint(part)) | self.repetitive.get(m, set()):
-                            item, weights, _ = self.by_size[m][i]
-                            sim = similarity(Counter(part.tolist()), weights)
-                            if 100 * sim >= percent and sim > out[doc].get(item, (0,))[0]:
-                                out[doc][item] = (sim, int(p), m)
+                    places = np.flatnonzero(count[w:] - count[:-w] >= least)
+                    while len(places):  # a stretch at a time, so that a long text needs no more than a short one
+                        some = places[places < places[0] + STRETCH]
+                        places = places[len(some) :]
+                        part = g[lo + some[0] : lo + some[-1] + w]
+                        for i, item in self.compared(part, some - some[0], m):
+                            name, weights, _ = self.by_size[m][item]
+                            window = part[some[i] - some[0] : some[i] - some[0] + w]
+                            sim = similarity(Counter(window.tolist()), weights)
+                            if 100 * sim >= percent and sim > out[doc].get(name, (0,))[0]:
+                                out[doc][name] = (sim, int(some[i]), m)
         return out
 
 
