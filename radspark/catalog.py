@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import export, files, loci, popgen, populations, reads, storage
+from .operators import details, export, files, loci, popgen, populations, reads, storage
 from .plans.dialect import CHECK, Fn, Op
 from .sources import encodings
 
-OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS | files.OPS | loci.OPS | populations.OPS | storage.OPS
+OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS | files.OPS | loci.OPS | populations.OPS | storage.OPS | details.OPS
 
 
 def _query(op: Op | Fn) -> Callable:

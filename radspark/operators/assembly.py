@@ -313,7 +313,7 @@ def build_catalog(loci_: DataFrame, distance: int = 1, length: int = 64) -> Data
     """loci (sample, locus, seq) -> (catalog, sample, locus): samples one after another in order; a locus joins the nearest catalog locus within the distance of
     its sequence (ties: it joins the least, and links them), else it founds one.
 
-    Each sample is a distributed join with the catalog so far, which is a table; the order of samples matters, as it must.
+    Each sample is a distributed join with the catalog so far, which is a table; the order of samples matters, as it must. Locus numbers have 62 bits at most.
     """
     spark = loci_.sparkSession
     samples = [r[0] for r in loci_.select("sample").distinct().orderBy("sample").collect()]  # a row a sample
@@ -325,9 +325,12 @@ def build_catalog(loci_: DataFrame, distance: int = 1, length: int = 64) -> Data
         else:
             same = own.join(known, "seq").groupBy("locus").agg(F.min("catalog").alias("catalog"))
             rest = own.join(same, "locus", "left_anti")
-            both = rest.select(F.col("locus").alias("id"), "seq").withColumn("new", F.lit(True)).unionByName(known.select((-F.col("catalog") - 1).alias("id"), "seq").withColumn("new", F.lit(False)))
-            near = similar_pairs(both.groupBy("id", "seq").agg(F.max("new").alias("new")), distance, length, []).where("a < 0 and b >= 0")
-            near = near.groupBy(F.col("b").alias("locus")).agg(F.min(F.struct("dist", (-F.col("a") - 1).alias("catalog"))).alias("m")).select("locus", F.col("m.catalog").alias("catalog"))
+            # new loci have even numbers here, known ones odd
+            both = rest.select((F.col("locus") * 2).alias("id"), "seq").unionByName(known.select((F.col("catalog") * 2 + 1).alias("id"), "seq"))
+            odd = lambda c: F.col(c).bitwiseAND(1) == 1
+            near = similar_pairs(both.distinct(), distance, length, []).where(odd("a") != odd("b"))
+            near = near.select(F.shiftright(F.when(odd("a"), F.col("b")).otherwise(F.col("a")), 1).alias("locus"), F.shiftright(F.when(odd("a"), F.col("a")).otherwise(F.col("b")), 1).alias("catalog"), "dist")
+            near = near.groupBy("locus").agg(F.min(F.struct("dist", "catalog")).alias("m")).select("locus", F.col("m.catalog").alias("catalog"))
             hit = same.unionByName(near)
             joined = own.join(hit, "locus", "left").select(F.coalesce("catalog", "locus").alias("catalog"), F.lit(s).alias("sample"), "locus", "seq")
         new = joined if members is None else members.unionByName(joined)
