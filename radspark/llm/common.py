@@ -50,11 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.table_path = path
+    return out
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which stay until the driver collects its garbage."""
+def free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which stay until the driver collects its garbage, and removes tables
+    made by written() that nothing will read any more."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    for t in tables:
+        p = jvm.org.apache.hadoop.fs.Path(t.table_path)
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 #: Rows of a written file, so that a round on few vertices doesn't write a file for each shuffle partition.
 FILE_ROWS = 250_000
@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = written(e.union(e.select("y", "x")).distinct(), "edges")
     label = e.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.first("x")).alias("root"))
     label = written(label, "labels")
-    files = 1 + label.count() // FILE_ROWS
+    held, files = label, 1 + label.count() // FILE_ROWS
     while True:
         up = label.select(F.col("v").alias("root"), F.col("root").alias("over"))
         far = label.join(up, "root").select("v", "root", "over")
@@ -33,6 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         told = F.explode(F.array(F.struct(F.col("v"), F.col("root").alias("was"), F.col("low")), F.struct(F.col("root").alias("v"), F.lit(None).cast("long").alias("was"), F.col("near").alias("low"))))
         new = own.select(told.alias("t")).select("t.*").groupBy("v").agg(F.min("low").alias("root"), F.max("was").alias("was"))
         new = written(new.select("v", "root", (F.col("root") < F.col("was")).alias("moved")).coalesce(files), "labels")
-        label = new.select("v", "root")
-        if not new.where("moved").limit(1).count():
+        moved = new.where("moved").limit(1).count()
+        free(e.sparkSession, held, *([] if moved else [e]))
+        held, label = new, new.select("v", "root")
+        if not moved:
             return label

@@ -446,6 +446,7 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     rows = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"), row_key(*key, text).alias("_key"))
     size = n_bytes(docs, text)
     order = frequency_classes(rows, bits(size / 30, 12, MAX_BITS))
+    free(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(order)
     n_buckets = max(16, -(-size // (3 << 20)))
     texts = rows.select("_key", "_text")
@@ -457,12 +458,14 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     # the least class may hide others that a pair shares, so twice the count is granted; what that misses is left to round 2
     near = near.where(_may_link(F.col("count") * 2, "n", "least_n", percent))
     one = near.groupBy(F.col("cls").alias("member")).agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("centre")).select("centre", "member")
-    links = written(_links(written(_stars(one), "tasks1"), rows, reps, shared, percent, PROBES), "links1")
-    free(docs.sparkSession)
+    tasks = written(_stars(one), "tasks1")
+    links = written(_links(tasks, rows, reps, shared, percent, PROBES), "links1")
+    free(docs.sparkSession, tasks)
     root = components(links)
     named = member.join(root, F.col("cls") == F.col("v"), "left").select("token", "cls", "n", "least", F.coalesce("root", "cls").alias("root"))
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
     left = written(named.join(mixed, "token").select("token", "cls", "least", "root", "n", "m"), "mixed")
+    free(docs.sparkSession, member, links)
     many = left.where(F.col("m") > SMALL)
     large = many.groupBy("cls").agg(F.count(F.lit(1)).alias("large"))
     few = left.where(F.col("m") <= SMALL).join(large, "cls", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
@@ -471,8 +474,11 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     two = two.where(_may_link(F.col("count") + F.col("large"), "low", "high", percent)).select("centre", "member")
     pile = components(many.select(F.col("cls").alias("a"), F.col("least").alias("b")))
     pile = many.select("cls", "root").distinct().join(pile, F.col("cls") == F.col("v")).select(pile["root"].alias("pile"), "cls", many["root"])
-    tasks = written(_stars(written(two, "pairs2")).unionByName(_piles(pile)), "tasks2")
+    two = written(two, "pairs2")
+    tasks = written(_stars(two).unionByName(_piles(pile)), "tasks2")
+    free(docs.sparkSession, two, left)
     more = written(_links(tasks, rows, reps, shared, percent), "links2")
+    free(docs.sparkSession, tasks)
     # the stars of the first components stand for its links
     root = components(root.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
     return of, root
