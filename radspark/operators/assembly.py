@@ -1,6 +1,6 @@
 """Loci of samples and the catalog: similar sequences joined, grouped and merged, alleles called, samples matched.
 
-Stacks are (stack, sample, seq, depth): identical reads of a sample. Candidate pairs share k-mers as numbers; a distance decides.
+Piles are (stack, sample, seq, depth): identical reads of a sample. Candidate pairs share k-mers as numbers; a distance decides.
 """
 
 from __future__ import annotations
@@ -161,19 +161,19 @@ def consensus(reads: DataFrame, group: str = "sample", depth: str | None = None)
 # ---------------------------------------------------------------- loci of a sample
 
 
-def lumberjack(stacks: DataFrame, scale: float = 3.0) -> DataFrame:
-    """stacks with `lumberjack`: those deeper than floor(mean + scale * deviation + 1) of their sample, and those one mismatch from such a one."""
-    stat = stacks.groupBy("sample").agg(F.floor(F.avg("depth") + scale * F.stddev_pop("depth") + 1).alias("limit"))
-    deep = stacks.join(F.broadcast(stat), "sample").where("depth > limit").select("sample", F.col("stack").alias("deep"), F.col("seq").alias("other"))  # few, by Chebyshev's rule a ninth at most
-    near = stacks.join(deep, "sample").where(F.length("seq") == F.length("other")).where(hamming(F.col("seq"), F.col("other")) <= 1).select("stack").distinct().withColumn("lumberjack", F.lit(True))
-    return stacks.join(near, "stack", "left").withColumn("lumberjack", F.coalesce("lumberjack", F.lit(False)))
+def lumberjack(piles: DataFrame, scale: float = 3.0) -> DataFrame:
+    """piles with `lumberjack`: those deeper than floor(mean + scale * deviation + 1) of their sample, and those one mismatch from such a one."""
+    stat = piles.groupBy("sample").agg(F.floor(F.avg("depth") + scale * F.stddev_pop("depth") + 1).alias("limit"))
+    deep = piles.join(F.broadcast(stat), "sample").where("depth > limit").select("sample", F.col("stack").alias("deep"), F.col("seq").alias("other"))  # few, by Chebyshev's rule a ninth at most
+    near = piles.join(deep, "sample").where(F.length("seq") == F.length("other")).where(hamming(F.col("seq"), F.col("other")) <= 1).select("stack").distinct().withColumn("lumberjack", F.lit(True))
+    return piles.join(near, "stack", "left").withColumn("lumberjack", F.coalesce("lumberjack", F.lit(False)))
 
 
-def loci(stacks: DataFrame, distance: int = 2, length: int = 64, most: int = 3) -> DataFrame:
-    """(stack, sample, locus, blacklisted): connected stacks of a sample within the distance make a locus (least stack's number); those of more than `most` stacks are blacklisted."""
-    pairs = similar_pairs(stacks.withColumnRenamed("stack", "id"), distance, length, ["sample"])
+def loci(piles: DataFrame, distance: int = 2, length: int = 64, most: int = 3) -> DataFrame:
+    """(stack, sample, locus, blacklisted): connected piles of a sample within the distance make a locus (least stack's number); those of more than `most` piles are blacklisted."""
+    pairs = similar_pairs(piles.withColumnRenamed("stack", "id"), distance, length, ["sample"])
     roots = graphs.components(pairs.select("a", "b"))
-    s = stacks.join(roots, stacks["stack"] == roots["v"], "left").withColumn("locus", F.coalesce("root", "stack"))
+    s = piles.join(roots, piles["stack"] == roots["v"], "left").withColumn("locus", F.coalesce("root", "stack"))
     size = s.groupBy("locus").agg((F.count("*") > most).alias("blacklisted"))
     return s.join(size, "locus").select("stack", "sample", "locus", "blacklisted")
 

@@ -158,10 +158,10 @@ def export_rqtl(spark, haps: DataFrame) -> DataFrame:
     return sinks._by_sample(g.withColumn("col", F.lit(0)).withColumn("block", F.expr(f"locus div {sinks.BLOCK}")), ["sample"], F.when(F.col("genotype") == "--", "-").otherwise(F.col("genotype")), ",")
 
 
-def gapped_secondary(spark, stacks: DataFrame) -> DataFrame:
-    """Shallow stacks, less a base, merged into the locus of their only best gapped alignment."""
-    whole = stacks.where("v = 0").select(F.col("stack").alias("other"), "seq")
-    cut = stacks.where("v > 0 and depth < 4").select(F.col("stack").alias("id"), F.concat(F.substring("seq", 1, 30), F.substring("seq", 32, 64)).alias("seq"))
+def gapped_secondary(spark, piles: DataFrame) -> DataFrame:
+    """Shallow piles, less a base, merged into the locus of their only best gapped alignment."""
+    whole = piles.where("v = 0").select(F.col("stack").alias("other"), "seq")
+    cut = piles.where("v > 0 and depth < 4").select(F.col("stack").alias("id"), F.concat(F.substring("seq", 1, 30), F.substring("seq", 32, 64)).alias("seq"))
     c = assembly.gapped_candidates(cut, whole, 11)
     pairs = c.join(cut.withColumnRenamed("seq", "sb"), "id").join(whole.withColumnRenamed("seq", "sa"), "other")
     return assembly.best_alignments(assembly.aligned_pairs(pairs)).select(F.col("id").alias("read"), F.col("other").alias("locus"), "gaps")
@@ -186,5 +186,5 @@ OPS = {
     "kmer_pairs": Fn(("mates",), kmer_pairs, """WITH c_k AS (SELECT conv_id * 1000 + turn AS id, substr(seq, i, 15) AS k FROM (SELECT *, unnest(range(1, len(seq) - 13)) AS i FROM @mates WHERE len(seq) >= 15) z), c_f AS (SELECT id, count(*) OVER (PARTITION BY k) AS n FROM c_k), c_v AS (SELECT id, count(*) FILTER (n >= 4) <= floor(count(*) * 0.3 + 0.5) AS ok FROM c_f GROUP BY id),
       c_w AS (SELECT conv_id * 1000 + turn AS id, coalesce(ok, true) AS ok FROM @mates LEFT JOIN c_v ON id = conv_id * 1000 + turn) SELECT CASE WHEN a.ok AND b.ok THEN 'paired' WHEN a.ok OR b.ok THEN 'remainder' ELSE 'discards' END AS route, count(*) AS n FROM c_w a JOIN c_w b ON b.id = a.id + 1 WHERE a.id % 2 = 0 GROUP BY ALL"""),
     "snp_union": Fn(CALLS, snp_union, "WITH c_a AS (SELECT locus, col, unnest([a1, a2]) AS a, sample FROM @calls), c_b AS (SELECT locus, col, a, min(sample) >= 6 AS late FROM c_a GROUP BY ALL) SELECT locus, col, string_agg(a, '' ORDER BY late, a) AS bases FROM c_b GROUP BY ALL"),
-    "cross_genotypes": Fn(HAPS, cross_genotypes), "export_joinmap": Fn(HAPS, export_cross), "export_rqtl": Fn(HAPS, export_rqtl), "gapped_secondary": Fn(("stacks",), gapped_secondary),
+    "cross_genotypes": Fn(HAPS, cross_genotypes), "export_joinmap": Fn(HAPS, export_cross), "export_rqtl": Fn(HAPS, export_rqtl), "gapped_secondary": Fn(("piles",), gapped_secondary),
 }

@@ -113,7 +113,7 @@ def parts(vertices: set[int], edges: list[tuple[int, int, int]]) -> list[set[int
 
 
 def cut_partitions(vertices: set[int], tree: list[tuple[int, int, int]]) -> list[list[set[int]]]:
-    """All partitions of a tree's vertices that leaving out some of its edges gives, from whole to single vertices. Trees are those of a locus, of few stacks."""
+    """All partitions of a tree's vertices that leaving out some of its edges gives, from whole to single vertices. Trees are those of a locus, of few piles."""
     out = []
     for mask in range(1 << len(tree)):
         out.append(parts(vertices, [e for i, e in enumerate(tree) if not mask >> i & 1]))

@@ -104,72 +104,72 @@ _CHECK |= {
 # ---------------------------------------------------------------- assembly
 
 
-def _loci_frame(stacks: DataFrame) -> DataFrame:
-    return stacks.select(F.col("v").alias("sample"), F.col("stack").alias("locus"), "seq", "depth")
+def _loci_frame(piles: DataFrame) -> DataFrame:
+    return piles.select(F.col("v").alias("sample"), F.col("stack").alias("locus"), "seq", "depth")
 
 
-def kmer_similarity_join(spark, stacks):
-    return assembly.similar_pairs(stacks.withColumnRenamed("stack", "id"), 2, 64, ["sample"])
+def kmer_similarity_join(spark, piles):
+    return assembly.similar_pairs(piles.withColumnRenamed("stack", "id"), 2, 64, ["sample"])
 
 
-def stack_loci(spark, stacks):
-    return assembly.loci(stacks, distance=1)
+def stack_loci(spark, piles):
+    return assembly.loci(piles, distance=1)
 
 
-def stack_trees(spark, stacks):
-    pairs = assembly.similar_pairs(stacks.withColumnRenamed("stack", "id"), 2, 64, ["sample"]).withColumn("locus", F.floor(F.col("a") / 4).cast("long"))
+def stack_trees(spark, piles):
+    pairs = assembly.similar_pairs(piles.withColumnRenamed("stack", "id"), 2, 64, ["sample"]).withColumn("locus", F.floor(F.col("a") / 4).cast("long"))
     return assembly.spanning_trees(pairs).groupBy("locus").agg(F.count("*").alias("edges"), F.sum("dist").alias("weight"), F.sum(F.col("cut").cast("int")).alias("cut"))
 
 
-def lumberjack(spark, stacks):
-    return assembly.lumberjack(stacks).where("lumberjack").select("stack", "sample", "depth")
+def lumberjack(spark, piles):
+    return assembly.lumberjack(piles).where("lumberjack").select("stack", "sample", "depth")
 
 
-def secondary_merge(spark, stacks):
-    return assembly.secondary_matches(stacks.where("depth >= 3"), stacks.where("depth < 3").withColumnRenamed("stack", "read"), 4)
+def secondary_merge(spark, piles):
+    return assembly.secondary_matches(piles.where("depth >= 3"), piles.where("depth < 3").withColumnRenamed("stack", "read"), 4)
 
 
-def _members(stacks: DataFrame) -> DataFrame:
-    return stacks.select(F.col("g").alias("locus"), "seq", "depth")
+def _members(piles: DataFrame) -> DataFrame:
+    return piles.select(F.col("g").alias("locus"), "seq", "depth")
 
 
-def locus_consensus(spark, stacks):
-    return assembly.consensus(stacks.withColumn("g", F.col("g").cast("long")), "g", "depth").withColumnRenamed("g", "locus")
+def locus_consensus(spark, piles):
+    return assembly.consensus(piles.withColumn("g", F.col("g").cast("long")), "g", "depth").withColumnRenamed("g", "locus")
 
 
-def locus_snps(spark, stacks):
-    t = assembly.locus_snps(_members(stacks))
+def locus_snps(spark, piles):
+    t = assembly.locus_snps(_members(piles))
     return t.where("type <> 'O' or rank_2 is not null").select("locus", "col", "type", (F.floor(F.col("lratio") * 1e5 + 0.5) / 1e5).alias("lratio"), "rank_1", "rank_2")
 
 
-def locus_alleles(spark, stacks):
-    m = _members(stacks)
+def locus_alleles(spark, piles):
+    m = _members(piles)
     return assembly.locus_alleles(m, assembly.locus_snps(m))
 
 
-def catalog_matches(spark, stacks):
+def catalog_matches(spark, piles):
     """Sample loci matched to the catalog that the samples build, by sequence."""
-    own = _loci_frame(stacks).withColumn("allele", F.lit("consensus"))
+    own = _loci_frame(piles).withColumn("allele", F.lit("consensus"))
     catalog = own.groupBy("seq").agg(F.min("locus").alias("locus"))
     return assembly.one_to_one(assembly.exact_matches(own, catalog)).select("catalog", "sample", "locus", "depth")
 
 
-def catalog_build(spark, stacks):
-    return assembly.build_catalog(_loci_frame(stacks), distance=1).groupBy("catalog").agg(F.count("*").alias("loci"), F.array_join(F.array_sort(F.collect_list(F.col("locus").cast("long"))).cast("array<string>"), ",").alias("members"))
+def catalog_build(spark, piles):
+    return assembly.build_catalog(_loci_frame(piles), distance=1).groupBy("catalog").agg(F.count("*").alias("loci"), F.array_join(F.array_sort(F.collect_list(F.col("locus").cast("long"))).cast("array<string>"), ",").alias("members"))
 
 
-def gapped_join(spark, stacks):
+def gapped_join(spark, piles):
     """Each second variant, less a base, aligned with the loci it shares most k-mers with."""
-    whole = stacks.where("v = 0").select(F.col("stack").alias("other"), "seq")
-    cut = stacks.where("v = 1").select(F.col("stack").alias("id"), F.concat(F.substring("seq", 1, 40), F.substring("seq", 42, 64)).alias("seq"))
+    whole = piles.where("v = 0").select(F.col("stack").alias("other"), "seq")
+    cut = piles.where("v = 1").select(F.col("stack").alias("id"), F.concat(F.substring("seq", 1, 40), F.substring("seq", 42, 64)).alias("seq"))
     c = assembly.gapped_candidates(cut, whole, 11)
     pairs = c.join(cut.withColumnRenamed("seq", "sb"), "id").join(whole.withColumnRenamed("seq", "sa"), "other")
     return assembly.best_alignments(assembly.aligned_pairs(pairs)).select("id", "other", "gaps", "dist")
 
 
-def locus_contigs(spark, stacks):
+def locus_contigs(spark, piles):
     """Reads of 40 letters along each locus, put together again."""
-    reads = stacks.where("v = 0").select(F.col("g").alias("locus"), F.explode(F.array(*[F.substring("seq", 1 + 8 * i, 40) for i in range(4)] * 2)).alias("seq"))
+    reads = piles.where("v = 0").select(F.col("g").alias("locus"), F.explode(F.array(*[F.substring("seq", 1 + 8 * i, 40) for i in range(4)] * 2)).alias("seq"))
     return assembly.contigs(reads, 15, 2).select("locus", "contig")
 
 
@@ -177,21 +177,21 @@ def phased_haplotypes(spark, bases):
     return assembly.phased(bases).groupBy("locus", "status").agg(F.count("*").alias("samples"))
 
 
-_NEAR = "c_p AS (SELECT x.sample, x.stack AS a, y.stack AS b, hamming(x.seq, y.seq) AS dist FROM @stacks x JOIN @stacks y ON x.sample = y.sample AND x.g = y.g AND x.stack < y.stack)"
-_LONG = "c_b AS (SELECT g AS locus, i - 1 AS col, seq[i] AS b, CAST(sum(depth) AS BIGINT) AS c FROM @stacks, unnest(range(1, 65)) AS u(i) GROUP BY ALL), c_r AS (SELECT *, row_number() OVER (PARTITION BY locus, col ORDER BY c DESC, b) AS k FROM c_b), c_t AS (SELECT locus, col, sum(c) AS n, max(c) FILTER (k = 1) AS c1, coalesce(max(c) FILTER (k = 2), 0) AS c2, max(b) FILTER (k = 1) AS b1, max(b) FILTER (k = 2) AS b2 FROM c_r GROUP BY ALL), c_l AS (SELECT *, 2 * (c1 * ln(c1 / n) + coalesce((n - c1) * ln(nullif(n - c1, 0) / (3 * n)), 0) - (c1 + c2) * ln((c1 + c2) / (2 * n)) - coalesce((n - c1 - c2) * ln(nullif(n - c1 - c2, 0) / (2 * n)), 0)) AS lr FROM c_t)"
+_NEAR = "c_p AS (SELECT x.sample, x.stack AS a, y.stack AS b, hamming(x.seq, y.seq) AS dist FROM @piles x JOIN @piles y ON x.sample = y.sample AND x.g = y.g AND x.stack < y.stack)"
+_LONG = "c_b AS (SELECT g AS locus, i - 1 AS col, seq[i] AS b, CAST(sum(depth) AS BIGINT) AS c FROM @piles, unnest(range(1, 65)) AS u(i) GROUP BY ALL), c_r AS (SELECT *, row_number() OVER (PARTITION BY locus, col ORDER BY c DESC, b) AS k FROM c_b), c_t AS (SELECT locus, col, sum(c) AS n, max(c) FILTER (k = 1) AS c1, coalesce(max(c) FILTER (k = 2), 0) AS c2, max(b) FILTER (k = 1) AS b1, max(b) FILTER (k = 2) AS b2 FROM c_r GROUP BY ALL), c_l AS (SELECT *, 2 * (c1 * ln(c1 / n) + coalesce((n - c1) * ln(nullif(n - c1, 0) / (3 * n)), 0) - (c1 + c2) * ln((c1 + c2) / (2 * n)) - coalesce((n - c1 - c2) * ln(nullif(n - c1 - c2, 0) / (2 * n)), 0)) AS lr FROM c_t)"
 _CHECK |= {
     "kmer_similarity_join": f"WITH {_NEAR} SELECT sample, a, b, CAST(dist AS INT) AS dist FROM c_p WHERE dist BETWEEN 1 AND 2",
     "similarity_join_hamming": "WITH c_u AS (SELECT seq, min(read_id) AS id FROM @reads WHERE len(seq) > 0 GROUP BY seq) SELECT a.id AS id1, b.id AS id2, CAST(hamming(a.seq, b.seq) AS INT) AS dist FROM c_u a JOIN c_u b ON len(a.seq) = len(b.seq) AND a.id < b.id WHERE hamming(a.seq, b.seq) <= 6",
-    "stack_loci": f"WITH {_NEAR}, c_e AS (SELECT a, b FROM c_p WHERE dist = 1 UNION ALL SELECT b, a FROM c_p WHERE dist = 1), c_w AS (SELECT stack AS v, stack AS r FROM @stacks UNION SELECT e.b, w.r FROM c_w w JOIN c_e e ON w.v = e.a), c_m AS (SELECT v, min(r) AS locus FROM c_w GROUP BY v) SELECT stack, sample, c_m.locus, count(*) OVER (PARTITION BY c_m.locus) > 3 AS blacklisted FROM @stacks JOIN c_m ON c_m.v = stack",
-    "stack_trees": "WITH c_n AS (SELECT g AS locus, count(*) AS n, count(*) FILTER (v = 0) AS hub FROM @stacks GROUP BY g HAVING count(*) > 1) SELECT locus, n - 1 AS edges, CAST(CASE WHEN hub > 0 THEN n - 1 ELSE 2 * (n - 1) END AS BIGINT) AS weight, CAST(CASE WHEN hub > 0 THEN 0 ELSE n - 1 END AS BIGINT) AS cut FROM c_n",
-    "lumberjack": "WITH c_s AS (SELECT sample, floor(avg(depth) + 3 * stddev_pop(depth) + 1) AS lim FROM @stacks GROUP BY sample), c_d AS (SELECT s.* FROM @stacks s JOIN c_s USING (sample) WHERE depth > lim) SELECT s.stack, s.sample, s.depth FROM @stacks s WHERE EXISTS (SELECT 1 FROM c_d d WHERE d.sample = s.sample AND hamming(d.seq, s.seq) <= 1)",
-    "secondary_merge": "WITH c_p AS (SELECT r.sample, r.stack AS read, p.stack, hamming(r.seq, p.seq) AS dist FROM @stacks r JOIN @stacks p ON r.sample = p.sample WHERE r.depth < 3 AND p.depth >= 3 AND hamming(r.seq, p.seq) <= 4), c_m AS (SELECT *, rank() OVER (PARTITION BY sample, read ORDER BY dist) AS k FROM c_p) SELECT sample, read, any_value(stack) AS stack, CAST(any_value(dist) AS INT) AS dist FROM c_m WHERE k = 1 GROUP BY sample, read HAVING count(*) = 1",
+    "stack_loci": f"WITH {_NEAR}, c_e AS (SELECT a, b FROM c_p WHERE dist = 1 UNION ALL SELECT b, a FROM c_p WHERE dist = 1), c_w AS (SELECT stack AS v, stack AS r FROM @piles UNION SELECT e.b, w.r FROM c_w w JOIN c_e e ON w.v = e.a), c_m AS (SELECT v, min(r) AS locus FROM c_w GROUP BY v) SELECT stack, sample, c_m.locus, count(*) OVER (PARTITION BY c_m.locus) > 3 AS blacklisted FROM @piles JOIN c_m ON c_m.v = stack",
+    "stack_trees": "WITH c_n AS (SELECT g AS locus, count(*) AS n, count(*) FILTER (v = 0) AS hub FROM @piles GROUP BY g HAVING count(*) > 1) SELECT locus, n - 1 AS edges, CAST(CASE WHEN hub > 0 THEN n - 1 ELSE 2 * (n - 1) END AS BIGINT) AS weight, CAST(CASE WHEN hub > 0 THEN 0 ELSE n - 1 END AS BIGINT) AS cut FROM c_n",
+    "lumberjack": "WITH c_s AS (SELECT sample, floor(avg(depth) + 3 * stddev_pop(depth) + 1) AS lim FROM @piles GROUP BY sample), c_d AS (SELECT s.* FROM @piles s JOIN c_s USING (sample) WHERE depth > lim) SELECT s.stack, s.sample, s.depth FROM @piles s WHERE EXISTS (SELECT 1 FROM c_d d WHERE d.sample = s.sample AND hamming(d.seq, s.seq) <= 1)",
+    "secondary_merge": "WITH c_p AS (SELECT r.sample, r.stack AS read, p.stack, hamming(r.seq, p.seq) AS dist FROM @piles r JOIN @piles p ON r.sample = p.sample WHERE r.depth < 3 AND p.depth >= 3 AND hamming(r.seq, p.seq) <= 4), c_m AS (SELECT *, rank() OVER (PARTITION BY sample, read ORDER BY dist) AS k FROM c_p) SELECT sample, read, any_value(stack) AS stack, CAST(any_value(dist) AS INT) AS dist FROM c_m WHERE k = 1 GROUP BY sample, read HAVING count(*) = 1",
     "locus_consensus": f"WITH {_LONG} SELECT locus, string_agg(b1, '' ORDER BY col) AS consensus FROM c_t GROUP BY locus",
     "locus_snps": f"WITH {_LONG} SELECT locus, CAST(col AS INT) AS col, CASE WHEN lr <= -3.84 THEN 'E' WHEN lr >= 3.84 THEN 'O' ELSE 'U' END AS type, floor(lr * 1e5 + 0.5) / 1e5 AS lratio, b1 AS rank_1, b2 AS rank_2 FROM c_l WHERE lr < 3.84 OR b2 IS NOT NULL",
-    "locus_alleles": f"WITH {_LONG}, c_h AS (SELECT locus, list(col ORDER BY col) AS cols, list(b1 || b2 ORDER BY col) AS two FROM c_l WHERE lr <= -3.84 GROUP BY locus), c_a AS (SELECT locus, depth, [seq[c + 1] FOR c IN cols] AS h, two FROM @stacks JOIN c_h ON locus = g) SELECT locus, array_to_string(h, '') AS haplotype, CAST(sum(depth) AS BIGINT) AS count FROM c_a WHERE list_bool_and([contains(two[i], h[i]) FOR i IN range(1, len(h) + 1)]) GROUP BY ALL",
-    "catalog_matches": "WITH c_c AS (SELECT *, min(stack) OVER (PARTITION BY seq) AS catalog FROM @stacks), c_n AS (SELECT *, count(DISTINCT stack) OVER (PARTITION BY v, catalog) AS k FROM c_c) SELECT catalog, v AS sample, stack AS locus, depth FROM c_n WHERE k = 1",
+    "locus_alleles": f"WITH {_LONG}, c_h AS (SELECT locus, list(col ORDER BY col) AS cols, list(b1 || b2 ORDER BY col) AS two FROM c_l WHERE lr <= -3.84 GROUP BY locus), c_a AS (SELECT locus, depth, [seq[c + 1] FOR c IN cols] AS h, two FROM @piles JOIN c_h ON locus = g) SELECT locus, array_to_string(h, '') AS haplotype, CAST(sum(depth) AS BIGINT) AS count FROM c_a WHERE list_bool_and([contains(two[i], h[i]) FOR i IN range(1, len(h) + 1)]) GROUP BY ALL",
+    "catalog_matches": "WITH c_c AS (SELECT *, min(stack) OVER (PARTITION BY seq) AS catalog FROM @piles), c_n AS (SELECT *, count(DISTINCT stack) OVER (PARTITION BY v, catalog) AS k FROM c_c) SELECT catalog, v AS sample, stack AS locus, depth FROM c_n WHERE k = 1",
     "gapped_join": None, "catalog_build": None, "phased_haplotypes": None,
-    "locus_contigs": "SELECT g AS locus, seq AS contig FROM @stacks WHERE v = 0",
+    "locus_contigs": "SELECT g AS locus, seq AS contig FROM @piles WHERE v = 0",
     "consensus": "WITH c_b AS (SELECT sample, i, substr(seq, i, 1) AS b, count(*) AS c FROM @reads, unnest(range(1, len(seq) + 1)) AS u(i) GROUP BY ALL), c_1 AS (SELECT sample, i, arg_max(b, (c, -ord(b))) AS b FROM c_b GROUP BY ALL) SELECT sample, string_agg(b, '' ORDER BY i) AS consensus FROM c_1 GROUP BY sample",
 }
 
@@ -253,15 +253,15 @@ _CHECK |= {
     "genotypes_low": None, "genotypes_high": None, "guo_thompson": None, "segregation_chisq": None, "kmer_normalise": None,
 }
 
-READS, STACKS, DEPTHS, HAPS = ("reads",), ("stacks",), ("depths",), ("haps",)
+READS, PILES, DEPTHS, HAPS = ("reads",), ("piles",), ("depths",), ("haps",)
 _RUN = {
     "kmer_count": (READS, lambda spark, reads: kmers.count(reads)), "kmer_hist": (READS, lambda spark, reads: kmers.histogram(reads)), "kmer_spread": (READS, lambda spark, reads: kmers.spread(reads)), "kmer_abundant_filter": (READS, lambda spark, reads: kmers.abundant_filter(reads, max_k_freq=5)),
     "kmer_rare_filter": (READS, lambda spark, reads: kmers.rare_filter(reads)), "kmer_median": (READS, lambda spark, reads: kmers.medians(reads)), "kmer_normalise": (READS, lambda spark, reads: kmers.normalise(reads)),
     "qc_chain": (READS, qc_chain), "short_reads_chain": (READS, short_reads_chain), "window_quality_trim": (READS, window_quality_trim), "barcode_rescue": (("barcodes",), barcode_rescue), "unknown_barcodes": (("barcodes",), unknown_barcodes),
     "transposed_pairs": (("mates",), transposed_pairs), "paired_routes": (("mates",), paired_routes), "pcr_dups": (("alignments",), pcr_dups),
-    "similarity_join_hamming": (READS, lambda spark, reads: assembly.similar_by_parts(reads)), "consensus": (READS, lambda spark, reads: assembly.consensus(reads)), "kmer_similarity_join": (STACKS, kmer_similarity_join), "stack_loci": (STACKS, stack_loci), "stack_trees": (STACKS, stack_trees),
-    "lumberjack": (STACKS, lumberjack), "secondary_merge": (STACKS, secondary_merge), "locus_consensus": (STACKS, locus_consensus), "locus_snps": (STACKS, locus_snps), "locus_alleles": (STACKS, locus_alleles), "catalog_matches": (STACKS, catalog_matches),
-    "catalog_build": (STACKS, catalog_build), "gapped_join": (STACKS, gapped_join), "locus_contigs": (STACKS, locus_contigs), "phased_haplotypes": (("bases",), phased_haplotypes),
+    "similarity_join_hamming": (READS, lambda spark, reads: assembly.similar_by_parts(reads)), "consensus": (READS, lambda spark, reads: assembly.consensus(reads)), "kmer_similarity_join": (PILES, kmer_similarity_join), "stack_loci": (PILES, stack_loci), "stack_trees": (PILES, stack_trees),
+    "lumberjack": (PILES, lumberjack), "secondary_merge": (PILES, secondary_merge), "locus_consensus": (PILES, locus_consensus), "locus_snps": (PILES, locus_snps), "locus_alleles": (PILES, locus_alleles), "catalog_matches": (PILES, catalog_matches),
+    "catalog_build": (PILES, catalog_build), "gapped_join": (PILES, gapped_join), "locus_contigs": (PILES, locus_contigs), "phased_haplotypes": (("bases",), phased_haplotypes),
     "genotypes_low": (DEPTHS, genotypes_low), "genotypes_high": (DEPTHS, genotypes_high), "guo_thompson": (HAPS, guo_thompson), "cross_markers": (HAPS, cross_markers), "segregation_chisq": (HAPS, segregation),
 }
 OPS = {name: Fn(inputs, run, _CHECK[name]) for name, (inputs, run) in _RUN.items()}

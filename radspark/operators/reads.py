@@ -32,11 +32,11 @@ def group_reads(d):
 
 
 def coverage_stats(d):
-    """Depth of a sample's stacks; the deviation is that of all of them."""
-    return {"c": "SELECT sample, seq, count(*) AS n FROM @reads GROUP BY sample, seq"}, f"SELECT sample, count(*) AS stacks, max(n) AS max_depth, sum(n) AS depth, {d.r('avg(1E0 * n)')} AS mean_depth, {d.r('sqrt(greatest(0E0, sum(n * n) / (1E0 * count(*)) - avg(1E0 * n) * avg(1E0 * n)))', 5)} AS sd FROM c GROUP BY sample"
+    """Depth of a sample's piles; the deviation is that of all of them."""
+    return {"c": "SELECT sample, seq, count(*) AS n FROM @reads GROUP BY sample, seq"}, f"SELECT sample, count(*) AS piles, max(n) AS max_depth, sum(n) AS depth, {d.r('avg(1E0 * n)')} AS mean_depth, {d.r('sqrt(greatest(0E0, sum(n * n) / (1E0 * count(*)) - avg(1E0 * n) * avg(1E0 * n)))', 5)} AS sd FROM c GROUP BY sample"
 
 
-_CHECK_COVERAGE = f"WITH c_c AS (SELECT sample, seq, count(*) AS n FROM @reads GROUP BY ALL) SELECT sample, count(*) AS stacks, max(n) AS max_depth, CAST(sum(n) AS BIGINT) AS depth, floor(avg(n) * 1e9 + 0.5) / 1e9 AS mean_depth, floor(stddev_pop(n) * 1e5 + 0.5) / 1e5 AS sd FROM c_c GROUP BY sample"
+_CHECK_COVERAGE = f"WITH c_c AS (SELECT sample, seq, count(*) AS n FROM @reads GROUP BY ALL) SELECT sample, count(*) AS piles, max(n) AS max_depth, CAST(sum(n) AS BIGINT) AS depth, floor(avg(n) * 1e9 + 0.5) / 1e9 AS mean_depth, floor(stddev_pop(n) * 1e5 + 0.5) / 1e5 AS sd FROM c_c GROUP BY sample"
 
 
 def exact_match_join(d):

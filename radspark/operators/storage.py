@@ -114,10 +114,10 @@ def chromosome_index(spark, positions):
     return positions.groupBy("chr").agg(F.count("*").alias("loci"), F.min("bp").alias("first"), F.max("bp").alias("last"))
 
 
-def tag_index(spark, stacks):
+def tag_index(spark, piles):
     """A sample's loci with depth and catalog locus."""
-    s = stacks.groupBy(F.col("v").alias("sample"), F.col("stack").alias("locus")).agg(F.sum("depth").alias("depth"), F.min("seq").alias("seq"))
-    catalog = stacks.groupBy("seq").agg(F.min("stack").alias("catalog"))
+    s = piles.groupBy(F.col("v").alias("sample"), F.col("stack").alias("locus")).agg(F.sum("depth").alias("depth"), F.min("seq").alias("seq"))
+    catalog = piles.groupBy("seq").agg(F.min("stack").alias("catalog"))
     return s.join(catalog, "seq", "left").select("sample", "locus", "depth", "catalog")
 
 
@@ -153,7 +153,7 @@ def _checks() -> dict[str, str]:
           (SELECT string_agg(least(h1, h2) || '/' || greatest(h1, h2), ',' ORDER BY sample) FROM @haps h WHERE h.locus = g.locus) AS genotypes FROM c_pg g""",
         "genotype_corrections": "SELECT locus, sample, CASE WHEN (locus + sample) % 7 = 0 THEN h1 || '/' || h1 ELSE least(h1, h2) || '/' || greatest(h1, h2) END AS genotype, (locus + sample) % 7 = 0 AND h1 <> h2 AS corrected FROM @haps",
         "chromosome_index": "SELECT DISTINCT chr, count(*) OVER w AS loci, min(bp) OVER w AS first, max(bp) OVER w AS last FROM @positions WINDOW w AS (PARTITION BY chr)",
-        "tag_index": "SELECT v AS sample, stack AS locus, depth, min(stack) OVER (PARTITION BY seq) AS catalog FROM @stacks",
+        "tag_index": "SELECT v AS sample, stack AS locus, depth, min(stack) OVER (PARTITION BY seq) AS catalog FROM @piles",
         "fst_matrix": popgen._CHECK_PAIRS + f", c_mm AS (SELECT pop1, pop2, {popgen._r('avg(amova_fst)')} AS m FROM c_value GROUP BY ALL), c_bb AS (SELECT pop1 AS pop, pop2 AS o, m FROM c_mm UNION ALL SELECT pop2, pop1, m FROM c_mm) SELECT pop, max(m) FILTER (o = 0) AS pop_0, max(m) FILTER (o = 1) AS pop_1, max(m) FILTER (o = 2) AS pop_2 FROM c_bb GROUP BY pop",
         "locus_view": popgen._CHECK_SITE + f""", c_lv AS (SELECT locus, pop, avg(pi) AS pi, avg(1 - obs_het / pi) FILTER (pi > 0) AS fis FROM c_site GROUP BY ALL), c_hh AS (SELECT locus, pop, h, count(*) AS k FROM (SELECT locus, pop, unnest([h1, h2]) AS h FROM @haps) z WHERE NOT contains(h, 'N') GROUP BY ALL),
           c_gd AS (SELECT locus, pop, count(*) AS haplotypes, {popgen._r('1 - sum(k * (k - 1)) / (sum(k) * (sum(k) - 1))')} AS gene_diversity FROM c_hh GROUP BY ALL HAVING sum(k) > 1) SELECT locus, pop, {popgen._r('pi', 7)} AS pi, {popgen._r('fis', 7)} AS fis, haplotypes, gene_diversity FROM c_lv JOIN c_gd USING (locus, pop)""",
@@ -163,6 +163,6 @@ def _checks() -> dict[str, str]:
 _CHECK = _checks()
 OPS = {
     "catalog_locus_index": Fn(POSITIONS, lambda spark, calls, haps, positions, annotations: index(calls, haps, positions, annotations), _CHECK["catalog_locus_index"]), "catalog_nested_page": Fn(POSITIONS, nested_page, _CHECK["catalog_nested_page"]),
-    "genotype_corrections": Fn(("haps",), genotype_corrections, _CHECK["genotype_corrections"]), "chromosome_index": Fn(("positions",), chromosome_index, _CHECK["chromosome_index"]), "tag_index": Fn(("stacks",), tag_index, _CHECK["tag_index"]),
+    "genotype_corrections": Fn(("haps",), genotype_corrections, _CHECK["genotype_corrections"]), "chromosome_index": Fn(("positions",), chromosome_index, _CHECK["chromosome_index"]), "tag_index": Fn(("piles",), tag_index, _CHECK["tag_index"]),
     "fst_matrix": Fn(("calls",), fst_matrix, _CHECK["fst_matrix"]), "locus_view": Fn(("calls", "haps"), locus_view, _CHECK["locus_view"]),
 }

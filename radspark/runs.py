@@ -61,7 +61,7 @@ def kmer_filter(reads: DataFrame, k: int = kmers.K, rare: bool = True, abundant:
 
 
 def assemble(reads: DataFrame, depth: int = 3, distance: int = 2, secondary: int | None = None, most: int = 3) -> dict[str, DataFrame]:
-    """Loci of each sample: identical reads make stacks, near stacks loci, other reads join their only nearest stack; with consensus, SNPs and alleles."""
+    """Loci of each sample: identical reads make piles, near piles loci, other reads join their only nearest stack; with consensus, SNPs and alleles."""
     length = int(reads.agg(F.max(F.length("seq"))).first()[0] or 0)
     g = reads.groupBy("sample", "seq").agg(F.count("*").alias("depth"), F.shiftrightunsigned(F.xxhash64("sample", "seq"), 2).alias("stack"))
     primary, rest = g.where(F.col("depth") >= depth), g.where(F.col("depth") < depth).withColumnRenamed("stack", "read")

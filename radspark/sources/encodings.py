@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.dialect import SPARK, Dialect
 
-TABLES = {"popmap": ("supplier",), "calls": ("lineitem",), "depths": ("lineitem",), "haps": ("lineitem",), "positions": ("lineitem",), "loci": ("lineitem",), "alignments": ("customer",), "names": ("customer",), "stacks": ("customer",), "bases": ("lineitem",), "numbers": ("part",), "cigars": ("lineitem",), "sites": ("events",), "reads": ("documents",), "mates": ("conversations",), "barcodes": ("customer",), "catalog": ("part",), "annotations": ("supplier",)}
+TABLES = {"popmap": ("supplier",), "calls": ("lineitem",), "depths": ("lineitem",), "haps": ("lineitem",), "positions": ("lineitem",), "loci": ("lineitem",), "alignments": ("customer",), "names": ("customer",), "piles": ("customer",), "bases": ("lineitem",), "numbers": ("part",), "cigars": ("lineitem",), "sites": ("events",), "reads": ("documents",), "mates": ("conversations",), "barcodes": ("customer",), "catalog": ("part",), "annotations": ("supplier",)}
 
 
 def _alt(d: Dialect, j: int) -> str:
@@ -49,7 +49,7 @@ def encodings(d: Dialect) -> dict[str, str]:
             {d.div('c_custkey', '4')} * 40 + c_custkey % 2 * 300 AS pos, cast(c_nationkey * 2 as int) AS mapq, translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, md5(c_name) AS qual FROM @customer) c""",
         "names": f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('M', cast(c_nationkey as varchar(9)), ':', cast(c_custkey as varchar(20)), ':FC:', cast(c_custkey % 8 as varchar(9)), ':11:', cast(c_custkey * 3 as varchar(20)), ':', cast(c_custkey * 5 as varchar(20)), ' ', cast(1 + c_custkey % 2 as varchar(9)), ':', CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END, ':0:ACGT')
           WHEN c_custkey % 3 = 1 THEN concat('H', cast(c_nationkey as varchar(9)), ':', cast(c_custkey % 8 as varchar(9)), ':12:', cast(c_custkey as varchar(20)), ':7#GG/', cast(1 + c_custkey % 2 as varchar(9))) ELSE c_name END AS name FROM @customer""",
-        "stacks": f"""SELECT stack, cast(g % 3 as int) AS sample, g, v, depth, CASE WHEN v = 0 THEN b ELSE concat(substring(b, 1, cast(spot - 1 as int)), translate(substring(b, cast(spot as int), 1), 'ACGT', 'CGTA'), substring(b, cast(spot + 1 as int), 64)) END AS seq
+        "piles": f"""SELECT stack, cast(g % 3 as int) AS sample, g, v, depth, CASE WHEN v = 0 THEN b ELSE concat(substring(b, 1, cast(spot - 1 as int)), translate(substring(b, cast(spot as int), 1), 'ACGT', 'CGTA'), substring(b, cast(spot + 1 as int), 64)) END AS seq
           FROM (SELECT c_custkey AS stack, {d.div('c_custkey', '4')} AS g, cast(c_custkey % 4 as int) AS v, 10 * (c_custkey % 4) + {d.div('c_custkey', '4')} % 7 AS spot, c_nationkey % 9 + 1 + CASE WHEN c_custkey % 97 = 0 THEN 500 ELSE 0 END AS depth,
             translate(concat(md5(cast({d.div('c_custkey', '4')} as varchar(20))), md5(concat('s', cast({d.div('c_custkey', '4')} as varchar(20))))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS b FROM @customer) c""",
         "bases": f"""SELECT c.locus, c.sample, c.col, c.a1, c.a2, r.read, CASE WHEN r.read % 2 = 0 THEN c.a1 ELSE c.a2 END AS base FROM ({calls}) c JOIN (SELECT 0 AS read UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) r ON r.read >= c.col - 1 AND r.read <= c.col + 2""",
