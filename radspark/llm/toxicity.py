@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, U, extended, mix, prefix_sums, read, slices, stretch_hashes, words
+from .common import LETTER, LOWER, U, by_bucket, extended, mix, prefix_sums, read, slices, stretch_hashes, words, written
 
 BITS = 20
+SEGMENT = 14  # log2 of the words whose counts travel together
 DRIFT = 0.35
 Z_MOST = 3.0
 SIGNIFICANT = 3.0  # -ln p from which a segment counts
@@ -56,7 +57,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (0, 1):
             n[k] += np.bincount(seen[y == k] & ((1 << BITS) - 1), minlength=1 << BITS)
     at = np.flatnonzero(n.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0][at]), pa.array(n[1][at])], names=["w", "n0", "n1"])
+    rows = [(seg, at[i].astype(np.uint32).tobytes() + n[:, at[i]].astype(np.int32).tobytes()) for seg, i in by_bucket(at >> SEGMENT)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["seg", "data"])
+
+
+def _added(t: pa.Table) -> pa.Table:
+    seg = t.column("seg")[0].as_py()
+    n = np.zeros((2, 1 << SEGMENT), np.int32)
+    for x in t.column("data"):
+        raw = x.as_buffer()
+        size = raw.size // 12
+        n[:, np.frombuffer(raw, np.uint32, size) - (seg << SEGMENT)] += np.frombuffer(raw, np.int32, 2 * size, 4 * size).reshape(2, size)
+    return pa.table({"seg": t.column("seg").slice(0, 1), "data": pa.array([n.tobytes()], pa.binary())})
 
 
 def log_odds(n: np.ndarray, toxic: int, strength: float = 500.0) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +197,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> dict | N
     y = first_of_each(y, "_y", "doc_id", per_class)
     # 2 * per_class rows of 12 bytes at most
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(y), "doc_id").select("_y", "_text").dropDuplicates(["_y", "_text"])
-    got = rows.mapInArrow(_counts, "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    rows = written(rows, "labelled")  # read four times below
     n = np.zeros((2, 1 << BITS))
-    n[0, got["w"]], n[1, got["w"]] = got["n0"], got["n1"]
+    for r in rows.mapInArrow(_counts, "seg int, data binary").groupBy("seg").applyInArrow(_added, "seg int, data binary").collect():  # 64 rows of 128 KB
+        n[:, r["seg"] << SEGMENT : (r["seg"] + 1) << SEGMENT] = np.frombuffer(r["data"], np.int32).reshape(2, -1)
     if not n.sum(1).all():
         return None
     score, z = log_odds(n, rows.where("_y = 1").count())
