@@ -158,7 +158,7 @@ def _prefixes(shared, n_buckets: int, percent: int):
 
         def flush():
             pair = _distinct(np.concatenate(held))
-            rows = [(b, pair[i].tobytes()) for b, i in by_bucket((pair["t"] % U(n_buckets)).astype(np.int64))]
+            rows = [(b, packed(pair[i])) for b, i in by_bucket((pair["t"] % U(n_buckets)).astype(np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["b", "data"])
 
         for s in slices(batches, "_text"):
@@ -183,6 +183,15 @@ def _prefixes(shared, n_buckets: int, percent: int):
 _PAIR = np.dtype([("t", U), ("c", np.int64), ("n", np.uint32)])
 
 
+def packed(pair: np.ndarray) -> bytes:
+    """Byte after byte of all pairs: of sorted tokens the first bytes hardly change, nor do the sizes' last, so that Spark's compression of shuffles finds them."""
+    return np.ascontiguousarray(pair).view(np.uint8).reshape(-1, _PAIR.itemsize).T.tobytes()
+
+
+def unpacked(raw: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(_PAIR.itemsize, -1).T).view(_PAIR).ravel()
+
+
 def _distinct(pair: np.ndarray) -> np.ndarray:
     """In order of token and class, each once."""
     pair = pair[np.lexsort((pair["c"], pair["t"]))]
@@ -193,7 +202,7 @@ def _distinct(pair: np.ndarray) -> np.ndarray:
 
 def _meet(t: pa.Table) -> pa.Table:
     """A bucket's tokens that two classes share: (token, class, set size) rows, each with the token's least class and its size."""
-    pair = _distinct(np.concatenate([np.frombuffer(x.as_buffer(), _PAIR) for x in t.column("data")]))
+    pair = _distinct(np.concatenate([unpacked(x.as_buffer()) for x in t.column("data")]))
     cut = np.flatnonzero(pair["t"][1:] != pair["t"][:-1]) + 1
     a = np.concatenate([[0], cut])
     n = np.diff(np.concatenate([a, [len(pair)]]))
@@ -459,6 +468,7 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     near = near.where(_may_link(F.col("count") * 2, "n", "least_n", percent))
     one = near.groupBy(F.col("cls").alias("member")).agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("centre")).select("centre", "member")
     tasks = written(_stars(one), "tasks1")
+    free(docs.sparkSession)
     links = written(_links(tasks, rows, reps, shared, percent, PROBES), "links1")
     free(docs.sparkSession, tasks)
     root = components(links)
@@ -475,6 +485,7 @@ def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), perc
     pile = components(many.select(F.col("cls").alias("a"), F.col("least").alias("b")))
     pile = many.select("cls", "root").distinct().join(pile, F.col("cls") == F.col("v")).select(pile["root"].alias("pile"), "cls", many["root"])
     two = written(two, "pairs2")
+    free(docs.sparkSession)
     tasks = written(_stars(two).unionByName(_piles(pile)), "tasks2")
     free(docs.sparkSession, two, left)
     more = written(_links(tasks, rows, reps, shared, percent), "links2")
