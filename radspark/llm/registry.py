@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, mixing, neighbours, pii, sharding, substrings, suffixes, toxicity
+from . import codes, decontam, jaccard, langid, mixing, neighbours, packing, pii, sharding, substrings, suffixes, toxicity, whitening
 
-_MODULES = (langid, substrings, decontam, mixing, suffixes, neighbours, toxicity, sharding, pii, jaccard)
+_MODULES = (langid, substrings, decontam, mixing, suffixes, neighbours, toxicity, sharding, pii, jaccard, codes, whitening, packing)
 
 
 def queries() -> dict:
