@@ -194,11 +194,10 @@ class Lengths:
         i, j = 0, bisect.bisect_right(self.sorted, room) - 1
         while i <= j:
             a, b = self.sorted[j], self.sorted[i]
-            if a + b > room:
+            if a + b > room or not self.left(a, without):
                 j -= 1
                 continue
-            ok = self.left(a, without) >= 1 and self.left(b, without) >= 1 and (a != b or self.left(a, without) >= 2)
-            if ok and a + b > sum(best):
+            if a + b > sum(best) and self.left(b, without) > (a == b):
                 best = (a, b)
             i += 1
         return best

@@ -144,11 +144,11 @@ def _square(flat: list, d: int) -> np.ndarray:
 
 def fit(x: DataFrame, components: int = COMPONENTS) -> Fit | None:
     """x (x: packed integers, each distinct vector once, a table) -> Fit; None without rows."""
-    ones = lambda v: np.append(v.sum(0), len(v)).astype(object)
-    # strings: sums of many tasks' rows may not fit a long
-    *sums, n = (int(s) for s in total(x.mapInArrow(per_task("s", pa.string(), lambda v: _Text(ones(v))), "s array<string>"), "s", "decimal(38,0)")) or (0,)
-    if not n:
+    counted = x.mapInArrow(per_task("s", pa.string(), lambda v: _Text(np.append(v.sum(0), len(v)).astype(object))), "s array<string>")
+    sums = [int(s) for s in total(counted, "s", "decimal(38,0)")]
+    if not sums:
         return None
+    n = sums.pop()
     d = len(sums)
     f = Fit(n, sums, np.zeros(d), np.eye(d), 0.0)
     upper = np.triu_indices(d)
@@ -175,7 +175,7 @@ def fit(x: DataFrame, components: int = COMPONENTS) -> Fit | None:
 
 
 class _Text:
-    """Whole numbers of any size, that add as numbers and are listed as strings."""
+    """Whole numbers that a long need not hold: they add as numbers and are listed as strings."""
 
     def __init__(self, v: np.ndarray) -> None:
         self.v = v
