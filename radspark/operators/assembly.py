@@ -52,24 +52,26 @@ def kmer_size(length: int, distance: int) -> int:
     return min(31, max(7, k - (k % 2 == 0)))
 
 
-def similar_pairs(seqs: DataFrame, distance: int, length: int, within: list[str], sequence: str = "seq") -> DataFrame:
+def similar_pairs(seqs: DataFrame, distance: int, length: int, within: list[str], sequence: str = "seq", across: str | None = None) -> DataFrame:
     """(within, a, b, dist): pairs of sequences (id, seq) of equal length at 1 to `distance` differing places, that share as many distinct k-mers as that
-    distance leaves, k by `length`, the usual one.
+    distance leaves, k by `length`, the usual one. across: a boolean column; a is then of the rows where it is false, b of those where it is true.
 
     Lossless for sequences of at least `length` letters. A k-mer that most sequences hold pairs them all, and only here the join on one
     k-mer would be quadratic: so pairs are counted from all shared k-mers but formed from a sequence's rarest ones, as many as
     distance * k + 1 places cannot spoil.
     """
     k = kmer_size(length, distance)
-    base = seqs.select("id", *within, F.length(sequence).alias("n"), F.col(sequence).alias("seq"))
-    marks = distinct_kmers(base, k, ["id", "n", *within])
+    side = [across] if across else []
+    base = seqs.select("id", *within, *side, F.length(sequence).alias("n"), F.col(sequence).alias("seq"))
+    marks = distinct_kmers(base, k, ["id", "n", *within, *side])
     key = ["n", *within, "code"]
     common = marks.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
     # a pair differs in at most distance * k of a sequence's k-mers, so any distance * k + 1 of them share one: the rarest do
     rare = Window.partitionBy("id", "n", *within).orderBy("c", "code")
     few = marks.join(common, key, "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("r", F.row_number().over(rare)).where(F.col("r") <= distance * k + 1).where("c > 1")
-    x, y = few.select(*key, F.col("id").alias("a")), few.select(*key, F.col("id").alias("b"))
-    pairs = x.join(y, key).where("a < b").select("n", *within, "a", "b").distinct()
+    x, y = few.select(*key, *side, F.col("id").alias("a")), few.select(*key, *side, F.col("id").alias("b"))
+    pairs = x.where(~F.col(across)).drop(across).join(y.where(across).drop(across), key) if across else x.join(y, key).where("a < b")
+    pairs = pairs.select("n", *within, "a", "b").distinct()
     left, right = base.select(F.col("id").alias("a"), "n", *within, F.col("seq").alias("sa")), base.select(F.col("id").alias("b"), "n", *within, F.col("seq").alias("sb"))
     found = pairs.join(left, ["a", "n", *within]).join(right, ["b", "n", *within])
     return found.withColumn("dist", distance_of("sa", "sb")).where((F.col("dist") >= 1) & (F.col("dist") <= distance)).select(*within, "a", "b", "dist")
@@ -309,42 +311,6 @@ def expanded_alleles(haplotypes: list[str], cols: list[int], merged_cols: list[i
     return sorted({"".join(base(h, c) for c in merged_cols) for h in haplotypes or [""]})
 
 
-def build_catalog(loci_: DataFrame, distance: int = 1, length: int = 64) -> DataFrame:
-    """loci (sample, locus, seq) -> (catalog, sample, locus): samples one after another in order; a locus joins the nearest catalog locus within the distance of
-    its sequence (ties: it joins the least, and links them), else it founds one.
-
-    Each sample is a distributed join with the catalog so far, which is a table; the order of samples matters, as it must. Locus numbers have 62 bits at most.
-    """
-    spark = loci_.sparkSession
-    samples = [r[0] for r in loci_.select("sample").distinct().orderBy("sample").collect()]  # a row a sample
-    known = path = members = members_path = None
-    for s in samples:
-        own = loci_.where(F.col("sample").eqNullSafe(F.lit(s))).select("locus", "seq")
-        if known is None:
-            joined = own.select(F.col("locus").alias("catalog"), F.lit(s).alias("sample"), "locus", "seq")
-        else:
-            same = own.join(known, "seq").groupBy("locus").agg(F.min("catalog").alias("catalog"))
-            rest = own.join(same, "locus", "left_anti")
-            # new loci have even numbers here, known ones odd
-            both = rest.select((F.col("locus") * 2).alias("id"), "seq").unionByName(known.select((F.col("catalog") * 2 + 1).alias("id"), "seq"))
-            odd = lambda c: F.col(c).bitwiseAND(1) == 1
-            near = similar_pairs(both.distinct(), distance, length, []).where(odd("a") != odd("b"))
-            near = near.select(F.shiftright(F.when(odd("a"), F.col("b")).otherwise(F.col("a")), 1).alias("locus"), F.shiftright(F.when(odd("a"), F.col("a")).otherwise(F.col("b")), 1).alias("catalog"), "dist")
-            near = near.groupBy("locus").agg(F.min(F.struct("dist", "catalog")).alias("m")).select("locus", F.col("m.catalog").alias("catalog"))
-            hit = same.unionByName(near)
-            joined = own.join(hit, "locus", "left").select(F.coalesce("catalog", "locus").alias("catalog"), F.lit(s).alias("sample"), "locus", "seq")
-        new = joined if members is None else members.unionByName(joined)
-        old, old_path = path, members_path
-        members, members_path = graphs.written(new, "members")
-        known, path = graphs.written(members.select("catalog", "seq").distinct(), "catalog")
-        for p in (old, old_path):
-            if p:
-                graphs.removed(spark, p)
-    if members is None:
-        return loci_.select(F.col("locus").alias("catalog"), "sample", "locus")
-    return members.select("catalog", "sample", "locus")
-
-
 # ---------------------------------------------------------------- contigs
 
 

@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only with a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="radspark-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -26,11 +26,11 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, where its lineage ends, and the table's path."""
+def written(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, where its lineage ends, and the table's path; `by` gives a folder to each value of a column."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/radspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path

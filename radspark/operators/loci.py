@@ -154,10 +154,6 @@ def catalog_matches(spark, piles):
     return assembly.one_to_one(assembly.exact_matches(own, catalog)).select("catalog", "sample", "locus", "depth")
 
 
-def catalog_build(spark, piles):
-    return assembly.build_catalog(_loci_frame(piles), distance=1).groupBy("catalog").agg(F.count("*").alias("loci"), F.array_join(F.array_sort(F.collect_list(F.col("locus").cast("long"))).cast("array<string>"), ",").alias("members"))
-
-
 def gapped_join(spark, piles):
     """Each second variant, less a base, aligned with the loci it shares most k-mers with."""
     whole = piles.where("v = 0").select(F.col("stack").alias("other"), "seq")
@@ -190,7 +186,7 @@ _CHECK |= {
     "locus_snps": f"WITH {_LONG} SELECT locus, CAST(col AS INT) AS col, CASE WHEN lr <= -3.84 THEN 'E' WHEN lr >= 3.84 THEN 'O' ELSE 'U' END AS type, floor(lr * 1e5 + 0.5) / 1e5 AS lratio, b1 AS rank_1, b2 AS rank_2 FROM c_l WHERE lr < 3.84 OR b2 IS NOT NULL",
     "locus_alleles": f"WITH {_LONG}, c_h AS (SELECT locus, list(col ORDER BY col) AS cols, list(b1 || b2 ORDER BY col) AS two FROM c_l WHERE lr <= -3.84 GROUP BY locus), c_a AS (SELECT locus, depth, [seq[c + 1] FOR c IN cols] AS h, two FROM @piles JOIN c_h ON locus = g) SELECT locus, array_to_string(h, '') AS haplotype, CAST(sum(depth) AS BIGINT) AS count FROM c_a WHERE list_bool_and([contains(two[i], h[i]) FOR i IN range(1, len(h) + 1)]) GROUP BY ALL",
     "catalog_matches": "WITH c_c AS (SELECT *, min(stack) OVER (PARTITION BY seq) AS catalog FROM @piles), c_n AS (SELECT *, count(DISTINCT stack) OVER (PARTITION BY v, catalog) AS k FROM c_c) SELECT catalog, v AS sample, stack AS locus, depth FROM c_n WHERE k = 1",
-    "gapped_join": None, "catalog_build": None, "phased_haplotypes": None,
+    "gapped_join": None, "phased_haplotypes": None,
     "locus_contigs": "SELECT g AS locus, seq AS contig FROM @piles WHERE v = 0",
     "consensus": "WITH c_b AS (SELECT sample, i, substr(seq, i, 1) AS b, count(*) AS c FROM @reads, unnest(range(1, len(seq) + 1)) AS u(i) GROUP BY ALL), c_1 AS (SELECT sample, i, arg_max(b, (c, -ord(b))) AS b FROM c_b GROUP BY ALL) SELECT sample, string_agg(b, '' ORDER BY i) AS consensus FROM c_1 GROUP BY sample",
 }
@@ -261,7 +257,7 @@ _RUN = {
     "transposed_pairs": (("mates",), transposed_pairs), "paired_routes": (("mates",), paired_routes), "pcr_dups": (("alignments",), pcr_dups),
     "similarity_join_hamming": (READS, lambda spark, reads: assembly.similar_by_parts(reads)), "consensus": (READS, lambda spark, reads: assembly.consensus(reads)), "kmer_similarity_join": (PILES, kmer_similarity_join), "stack_loci": (PILES, stack_loci), "stack_trees": (PILES, stack_trees),
     "lumberjack": (PILES, lumberjack), "secondary_merge": (PILES, secondary_merge), "locus_consensus": (PILES, locus_consensus), "locus_snps": (PILES, locus_snps), "locus_alleles": (PILES, locus_alleles), "catalog_matches": (PILES, catalog_matches),
-    "catalog_build": (PILES, catalog_build), "gapped_join": (PILES, gapped_join), "locus_contigs": (PILES, locus_contigs), "phased_haplotypes": (("bases",), phased_haplotypes),
+    "gapped_join": (PILES, gapped_join), "locus_contigs": (PILES, locus_contigs), "phased_haplotypes": (("bases",), phased_haplotypes),
     "genotypes_low": (DEPTHS, genotypes_low), "genotypes_high": (DEPTHS, genotypes_high), "guo_thompson": (HAPS, guo_thompson), "cross_markers": (HAPS, cross_markers), "segregation_chisq": (HAPS, segregation),
 }
 OPS = {name: Fn(inputs, run, _CHECK[name]) for name, (inputs, run) in _RUN.items()}
