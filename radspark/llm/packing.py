@@ -40,61 +40,49 @@ from .common import read, text_buffers, written
 CAPACITY = 2048
 END = 0
 STRETCH = 1 << 20  # bytes of text tokenized at once
-_WORDS = 1 << 18  # words, and parts of words, that a worker remembers
-_PLAIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ſ]+")
-# How the tokenizer splits, for the letters of _PLAIN in lower case
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+REMEMBERED = 1 << 20  # words that a worker remembers: some 200 MB
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 # ---------------------------------------------------------------- tokens
 
 
-class Remembered(dict):
-    """What a function makes of keys, computed when first asked for; forgets all beyond `most` keys."""
-
-    def __init__(self, of, most: int = _WORDS) -> None:
-        self.of, self.most = of, most
-
-    def __missing__(self, key):
-        value = self.of(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Words:
-    """Ids of a text's words as little-endian 32-bit numbers; words without a part that the tokenizer alone understands are split first, and
-    their parts remembered."""
+    """Ids of a text's words as little-endian 32-bit numbers. New words are encoded together, and the places that their tokens come from tell them apart."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Remembered(self.encoded)
-        self.words = Remembered(self.word)
-
-    def encoded(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
-        return self.encoded(text)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.words: dict[bytes, bytes] = {}
+
+    def learned(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words, which are remembered."""
+        each = list(words)
+        text = b" ".join(each).decode("utf-8", "replace")
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        raw = np.array(found.ids, "<u4").tobytes()
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+        to = (4 * np.searchsorted([a for a, _ in found.offsets], ends)).tolist()
+        new = {w: raw[a:b] for w, a, b in zip(each, [0, *to[:-1]], to, strict=True)}
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+        if len(new) <= self.most:
+            self.words.update((w, i) for w, i in new.items() if len(w) <= 64)
+        return new
 
     def ids(self, text: bytes) -> bytes:
         out, at = [], 0
         while at < len(text):
             cut = _SPACE.search(text, at + STRETCH) if len(text) - at > STRETCH else None
             to = cut.end() if cut else len(text)
-            out += map(self.words.__getitem__, text[at:to].split(None))
+            words = text[at:to].split(None)
+            found = list(map(self.words.get, words))
+            if None in found:
+                new = self.learned({w for w, f in zip(words, found, strict=True) if f is None})
+                found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            out.append(b"".join(found))
             at = to
-            if len(out) > 1 << 20:
-                out = [b"".join(out)]
         return b"".join(out)
 
 

@@ -22,8 +22,7 @@ def tokenizer():
 def test_words_apart_are_whole_texts(tokenizer):
     """Ids of a text's words, one after another, are those of the whole text; also where stretches are cut and memory is forgotten."""
     rng = random.Random(4)
-    w = packing.Words(packing.default_tokenizer())
-    w.words.most = w.parts.most = 300
+    w = packing.Words(packing.default_tokenizer(), most=300)
     for i in range(1500):
         x = "".join(rng.choice(POOL) for _ in range(rng.randint(0, 60)))
         if i % 3 == 0:
