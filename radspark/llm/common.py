@@ -66,9 +66,9 @@ def free(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's own values. Equal rows share a key, and so a result."""
-    return F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in cols])
+def row_key(*cols: str, second: bool = False) -> Column:
+    """A 64-bit key of a row's own values. Equal rows share a key, and so a result. A second key, joined on as well, tells rows apart that share the first by chance."""
+    return F.xxhash64(*([F.lit(0x5EED)] if second else []), *[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in cols])
 
 
 def n_bytes(docs: DataFrame, col: str = "text") -> int:

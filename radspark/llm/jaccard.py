@@ -145,7 +145,7 @@ def _documents(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "_text"):
             token, first = token_sets(s, shared.value)
-            yield pa.RecordBatch.from_arrays([s.column("_key"), pa.array(np.diff(first), pa.int64()), pa.array(classes(token, first))], names=["_key", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([s.column("_key"), s.column("_key2"), pa.array(np.diff(first), pa.int64()), pa.array(classes(token, first))], names=["_key", "_key2", "n", "cls"])
 
     return run
 
@@ -450,16 +450,20 @@ def _cross(percent: int):
     return run
 
 
+def _keys(*cols: str) -> list:
+    return [row_key(*cols).alias("_key"), row_key(*cols, second=True).alias("_key2")]
+
+
 def classify(docs: DataFrame, text: str = "text", key: tuple = ("doc_id",), percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per row (key columns, n, cls: null where empty), and cls -> root of all classes with a link."""
-    rows = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"), row_key(*key, text).alias("_key"))
+    rows = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"), *_keys(*key, text))
     size = n_bytes(docs, text)
     order = frequency_classes(rows, bits(size / 30, 12, MAX_BITS))
     free(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(order)
     n_buckets = max(16, -(-size // (3 << 20)))
-    texts = rows.select("_key", "_text")
-    of = written(texts.mapInArrow(_documents(shared), "_key long, n long, cls long").distinct(), "classes")
+    texts = rows.select("_key", "_key2", "_text")
+    of = written(texts.mapInArrow(_documents(shared), "_key long, _key2 long, n long, cls long").distinct(), "classes")
     member = written(texts.mapInArrow(_prefixes(shared, n_buckets, percent), "b int, data binary").groupBy("b").applyInArrow(_meet, "token long, cls long, n long, least long, least_n long"), "meetings")
     free(docs.sparkSession)
     reps = of.where("n > 0").groupBy("cls").agg(F.min("_key").alias("_key"), F.first("n").alias("n"))
@@ -501,13 +505,13 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple =
     Least among non-null keys; a component without any has a null component_id.
     """
     of, root = classify(docs, text, (key,), percent)
-    rows = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_key"), *([F.struct(*keep).alias("row")] if keep else []))
-    ids = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_key")).join(of, "_key")
+    rows = docs.select(F.col(key).alias("_id"), *_keys(key, text), *([F.struct(*keep).alias("row")] if keep else []))
+    ids = docs.select(F.col(key).alias("_id"), *_keys(key, text)).join(of, ["_key", "_key2"])
     cls = ids.where("n > 0").groupBy("cls").agg(F.min("_id").alias("low")).join(root, F.col("cls") == F.col("v"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     cls = written(cls, "members")
     least = cls.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(cls.join(least, "root").select("cls", "component_id"), "cls", "left")
-    out = rows.join(named, "_key").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), *(["row"] if keep else []))
+    out = rows.join(named, ["_key", "_key2"]).select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), *(["row"] if keep else []))
     return out
 
 
@@ -517,13 +521,13 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     Rows with empty sets are linked with nothing, so they all stay.
     """
     of, root = classify(docs, text, (key,))
-    ids = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_key")).join(of, "_key")
-    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
+    ids = docs.select(F.col(key).alias("_id"), *_keys(key, text)).join(of, ["_key", "_key2"])
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "_key2"))
     cls = ids.where("n > 0").groupBy("cls").agg(best.alias("best")).join(root, F.col("cls") == F.col("v"), "left")
-    stay = cls.groupBy(F.coalesce("root", "cls")).agg(F.min("best").alias("best")).select(F.col("best._key").alias("_key"), F.lit(True).alias("one"))
-    stay = stay.union(of.where("n = 0").select("_key", F.lit(False)))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(key, text).alias("_key")).join(stay, "_key")
-    w = Window.partitionBy("_key").orderBy(F.xxhash64("row"))
+    stay = cls.groupBy(F.coalesce("root", "cls")).agg(F.min("best").alias("best")).select(F.col("best._key").alias("_key"), F.col("best._key2").alias("_key2"), F.lit(True).alias("one"))
+    stay = stay.union(of.where("n = 0").select("_key", "_key2", F.lit(False)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys(key, text)).join(stay, ["_key", "_key2"])
+    w = Window.partitionBy("_key", "_key2").orderBy(F.xxhash64("row"))
     return rows.withColumn("i", F.row_number().over(w)).where("i = 1 or not one").select("row.*")
 
 

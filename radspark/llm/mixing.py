@@ -33,6 +33,12 @@ def uniform(*cols: Column | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *cols), 11)).cast("double") * F.lit(2.0**-53)
 
 
+def class_key() -> Column:
+    """128 bits of a class's own values, so that no two classes share one."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.md5(F.concat(part("doc_id"), part("source"), F.col("size").cast("string")))
+
+
 def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long")
 
@@ -58,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
 
 
 _FOLD = """aggregate(items,
-  named_struct('at', 0, 'k', cast(null as bigint), 's', 0D, 'x', 0D, 'out', cast(array() as array<struct<k:bigint,up:int>>)),
+  named_struct('at', 0, 'k', cast(null as KIND), 's', 0D, 'x', 0D, 'out', cast(array() as array<struct<k:KIND,up:int>>)),
   (a, t) -> CASE WHEN a.k IS NULL THEN named_struct('at', a.at + 1, 'k', t.k, 's', t.s, 'x', t.x, 'out', a.out)
     ELSE transform(array(struct(
         least((1 - a.x) * a.s, t.x * t.s) AS up, least(a.x * a.s, (1 - t.x) * t.s) AS down)),
@@ -82,6 +88,7 @@ def rounded(parts: DataFrame, most: int, fan: int = FAN) -> DataFrame:
     """
     done = []
     level, left = 0, most
+    fold = _FOLD.replace("KIND", parts.schema["k"].dataType.simpleString())
     while True:
         last = left <= fan
         n = 1 if last else -(-left // (fan // 2))
@@ -91,7 +98,7 @@ def rounded(parts: DataFrame, most: int, fan: int = FAN) -> DataFrame:
             parts.withColumn("g", g)
             .groupBy("source", "g")
             .agg(F.sort_array(F.collect_list(item)).alias("items"))
-            .select("source", F.expr(_FOLD).alias("a"))
+            .select("source", F.expr(fold).alias("a"))
         )
         folded = written(folded, f"mix{level}")  # two readers: decisions and residuals
         done.append(folded.select(F.inline("a.out").alias("k", "up")))
@@ -116,7 +123,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     same = F.col("c.source").eqNullSafe(F.col("t.source"))
     c = cls.alias("c").join(t.alias("t"), same).select("c.*", "source_size", "target")
     want = F.when(F.col("size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(0.0)
-    c = c.withColumn("want", want).withColumn("whole", F.floor("want")).withColumn("k", F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "size"))
+    c = c.withColumn("want", want).withColumn("whole", F.floor("want")).withColumn("k", class_key())
     frac = c.select("source", "k", F.col("size").cast("double").alias("s"), (F.col("want") - F.col("whole")).alias("x")).where("x > 0 and s > 0")
     up = rounded(frac, most)
     c = c.join(up, "k", "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from radspark.llm import jaccard, substrings, suffixes
 
 DOCS = "doc_id long, text string, _key string, n long"
@@ -200,6 +202,16 @@ def test_jaccard(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_with_equal_keys(spark, monkeypatch):
+    """Rows that share the first key by chance keep their own results, and no row comes out twice."""
+    real = jaccard.row_key
+    monkeypatch.setattr(jaccard, "row_key", lambda *c, second=False: real(*c, second=True) if second else F.pmod(real(*c), F.lit(3)))
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + k}" for k in range(20 + i % 2)), None, 1) for i in range(24)] + [(100, None, None, 1), (101, "", None, 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(map(key, jaccard.join(df).collect())) == sorted(map(key, brute_components(rows)))
+    assert jaccard.keep_one(df).count() == len({c for *_, c in map(key, brute_components(rows))})
+
+
 def test_trie():
     import numpy as np
 
