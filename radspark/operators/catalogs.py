@@ -202,7 +202,7 @@ def over_columns(consensus: str | Column, cols: Column, haplotype: Column, catal
 
 def only_compatible(haplotype: Column, candidates: Column) -> Column:
     """The one of the candidates (an array) that agrees with the haplotype wherever it is not N; null if none or several do."""
-    fits = F.filter(candidates, lambda c: (F.length(c) == F.length(haplotype)) & c.rlike(F.concat(F.lit("^"), F.replace(haplotype, F.lit("N"), F.lit(".")), F.lit("$"))))
+    fits = F.filter(candidates, lambda c: (F.length(c) == F.length(haplotype)) & F.regexp_like(c, F.concat(F.lit("^"), F.replace(haplotype, F.lit("N"), F.lit(".")), F.lit("$"))))
     return F.when(F.size(fits) == 1, fits[0])
 
 

@@ -163,8 +163,8 @@ _CHECK |= {
     "export_samples_fasta": f"WITH {_SEQ} SELECT locus, sample, allele, seq FROM c_q",
     "export_samples_raw": f"WITH {_SEQ} SELECT locus, sample, min(allele) AS allele, seq FROM c_q GROUP BY locus, sample, seq",
     "export_vcf_rows": f"""WITH {_REF}, c_c AS (SELECT s.*, p.sample, c.a1, c.a2, c.dp FROM c_ref s CROSS JOIN (SELECT DISTINCT sample FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample)
-      SELECT locus AS part, CAST(col AS BIGINT) AS line, concat_ws(chr(9), locus, col + 1, locus || ':' || col, ref, coalesce(alt, '.'), '.', 'PASS', 'NS=' || count(dp) || ';AF=' || floor(minor / copies * 1000 + 0.5) / 1000, 'GT:DP:AD',
-      string_agg(CASE WHEN dp IS NULL THEN './.' ELSE concat(CASE WHEN a1 <> a2 THEN '0/1' WHEN a1 = ref THEN '0/0' ELSE '1/1' END, ':', dp, ':', CASE WHEN a1 <> a2 THEN dp - dp // 2 WHEN a1 = ref THEN dp ELSE 0 END, ',', CASE WHEN a1 <> a2 THEN dp // 2 WHEN a1 = ref THEN 0 ELSE dp END) END, chr(9) ORDER BY sample)) AS value FROM c_c GROUP BY locus, col, ref, alt, minor, copies""",
+      SELECT locus AS part, CAST(col AS BIGINT) AS line, concat_ws(chr(9), locus, col + 1, locus || ':' || col, ref, coalesce(alt, '.'), '.', 'PASS', 'NS=' || count(dp) || ';AF=' || floor(minor / copies * 1000 + 0.5) / 1000, 'GT:DP',
+      string_agg(CASE WHEN dp IS NULL THEN './.' ELSE concat(CASE WHEN a1 <> a2 THEN '0/1' WHEN a1 = ref THEN '0/0' ELSE '1/1' END, ':', dp) END, chr(9) ORDER BY sample)) AS value FROM c_c GROUP BY locus, col, ref, alt, minor, copies""",
     "matrix_transpose": "SELECT locus || '_' || col AS site, CAST(0 AS BIGINT) AS block, string_agg(dp, chr(9) ORDER BY sample) AS piece FROM @calls GROUP BY ALL",
 }
 
@@ -182,8 +182,8 @@ def sequence_functions(spark, reads):
     return reads.select(
         "read_id", F.md5(columns.complement(s)).alias("complement"), F.md5(columns.reverse_complement(s, 5)).alias("rc5"), F.md5(columns.reverse_quality(q, 5)).alias("rq5"), F.md5(columns.without_n(with_n)).alias("no_n"), F.md5(columns.n_last(with_n)).alias("n_last"),
         columns.has_n(with_n).alias("has_n"), F.md5(columns.unpacked(columns.packed(with_n))).alias("packed4"), F.md5(columns.unpacked(columns.packed(with_n, 3), 3)).alias("packed3"), columns.inline_barcode(s, 6).alias("barcode"),
-        columns.padded_hamming(F.substring(s, 1, 30), F.substring(s, 2, 40)).alias("dist"), columns.kmer_length(F.length(s), F.lit(2)).alias("k"), columns.least_matches(F.length(s), F.lit(15), F.lit(2)).alias("least"),
-        columns.frameshift(F.substring(s, 1, 30), F.substring(s, 2, 30), F.lit(4)).alias("frameshift"),
+        columns.padded_hamming(s, F.expr("substring(seq, 2)")).alias("dist"), columns.kmer_length(F.length(s), F.lit(2)).alias("k"), columns.least_matches(F.length(s), F.lit(15), F.lit(2)).alias("least"),
+        columns.frameshift(s, F.expr("substring(seq, 3)"), F.lit(6)).alias("frameshift"),
     )
 
 
@@ -210,9 +210,9 @@ _CHECK |= {
       CASE len(f) WHEN 10 THEN f[10] WHEN 5 THEN regexp_extract(name, '#(.*)/', 1) END AS index FROM c_p""",
     "sequence_functions": """WITH c_s AS (SELECT *, replace(seq, 'T', 'N') AS w, greatest(len(seq) - 5, 0) AS m FROM @reads)
       SELECT read_id, md5(translate(seq, 'CAGT', 'GTCA')) AS complement, md5(reverse(translate(right(seq, m), 'CAGT', 'GTCA'))) AS rc5, md5(reverse(right(qual, m))) AS rq5, md5(replace(w, 'N', '')) AS no_n, md5(rpad(replace(w, 'N', ''), CAST(len(seq) AS INT), 'N')) AS n_last, contains(w, 'N') AS has_n, md5(w) AS packed4, md5(w) AS packed3, left(seq, 6) AS barcode,
-      CAST(coalesce(len([1 FOR i IN range(1, least(30, greatest(len(seq) - 1, 0)) + 1) IF seq[i] <> seq[i + 1]]), 0) + abs(least(len(seq), 30) - least(greatest(len(seq) - 1, 0), 40)) AS INT) AS dist,
+      CAST(CASE WHEN len(seq) < 2 THEN len(seq) ELSE hamming(left(seq, -1), substr(seq, 2)) + 1 END AS INT) AS dist,
       CAST(greatest(7, coalesce(list_max([k FOR k IN range(1, len(seq) // 3 + 3) IF k % 2 = 1 AND len(seq) - (k * 3 - 1) > 0]), 7)) AS INT) AS k, CAST(greatest(1, len(seq) - 44) AS INT) AS least,
-      CAST(CASE WHEN len(seq) > 30 THEN len([1 FOR i IN range(27, 31) IF seq[i] <> seq[i + 1]]) ELSE len([1 FOR i IN range(greatest(1, len(seq) - 3), len(seq)) IF seq[i] <> seq[i + 1]]) END AS INT) AS frameshift FROM c_s""",
+      CAST(CASE WHEN len(seq) < 3 THEN 0 ELSE hamming(right(left(seq, -2), least(4, CAST(len(seq) - 2 AS INT))), right(seq, least(4, CAST(len(seq) - 2 AS INT)))) END AS INT) AS frameshift FROM c_s""",
     "number_functions": r"""SELECT id, CAST(floor(log10(CAST(factorial(CAST(n AS INT)) AS DOUBLE)) * 1e6) AS BIGINT) AS factorial, NULL AS reduced, NULL AS log_factorial, NULL AS reduced_log, NULL AS choose, NULL AS words, NULL AS integer, NULL AS is_double, NULL AS gq FROM @numbers""",
     "cigar_functions": f"""WITH c_c AS (SELECT *, {_SUM.format('M=X')} AS m, {_SUM.format('IS')} AS i, {_SUM.format('D')} AS g, replace(replace(replace(cigar, 'X', 'M'), '=', 'M'), 'S', 'I') AS t, regexp_extract_all(cigar, '[0-9]+') AS n, regexp_extract_all(replace(replace(replace(cigar, 'X', 'M'), '=', 'M'), 'S', 'I'), '[MID]') AS o FROM @cigars)
       SELECT id, CAST(m + i + g AS INT) AS padded, CAST(m + g AS INT) AS ref, CAST(m + i AS INT) AS read, translate(cigar, 'ID', 'DI') AS inverted, CASE WHEN o[2] = o[3] THEN concat(n[1], o[1], CAST(n[2] AS INT) + CAST(n[3] AS INT), o[2]) ELSE t END AS simple,

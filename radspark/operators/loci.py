@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cross
 from ..plans.dialect import Fn
 from ..sources import formats
-from . import assembly, cleaning, kmers, models
+from . import assembly, cleaning, kmers, models, sinks
 
 CODES = ("ACGTAC", "TTGACA", "GGCATT", "CATGCA", "GTACCA")
 
@@ -202,8 +202,13 @@ def genotypes_high(spark, depths):
     return models.call(depths, "high").select("locus", "col", "sample", "variable", "allele", "other", "a1", "a2", "gq", "depth")
 
 
+def export_vcf_calls(spark, depths):
+    """Calls of the high-coverage model as a file's lines."""
+    return sinks.called_lines(models.call(depths, "high"), depths.select("sample"))
+
+
 def guo_thompson(spark, haps):
-    return models.guo_thompson(haps, burn_in=200, batches=5, steps=400)
+    return models.guo_thompson(haps)
 
 
 def _cross(haps: DataFrame) -> DataFrame:
@@ -242,11 +247,41 @@ def segregation(spark, haps):
     return progeny.join(_cross(haps), "locus").groupBy("locus").applyInPandas(run, "locus long, marker string, progeny long, chisq double, df int, level double")
 
 
+# every pair of bases of every sample's reads, one by one
+_HIGH = f"""WITH h_q AS (SELECT locus, col, sample, [na, nc, ng, nt] AS c, CAST(na + nc + ng + nt AS BIGINT) AS n FROM @depths),
+  h_o AS (SELECT locus, col, i, row_number() OVER (PARTITION BY locus, col ORDER BY sum(c[i]) DESC, i) AS k, sum(c[i]) AS t FROM h_q, range(1, 5) AS r(i) GROUP BY locus, col, i),
+  h_l AS MATERIALIZED (SELECT *, CASE WHEN hit > 0 THEN hit * ln(hit / ((1 + d) * n)) ELSE 0 END + CASE WHEN n > hit THEN (n - hit) * ln((n - hit) / ((3 - d) * n)) ELSE 0 END AS ln
+    FROM (SELECT locus, col, sample, n, x, y, (x <> y)::INT AS d, c[x] + CASE WHEN x <> y THEN c[y] ELSE 0 END AS hit FROM h_q, range(1, 5) AS r(x), range(1, 5) AS s(y) WHERE x <= y AND n > 0) z),
+  h_r AS (SELECT locus, col, sample, i, row_number() OVER (PARTITION BY locus, col, sample ORDER BY c[i] DESC, i) AS k FROM h_q, range(1, 5) AS r(i) WHERE n > 0),
+  h_ab AS (SELECT locus, col, sample, max(i) FILTER (k = 1) AS a, max(i) FILTER (k = 2) AS b FROM h_r GROUP BY ALL),
+  h_w AS (SELECT h.locus, h.col, h.a, h.b, m.ln AS hom, e.ln AS het, f.ln AS ref FROM h_ab h JOIN h_o o ON o.locus = h.locus AND o.col = h.col AND o.k = 1
+    JOIN h_l m ON m.locus = h.locus AND m.col = h.col AND m.sample = h.sample AND m.x = h.a AND m.y = h.a JOIN h_l e ON e.locus = h.locus AND e.col = h.col AND e.sample = h.sample AND e.x = least(h.a, h.b) AND e.y = greatest(h.a, h.b)
+    JOIN h_l f ON f.locus = h.locus AND f.col = h.col AND f.sample = h.sample AND f.x = o.i AND f.y = o.i),
+  h_k AS MATERIALIZED (SELECT locus, col, i FROM h_o WHERE k = 1 AND t > 0 UNION SELECT locus, col, unnest(CASE WHEN hom > het THEN [a] ELSE [a, b] END) FROM h_w WHERE 2 * abs(hom - het) > 3.84 AND 2 * (greatest(hom, het) - ref) > 3.84),
+  h_n AS (SELECT locus, col, count(*) > 1 AS several, list(i ORDER BY k) AS o FROM h_k JOIN h_o USING (locus, col, i) GROUP BY locus, col),
+  h_b AS (SELECT l.locus, l.col, l.sample, x, y, ln, row_number() OVER (PARTITION BY l.locus, l.col, l.sample ORDER BY ln DESC, x, y) AS k FROM h_l l JOIN h_k p ON p.locus = l.locus AND p.col = l.col AND p.i = l.x JOIN h_k q ON q.locus = l.locus AND q.col = l.col AND q.i = l.y),
+  h_2 AS (SELECT locus, col, sample, max(x) FILTER (k = 1) AS x, max(y) FILTER (k = 1) AS y, 2 * (max(ln) FILTER (k = 1) - max(ln) FILTER (k = 2)) AS ratio FROM h_b GROUP BY ALL),
+  h_gl AS (SELECT l.locus, l.col, l.sample, list(ln ORDER BY x = y AND x = o[2], x <> y) AS gl FROM h_l l JOIN h_n n ON n.locus = l.locus AND n.col = l.col WHERE several AND list_contains(o[1:2], x) AND list_contains(o[1:2], y) GROUP BY ALL),
+  h_g AS MATERIALIZED (SELECT q.locus, q.col, q.sample, several, 'ACGT'[o[1]] AS allele, CASE WHEN several THEN 'ACGT'[o[2]] END AS other, CASE WHEN ratio > 3.84 THEN 'ACGT'[x] END AS a1, CASE WHEN ratio > 3.84 THEN 'ACGT'[y] END AS a2,
+    CAST(CASE WHEN ratio > 3.84 THEN len(list_filter({[float(x) for x in models.QUALITIES]}, lambda t: t <= ratio)) ELSE 0 END AS INT) AS gq, n AS depth, c, gl FROM h_q q JOIN h_n USING (locus, col) LEFT JOIN h_2 USING (locus, col, sample) LEFT JOIN h_gl USING (locus, col, sample))"""
 _CHECK |= {
     "cross_markers": """WITH c_p AS (SELECT locus, sample, list_sort(list_distinct([h1, h2])) AS h FROM @haps WHERE sample < 2 AND NOT contains(h1 || h2, 'N')), c_t AS (SELECT locus, max(h) FILTER (sample = 0) AS m, max(h) FILTER (sample = 1) AS f FROM c_p GROUP BY locus),
       c_k AS (SELECT locus, len(m) AS x, len(f) AS y, len(list_intersect(m, f)) AS s FROM c_t), c_v AS (SELECT locus, CASE WHEN x IS NULL THEN CASE WHEN y = 2 THEN '--/ab' END WHEN y IS NULL THEN CASE WHEN x = 2 THEN 'ab/--' END WHEN x + y = 2 THEN CASE WHEN s = 0 THEN 'aa/bb' END
       WHEN x + y = 4 THEN ['ab/cd', 'ab/ac', 'ab/ab'][s + 1] WHEN x = 2 THEN if(s = 1, 'ab/aa', 'ab/cc') ELSE if(s = 1, 'aa/ab', 'cc/ab') END AS marker FROM c_k) SELECT locus, marker FROM c_v WHERE marker IS NOT NULL""",
-    "genotypes_low": None, "genotypes_high": None, "guo_thompson": None, "segregation_chisq": None, "kmer_normalise": None,
+    "genotypes_low": None, "guo_thompson": None,
+    "genotypes_high": _HIGH + " SELECT locus, col, sample, several AS variable, allele, other, a1, a2, gq, depth FROM h_g",
+    "export_vcf_calls": _HIGH + """, h_t AS (SELECT *, c[strpos('ACGT', allele)] AS x, CASE WHEN other IS NULL THEN 0 ELSE c[strpos('ACGT', other)] END AS y,
+        CASE WHEN a1 IS NULL THEN NULL ELSE (a1 = other)::INT + (a2 = other)::INT END AS copies FROM h_g),
+      h_f AS (SELECT *, [CAST(floor(v / ln(10) * 100 + 0.5) AS BIGINT) FOR v IN gl] AS gi FROM h_t),
+      h_c AS (SELECT *, CASE WHEN depth = 0 THEN CASE WHEN several THEN './.' ELSE '.' END WHEN NOT several THEN depth::VARCHAR
+        ELSE concat(CASE WHEN a1 IS NULL THEN './.:.:.:.' ELSE concat(CASE WHEN a1 <> a2 THEN '0/1' WHEN a1 = allele THEN '0/0' ELSE '1/1' END, ':.:.:', gq) END, ':', depth, ':', x, ',', y, ':',
+          array_to_string([concat(if(g < 0, '-', ''), abs(g) // 100, '.', lpad((abs(g) % 100)::VARCHAR, 2, '0')) FOR g IN gi], ',')) END AS call FROM h_f),
+      h_s AS (SELECT locus, col, several, allele, other, sum(depth) AS dp, sum(x) AS x, sum(y) AS y, sum(copies) AS minor, 2 * count(copies) AS copies FROM h_c GROUP BY ALL),
+      h_p AS (SELECT s.*, p.sample FROM h_s s CROSS JOIN (SELECT DISTINCT sample FROM @depths) p)
+      SELECT p.locus AS part, CAST(p.col AS BIGINT) AS line, concat_ws(chr(9), p.locus, p.col + 1, p.locus || ':' || p.col, p.allele, coalesce(p.other, '.'), '.', 'PASS',
+        concat('DP=', p.dp, ';AD=', p.x, CASE WHEN p.several THEN concat(',', p.y, ';AF=', CASE WHEN p.copies > 0 THEN floor(p.minor / p.copies * 1000 + 0.5) / 1000 ELSE 0.0 END) ELSE '' END), CASE WHEN p.several THEN 'GT:PS:FT:GQ:DP:AD:GL' ELSE 'DP' END,
+        string_agg(coalesce(c.call, CASE WHEN p.several THEN './.' ELSE '.' END), chr(9) ORDER BY p.sample)) AS value
+      FROM h_p p LEFT JOIN h_c c ON c.locus = p.locus AND c.col = p.col AND c.sample = p.sample GROUP BY p.locus, p.col, p.several, p.allele, p.other, p.dp, p.x, p.y, p.minor, p.copies""", "segregation_chisq": None, "kmer_normalise": None,
 }
 
 READS, PILES, DEPTHS, HAPS = ("reads",), ("piles",), ("depths",), ("haps",)
@@ -258,6 +293,6 @@ _RUN = {
     "similarity_join_hamming": (READS, lambda spark, reads: assembly.similar_by_parts(reads)), "consensus": (READS, lambda spark, reads: assembly.consensus(reads)), "kmer_similarity_join": (PILES, kmer_similarity_join), "stack_loci": (PILES, stack_loci), "stack_trees": (PILES, stack_trees),
     "lumberjack": (PILES, lumberjack), "secondary_merge": (PILES, secondary_merge), "locus_consensus": (PILES, locus_consensus), "locus_snps": (PILES, locus_snps), "locus_alleles": (PILES, locus_alleles), "catalog_matches": (PILES, catalog_matches),
     "gapped_join": (PILES, gapped_join), "locus_contigs": (PILES, locus_contigs), "phased_haplotypes": (("bases",), phased_haplotypes),
-    "genotypes_low": (DEPTHS, genotypes_low), "genotypes_high": (DEPTHS, genotypes_high), "guo_thompson": (HAPS, guo_thompson), "cross_markers": (HAPS, cross_markers), "segregation_chisq": (HAPS, segregation),
+    "genotypes_low": (DEPTHS, genotypes_low), "genotypes_high": (DEPTHS, genotypes_high), "export_vcf_calls": (DEPTHS, export_vcf_calls), "guo_thompson": (HAPS, guo_thompson), "cross_markers": (HAPS, cross_markers), "segregation_chisq": (HAPS, segregation),
 }
 OPS = {name: Fn(inputs, run, _CHECK[name]) for name, (inputs, run) in _RUN.items()}

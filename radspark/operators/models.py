@@ -1,18 +1,23 @@
 """Genotype models over the base counts of all samples of a site: (locus, col, sample, na, nc, ng, nt).
 
-Sites are grouped, so that a task holds the samples of a site and no more; each site is a small array.
+Loci are dealt to tasks and their rows sorted, so that a task reads one site after another, as arrays over all sites of a batch; it holds a batch and the
+samples of one more site.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASES = "ACGT"
-CALLS = "locus long, col int, sample int, variable boolean, allele string, other string, freq double, a1 string, a2 string, gq int, depth long"
+CALLS = "locus long, col int, sample int, variable boolean, allele string, other string, freq double, a1 string, a2 string, gq int, depth long, gl array<double>, counts array<int>"
+PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
 
 
 def quality(ln: float, other: float) -> int:
@@ -22,6 +27,18 @@ def quality(ln: float, other: float) -> int:
     return 40 if tail <= 1e-4 else min(40, int(-10 * math.log10(tail) + 1e-9))
 
 
+def _least_ratio(q: int) -> float:
+    """The least x with quality q: where the tail comes to 10 ** (-q / 10)."""
+    lo, hi = 0.0, 60.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if -10 * math.log10(math.erfc(math.sqrt(mid / 2))) + 1e-9 < q else (lo, mid)
+    return hi
+
+
+QUALITIES = np.array([_least_ratio(q) for q in range(1, 41)])
+
+
 def ranked(counts: np.ndarray) -> list[int]:
     return sorted(range(4), key=lambda i: (-counts[i], i))
 
@@ -58,8 +75,12 @@ def genotype_frequencies(ln: np.ndarray, p: float, n_samples: int) -> tuple[np.n
         return out if np.isfinite(out) else -np.inf
 
     lo, hi = max(-p * p, -((1 - p) ** 2)), p * (1 - p)
-    grid = [near((p * p + d, 2 * (p * (1 - p) - d), (1 - p) ** 2 + d)) for d in lo + x * np.arange(int((hi - lo + 1e-12) / x) + 1)]
-    best = max(grid, key=value)
+    d = lo + x * np.arange(int((hi - lo + 1e-12) / x) + 1)
+    grid = near(np.stack([p * p + d, 2 * (p * (1 - p) - d), (1 - p) ** 2 + d], 1))
+    most = ln.max(1)
+    with np.errstate(divide="ignore"):
+        values = (most[:, None] + np.log(np.exp(ln - most[:, None]) @ grid.T)).sum(0)
+    best = grid[int(np.where(np.isfinite(values), values, -np.inf).argmax())]
     top = value(best)
     moves = [np.array(m) * x for m in ((1, -1, 0), (-1, 1, 0), (1, 0, -1), (-1, 0, 1), (0, 1, -1), (0, -1, 1))]
     while True:
@@ -140,99 +161,224 @@ def high_coverage(counts: np.ndarray, site_limit: float = 3.84, genotype_limit:
     return kinds, calls
 
 
-def _site(model: str):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("sample")
-        counts = t[["na", "nc", "ng", "nt"]].to_numpy()
-        rows = []
-        head = (int(t["locus"].iloc[0]), int(t["col"].iloc[0]))
-        if model == "low":
-            got = low_coverage(counts)
-            if got is None:
-                return pd.DataFrame(columns=[c.split()[0] for c in CALLS.split(", ")])
-            major, minor, freq, calls = got
-            pairs = [(major, major), (major, minor), (minor, minor)]
-            for s, c, (g, q) in zip(t["sample"], counts, calls, strict=True):
-                a = sorted(BASES[b] for b in pairs[g]) if g is not None else (None, None)
-                rows.append((*head, int(s), minor is not None, BASES[major], None if minor is None else BASES[minor], freq, *a, q, int(c.sum())))
-        else:
-            got = high_coverage(counts)
-            if got is not None:
-                kinds, calls = got
-                order = [b for b in ranked(counts.sum(0)) if b in kinds]
-                for s, c, (x, y, q) in zip(t["sample"], counts, calls, strict=True):
-                    a = sorted((BASES[x], BASES[y])) if x is not None else (None, None)
-                    rows.append((*head, int(s), len(kinds) > 1, BASES[order[0]], BASES[order[1]] if len(order) > 1 else None, None, *a, q, int(c.sum())))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
+def _xlog(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """x * ln(of), 0 where x is."""
+    return np.where(x > 0, x * np.log(np.where(x > 0, of, 1.0)), 0.0)
+
+
+def pair_likelihoods(counts: np.ndarray) -> np.ndarray:
+    """ln L of each row of counts for the ten PAIRS of bases, errors as common as the row has them."""
+    n = counts.sum(1).astype(float)
+    out = np.empty((len(counts), len(PAIRS)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i, (a, b) in enumerate(PAIRS):
+            hit = counts[:, a] + (counts[:, b] if a != b else 0)
+            out[:, i] = _xlog(hit, hit / ((2 if a != b else 1) * n)) + _xlog(n - hit, (n - hit) / ((2 if a != b else 3) * n))
+    return out
+
+
+_HOM = np.array([PAIRS.index((a, a)) for a in range(4)])
+_PAIR = np.array([[PAIRS.index((min(a, b), max(a, b))) for b in range(4)] for a in range(4)])
+
+
+def _high(counts: np.ndarray, site: np.ndarray, starts: np.ndarray, site_limit: float = 3.84, genotype_limit: float = 3.84) -> dict[str, np.ndarray]:
+    """high_coverage over the rows of many sites at once; rows without reads have no genotype."""
+    row = np.arange(len(counts))
+    n, ln = counts.sum(1), pair_likelihoods(counts)
+    total = np.add.reduceat(counts, starts)
+    order = np.argsort(-total, axis=1, kind="stable")
+    own = np.argsort(-counts, axis=1, kind="stable")
+    a, b = own[:, 0], own[:, 1]
+    hom, het, ref = ln[row, _HOM[a]], ln[row, _PAIR[a, b]], ln[row, _HOM[order[site, 0]]]
+    needs = (n > 0) & (2 * np.abs(hom - het) > genotype_limit) & (2 * (np.maximum(hom, het) - ref) > site_limit)
+    kinds = np.zeros((len(starts), 4), bool)
+    kinds[np.arange(len(starts)), order[:, 0]] = True
+    kinds[site[needs], a[needs]] = True
+    both = needs & (hom <= het)
+    kinds[site[both], b[both]] = True
+    left, right = np.array(PAIRS).T
+    allowed = kinds[site][:, left] & kinds[site][:, right]
+    may = np.where(allowed, ln, -np.inf)
+    best = may.argmax(1)
+    top = may[row, best]
+    may[row, best] = -np.inf
+    ratio = 2 * (top - may.max(1))
+    several = kinds.sum(1) > 1
+    sure = (n > 0) & several[site] & (ratio > genotype_limit)
+    # of each site's alleles by falling count, the first two
+    ranks = np.argsort(np.where(np.take_along_axis(kinds, order, 1), 0, 1), axis=1, kind="stable")
+    first, second = (np.take_along_axis(order, ranks[:, i : i + 1], 1)[:, 0] for i in (0, 1))
+    return {
+        "read": total.sum(1) > 0, "variable": several, "allele": first, "other": np.where(several, second, -1), "freq": np.full(len(starts), np.nan),
+        "a1": np.where(sure, left[best], -1), "a2": np.where(sure, right[best], -1), "gq": np.where(sure, np.searchsorted(QUALITIES, ratio, "right"), 0),
+        "gl": np.stack([ln[row, _HOM[first[site]]], ln[row, _PAIR[first[site], second[site]]], ln[row, _HOM[second[site]]]], 1),
+    }
+
+
+def _low(counts: np.ndarray, site: np.ndarray, starts: np.ndarray, site_limit: float = 6.63489660102121) -> dict[str, np.ndarray]:
+    """low_coverage over the rows of many sites; only those that one allele with errors does not explain are looked at one by one."""
+    total = np.add.reduceat(counts, starts)
+    n = total.sum(1).astype(float)
+    order = np.argsort(-total, axis=1, kind="stable")
+    major = total[np.arange(len(starts)), order[:, 0]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fixed = _xlog(major, major / n) + _xlog(n - major, (n - major) / n / 3)
+    rows, sites = len(counts), len(starts)
+    out = {
+        "read": n > 0, "variable": np.zeros(sites, bool), "allele": order[:, 0], "other": np.full(sites, -1), "freq": np.ones(sites),
+        "a1": np.full(rows, -1), "a2": np.full(rows, -1), "gq": np.zeros(rows, int), "gl": np.zeros((rows, 3)),
+    }
+    ends = np.append(starts[1:], rows)
+    for i in np.flatnonzero((n > 0) & (-2 * fixed > site_limit)):
+        own = slice(starts[i], ends[i])
+        one, two, freq, calls = low_coverage(counts[own], site_limit)
+        if two is None:
+            continue
+        out["variable"][i], out["other"][i], out["freq"][i] = True, two, freq
+        pairs = [(one, one), tuple(sorted((one, two))), (two, two)]
+        for j, (g, q) in zip(range(starts[i], ends[i]), calls, strict=True):
+            if g is not None:
+                out["a1"][j], out["a2"][j], out["gq"][j] = *pairs[g], q
+        e = 1.5 * (n[i] - total[i, one] - total[i, two] + 0.1) / (n[i] + 0.1)
+        out["gl"][own] = likelihoods(counts[own], one, two, e)
+    return out
+
+
+def _called(model: str):
+    letters = pa.array(list(BASES))
+
+    def named(x: np.ndarray) -> pa.Array:
+        return letters.take(pa.array(x, pa.int64(), mask=x < 0))
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        locus, col = (t.column(c).to_numpy() for c in ("locus", "col"))
+        counts = np.stack([t.column(c).to_numpy() for c in ("na", "nc", "ng", "nt")], 1).astype(np.int64)
+        new = np.ones(len(locus), bool)
+        new[1:] = (locus[1:] != locus[:-1]) | (col[1:] != col[:-1])
+        site = np.cumsum(new) - 1
+        r = (_low if model == "low" else _high)(counts, site, np.flatnonzero(new))
+        keep = np.flatnonzero(r["read"][site])
+        s = site[keep]
+        variable = r["variable"][s]
+        gl = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(variable, 3, 0))]), pa.int32(), mask=np.append(~variable, False)), pa.array(r["gl"][keep][variable].ravel()))
+        freq = r["freq"][s]
+        cols = [
+            pa.array(locus[keep], pa.int64()), pa.array(col[keep], pa.int32()), t.column("sample").combine_chunks().take(pa.array(keep)), pa.array(variable), named(r["allele"][s]), named(r["other"][s]), pa.array(freq, pa.float64(), mask=np.isnan(freq)),
+            named(r["a1"][keep]), named(r["a2"][keep]), pa.array(r["gq"][keep], pa.int32()), pa.array(counts[keep].sum(1), pa.int64()), gl,
+            pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * 4, pa.int32()), pa.array(counts[keep].ravel(), pa.int32())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CALLS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not t.num_rows:
+                continue
+            locus, col = (t.column(c).to_numpy() for c in ("locus", "col"))
+            last = np.flatnonzero((locus != locus[-1]) | (col != col[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield done(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
 
     return run
 
 
 def call(depths: DataFrame, model: str = "low") -> DataFrame:
-    """Genotypes of every sample at every site with reads, by the `low` or `high` coverage model."""
-    return depths.select("locus", "col", "sample", "na", "nc", "ng", "nt").groupBy("locus", "col").applyInPandas(_site(model), CALLS)
+    """Genotypes of every sample at every site with reads, by the `low` or `high` coverage model. gl: natural logarithms of the likelihoods of both copies
+    the commoner allele, one of each, and both the other; null where only one is seen. counts: of A, C, G and T."""
+    d = depths.select(F.col("locus").cast("long").alias("locus"), F.col("col").cast("int").alias("col"), F.col("sample").cast("int").alias("sample"), *[F.col(c).cast("int").alias(c) for c in ("na", "nc", "ng", "nt")])
+    return d.repartition("locus").sortWithinPartitions("locus", "col", "sample").mapInArrow(_called(model), CALLS)
 
 
 # ---------------------------------------------------------------- Hardy-Weinberg with many alleles
 
 
-def switched(genotypes: list[tuple[int, int]], burn_in: int = 10_000, batches: int = 20, steps: int = 10_000, seed: int = 0) -> tuple[float, float]:
-    """P of Hardy-Weinberg proportions for any number of alleles, and its standard error: alleles change places between random individuals, a chain over all tables with
-    the same allele counts. Seeded, so that reruns agree."""
-    rng = np.random.default_rng(seed)
-    g = [sorted(x) for x in genotypes]
-    n = len(g)
-    if n < 2 or len({a for x in g for a in x}) < 2:
-        return 1.0, 0.0
-    count: dict[tuple[int, int], int] = {}
-    for a, b in g:
-        count[a, b] = count.get((a, b), 0) + 1
-
-    def move(pick):
-        """Swaps an allele of each of two individuals; returns by how much ln of the table's chance changes."""
-        i, j, x, y = pick
-        if i == j:
-            return 0.0
-        old = (tuple(g[i]), tuple(g[j]))
-        new = (tuple(sorted((g[i][1 - x], g[j][y]))), tuple(sorted((g[j][1 - y], g[i][x]))))
-        delta = 0.0
-        for t in old:
-            delta += math.log(count[t]) - (math.log(2) if t[0] != t[1] else 0)
-            count[t] -= 1
-        for t in new:
-            count[t] = count.get(t, 0) + 1
-            delta -= math.log(count[t]) - (math.log(2) if t[0] != t[1] else 0)
-        g[i], g[j] = list(new[0]), list(new[1])
-        return delta
-
-    # any swap of two copies is as likely as its reverse, so that tables come up with their own chance; `at` is ln against the first table
-    at, parts = 0.0, []
+def switched(groups: list[list[tuple[int, int]]], burn_in: int = 10_000, batches: int = 20, steps: int = 10_000, seeds: list[int] | None = None) -> list[tuple[float, float]]:
+    """For each group of genotypes, P of Hardy-Weinberg proportions for any number of alleles, and its standard error: alleles change places between random individuals, a chain over all tables with
+    the same allele counts. Chains of all groups take their steps together, each with random numbers of its own seed, so that reruns agree whatever the groups beside it."""
+    out = [(1.0, 0.0)] * len(groups)
+    run = [i for i, g in enumerate(groups) if len(g) > 1 and len({a for x in g for a in x}) > 1]
+    if not run:
+        return out
+    size = np.array([len(groups[i]) for i in run])
+    kinds = 1 + max(a for i in run for x in groups[i] for a in x)
+    m, at = len(run), np.arange(len(run))
+    # both copies of individual i at 2 * i and 2 * i + 1
+    g = np.zeros((m, 2 * int(size.max())), np.int64)
+    count = np.zeros((m, kinds * kinds), np.int64)
+    for r, i in enumerate(run):
+        g[r, : 2 * len(groups[i])] = [a for x in groups[i] for a in x]
+        for a, b in groups[i]:
+            count[r, min(a, b) * kinds + max(a, b)] += 1
+    log = np.concatenate([[0.0], np.log(np.arange(1, int(size.max()) + 2))])
+    rngs = [np.random.default_rng((seeds or [0] * len(groups))[i]) for i in run]
+    two = math.log(2)
+    here, below, parts = np.zeros(m), np.zeros(m), []
+
+    def told(a, b):
+        return np.minimum(a, b) * kinds + np.maximum(a, b)
+
     for b in range(-1, batches):
-        size = burn_in if b < 0 else steps
-        i, j, x, y = rng.integers(0, n, size), rng.integers(0, n, size), rng.integers(0, 2, size), rng.integers(0, 2, size)
-        below = 0
-        for pick in zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), strict=True):
-            at += move(pick)
-            below += at <= 1e-9
+        left = burn_in if b < 0 else steps
+        below[:] = 0
+        total = left
+        while left:
+            chunk = min(left, 1000)
+            left -= chunk
+            draws = np.stack([r.integers(0, [[n], [n], [2], [2]], (4, chunk)) for r, n in zip(rngs, size.tolist(), strict=True)], 2)
+            for t in range(chunk):
+                i, j, x, y = draws[:, t]
+                p, q, p2, q2 = g[at, 2 * i + x], g[at, 2 * j + y], g[at, 2 * i + 1 - x], g[at, 2 * j + 1 - y]
+                go = (i != j) & (p != q)
+                if not go.any():
+                    below += here <= 1e-9
+                    continue
+                delta = np.zeros(m)
+                for a, c, sign in ((p, p2, -1), (q, q2, -1), (q, p2, 1), (p, q2, 1)):
+                    k = told(a, c)
+                    had = count[at, k]
+                    delta -= sign * (log[had + (sign > 0)] - two * (a != c))
+                    count[at, k] = had + np.where(go, sign, 0)
+                here += np.where(go, delta, 0.0)
+                g[at, 2 * i + x], g[at, 2 * j + y] = np.where(go, q, p), np.where(go, p, q)
+                below += here <= 1e-9
         if b >= 0:
-            parts.append(below / size)
-    return float(np.mean(parts)), float(np.std(parts, ddof=1) / math.sqrt(batches)) if batches > 1 else 0.0
-
-
-def _switched(burn_in: int, batches: int, steps: int):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        kinds = {h: i for i, h in enumerate(sorted({*t["h1"], *t["h2"]}))}
-        t = t.sort_values("sample")
-        p, se = switched([(kinds[a], kinds[b]) for a, b in zip(t["h1"], t["h2"], strict=True)], burn_in, batches, steps, seed=int(t["locus"].iloc[0]) * 31 + int(t["pop"].iloc[0]))
-        return pd.DataFrame([(int(t["locus"].iloc[0]), int(t["pop"].iloc[0]), p, se)], columns=["locus", "pop", "hwe_p", "se"])
+            parts.append(below / total)
+    p = np.array(parts)
+    se = p.std(0, ddof=1) / math.sqrt(batches) if batches > 1 else np.zeros(m)
+    for r, i in enumerate(run):
+        out[i] = float(p[:, r].mean()), float(se[r])
+    return out
+
+
+def _switched(burn_in: int, batches: int, steps: int, together: int = 512):
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            for lo in range(0, b.num_rows, together):
+                t = b.slice(lo, together)
+                groups, seeds = [], []
+                for locus, pop, pairs in zip(*(t.column(c).to_pylist() for c in ("locus", "pop", "pairs")), strict=True):
+                    kinds = {h: i for i, h in enumerate(sorted({x for p in pairs for x in (p["h1"], p["h2"])}))}
+                    groups.append([(kinds[p["h1"]], kinds[p["h2"]]) for p in pairs])
+                    seeds.append(locus * 31 + pop)
+                p, se = zip(*switched(groups, burn_in, batches, steps, seeds), strict=True)
+                yield pa.RecordBatch.from_arrays([t.column("locus"), t.column("pop"), pa.array(p, pa.float64()), pa.array(se, pa.float64())], names=["locus", "pop", "hwe_p", "se"])
 
     return run
 
 
 def guo_thompson(haps: DataFrame, burn_in: int = 10_000, batches: int = 20, steps: int = 10_000) -> DataFrame:
     """(locus, pop, hwe_p, se) from complete haplotypes (locus, pop, sample, h1, h2)."""
-    full = haps.where("instr(h1, 'N') = 0 and instr(h2, 'N') = 0").select("locus", "pop", "sample", "h1", "h2")
-    return full.groupBy("locus", "pop").applyInPandas(_switched(burn_in, batches, steps), "locus long, pop int, hwe_p double, se double")
+    full = haps.where("instr(h1, 'N') = 0 and instr(h2, 'N') = 0").select(F.col("locus").cast("long").alias("locus"), F.col("pop").cast("int").alias("pop"), "sample", "h1", "h2")
+    g = full.groupBy("locus", "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "h1", "h2"))).alias("pairs"))
+    # chains take their time, not their space: a part for each core, however small the table
+    g = g.repartition(haps.sparkSession.sparkContext.defaultParallelism, "locus", "pop")
+    return g.mapInArrow(_switched(burn_in, batches, steps), "locus long, pop int, hwe_p double, se double")
 
 
 # ---------------------------------------------------------------- bootstrap

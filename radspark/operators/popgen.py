@@ -243,10 +243,10 @@ def d_est(d):
     }, f"SELECT xs.locus, {d.r('1 - x / y')} AS d_est FROM xs JOIN y ON xs.locus = y.locus WHERE y > 0"
 
 
-def dxy(d, locus_length=95):
-    """Mean Jukes-Cantor distance of haplotypes of two populations; differences are a share of the locus' length, not of its sites. Uncalled sites count as letters here."""
+def dxy(d):
+    """Mean Jukes-Cantor distance of haplotypes of two populations; differences are a share of the locus' own length, not of its sites. Uncalled sites count as letters here."""
     return _freqs(d, complete=False) | {
-        "p": f"SELECT a.locus, a.pop AS pop1, b.pop AS pop2, a.f * b.f AS w, {d.hamming('a.h', 'b.h')} / {locus_length}E0 AS x FROM f a JOIN f b ON a.locus = b.locus AND a.pop < b.pop",
+        "p": f"SELECT a.locus, a.pop AS pop1, b.pop AS pop2, a.f * b.f AS w, {d.hamming('a.h', 'b.h')} / (1E0 * l.size) AS x FROM f a JOIN f b ON a.locus = b.locus AND a.pop < b.pop JOIN (SELECT locus, length(consensus) AS size FROM @loci) l ON l.locus = a.locus",
     }, f"SELECT locus, pop1, pop2, {d.r('sum(w * -0.75 * ln(1 - 4 * x / 3))')} AS dxy FROM p GROUP BY locus, pop1, pop2"
 
 
@@ -532,7 +532,7 @@ _CHECK_DEST = _CHECK_HAPS + f""", c_t AS (SELECT locus, pop, count(*) AS t FROM
   c_x AS (SELECT a.locus, sum(a.f * b.f) AS x FROM c_f a JOIN c_f b ON a.locus = b.locus AND a.h = b.h AND a.pop <> b.pop GROUP BY a.locus), c_k AS (SELECT locus, count(*) AS k FROM c_t GROUP BY locus),
   c_y AS (SELECT locus, sum(c * (c - 1) / (t * (t - 1))) AS y FROM c_f WHERE t > 1 GROUP BY locus)
   SELECT locus, {_r('1 - coalesce(x, 0) / (k - 1) / y')} AS d_est FROM c_k JOIN c_y USING (locus) LEFT JOIN c_x USING (locus) WHERE k > 1 AND y > 0"""
-_CHECK_DXY = _CHECK_HAPS + f" SELECT x.locus, x.pop AS pop1, y.pop AS pop2, {_r('-0.75 * avg(ln(1 - hamming(x.h, y.h) / 95 / 0.75))')} AS dxy FROM c_hap x JOIN c_hap y ON x.locus = y.locus AND x.pop < y.pop GROUP BY ALL"
+_CHECK_DXY = _CHECK_HAPS + f" SELECT x.locus, x.pop AS pop1, y.pop AS pop2, {_r('-0.75 * avg(ln(1 - hamming(x.h, y.h) / len(l.consensus) / 0.75))')} AS dxy FROM c_hap x JOIN c_hap y ON x.locus = y.locus AND x.pop < y.pop JOIN @loci l ON l.locus = x.locus GROUP BY ALL"
 _CHECK_MASK = "SELECT locus, col, sample, if(dp < 2, NULL, a1) AS a1, if(dp < 2, NULL, a2) AS a2, dp FROM @calls"
 _CHECK_RPR = """WITH c_n AS (SELECT locus, pop, count(DISTINCT sample) AS n FROM @calls WHERE a1 IS NOT NULL GROUP BY ALL), c_size AS (SELECT pop, count(DISTINCT sample) AS size FROM @calls GROUP BY pop)
   SELECT locus, count(*) AS pops, CAST(sum(n) AS BIGINT) AS samples FROM c_n JOIN c_size USING (pop) WHERE n >= 0.5 * size GROUP BY locus HAVING count(*) > 1 AND sum(n) >= 0.6 * (SELECT sum(size) FROM c_size)"""
@@ -542,7 +542,7 @@ OPS = {
     "site_pop_stats": Op(CALLS, site_pop_stats, _CHECK_POP), "site_meta_stats": Op(CALLS, site_meta_stats, _CHECK_META), "private_alleles": Op(CALLS, private_alleles, _CHECK_PRIVATE), "sumstats_summary": Op(CALLS, sumstats_summary, _CHECK_SUMMARY),
     "locus_filter_rpR": Op(CALLS, locus_filter, _CHECK_RPR), "snp_filter_maf_mac": Op(CALLS, snp_filter, _CHECK_SNPS), "depth_mask": Op(CALLS, depth_mask, _CHECK_MASK), "keep_first_snp": Op(CALLS, keep_first_snp, _CHECK_FIRST), "genotype_letters": Op(HAPS, ordered_snp_letters, _CHECK_LETTERS),
     "fst_pairwise": Op(CALLS, fst_pairwise, _CHECK_FST), "fst_summary": Op(CALLS, fst_summary, _CHECK_FST_MEAN), "fisher_exact": Fn(CALLS, fisher, _CHECK_FISHER), "gene_diversity": Op(HAPS, gene_diversity, _CHECK_GENE),
-    "haplotype_diversity": Op(HAPS, haplotype_diversity, _CHECK_HAPL), "d_est": Op(HAPS, d_est, _CHECK_DEST), "dxy_jc": Op(HAPS, dxy, _CHECK_DXY), "phi_st": Op(HAPS, phi_st, _CHECK_PHI), "phi_st_pairs": Op(HAPS, phi_st_pairs, _CHECK_PHI_PAIRS),
+    "haplotype_diversity": Op(HAPS, haplotype_diversity, _CHECK_HAPL), "d_est": Op(HAPS, d_est, _CHECK_DEST), "dxy_jc": Op(("haps", "loci"), dxy, _CHECK_DXY), "phi_st": Op(HAPS, phi_st, _CHECK_PHI), "phi_st_pairs": Op(HAPS, phi_st_pairs, _CHECK_PHI_PAIRS),
     "hwe_exact": Op(CALLS, hwe_exact, _CHECK_HWE), "kernel_smooth": Op(("sites",), kernel_smooth, _CHECK_SMOOTH), "bonferroni_window": Op(("sites",), bonferroni, _CHECK_BONFERRONI),
     "ordered_unique_sites": Op(("calls", "positions"), ordered_unique_sites, _CHECK_ORDERED), "locus_overlap": Op(("calls", "positions"), locus_overlap), "dist_samples_per_locus": Op(CALLS, samples_per_locus),
     "missing_per_sample": Op(CALLS, missing_per_sample, _CHECK_MISSING), "dprime_pairs": Op(HAPS, dprime, _CHECK_DPRIME), "dprime_buckets": Op(HAPS, dprime_buckets, _CHECK_BUCKETS),

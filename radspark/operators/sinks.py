@@ -77,6 +77,8 @@ def vcf_head(samples: DataFrame, source: str = "radspark") -> DataFrame:
     meta = [
         "##fileformat=VCFv4.2", f'##source="{source}"', '##INFO=<ID=NS,Number=1,Type=Integer,Description="Number of Samples With Data">', '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele Frequency">',
         '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read Depth">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Allelic Depth">',
+        '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total Depth">', '##INFO=<ID=AD,Number=R,Type=Integer,Description="Total Depth of Each Allele">', '##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase Set">', '##FORMAT=<ID=FT,Number=1,Type=String,Description="Genotype Filter">',
+        '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">', '##FORMAT=<ID=GL,Number=G,Type=Float,Description="Genotype Likelihood">',
     ]
     head = F.array(*[F.lit(m) for m in meta], F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"), F.col("names")))
     return names.select(F.lit(-1).cast("long").alias("part"), F.posexplode(head).alias("line", "value")).select("part", F.col("line").cast("long"), "value")
@@ -84,7 +86,7 @@ def vcf_head(samples: DataFrame, source: str = "radspark") -> DataFrame:
 
 def vcf_lines(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """calls (locus, col, sample, a1, a2, dp): a line a site with one or two alleles, its commoner one first (ties: the first by letter); a sample without a call has
-    ./. there. AD splits the depth of a heterozygote evenly, the odd read to the first allele."""
+    ./. there. These calls hold no depths by allele; called_lines() writes those of calls that do."""
     copies = calls.where("a1 is not null and a2 is not null").select("locus", "col", F.explode(F.array("a1", "a2")).alias("a")).groupBy("locus", "col", "a").count()
     order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("a"))))
     sites = copies.groupBy("locus", "col").agg(order.alias("o"), F.sum("count").alias("copies")).where("size(o) <= 2")
@@ -92,19 +94,68 @@ def vcf_lines(calls: DataFrame, samples: DataFrame) -> DataFrame:
     at = lambda a: F.when(F.col(a) == F.col("ref"), "0").otherwise("1")
     called = F.col("a1").isNotNull() & F.col("a2").isNotNull()
     gt = F.concat_ws("/", F.array_sort(F.array(at("a1"), at("a2"))))
-    half = F.floor(F.col("dp") / 2).cast("int")
-    ad = F.when(F.col("a1") != F.col("a2"), F.concat_ws(",", (F.col("dp") - half).cast("string"), half.cast("string"))).when(F.col("a1") == F.col("ref"), F.concat(F.col("dp").cast("string"), F.lit(",0"))).otherwise(F.concat(F.lit("0,"), F.col("dp").cast("string")))
-    own = calls.join(sites, ["locus", "col"]).select("locus", "col", "sample", F.when(called, F.concat_ws(":", gt, F.col("dp").cast("string"), ad)).alias("call"))
+    own = calls.join(sites, ["locus", "col"]).select("locus", "col", "sample", F.when(called, F.concat_ws(":", gt, F.col("dp").cast("string"))).alias("call"))
     row = own.groupBy("locus", "col").agg(F.map_from_entries(F.collect_list(F.struct("sample", "call"))).alias("by"), F.count("call").alias("ns"))
     names = samples.agg(F.array_sort(F.collect_set("sample")).alias("names"))  # one row
     row = row.join(sites, ["locus", "col"]).join(F.broadcast(names))
+    about = F.concat(F.lit("NS="), F.col("ns").cast("string"), F.lit(";AF="), (F.floor(F.col("minor") / F.col("copies") * 1000 + 0.5) / 1000).cast("string"))
+    return _records(row, about, F.lit("GT:DP"))
+
+
+def _records(row: DataFrame, about: Column, fields: Column) -> DataFrame:
+    """Lines of sites (locus, col, ref, alt, by: a map from sample to call, names: all samples in order)."""
     text = F.concat_ws(
         "\t", F.col("locus").cast("string"), (F.col("col") + 1).cast("string"), F.concat_ws(":", F.col("locus").cast("string"), F.col("col").cast("string")), "ref", F.coalesce("alt", F.lit(".")), F.lit("."), F.lit("PASS"),
-        F.concat(F.lit("NS="), F.col("ns").cast("string"), F.lit(";AF="), (F.floor(F.col("minor") / F.col("copies") * 1000 + 0.5) / 1000).cast("string")), F.lit("GT:DP:AD"), F.array_join(F.transform("names", lambda s: F.coalesce(F.col("by")[s], F.lit("./."))), "\t"),
+        about, fields, F.array_join(F.transform("names", lambda s: F.coalesce(F.col("by")[s], F.lit("./."))), "\t"),
     )
     return row.select(F.col("locus").alias("part"), F.col("col").cast("long").alias("line"), text.alias("value"))
 
 
+def _hundredths(x: Column) -> Column:
+    """A number with two decimals, halves upwards."""
+    n = F.floor(x * 100 + 0.5).cast("long")
+    return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 100).cast("string"), F.lit("."), F.lpad((F.abs(n) % 100).cast("string"), 2, "0"))
+
+
+def called_lines(called: DataFrame, samples: DataFrame, phases: DataFrame | None = None) -> DataFrame:
+    """Calls of a genotype model (as models.call makes them): a line a site with reads.
+
+    A site with one allele has its depths in INFO and each sample's depth. Others have GT:PS:FT:GQ:DP:AD:GL: depths by allele as counted, likelihoods (log10)
+    of 0/0, 0/1 and 1/1. phases (locus, sample, status, cols, h1, h2), as assembly.phased makes them, give heterozygotes of a phase set as
+    left|right and the set's first column; heterozygotes of a sample whose reads contradict each other are not called, and FT says `disc`.
+    """
+    of = lambda a: F.coalesce(F.get("counts", F.array_position(F.array(*map(F.lit, "ACGT")), F.col(a)).cast("int") - 1), F.lit(0))
+    c = called.withColumn("x", of("allele")).withColumn("y", of("other"))
+    if phases is not None:
+        p = phases.select("locus", "sample", "status", F.transform(F.split("cols", ","), lambda v: v.try_cast("int")).alias("set"), "h1", "h2")
+        c = c.join(p, ["locus", "sample"], "left")
+    else:
+        c = c.select("*", F.lit(None).cast("string").alias("status"), F.lit(None).cast("array<int>").alias("set"), F.lit(None).cast("string").alias("h1"), F.lit(None).cast("string").alias("h2"))
+    at = lambda a: F.when(a == F.col("allele"), "0").otherwise("1")
+    known, het = F.col("a1").isNotNull(), F.col("a1") != F.col("a2")
+    place = F.array_position("set", F.col("col")).cast("int")
+    left, right = (F.substr(h, place, F.lit(1)) for h in (F.col("h1"), F.col("h2")))
+    discarded = het & (F.coalesce(F.col("status"), F.lit("")) == "inconsistent")
+    phased = het & (F.coalesce(place, F.lit(0)) > 0)
+    gt = F.when(discarded, "./.:.:disc:.").when(phased, F.concat(at(left), F.lit("|"), at(right), F.lit(":"), (F.array_min("set") + 1).cast("string"), F.lit(":.:"), F.col("gq").cast("string")))
+    gt = gt.when(known, F.concat(F.concat_ws("/", F.array_sort(F.array(at(F.col("a1")), at(F.col("a2"))))), F.lit(":.:.:"), F.col("gq").cast("string"))).otherwise("./.:.:.:.")
+    gl = F.array_join(F.transform("gl", lambda v: _hundredths(v / F.ln(F.lit(10.0)))), ",")
+    many = F.concat_ws(":", gt, F.col("depth").cast("string"), F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string")), gl)
+    call = F.when(F.col("depth") == 0, F.when(F.col("variable"), "./.").otherwise(".")).when(F.col("variable"), many).otherwise(F.col("depth").cast("string"))
+    copies = F.when(known & ~discarded, (F.col("a1") == F.col("other")).cast("int") + (F.col("a2") == F.col("other")).cast("int"))
+    row = c.select("locus", "col", "sample", "variable", "allele", "other", "depth", "x", "y", copies.alias("copies"), call.alias("call"))
+    row = row.groupBy("locus", "col", "variable", F.col("allele").alias("ref"), F.col("other").alias("alt")).agg(
+        F.map_from_entries(F.collect_list(F.struct("sample", "call"))).alias("by"), F.sum("depth").alias("dp"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("copies").alias("minor"), (2 * F.count("copies")).alias("copies"),
+    )
+    names = samples.agg(F.array_sort(F.collect_set("sample")).alias("names"))  # one row
+    row = row.join(F.broadcast(names))
+    share = F.when(F.col("copies") > 0, F.floor(F.col("minor") / F.col("copies") * 1000 + 0.5) / 1000).otherwise(0.0).cast("string")
+    about = F.concat(F.lit("DP="), F.col("dp").cast("string"), F.lit(";AD="), F.col("x").cast("string"), F.when(F.col("variable"), F.concat(F.lit(","), F.col("y").cast("string"), F.lit(";AF="), share)).otherwise(""))
+    missing = F.when(F.col("variable"), "./.").otherwise(".")
+    row = row.withColumn("by", F.map_from_arrays("names", F.transform("names", lambda s: F.coalesce(F.col("by")[s], missing))))
+    return _records(row, about, F.when(F.col("variable"), "GT:PS:FT:GQ:DP:AD:GL").otherwise("DP"))
+
+
 def vcf_haplotypes(haps: DataFrame) -> DataFrame:
     """haps (locus, sample, h1, h2): a line a locus, its complete haplotypes as alleles by falling count, then by letters."""
     full = lambda h: F.when(F.instr(h, "N") == 0, F.col(h))

@@ -122,12 +122,14 @@ def tag_index(spark, piles):
 
 
 def fst_matrix(spark, calls):
-    """Mean Fst of each two populations, populations as columns."""
+    """Mean Fst of each two populations, a column for each population there is."""
     from . import popgen
 
     t = popgen.OPS["fst_summary"](spark, calls=calls)
     both = t.select("pop1", "pop2", "mean_fst").union(t.select("pop2", "pop1", "mean_fst"))
-    return both.groupBy(F.col("pop1").alias("pop")).pivot("pop2", [0, 1, 2]).agg(F.first("mean_fst")).toDF("pop", "pop_0", "pop_1", "pop_2")
+    pops = sorted(r[0] for r in calls.select("pop").where("pop is not null").distinct().collect())  # a row a population
+    means = [F.max(F.when(F.col("pop2") == p, F.col("mean_fst"))).alias(f"pop_{p}") for p in pops]
+    return both.groupBy(F.col("pop1").alias("pop")).agg(*means) if means else both.select(F.col("pop1").alias("pop"))
 
 
 def locus_view(spark, calls, haps):

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import assembly, cleaning, kmers, models, popgen, populations, sinks
+from .operators import assembly, catalogs, cleaning, kmers, models, popgen, populations, sinks
 from .operators.populations import Filters
 from .sources import formats
 
@@ -71,19 +71,23 @@ def assemble(reads: DataFrame, depth: int = 3, distance: int = 2, secondary: int
     extra = assembly.secondary_matches(primary, rest, secondary if secondary is not None else distance + 2)
     extra = rest.join(extra.select("read", "stack"), "read").join(loci.select("stack", "locus"), "stack").select("sample", "locus", "seq", "depth")
     every = members.select("sample", "locus", "seq", "depth").unionByName(extra)
-    snps = assembly.locus_snps(every.select("locus", "seq", "depth"))
-    return {"members": every, "consensus": assembly.consensus(every, "locus", "depth"), "snps": snps, "alleles": assembly.locus_alleles(members.select("locus", "seq", "depth"), snps)}
+    return {"members": every, "loci": catalogs.loci_of(every, alleles_from=members)}
 
 
-def catalog(consensus: DataFrame, distance: int = 1) -> DataFrame:
-    """consensus (sample, locus, seq) -> (catalog, sample, locus), samples in order."""
-    length = int(consensus.agg(F.max(F.length("seq"))).first()[0] or 0)
-    return assembly.build_catalog(consensus, distance, length)
+def catalog(loci: DataFrame, distance: int = 1, gapped_k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A sample's loci (as `assemble` makes them) -> the catalog and its sources (catalog, sample, locus), samples in order."""
+    length = int(loci.agg(F.max(F.length("consensus"))).first()[0] or 0)
+    return catalogs.build(loci, distance, length, gapped_k)
+
+
+def match(loci: DataFrame, known: DataFrame, gapped_k: int | None = None) -> DataFrame:
+    """Loci of samples, in the catalog or not, matched to it: (catalog, sample, locus, haplotype, depth, cigar) of verified haplotypes."""
+    return catalogs.matches(loci, known, gapped_k)
 
 
 def by_locus(members: DataFrame, matched: DataFrame) -> DataFrame:
     """Reads of all samples by catalog locus: (locus, sample, seq, depth); only one-to-one matches."""
-    m = assembly.one_to_one(matched)
+    m = assembly.one_to_one(matched.select("sample", "locus", "catalog").distinct())
     return members.join(m.select("sample", "locus", "catalog"), ["sample", "locus"]).select(F.col("catalog").alias("locus"), "sample", "seq", "depth")
 
 
@@ -121,8 +125,10 @@ def de_novo(spark: SparkSession, reads: DataFrame, popmap: DataFrame, filters: F
     """From clean reads (read_id, sample, seq, qual) without a reference to population statistics; popmap (sample, pop). Each step is written in the folder."""
     a = assemble(reads)
     members = save(a["members"], folder, "members")
-    own = members.select("sample", "locus").distinct().join(save(a["consensus"], folder, "consensus").withColumnRenamed("consensus", "seq"), "locus")
-    matched = save(catalog(own.select("sample", "locus", "seq")), folder, "catalog")
+    loci = save(a["loci"], folder, "loci")
+    known, sources = catalog(loci)
+    save(sources, folder, "sources")
+    matched = save(match(loci, save(known, folder, "catalog")), folder, "matches")
     grouped = save(by_locus(members, matched), folder, "reads_by_locus")
     calls = save(genotype(grouped), folder, "genotypes")
     names = grouped.select(F.col("sample").alias("name")).distinct().withColumn("sample", (F.dense_rank().over(Window.orderBy("name")) - 1).cast("int"))  # a row a sample
@@ -131,4 +137,4 @@ def de_novo(spark: SparkSession, reads: DataFrame, popmap: DataFrame, filters: F
     return population_run(spark, variable, filters, folder if files else None)
 
 
-__all__ = ["assemble", "by_locus", "catalog", "clone_filter", "de_novo", "genotype", "kmer_filter", "linkage", "load_reads", "population_run", "process_reads", "save"]
+__all__ = ["assemble", "by_locus", "catalog", "clone_filter", "de_novo", "genotype", "kmer_filter", "linkage", "load_reads", "match", "population_run", "process_reads", "save"]

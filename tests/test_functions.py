@@ -109,6 +109,20 @@ def test_models():
     fixed = np.zeros((10, 4), int)
     fixed[:, 1] = 20
     assert models.low_coverage(fixed)[1] is None and models.high_coverage(fixed)[0] == [1] and models.low_coverage(np.zeros((3, 4), int)) is None
+    # many sites at once are what they are one by one
+    sites = [counts, fixed, rng.integers(0, 9, (7, 4)), rng.integers(0, 2, (5, 4)), np.zeros((3, 4), int), counts[:1]]
+    flat, starts = np.concatenate(sites), np.cumsum([0, *map(len, sites)])[:-1]
+    site = np.repeat(np.arange(len(sites)), [len(c) for c in sites])
+    low_all, high_all = models._low(flat, site, starts), models._high(flat, site, starts)
+    for i, c in enumerate(sites):
+        own = slice(starts[i], starts[i] + len(c))
+        one, many = models.low_coverage(c), models.high_coverage(c)
+        assert bool(low_all["read"][i]) == (one is not None) == (many is not None)
+        if one:
+            pairs = [(one[0], one[0]), tuple(sorted((one[0], one[1] or 0))), (one[1], one[1])]
+            assert (low_all["allele"][i], low_all["variable"][i]) == (one[0], one[1] is not None)
+            assert list(zip(low_all["a1"][own], low_all["a2"][own], low_all["gq"][own], strict=True)) == [(*pairs[g], q) if g is not None else (-1, -1, 0) for g, q in one[3]]
+            assert list(zip(high_all["a1"][own], high_all["a2"][own], high_all["gq"][own], strict=True)) == [(x, y, q) if x is not None else (-1, -1, 0) for x, y, q in many[1]]
     # any genotype frequencies on the grid do no better
     ln = models.likelihoods(counts, 0, 2, 0.01)
     best, top = models.genotype_frequencies(ln, 0.7, 40)
@@ -125,9 +139,13 @@ def test_guo_thompson():
         return sum(v for v in w.values() if v <= w[het] * (1 + 1e-9)) / sum(w.values())
 
     for g in ([(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 5, [(0, 0)] * 4 + [(0, 1)] * 6 + [(1, 1)] * 2, [(0, 1)] * 8):
-        p, se = models.switched(g, 500, 10, 2000)
+        ((p, se),) = models.switched([g], 500, 10, 2000)
         assert abs(p - exact(g)) < max(0.03, 5 * se)
-    assert models.switched([(0, 0)] * 4) == (1.0, 0.0)
+    assert models.switched([[(0, 0)] * 4]) == [(1.0, 0.0)]
+    # chains beside others are what they are alone
+    groups = [[(0, 1), (1, 2), (0, 0), (2, 2)], [(0, 0)] * 3, [(0, 1)] * 5]
+    both = models.switched(groups, 50, 3, 200, [4, 5, 6])
+    assert both == [models.switched([g], 50, 3, 200, [s])[0] for g, s in zip(groups, (4, 5, 6), strict=True)]
 
 
 def test_blocks():

@@ -142,14 +142,6 @@ def test_similar_pairs_share_rare_kmers(spark):
     assert sorted(map(tuple, assembly.similar_pairs(df, 3, 64, ["sample"]).collect())) == want
 
 
-def test_catalog_by_order(spark):
-    rows = [("a", 1, "ACGTACGTAC" * 4), ("a", 2, "TTGACCATGA" * 4), ("b", 3, "ACGTACGTAC" * 4), ("b", 4, "TTGACCATGA" * 3 + "TTGACCATGC"), ("c", 5, "TTGACCATGA" * 3 + "TTGACCACGC"), ("c", 6, "GGGTTACAAC" * 4)]
-    df = spark.createDataFrame(rows, "sample string, locus long, seq string")
-    got = sorted((r["catalog"], r["locus"]) for r in assembly.build_catalog(df, 1, 40).collect())
-    assert got == [(1, 1), (1, 3), (2, 2), (2, 4), (2, 5), (6, 6)]
-    assert assembly.build_catalog(df.limit(0)).count() == 0
-
-
 def test_components_of_paths_and_stars(spark):
     from radspark.operators import graphs
 
