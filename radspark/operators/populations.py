@@ -210,19 +210,6 @@ def four_gamete_blocks(gametes: dict[tuple[int, int], int], n: int) -> list[tupl
     return [*out, (start, n)] if n else []
 
 
-def strong_blocks(low: dict[tuple[int, int], float], high: dict[tuple[int, int], float], n: int, share: float = 0.9) -> list[tuple[int, int]]:
-    """Stretches whose ends are strongly linked (interval of D' from above 0.7 to above 0.98) and where at least `share` of the informative pairs (strong, or recombined: up to under
-    0.9) are strong; longest first, without overlaps."""
-    strong = {p for p in low if high[p] > 0.98 and low[p] > 0.7}
-    told = strong | {p for p in high if high[p] < 0.9}
-    found = []
-    for i, j in sorted(strong, key=lambda p: (p[0] - p[1], p[0])):
-        inside = [p for p in told if i <= p[0] and p[1] <= j]
-        if sum(p in strong for p in inside) >= share * len(inside) and all(j < a or i > b for a, b in found):
-            found.append((i, j))
-    return sorted(found)
-
-
 def _blocks(t: pd.DataFrame) -> pd.DataFrame:
     pairs = {(int(i), int(j)): int(g) for i, j, g in zip(t["i"], t["j"], t["gametes"], strict=True)}
     blocks = four_gamete_blocks(pairs, max(j for _, j in pairs))

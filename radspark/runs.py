@@ -11,7 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import assembly, catalogs, cleaning, kmers, models, popgen, populations, sinks
+from .operators import assembly, catalogs, cleaning, graphs, kmers, models, popgen, populations, sinks
+from .operators import linkage as ld
 from .operators.populations import Filters
 from .sources import formats
 
@@ -116,9 +117,17 @@ def population_run(spark: SparkSession, calls: DataFrame, filters: Filters, fold
     return out
 
 
-def linkage(spark: SparkSession, haps: DataFrame) -> dict[str, DataFrame]:
-    """Linkage of phased haplotypes: pairs, distance buckets, blocks."""
-    return {"pairs": popgen.OPS["dprime_pairs"](spark, haps=haps), "buckets": popgen.OPS["dprime_buckets"](spark, haps=haps), "blocks": populations.fgt_blocks(spark, haps)}
+def linkage(spark: SparkSession, haps: DataFrame, positions: DataFrame | None = None, most: int = 500_000, least: float = 0.05) -> dict[str, DataFrame]:
+    """Linkage of phased haplotypes: pairs within loci, distance buckets, four-gamete blocks; with places of the loci also intervals of D' of sites within `most`, the blocks that strong
+    linkage makes, and their haplotypes by population."""
+    out = {"pairs": popgen.OPS["dprime_pairs"](spark, haps=haps), "buckets": popgen.OPS["dprime_buckets"](spark, haps=haps), "blocks": populations.fgt_blocks(spark, haps)}
+    if positions is not None:
+        each = ld.copies(haps, positions)
+        sites = graphs.written(ld.packed_sites(each, least), "sites")[0]
+        told = graphs.written(ld.intervals(ld.near_pairs(sites, most)), "intervals")[0]
+        found = graphs.written(ld.blocks(told, sites, most), "blocks")[0]
+        out |= {"intervals": told, "strong_blocks": found, "block_haplotypes": ld.block_haplotypes(found, sites, each, most)}
+    return out
 
 
 def de_novo(spark: SparkSession, reads: DataFrame, popmap: DataFrame, filters: Filters, folder: str, files: bool = True) -> dict[str, DataFrame]:

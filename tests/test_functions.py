@@ -150,5 +150,3 @@ def test_guo_thompson():
 
 def test_blocks():
     assert populations.four_gamete_blocks({(1, 2): 3, (1, 3): 4, (2, 3): 4, (3, 4): 2}, 4) == [(1, 2), (3, 4)]
-    low, high = {(1, 2): 0.8, (1, 3): 0.75, (2, 3): 0.9, (3, 4): 0.1}, {(1, 2): 1.0, (1, 3): 1.0, (2, 3): 1.0, (3, 4): 0.5}
-    assert populations.strong_blocks(low, high, 4) == [(1, 3)]
