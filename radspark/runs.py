@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import assembly, catalogs, cleaning, graphs, kmers, models, popgen, populations, sinks
+from .operators import assembly, catalogs, cleaning, genotyping, graphs, kmers, models, popgen, populations, sinks
 from .operators import linkage as ld
 from .operators.populations import Filters
 from .sources import formats
@@ -94,13 +94,23 @@ def by_locus(members: DataFrame, matched: DataFrame) -> DataFrame:
 
 def genotype(reads: DataFrame, model: str = "low") -> DataFrame:
     """reads (locus, sample, seq, depth) -> genotypes of every site, by pileup of reads that begin at the same place."""
-    n = reads.select("locus", "sample", "depth", F.posexplode(F.split("seq", "")).alias("col", "b"))
-    count = [F.sum(F.when(F.col("b") == b, F.col("depth")).otherwise(0)).alias(f"n{b.lower()}") for b in "ACGT"]
-    numbers = reads.select("sample").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("sample")) - 1)  # a row a sample
-    depths = n.groupBy("locus", "col", "sample").agg(*count).join(F.broadcast(numbers), "sample").select("locus", "col", F.col("number").cast("int").alias("sample"), "na", "nc", "ng", "nt")
+    numbers = reads.select("sample").distinct().withColumn("number", (F.dense_rank().over(Window.orderBy("sample")) - 1).cast("int"))  # a row a sample
+    whole = reads.where("length(seq) > 0").select("locus", "sample", "seq", "depth", F.lit(0).alias("start"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"))
+    depths = genotyping.pileup(whole.repartition("locus")).join(F.broadcast(numbers), "sample").drop("sample").withColumnRenamed("number", "sample")
     return models.call(depths, model)
 
 
+def genotype_pairs(reads: DataFrame, folder: str | None = None, model: str = "low", **limits) -> dict[str, DataFrame]:
+    """Paired reads of loci (locus, sample, read, mate, seq; mate 2 in the locus' direction, samples as numbers) -> contigs of both ends, aligned reads, calls and phases; where a folder is given also
+    catalog.calls.vcf (GT:PS:FT:GQ:DP:AD:GL) and catalog.fa."""
+    out = genotyping.genotype(reads, model, **limits)
+    if folder:
+        samples = reads.select("sample").distinct()
+        sinks.write(sinks.vcf_head(samples).unionByName(sinks.called_lines(out["calls"], samples, out["phases"])), f"{folder}/catalog.calls.vcf")
+        sinks.write(sinks.fasta_lines(out["contigs"], F.col("locus").cast("string"), F.col("contig"), F.col("locus"), F.lit(0).cast("long")), f"{folder}/catalog.fa")
+    return out
+
+
 def population_run(spark: SparkSession, calls: DataFrame, filters: Filters, folder: str | None = None) -> dict[str, DataFrame]:
     """Filters, statistics, and where a folder is given the files: genotypes as VCF, GenePop, PLINK, STRUCTURE pieces and Phylip, tables as Parquet."""
     out = populations.populations(spark, calls, filters)
@@ -146,4 +156,4 @@ def de_novo(spark: SparkSession, reads: DataFrame, popmap: DataFrame, filters: F
     return population_run(spark, variable, filters, folder if files else None)
 
 
-__all__ = ["assemble", "by_locus", "catalog", "clone_filter", "de_novo", "genotype", "kmer_filter", "linkage", "load_reads", "match", "population_run", "process_reads", "save"]
+__all__ = ["assemble", "by_locus", "catalog", "clone_filter", "de_novo", "genotype", "genotype_pairs", "kmer_filter", "linkage", "load_reads", "match", "population_run", "process_reads", "save"]
