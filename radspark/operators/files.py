@@ -105,7 +105,7 @@ _CHECK = {
     "scan_vcf": f"""WITH {_REF}, c_c AS (SELECT s.locus, s.col, p.sample, c.a1, c.a2, c.dp, ref, alt FROM c_ref s, (SELECT DISTINCT sample FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample)
       SELECT locus, col AS pos, sample, CASE WHEN a1 = ref OR a2 = ref THEN ref ELSE a1 END AS a1, CASE WHEN a1 = alt OR a2 = alt THEN alt ELSE a1 END AS a2, dp,
       CASE WHEN dp IS NULL THEN NULL WHEN a1 <> a2 THEN concat(dp - dp // 2, ',', dp // 2) WHEN a1 = ref THEN concat(dp, ',0') ELSE concat('0,', dp) END AS ad FROM c_c""",
-    "vcf_samples": "SELECT 7 AS meta_lines, string_agg(sample, ',' ORDER BY sample) AS samples FROM (SELECT DISTINCT sample FROM @calls) s",
+    "vcf_samples": "SELECT 13 AS meta_lines, string_agg(sample, ',' ORDER BY sample) AS samples FROM (SELECT DISTINCT sample FROM @calls) s",
     "external_loci": f"WITH {_REF} SELECT CAST(locus AS VARCHAR) AS chrom, CAST(col AS BIGINT) AS pos, count(*) AS called, count(*) FILTER (a1 <> a2) AS het FROM @calls JOIN c_ref USING (locus, col) WHERE alt IS NOT NULL GROUP BY ALL",
     "locus_variants": f"WITH {_REF} SELECT locus, string_agg(concat_ws(':', col, ref, coalesce(alt, '.')), ',' ORDER BY col) AS sites FROM c_ref GROUP BY locus",
     "locus_haplotypes": """WITH c_s AS (SELECT s.locus, s.col, p.sample, c.a1, c.a2 FROM (SELECT DISTINCT locus, col FROM @calls) s, (SELECT DISTINCT sample FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample),
@@ -144,6 +144,11 @@ _GP = "printf('%02d', CASE WHEN {0} IS NULL THEN 0 ELSE position({0} IN 'ACGT')
 _BI = """c_copy AS (SELECT locus, col, pop, unnest([a1, a2]) AS a FROM @calls WHERE a1 IS NOT NULL AND a2 IS NOT NULL), c_two AS (SELECT locus, col, min(a) AS lo, max(a) AS hi FROM c_copy GROUP BY ALL HAVING count(DISTINCT a) = 2),
   c_all AS (SELECT locus, col FROM c_copy JOIN c_two USING (locus, col) GROUP BY ALL HAVING count(DISTINCT pop) = (SELECT count(DISTINCT pop) FROM @calls)), c_pop AS (SELECT locus, col, pop, list_sort(list(DISTINCT a)) AS l FROM c_copy JOIN c_all USING (locus, col) GROUP BY ALL)"""
 _RANKED = "c_h AS (SELECT locus, h, row_number() OVER (PARTITION BY locus ORDER BY count(*) DESC, h) AS k FROM (SELECT locus, unnest([h1, h2]) AS h FROM @haps) z WHERE h NOT LIKE '%N%' GROUP BY locus, h), c_l AS (SELECT locus, list(h ORDER BY k) AS o FROM c_h GROUP BY ALL)"
+# each population's letter, base by base
+_ALL = """WITH c_b AS (SELECT locus, col, pop, list_sort(list_distinct(list(b))) AS k FROM (SELECT locus, col, pop, unnest([a1, a2]) AS b FROM @calls WHERE a1 IS NOT NULL AND a2 IS NOT NULL) z GROUP BY ALL),
+  c_i AS (SELECT locus, col, pop, CASE len(k) WHEN 1 THEN k[1] WHEN 2 THEN map {'AC': 'M', 'AG': 'R', 'AT': 'W', 'CG': 'S', 'CT': 'Y', 'GT': 'K'}[k[1] || k[2]] ELSE 'N' END AS x FROM c_b),
+  c_p AS (SELECT l.locus, consensus, CAST(string_split(cols, ',') AS INT[]) AS cols, pop FROM @loci l CROSS JOIN (SELECT DISTINCT pop FROM @calls) p), c_m AS (SELECT locus, pop, map_from_entries(list((col, x))) AS m FROM c_i GROUP BY ALL),
+  c_seq AS (SELECT p.locus, p.pop, array_to_string([CASE WHEN (i - 1) % 20 = 0 AND list_contains(cols, CAST((i - 1) // 20 AS INT)) THEN coalesce(m[CAST((i - 1) // 20 AS INT)], 'N') ELSE consensus[i] END FOR i IN range(1, len(consensus) + 1)], '') AS seq FROM c_p p LEFT JOIN c_m q ON q.locus = p.locus AND q.pop = p.pop)"""
 _SEQ = "c_x AS (SELECT locus, sample, consensus, CAST(string_split(cols, ',') AS INT[]) AS cols, unnest([0, 1]) AS allele, unnest([h1, h2]) AS h FROM @haps JOIN @loci USING (locus)), c_q AS (SELECT locus, sample, allele, array_to_string([CASE WHEN (i - 1) % 20 = 0 AND list_contains(cols, (i - 1) // 20) THEN h[list_position(cols, (i - 1) // 20)] ELSE consensus[i] END FOR i IN range(1, len(consensus) + 1)], '') AS seq FROM c_x)"
 _CHECK |= {
     "export_genepop": f"WITH {_GRID} SELECT pop, sample, block, string_agg({_GP.format('a1')} || {_GP.format('a2')}, chr(9) ORDER BY locus, col) AS piece FROM c_g GROUP BY ALL",
@@ -157,6 +162,10 @@ _CHECK |= {
     "export_radpainter": "SELECT locus, string_agg(CASE WHEN h1 LIKE '%N%' OR h2 LIKE '%N%' THEN '' WHEN h1 = h2 THEN h1 ELSE array_to_string(list_sort([h1, h2]), '/') END, chr(9) ORDER BY sample) AS line FROM @haps GROUP BY locus",
     "export_phylip": f"WITH {_BI} SELECT pop, locus // 1000 AS block, string_agg(CASE WHEN len(l) = 1 THEN l[1] ELSE map {{'AC': 'M', 'AG': 'R', 'AT': 'W', 'CG': 'S', 'CT': 'Y', 'GT': 'K'}}[l[1] || l[2]] END, '' ORDER BY locus, col) AS piece FROM c_pop GROUP BY ALL",
     "export_phylip_fixed": f"WITH {_BI}, c_one AS (SELECT locus, col FROM c_pop GROUP BY ALL HAVING max(len(l)) = 1) SELECT pop, locus // 1000 AS block, string_agg(l[1], '' ORDER BY locus, col) AS piece FROM c_pop JOIN c_one USING (locus, col) GROUP BY ALL",
+    "export_phylip_all": _ALL + """, c_n AS (SELECT pop, row_number() OVER (ORDER BY pop) AS no, concat(rpad(pop::VARCHAR, 10, ' '), string_agg(seq, '' ORDER BY locus)) AS t FROM c_seq GROUP BY pop),
+      c_w AS (SELECT w + 1 AS part, no AS line, substr(t, w * 120 + 1, 120) AS value FROM c_n, unnest(range(0, (SELECT max(len(t)) FROM c_n) // 120 + 1)) AS u(w) WHERE len(t) > w * 120)
+      SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS line, concat(count(*), ' ', lpad((max(len(t)) - 10)::VARCHAR, 11, ' ')) AS value FROM c_n UNION ALL SELECT part, line, value FROM c_w UNION ALL SELECT part, CAST(1099511627776 AS BIGINT), '' FROM c_w WHERE line = 1 AND len(value) = 120""",
+    "export_phylip_partitions": "WITH c_o AS (SELECT row_number() OVER (ORDER BY locus) AS part, sum(len(consensus)) OVER (ORDER BY locus) AS e, len(consensus) AS n FROM @loci) SELECT part, CAST(0 AS BIGINT) AS line, concat('DNA, p', part, '=', e - n + 1, '-', e) AS value FROM c_o",
     "export_vcf_haplotypes": f"WITH {_RANKED}, c_g AS (SELECT locus, sample, list_position(o, h1) - 1 AS x, list_position(o, h2) - 1 AS y, o FROM @haps JOIN c_l USING (locus)) SELECT locus, o[1] AS ref, CASE WHEN len(o) > 1 THEN array_to_string(o[2:], ',') ELSE '.' END AS alt, string_agg(CASE WHEN x IS NULL OR y IS NULL THEN './.' ELSE least(x, y) || '/' || greatest(x, y) END, chr(9) ORDER BY sample) AS calls FROM c_g GROUP BY locus, o",
     "export_genepop_haplotypes": f"WITH {_RANKED} SELECT locus, pop, sample, CASE WHEN h1 LIKE '%N%' OR h2 LIKE '%N%' THEN repeat('0', if(len(o) > 99, 6, 4)) WHEN len(o) > 99 THEN printf('%03d%03d', list_position(o, h1), list_position(o, h2)) ELSE printf('%02d%02d', list_position(o, h1), list_position(o, h2)) END AS code FROM @haps JOIN c_l USING (locus)",
     "export_phase": "SELECT locus AS part, CAST(sample * 3 + i AS BIGINT) AS line, [concat('# ', sample), replace(h1, 'N', '?'), replace(h2, 'N', '?')][i + 1] AS value FROM @haps, range(3) z(i)",
@@ -230,7 +239,7 @@ _RUN = {
     "scan_vcf": (CALLS, scan_vcf), "vcf_samples": (CALLS, vcf_samples), "external_loci": (CALLS, external_loci), "locus_variants": (CALLS, locus_variants), "locus_haplotypes": (("calls", "loci"), locus_haplotypes),
     "export_genepop": (CALLS, lambda spark, calls: sinks.genepop(calls)), "export_genepop_file": (CALLS, _genepop_file), "export_structure": (CALLS, lambda spark, calls: sinks.structure(calls)), "export_plink": (CALLS, lambda spark, calls: sinks.plink_ped(calls)),
     "export_plink_map": (("calls", "positions"), lambda spark, calls, positions: sinks.plink_map(calls, positions)), "export_hzar": (CALLS, lambda spark, calls: sinks.hzar(calls)), "export_radpainter": (HAPS, lambda spark, haps: sinks.radpainter(haps)),
-    "export_phylip": (CALLS, lambda spark, calls: sinks.phylip_variable(calls)), "export_phylip_fixed": (CALLS, lambda spark, calls: sinks.phylip_fixed(calls)), "export_vcf_haplotypes": (HAPS, lambda spark, haps: sinks.vcf_haplotypes(haps)),
+    "export_phylip": (CALLS, lambda spark, calls: sinks.phylip_variable(calls)), "export_phylip_all": (("calls", "loci"), lambda spark, calls, loci: sinks.phylip_all(calls, loci)), "export_phylip_partitions": (("loci",), lambda spark, loci: sinks.phylip_partitions(loci)), "export_phylip_fixed": (CALLS, lambda spark, calls: sinks.phylip_fixed(calls)), "export_vcf_haplotypes": (HAPS, lambda spark, haps: sinks.vcf_haplotypes(haps)),
     "export_genepop_haplotypes": (HAPS, lambda spark, haps: sinks.genepop_haplotypes(haps)), "export_phase": (HAPS, lambda spark, haps: sinks.phase_lines(haps)), "export_samples_fasta": (("haps", "loci"), _samples), "export_samples_raw": (("haps", "loci"), _samples_raw),
     "export_vcf_rows": (CALLS, lambda spark, calls: sinks.vcf_lines(calls, calls.select("sample"))), "matrix_transpose": (CALLS, _transposed),
     "read_names": (("names",), read_names), "sequence_functions": (READS, sequence_functions), "number_functions": (("numbers",), number_functions), "cigar_functions": (("cigars",), cigar_functions),

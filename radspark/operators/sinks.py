@@ -6,7 +6,7 @@ puts a sample's pieces together where one row can hold them, `write` writes a bl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import iupac, with_bases
@@ -293,3 +293,66 @@ def phase_lines(haps: DataFrame) -> DataFrame:
 def locus_tables(spark_rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of the locus tables as text, nulls empty."""
     return spark_rows.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+
+
+# ---------------------------------------------------------------- whole sequences, interleaved
+
+WIDTH = 120
+_MANY = 10_000  # loci of a stretch of the running offset
+
+
+def offsets(loci: DataFrame) -> DataFrame:
+    """loci (locus, consensus) -> (locus, consensus, no, offset): rank from 1 and letters before, in order of the loci. Stretches of loci are summed up first, so that no task sees them all."""
+    part = F.expr(f"locus div {_MANY}")
+    own = Window.partitionBy("part").orderBy("locus")
+    r = loci.select("locus", "consensus", F.length("consensus").cast("long").alias("size"), part.alias("part"))
+    totals = r.groupBy("part").agg(F.sum("size").alias("all"), F.count("*").alias("many"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    totals = totals.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("letters"), F.coalesce(F.sum("many").over(before), F.lit(0)).alias("loci"))
+    r = r.withColumn("no", F.row_number().over(own)).withColumn("offset", F.sum("size").over(own) - F.col("size")).join(totals, "part")
+    return r.select("locus", "consensus", (F.col("no") + F.col("loci")).cast("long").alias("no"), (F.col("offset") + F.col("letters")).alias("offset"))
+
+
+def population_sequences(calls: DataFrame, loci: DataFrame, step: int = 20) -> DataFrame:
+    """(pop, locus, seq): a locus' consensus with each population's nucleotide code put in at its sites; N where a population has no call or more than two bases."""
+    seen = calls.where("a1 is not null and a2 is not null").select("locus", "col", "pop", F.explode(F.array("a1", "a2")).alias("a"))
+    seen = seen.groupBy("locus", "col", "pop").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.countDistinct("a").alias("k"))
+    letters = seen.select("locus", "pop", "col", F.when(F.col("k") > 2, "N").otherwise(iupac(F.col("x"), F.col("y"))).alias("code"))
+    by = letters.groupBy("locus", "pop").agg(F.map_from_entries(F.collect_list(F.struct("col", "code"))).alias("by"))
+    sites = calls.select("locus", "col").distinct().groupBy("locus").agg(F.array_sort(F.collect_list("col")).alias("cols"))
+    pops = calls.agg(F.array_sort(F.collect_set("pop")).alias("pops"))  # one row
+    every = loci.select("locus", "consensus").join(sites, "locus", "left").join(F.broadcast(pops)).select("locus", "consensus", F.coalesce("cols", F.array().cast("array<int>")).alias("cols"), F.explode("pops").alias("pop"))
+    j = every.join(by, ["locus", "pop"], "left")
+    codes = F.array_join(F.transform("cols", lambda c: F.coalesce(F.col("by")[c], F.lit("N"))), "")
+    seq = F.when(F.size("cols") == 0, F.col("consensus")).otherwise(with_bases(F.col("consensus"), F.transform("cols", lambda c: c * step), codes))
+    return j.select("pop", "locus", seq.alias("seq"))
+
+
+def phylip_all(calls: DataFrame, loci: DataFrame, step: int = 20, width: int = WIDTH) -> DataFrame:
+    """The whole sequence of each population, all loci in order, interleaved: number of populations and letters, then blocks of `width` columns, a line a population and an empty line
+    after each full block; names take the first ten columns.
+
+    A locus knows its offset, so it is cut where blocks end, and a line is put together from the few pieces that fall into it.
+    """
+    at = offsets(loci).select("locus", "offset")
+    s = population_sequences(calls, loci, step).join(at, "locus").select("pop", (F.col("offset") + 10).alias("start"), "seq")
+    name = calls.select("pop").distinct().select("pop", F.lit(0).cast("long").alias("start"), F.rpad(F.col("pop").cast("string"), 10, " ").alias("seq"))
+    s = s.unionByName(name).where("length(seq) > 0")
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.length("seq") - 1) / width)
+    s = s.select("pop", "start", "seq", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("block") * width - F.col("start"), F.lit(0))
+    end = F.least((F.col("block") + 1) * width - F.col("start"), F.length("seq").cast("long"))
+    s = s.select("pop", "block", (F.col("start") + begin).alias("start"), F.substr("seq", (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
+    lines = s.groupBy("block", "pop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("value"))
+    numbers = calls.select("pop").distinct().withColumn("no", F.row_number().over(Window.orderBy("pop")).cast("long"))  # a row a population
+    lines = lines.join(F.broadcast(numbers), "pop")
+    gaps = lines.where((F.col("no") == 1) & (F.length("value") == width)).select((F.col("block") + 1).alias("part"), F.lit(1 << 40).cast("long").alias("line"), F.lit("").alias("value"))
+    sizes = loci.agg(F.coalesce(F.sum(F.length("consensus")), F.lit(0)).alias("letters")).join(numbers.agg(F.count("*").alias("pops")))  # one row
+    head = sizes.select(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("line"), F.concat(F.col("pops").cast("string"), F.lit(" "), F.lpad(F.col("letters").cast("string"), 11, " ")).alias("value"))
+    return head.unionByName(lines.select((F.col("block") + 1).alias("part"), F.col("no").alias("line"), "value")).unionByName(gaps)
+
+
+def phylip_partitions(loci: DataFrame) -> DataFrame:
+    """A line a locus: its number and columns in the whole sequence, from 1."""
+    o = offsets(loci)
+    return o.select("no", F.lit(0).cast("long").alias("line"), F.concat(F.lit("DNA, p"), F.col("no").cast("string"), F.lit("="), (F.col("offset") + 1).cast("string"), F.lit("-"), (F.col("offset") + F.length("consensus")).cast("string")).alias("value")).withColumnRenamed("no", "part")

@@ -7,15 +7,12 @@ lines of each split and a small table of their numbers. The parsers take such fr
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bam as split_bam
+
 # ---------------------------------------------------------------- lines
 
 
@@ -115,75 +112,36 @@ def usable_alignments(t: DataFrame, min_mapq: int = 10, max_clipped: float = 0.2
     return t.where("mapped and not secondary and not supplementary").where((F.col("mapq") >= min_mapq) & (F.col("clipped5") == 0) & (F.col("clipped_share") <= max_clipped))
 
 
-_BASES, _CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-
-
-def unblocked(data: bytes) -> bytes:
-    """The content of a blocked gzip file: each block's size is in its header's extra field."""
-    out, at = [], 0
-    while at < len(data):
-        if data[at : at + 4] != b"\x1f\x8b\x08\x04" or data[at + 12 : at + 14] != b"BC":
-            raise ValueError("not a blocked gzip file")
-        size = struct.unpack_from("<H", data, at + 16)[0] + 1
-        out.append(zlib.decompress(data[at + 18 : at + size - 8], -15))
-        at += size
-    return b"".join(out)
-
-
-def bam_rows(data: bytes) -> Iterator[tuple]:
-    """(name, flag, chr, pos, mapq, cigar, seq, qual) of a BAM file's records."""
-    raw = unblocked(data)
-    if raw[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    names = []
-    (n,) = struct.unpack_from("<i", raw, at)
-    at += 4
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", raw, at)
-        names.append(raw[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    while at < len(raw):
-        size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq = struct.unpack_from("<iiiBBHHHi", raw, at)
-        p = at + 36
-        name = raw[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_ops}I", raw, p)
-        p += 4 * n_ops
-        packed = raw[p : p + (l_seq + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
-        p += (l_seq + 1) // 2
-        qual = raw[p : p + l_seq]
-        yield name, flag, names[ref] if ref >= 0 else "*", pos, mapq, "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops) or "*", seq, "*" if qual[:1] == b"\xff" else "".join(chr(33 + q) for q in qual)
-        at += 4 + size
-
-
-_BAM = pa.schema([("file", pa.string()), ("line", pa.int64()), ("name", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
-
-
-def _bam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, content in zip(b.column("path"), b.column("content"), strict=True):
-            held = []
-            for i, row in enumerate(bam_rows(content.as_py())):
-                held.append((path.as_py(), i, *row))
-                if len(held) == 10_000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(_BAM.names, r, strict=True)) for r in held], _BAM)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_pylist([dict(zip(_BAM.names, r, strict=True)) for r in held], _BAM)
-
-
 def bam(spark: SparkSession, path) -> DataFrame:
-    """Alignments of BAM files, a task a file (files of up to 2 GB, the most a row of Spark holds)."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return aligned(raw.mapInArrow(_bam, "file string, line long, name string, flag int, chr string, pos long, mapq int, cigar string, seq string, qual string"))
+    """Alignments of BAM files, each read by as many tasks as it has splits."""
+    return aligned(split_bam.records(spark, path))
 
 
 def sorted_alignments(t: DataFrame) -> DataFrame:
-    """Raises if a file's mapped records are not ordered by place within each chromosome's run."""
-    before = Window.partitionBy("file", "chr").orderBy("line")
-    return t.withColumn("pos", require((F.col("pos") < 0) | (F.col("pos") >= F.coalesce(F.lag("pos").over(before), F.lit(-1))), F.col("pos"), "unsorted alignments"))
+    """Raises if a file's mapped records are not ordered by place within each chromosome's run. Records are compared with those before within their split (block), and
+    splits by their first and last records."""
+    own = ["file", *(["block"] if "block" in t.columns else [])]
+    before = Window.partitionBy(*own).orderBy("line")
+    last = lambda c: F.lag(c).over(before)
+    fine = lambda chr_, pos, chr0, pos0: (pos < 0) | (pos0 < 0) | (chr_ != chr0) | (pos >= pos0)
+    t = t.withColumn("pos", require(F.coalesce(fine(F.col("chr"), F.col("pos"), last("chr"), last("pos")), F.lit(True)), F.col("pos"), "unsorted alignments"))
+    if len(own) == 1:
+        return t
+    ends = t.groupBy(*own).agg(F.min_by(F.struct("chr", "pos"), "line").alias("first"), F.max_by(F.struct("chr", "pos"), "line").alias("last"))  # a row a split
+    prior = F.lag("last").over(Window.partitionBy("file").orderBy("block"))
+    ends = ends.withColumn("prior", prior).withColumn("whole", F.coalesce(fine(F.col("first.chr"), F.col("first.pos"), F.col("prior.chr"), F.col("prior.pos")), F.lit(True)))
+    t = t.join(F.broadcast(ends.select(*own, "whole")), own)
+    return t.withColumn("pos", require(F.col("whole"), F.col("pos"), "unsorted alignments")).drop("whole")
+
+
+def merged_alignments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The sorted files of samples (by name) as one frame in order of place: ranges of chromosomes and places are dealt to tasks and sorted there, so that a locus' records
+    of all samples are together."""
+    out = None
+    for sample, path in sorted(paths.items()):
+        own = sorted_alignments(bam(spark, path)).where("mapped").withColumn("sample", F.lit(sample))
+        out = own if out is None else out.unionByName(own)
+    return out.repartitionByRange("chr", "pos5", "strand").sortWithinPartitions("chr", "pos5", "strand", "sample", "line")
 
 
 def unaligned(t: DataFrame) -> DataFrame:

@@ -112,6 +112,101 @@ def test_bam_and_sam(spark, tmp_path):
         formats.sorted_alignments(late).collect()
 
 
+def bam_bytes(rows, names, size, extra=b""):
+    """A file of records (name, flag, ref, pos, mapq, ops, seq, qual) in blocks of `size` bytes of content, which records straddle; and the records as text."""
+    raw = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", len(names))
+    for n in names:
+        raw += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 10**6)
+    for name, flag, ref, pos, mapq, cig, seq, qual in rows:
+        ops = [n << 4 | "MIDNSHP=X".index(o) for o, n in cig]
+        packed = bytes("=ACMGRSVTWYHKDBN".index(seq[i]) << 4 | ("=ACMGRSVTWYHKDBN".index(seq[i + 1]) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
+        rec = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + bytes(ord(c) - 33 for c in qual) + extra
+        raw += struct.pack("<i", len(rec)) + rec
+    out = b""
+    for i in [*range(0, len(raw), size), len(raw)]:
+        part = raw[i : i + size] if i < len(raw) else b""
+        d = zlib.compressobj(6 if i % 3 else 0, zlib.DEFLATED, -15)
+        body = d.compress(part) + d.flush()
+        out += struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_bam_in_many_splits(spark, tmp_path):
+    """Files cut into many splits, records straddling blocks and splits, a mark within a stored block; order checked over splits, samples merged by place."""
+    rng = random.Random(4)
+    files = {}
+    for f in range(3):
+        rows = []
+        for i in range(900):
+            n = rng.randint(5, 60)
+            seq = "".join(rng.choice("ACGT") for _ in range(n))
+            rows.append((f"read{f}_{i}", rng.choice((0, 16, 4 if i % 50 == 49 else 0)), i // 450, 10 * (i % 450) + rng.randint(0, 9), rng.randint(0, 60), [("M", n)], seq, "".join(chr(33 + rng.randint(0, 40)) for _ in range(n))))
+        files[f] = rows
+        (tmp_path / f"s{f}.bam").write_bytes(bam_bytes(rows, ["chrA", "chrB"], 700, b"XXZ\x06\x00BC\x02\x00" if f == 1 else b""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = formats.bam(spark, [str(tmp_path / f"s{f}.bam") for f in range(3)])
+        for f, rows in files.items():
+            own = got.where(F.col("file").endswith(f"s{f}.bam")).orderBy("line").collect()
+            assert [(r["name"], r["flag"], r["chr"], r["pos"], r["mapq"], r["cigar"], r["seq"], r["qual"]) for r in own] == [(n, fl, ("chrA", "chrB")[ref], p, m, f"{c[0][1]}M", s, q) for n, fl, ref, p, m, c, s, q in rows]
+            assert [r["line"] for r in own] == list(range(900)) and len({r["block"] for r in own}) > 5
+        assert formats.sorted_alignments(got).count() == 2700
+        both = formats.merged_alignments(spark, {f"s{f}": str(tmp_path / f"s{f}.bam") for f in range(3)})
+        rows = both.select(F.spark_partition_id().alias("p"), "chr", "pos5", "strand", "sample").collect()
+        keys = [(r["chr"], r["pos5"], r["strand"], r["sample"]) for r in sorted(rows, key=lambda r: r["p"])]
+        assert keys == sorted(keys) and len(keys) == sum(r[1] != 4 for v in files.values() for r in v)
+        rows = list(files[0])
+        rows[400], rows[401] = rows[401], (*rows[400][:3], 5, *rows[400][4:])
+        (tmp_path / "bad.bam").write_bytes(bam_bytes(rows, ["chrA", "chrB"], 700))
+        with pytest.raises(Exception, match="unsorted"):
+            formats.sorted_alignments(formats.bam(spark, str(tmp_path / "bad.bam"))).collect()
+        (tmp_path / "none.bam").write_bytes(bam_bytes([], ["chrA"], 700))
+        assert formats.bam(spark, str(tmp_path / "none.bam")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    with pytest.raises(Exception, match="not a BAM"):
+        (tmp_path / "x.bam").write_bytes(blocked(b"some other content"))
+        formats.bam(spark, str(tmp_path / "x.bam")).collect()
+
+
+def test_phylip_of_whole_sequences(spark, tmp_path):
+    """Written and taken apart again: each population's sequence with its codes, blocks of 120 columns, partitions that say where a locus lies."""
+    rng = random.Random(2)
+    loci = [(i * 7, "".join(rng.choice("ACGT") for _ in range(rng.randint(30, 140)))) for i in range(9)]
+    calls, want = [], {p: "" for p in range(3)}
+    for locus, con in loci:
+        codes = {p: list(con) for p in want}
+        for col in (0, 20):
+            for p in want:
+                kind = rng.choice(("AA", "AC", "GG", None, "AG"))
+                codes[p][col] = {"AA": "A", "AC": "M", "GG": "G", None: "N", "AG": "R"}[kind]
+                calls.append((locus, col // 20, p, p, kind and kind[0], kind and kind[1], 5))
+        for p in want:
+            want[p] += "".join(codes[p])
+    c = spark.createDataFrame(calls, "locus long, col int, sample int, pop int, a1 string, a2 string, dp int").repartition(4)
+    frame = spark.createDataFrame(loci, "locus long, consensus string")
+    sinks.write(sinks.phylip_all(c, frame), str(tmp_path / "all"))
+    text = [r["value"] for r in formats.lines(spark, str(tmp_path / "all")).orderBy("file", "line").collect()]
+    total = sum(len(s) for _, s in loci)
+    assert text[0] == f"3 {total:11d}"
+    got, k = {p: "" for p in want}, 0
+    for line in text[1:]:
+        if not line:
+            assert k % 3 == 0
+            continue
+        got[k % 3] += line
+        assert len(line) == 120 or k >= 3 * ((total + 10) // 120)
+        k += 1
+    assert {p: s[10:] for p, s in got.items()} == want and [s[:10].strip() for s in got.values()] == ["0", "1", "2"]
+    at = 1
+    for (_, con), r in zip(loci, sinks.phylip_partitions(frame).orderBy("part").collect(), strict=True):
+        assert r["value"] == f"DNA, p{r['part']}={at}-{at + len(con) - 1}"
+        at += len(con)
+
+
 def test_locus_tables_and_lists(spark, tmp_path):
     tags = put(tmp_path / "s1.tags.tsv", "# comment\n1\t5\tconsensus\t\t\tACGT\t0\t0\t0\n1\t5\tmodel\t\t\tOOEO\t\t\t\n1\t5\tprimary\t0\tr1\tACGT\t\t\t\n1\t5\tsecondary\t\tr2\tACTT\t\t\t\n1\t6\tconsensus\t\t\tTTTT\t0\t1\t0\n")
     snps = put(tmp_path / "s1.snps.tsv", "1\t5\t2\tE\t-9.5\tG\tT\t\t\n1\t5\t3\tO\t3.9\tT\t\t\t\n")
