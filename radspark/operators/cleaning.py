@@ -132,12 +132,20 @@ def routed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("route", F.when(a & b, "paired").when(a, "rem1").when(b, "rem2").otherwise("discards"))
 
 
-def transposed(pairs: DataFrame, enzyme: str, barcode: int = 0) -> DataFrame:
-    """Pairs (seq1, seq2): those whose cut site is on the second mate and not the first change places; `swapped` says which."""
+def transposed(pairs: DataFrame, enzyme: str, barcodes: tuple[int, ...] = (0,)) -> DataFrame:
+    """Pairs of mates: those whose cut site is on the second mate change places; `swapped` says which. The site is sought on both after barcodes of any of the lengths given: a whole one on the
+    first mate keeps the pair, else a whole one on the second turns it, else the mate that agrees in more letters has it, the first if both agree in as many. All columns of a mate
+    (seq1 and seq2, qual1 and qual2, and so on) change places together."""
     forward = sites(enzyme)[0]
-    starts = lambda c: F.coalesce(F.substring(c, barcode + 1, len(forward[0])).isin(*forward), F.lit(False))
-    swap = ~starts("seq1") & starts("seq2")
-    return pairs.withColumn("swapped", swap).withColumn("first", F.when(swap, F.col("seq2")).otherwise(F.col("seq1"))).withColumn("second", F.when(swap, F.col("seq1")).otherwise(F.col("seq2"))).drop("seq1", "seq2").withColumnsRenamed({"first": "seq1", "second": "seq2"})
+    agree = lambda c, at, site: sum(((F.substring(c, at + 1 + i, 1) == x).cast("int") for i, x in enumerate(site)), F.lit(0))
+    best = lambda c: F.coalesce(F.greatest(F.lit(0), F.lit(0), *[agree(c, at, site) for at in barcodes for site in forward]), F.lit(0))
+    whole = len(forward[0])
+    first, second = best("seq1"), best("seq2")
+    swap = (first < whole) & (second > first)
+    names = [c[:-1] for c in pairs.columns if c.endswith("1") and c[:-1] + "2" in pairs.columns]
+    out = pairs.withColumn("swapped", swap)
+    turned = {f"{n}{k}": F.when(F.col("swapped"), F.col(f"{n}{3 - k}")).otherwise(F.col(f"{n}{k}")) for n in names for k in (1, 2)}
+    return out.select(*[turned.get(c, F.col(c)).alias(c) for c in out.columns])
 
 
 def mate_sense(pairs: DataFrame) -> DataFrame:

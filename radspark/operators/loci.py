@@ -94,7 +94,7 @@ _CHECK |= {
     "window_quality_trim": _Q + ", c_low AS (SELECT read_id, min(start) AS cut FROM c_s WHERE total < 18 * w GROUP BY read_id) SELECT read_id, CASE WHEN len(seq) < 20 THEN 'short' WHEN cut < 20 THEN 'low_quality' ELSE 'retained' END AS verdict, CASE WHEN len(seq) >= 20 AND (cut IS NULL OR cut >= 20) THEN CAST(coalesce(cut, len(seq)) AS INT) END AS cut FROM @reads LEFT JOIN c_low USING (read_id)",
     "barcode_rescue": f"WITH c_m AS (SELECT read_id, observed, code, hamming(observed, code) AS dist FROM @barcodes, unnest({list(CODES)}) AS u(code)) SELECT DISTINCT ON (read_id) read_id, observed, code, CAST(dist AS INT) AS dist FROM c_m WHERE dist <= 2 ORDER BY read_id, dist > 0, code",
     "unknown_barcodes": f"SELECT observed, count(*) AS n FROM @barcodes WHERE list_min([hamming(observed, c) FOR c IN {list(CODES)}]) > 1 GROUP BY observed",
-    "transposed_pairs": "WITH c_p AS (SELECT a.seq AS x, b.seq AS y, left(a.seq, 2) <> 'AC' AND left(b.seq, 2) = 'AC' AS swapped FROM @mates a JOIN @mates b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0) SELECT swapped, count(*) AS n, CAST(sum(len(if(swapped, y, x))) AS BIGINT) AS bases1, CAST(sum(len(if(swapped, x, y))) AS BIGINT) AS bases2 FROM c_p GROUP BY swapped",
+    "transposed_pairs": "WITH c_p AS (SELECT a.seq AS x, b.seq AS y, (coalesce(a.seq[1] = 'A', false)::INT + coalesce(a.seq[2] = 'C', false)::INT) < (coalesce(b.seq[1] = 'A', false)::INT + coalesce(b.seq[2] = 'C', false)::INT) AS swapped FROM @mates a JOIN @mates b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0) SELECT swapped, count(*) AS n, CAST(sum(len(if(swapped, y, x))) AS BIGINT) AS bases1, CAST(sum(len(if(swapped, x, y))) AS BIGINT) AS bases2 FROM c_p GROUP BY swapped",
     "paired_routes": "WITH c_m AS (SELECT conv_id, turn, len(seq) >= 60 AND left(seq, 2) IN ('AC', 'CC', 'GC') AS ok FROM @mates), c_p AS (SELECT a.ok AS x, b.ok AS y FROM c_m a JOIN c_m b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0) SELECT CASE WHEN x AND y THEN 'paired' WHEN x THEN 'rem1' WHEN y THEN 'rem2' ELSE 'discards' END AS route, count(*) AS n FROM c_p GROUP BY ALL",
     "pcr_dups": """WITH c_a AS (SELECT *, (flag & 16) > 0 AS back, CASE WHEN (flag & 16) > 0 THEN pos + CASE line % 7 WHEN 0 THEN 26 WHEN 1 THEN 33 WHEN 2 THEN 25 WHEN 3 THEN 23 ELSE 31 END ELSE pos END AS p FROM @alignments WHERE (flag & 2308) = 0),
       c_p AS (SELECT x.name, x.chr, x.p AS pos5, CASE WHEN x.back THEN '-' ELSE '+' END AS strand, abs(x.p - y.p) + 1 AS insert_ FROM c_a x JOIN c_a y ON x.name = y.name AND x.back <> y.back WHERE (x.flag & 64) > 0 AND (y.flag & 128) > 0 AND ((x.p <= y.p) <> x.back OR x.p = y.p))
