@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import catalogs, crosses, details, export, files, genotyping, linkage, loci, popgen, populations, reads, storage
+from .operators import catalogs, crosses, details, export, files, genotyping, linkage, loci, popgen, populations, pruning, reads, storage
 from .plans.dialect import CHECK, Fn, Op
 from .sources import encodings
 
-OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS | files.OPS | loci.OPS | populations.OPS | storage.OPS | details.OPS | catalogs.OPS | linkage.OPS | genotyping.OPS | crosses.OPS
+OPS: dict[str, Op | Fn] = popgen.OPS | reads.OPS | export.OPS | files.OPS | loci.OPS | populations.OPS | storage.OPS | details.OPS | catalogs.OPS | linkage.OPS | genotyping.OPS | crosses.OPS | pruning.OPS
 
 
 def _query(op: Op | Fn) -> Callable:
