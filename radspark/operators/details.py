@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cross
 from ..plans.dialect import Fn, Op
 from ..sources import formats
-from . import assembly, kmers, popgen
+from . import assembly, crosses, kmers, popgen
 
 CALLS, HAPS, DEPTHS = ("calls",), ("haps",), ("depths",)
 CALLED = "a1 is not null and a2 is not null"
@@ -168,6 +168,8 @@ def gapped_secondary(spark, piles: DataFrame) -> DataFrame:
 
 
 _R = popgen._r
+_CROSS = crosses._MARKERS + f", x_g AS (SELECT locus, marker, sample, CASE WHEN list_contains({crosses._ALLOWED}[marker], least(l1, l2) || greatest(l1, l2)) AND l1 IS NOT NULL AND l2 IS NOT NULL THEN least(l1, l2) || greatest(l1, l2) ELSE '--' END AS genotype FROM m_g)"
+_KINDS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in cross.MAP_TYPES["joinmap_cp"].items()) + "}"
 _LN = popgen._CHECK_RANK + " c_m AS (SELECT locus, col, sample, n, greatest(c1 * ln(c1 / n) + coalesce((n - c1) * ln(nullif(n - c1, 0) / (3 * n)), 0), (c1 + c2) * ln((c1 + c2) / (2 * n)) + coalesce(c34 * ln(nullif(c34, 0) / (2 * n)), 0)) AS l FROM c_s), c_t AS (SELECT locus, sample, sum(l) AS lnl, CAST(sum(n) AS BIGINT) AS depth FROM c_m GROUP BY ALL)"
 _STARTS = "CASE WHEN (flag & 16) > 0 THEN pos + CASE line % 7 WHEN 0 THEN 26 WHEN 1 THEN 33 WHEN 2 THEN 25 WHEN 3 THEN 23 ELSE 31 END ELSE pos END"
 OPS = {
@@ -186,5 +188,8 @@ OPS = {
     "kmer_pairs": Fn(("mates",), kmer_pairs, """WITH c_k AS (SELECT conv_id * 1000 + turn AS id, substr(seq, i, 15) AS k FROM (SELECT *, unnest(range(1, len(seq) - 13)) AS i FROM @mates WHERE len(seq) >= 15) z), c_f AS (SELECT id, count(*) OVER (PARTITION BY k) AS n FROM c_k), c_v AS (SELECT id, count(*) FILTER (n >= 4) <= floor(count(*) * 0.3 + 0.5) AS ok FROM c_f GROUP BY id),
       c_w AS (SELECT conv_id * 1000 + turn AS id, coalesce(ok, true) AS ok FROM @mates LEFT JOIN c_v ON id = conv_id * 1000 + turn) SELECT CASE WHEN a.ok AND b.ok THEN 'paired' WHEN a.ok OR b.ok THEN 'remainder' ELSE 'discards' END AS route, count(*) AS n FROM c_w a JOIN c_w b ON b.id = a.id + 1 WHERE a.id % 2 = 0 GROUP BY ALL"""),
     "snp_union": Fn(CALLS, snp_union, "WITH c_a AS (SELECT locus, col, unnest([a1, a2]) AS a, sample FROM @calls), c_b AS (SELECT locus, col, a, min(sample) >= 6 AS late FROM c_a GROUP BY ALL) SELECT locus, col, string_agg(a, '' ORDER BY late, a) AS bases FROM c_b GROUP BY ALL"),
-    "cross_genotypes": Fn(HAPS, cross_genotypes), "export_joinmap": Fn(HAPS, export_cross), "export_rqtl": Fn(HAPS, export_rqtl), "gapped_secondary": Fn(("piles",), gapped_secondary),
+    "cross_genotypes": Fn(HAPS, cross_genotypes, _CROSS + " SELECT * FROM x_g"),
+    "export_joinmap": Fn(HAPS, export_cross, _CROSS + f" SELECT locus, concat(locus, chr(9), '<', {_KINDS}[marker], '>', chr(9), string_agg(genotype, ' ' ORDER BY sample)) AS value FROM x_g WHERE {_KINDS}[marker] IS NOT NULL GROUP BY locus, marker"),
+    "export_rqtl": Fn(HAPS, export_rqtl, _CROSS + " SELECT sample, locus // 1000 AS block, string_agg(if(genotype = '--', '-', genotype), ',' ORDER BY locus) AS piece FROM x_g GROUP BY ALL"),
+    "gapped_secondary": Fn(("piles",), gapped_secondary, "SELECT x.stack AS read, y.stack AS locus, CAST(1 AS INT) AS gaps FROM @piles x JOIN @piles y ON x.g = y.g AND y.v = 0 WHERE x.v > 0 AND x.depth < 4"),
 }

@@ -195,8 +195,10 @@ _PAIRS = f"""WITH l_c AS (SELECT h.locus, sample, pop, k, i - 1 AS i, [h1, h2][k
 _R = lambda x: f"floor({x} * 1e6 + 0.5) / 1e6"
 _BLOCKS = _PAIRS + f""", b_l AS MATERIALIZED (SELECT chr, r, place, row_number() OVER (PARTITION BY chr ORDER BY r) AS k FROM (SELECT chr, r1 AS r FROM l_t WHERE kind = 'strong' UNION SELECT chr, r2 FROM l_t WHERE kind = 'strong') z JOIN l_n USING (chr, r)),
   b_g AS (SELECT chr, r, place - lag(place) OVER (PARTITION BY chr ORDER BY r) >= {NEAR} AS gap FROM l_n), b_s AS MATERIALIZED (SELECT chr, r, sum(coalesce(gap, false)::INT) OVER (PARTITION BY chr ORDER BY r) AS segment FROM b_g),
-  b_m AS MATERIALIZED (SELECT a.chr, a.k AS x, b.k AS y, count(*) AS told, count(*) FILTER (kind = 'strong') AS strong FROM b_l a JOIN b_l b ON a.chr = b.chr AND a.k < b.k JOIN l_t t ON t.chr = a.chr AND t.r1 >= a.r AND t.r2 <= b.r WHERE kind <> 'uninformative' AND b.place - a.place < 40 * {NEAR} GROUP BY ALL),
-  b_w AS (SELECT chr, k, k AS s FROM b_l WHERE k = 1 UNION ALL SELECT w.chr, w.k + 1, CASE WHEN m.strong >= 0.9 * m.told - 1e-12 AND p.segment = q.segment THEN w.s ELSE w.k + 1 END FROM b_w w JOIN b_l l ON l.chr = w.chr AND l.k = w.k + 1 JOIN b_l o ON o.chr = w.chr AND o.k = w.k
+  b_y AS (SELECT t.chr, t.r1, t.kind, l.k AS y FROM l_t t ASOF JOIN b_l l ON t.chr = l.chr AND t.r2 <= l.r WHERE t.kind <> 'uninformative'),
+  b_c AS (SELECT a.chr, a.k AS x, y, count(*) AS told, count(*) FILTER (kind = 'strong') AS strong FROM b_l a JOIN b_y t ON t.chr = a.chr AND t.r1 >= a.r GROUP BY ALL),
+  b_m AS MATERIALIZED (SELECT a.chr, a.k AS x, b.k AS y, sum(coalesce(told, 0)) OVER w AS told, sum(coalesce(strong, 0)) OVER w AS strong FROM b_l a JOIN b_l b ON a.chr = b.chr AND a.k < b.k LEFT JOIN b_c c ON c.chr = a.chr AND c.x = a.k AND c.y = b.k WINDOW w AS (PARTITION BY a.chr, a.k ORDER BY b.k)),
+  b_w AS (SELECT chr, k, k AS s FROM b_l WHERE k = 1 UNION ALL SELECT w.chr, w.k + 1, CASE WHEN m.told > 0 AND m.strong >= 0.9 * m.told - 1e-12 AND p.segment = q.segment THEN w.s ELSE w.k + 1 END FROM b_w w JOIN b_l l ON l.chr = w.chr AND l.k = w.k + 1 JOIN b_l o ON o.chr = w.chr AND o.k = w.k
     JOIN b_s p ON p.chr = w.chr AND p.r = l.r JOIN b_s q ON q.chr = w.chr AND q.r = o.r LEFT JOIN b_m m ON m.chr = w.chr AND m.x = w.s AND m.y = w.k + 1),
   b_b AS (SELECT w.chr, w.s, min(r) AS first, max(r) AS last FROM b_w w JOIN b_l l ON l.chr = w.chr AND l.k = w.k GROUP BY w.chr, w.s),
   b_o AS MATERIALIZED (SELECT chr, CAST(row_number() OVER (PARTITION BY chr ORDER BY first) AS INT) AS block, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST(last - first + 1 AS INT) AS snps FROM b_b)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cross
 from ..plans.dialect import Fn
 from ..sources import formats
-from . import assembly, cleaning, kmers, models, sinks
+from . import assembly, cleaning, crosses, kmers, models, sinks
 
 CODES = ("ACGTAC", "TTGACA", "GGCATT", "CATGCA", "GTACCA")
 
@@ -186,7 +186,7 @@ _CHECK |= {
     "locus_snps": f"WITH {_LONG} SELECT locus, CAST(col AS INT) AS col, CASE WHEN lr <= -3.84 THEN 'E' WHEN lr >= 3.84 THEN 'O' ELSE 'U' END AS type, floor(lr * 1e5 + 0.5) / 1e5 AS lratio, b1 AS rank_1, b2 AS rank_2 FROM c_l WHERE lr < 3.84 OR b2 IS NOT NULL",
     "locus_alleles": f"WITH {_LONG}, c_h AS (SELECT locus, list(col ORDER BY col) AS cols, list(b1 || b2 ORDER BY col) AS two FROM c_l WHERE lr <= -3.84 GROUP BY locus), c_a AS (SELECT locus, depth, [seq[c + 1] FOR c IN cols] AS h, two FROM @piles JOIN c_h ON locus = g) SELECT locus, array_to_string(h, '') AS haplotype, CAST(sum(depth) AS BIGINT) AS count FROM c_a WHERE list_bool_and([contains(two[i], h[i]) FOR i IN range(1, len(h) + 1)]) GROUP BY ALL",
     "catalog_matches": "WITH c_c AS (SELECT *, min(stack) OVER (PARTITION BY seq) AS catalog FROM @piles), c_n AS (SELECT *, count(DISTINCT stack) OVER (PARTITION BY v, catalog) AS k FROM c_c) SELECT catalog, v AS sample, stack AS locus, depth FROM c_n WHERE k = 1",
-    "gapped_join": None, "phased_haplotypes": None,
+    "gapped_join": "SELECT x.stack AS id, y.stack AS other, CAST(1 AS INT) AS gaps, CAST(1 AS INT) AS dist FROM @piles x JOIN @piles y ON x.g = y.g AND y.v = 0 WHERE x.v = 1", "phased_haplotypes": None,
     "locus_contigs": "SELECT g AS locus, seq AS contig FROM @piles WHERE v = 0",
     "consensus": "WITH c_b AS (SELECT sample, i, substr(seq, i, 1) AS b, count(*) AS c FROM @reads, unnest(range(1, len(seq) + 1)) AS u(i) GROUP BY ALL), c_1 AS (SELECT sample, i, arg_max(b, (c, -ord(b))) AS b FROM c_b GROUP BY ALL) SELECT sample, string_agg(b, '' ORDER BY i) AS consensus FROM c_1 GROUP BY sample",
 }
@@ -247,6 +247,11 @@ def segregation(spark, haps):
     return progeny.join(_cross(haps), "locus").groupBy("locus").applyInPandas(run, "locus long, marker string, progeny long, chisq double, df int, level double")
 
 
+_SHARES = {k: cross.SEGREGATION["cp"][v] for k, v in cross.MAP_TYPES["cp"].items() if v in cross.SEGREGATION["cp"]}
+_OF = lambda want: " + ".join(f"(count(*) FILTER (g = '{x}') - n * {e}) ** 2 / (n * {e})" for x, e in want.items())
+_SEGREGATION = crosses._MARKERS + ", s_g AS (SELECT locus, marker, CASE WHEN l1 IS NULL OR l2 IS NULL THEN '--' ELSE least(l1, l2) || greatest(l1, l2) END AS g FROM m_g), s_n AS (SELECT *, count(*) FILTER (list_contains(" + crosses._ALLOWED + "[marker], g)) OVER (PARTITION BY locus) AS n FROM s_g), s_x AS (SELECT locus, marker, any_value(n) AS progeny, CASE WHEN any_value(n) = 0 THEN 0.0 " \
+    + " ".join(f"WHEN marker = '{k}' THEN {_OF(w).replace('n * ', 'any_value(n) * ')}" for k, w in _SHARES.items()) + " END AS x, CAST(CASE marker " + " ".join(f"WHEN '{k}' THEN {len(w) - 1}" for k, w in _SHARES.items()) + " END AS INT) AS df FROM s_n WHERE " + crosses._ALLOWED + "[marker] IS NOT NULL GROUP BY locus, marker) SELECT locus, marker, progeny, round(x, 6) AS chisq, df, CAST(CASE " \
+    + " ".join(f"WHEN df = {d} AND x >= {c} THEN {level}" for d, rows in cross.CRITICAL.items() for level, c in reversed(rows)) + " ELSE 1.0 END AS DOUBLE) AS level FROM s_x"
 # every pair of bases of every sample's reads, one by one
 _HIGH = f"""WITH h_q AS (SELECT locus, col, sample, [na, nc, ng, nt] AS c, CAST(na + nc + ng + nt AS BIGINT) AS n FROM @depths),
   h_o AS (SELECT locus, col, i, row_number() OVER (PARTITION BY locus, col ORDER BY sum(c[i]) DESC, i) AS k, sum(c[i]) AS t FROM h_q, range(1, 5) AS r(i) GROUP BY locus, col, i),
@@ -281,7 +286,7 @@ _CHECK |= {
       SELECT p.locus AS part, CAST(p.col AS BIGINT) AS line, concat_ws(chr(9), p.locus, p.col + 1, p.locus || ':' || p.col, p.allele, coalesce(p.other, '.'), '.', 'PASS',
         concat('DP=', p.dp, ';AD=', p.x, CASE WHEN p.several THEN concat(',', p.y, ';AF=', CASE WHEN p.copies > 0 THEN floor(p.minor / p.copies * 1000 + 0.5) / 1000 ELSE 0.0 END) ELSE '' END), CASE WHEN p.several THEN 'GT:PS:FT:GQ:DP:AD:GL' ELSE 'DP' END,
         string_agg(coalesce(c.call, CASE WHEN p.several THEN './.' ELSE '.' END), chr(9) ORDER BY p.sample)) AS value
-      FROM h_p p LEFT JOIN h_c c ON c.locus = p.locus AND c.col = p.col AND c.sample = p.sample GROUP BY p.locus, p.col, p.several, p.allele, p.other, p.dp, p.x, p.y, p.minor, p.copies""", "segregation_chisq": None, "kmer_normalise": None,
+      FROM h_p p LEFT JOIN h_c c ON c.locus = p.locus AND c.col = p.col AND c.sample = p.sample GROUP BY p.locus, p.col, p.several, p.allele, p.other, p.dp, p.x, p.y, p.minor, p.copies""", "segregation_chisq": _SEGREGATION, "kmer_normalise": None,
 }
 
 READS, PILES, DEPTHS, HAPS = ("reads",), ("piles",), ("depths",), ("haps",)

@@ -270,5 +270,7 @@ OPS = {
     "binned_fst": Fn(PLACED, binned_fst, _FST + f" SELECT pop1, pop2, chr, place // 1000 AS bin, count(*) AS sites, {popgen._r('avg(amova_fst)', 6)} AS mean_fst FROM c_u WHERE u = 1 GROUP BY ALL"),
     "export_fst": Fn(PLACED, lambda spark, calls, positions: fst_table(spark, calls, positions).select("locus", "col", "pop1", "pop2", "chr", "bp", "fst", "amova_fst"), _FST + f" SELECT locus, col, pop1, pop2, chr, place + 1 AS bp, {popgen._r('fst')} AS fst, {popgen._r('amova_fst')} AS amova_fst FROM c_u WHERE u = 1"),
     "bootstrap": Fn(("sites",), bootstrap),
-    "fgt_blocks": Fn(HAPS, fgt_blocks),
+    "fgt_blocks": Fn(HAPS, fgt_blocks, popgen._CHECK_LD + """, f_n AS (SELECT locus, max(j) AS n FROM c_ld GROUP BY locus), f_s AS (SELECT locus, CAST(1 AS BIGINT) AS j, CAST(1 AS BIGINT) AS start FROM f_n UNION ALL
+      SELECT s.locus, s.j + 1, CASE WHEN (SELECT count(*) FROM c_ld p WHERE p.locus = s.locus AND p.j = s.j + 1 AND p.i >= s.start AND p.gametes >= 4) > 0 THEN s.j + 1 ELSE s.start END FROM f_s s JOIN f_n USING (locus) WHERE s.j < n)
+      SELECT locus, CAST(start AS INT) AS first, CAST(max(j) AS INT) AS last FROM f_s GROUP BY locus, start"""),
 }
