@@ -100,11 +100,10 @@ def similar_by_parts(seqs: DataFrame, distance: int = 6) -> DataFrame:
     parts = distance + 1
     u = seqs.where("length(seq) > 0").groupBy("seq").agg(F.min("read_id").alias("id")).withColumn("n", F.length("seq"))
     cut = lambda p: F.floor(F.col("n") * p / parts).cast("int")
-    h = u.select("id", "n", F.array(*[F.xxhash64(F.substring("seq", cut(p) + 1, cut(p + 1) - cut(p))) for p in range(parts)]).alias("h"))
-    p = h.select("id", "n", "h", F.posexplode("h").alias("part", "code"))
+    # read for the parts and for both sides' sequences, so written once
+    u = graphs.written(u.withColumn("h", F.array(*[F.xxhash64(F.substring("seq", cut(p) + 1, cut(p + 1) - cut(p))) for p in range(parts)])), "sequences")[0]
+    p = u.select("id", "n", "h", F.posexplode("h").alias("part", "code"))
     key = ["n", "part", "code"]
-    some = p.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    p = p.join(some, key)
     x, y = p.select(*key, F.col("id").alias("id1"), F.col("h").alias("h1")), p.select(*key, F.col("id").alias("id2"), F.col("h").alias("h2"))
     first = F.array_position(F.zip_with("h1", "h2", lambda a, b: (a == b).cast("int")), F.lit(1)) == F.col("part") + 1
     pairs = x.join(y, key).where("id1 < id2").where(first).select("id1", "id2")

@@ -22,30 +22,59 @@ K = 15
 GROUP = 4 << 20  # letters of the reads of a group
 
 
-def _counter(k: int):
+def _counter(k: int, buckets: int):
+    """A slice's k-mers and their counts, packed by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = buffers(b.column(0))
             for lo, hi in slices(off):
-                code, _, _ = kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                kind, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(n, pa.int64())], names=["code", "n"])
+                kind, n = np.unique(kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)[0], return_counts=True)
+                to = ((kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+                order = np.argsort(to, kind="stable")
+                kind, n, to = kind[order], n[order].astype(np.int64), to[order]
+                ends = [*(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else []
+                spans = list(zip([0, *ends[:-1]], ends, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[x]) for x, _ in spans], pa.int32()), *(pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for v in (kind, n))], names=["b", "codes", "counts"])
+
+    return run
+
+
+def spelled(codes: np.ndarray, k: int) -> pa.Array:
+    """Codes as their bases."""
+    out = np.empty((len(codes), k), np.uint8)
+    base = np.frombuffer(b"ACGT", np.uint8)
+    for i in range(k):
+        out[:, i] = base[(codes >> (2 * (k - 1 - i))) & 3]
+    return pa.LargeStringArray.from_buffers(len(codes), pa.py_buffer(np.arange(0, (len(codes) + 1) * k, k, dtype=np.int64)), pa.py_buffer(out)).cast(pa.string())
+
+
+def _summed(k: int, text: bool):
+    def run(t: pa.Table) -> pa.Table:
+        codes, counts = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column(c)]) for c in ("codes", "counts"))
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+        n = np.add.reduceat(counts[order], first) if len(first) else counts
+        return pa.table({"kmer" if text else "code": spelled(codes[first], k) if text else pa.array(codes[first]), "n": pa.array(n)})
 
     return run
 
 
-def letters(code: Column, k: int) -> Column:
-    """A code as its bases."""
-    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+def _counts(reads: DataFrame, k: int, text: bool) -> DataFrame:
+    """Packed counts meet in buckets, several to a shuffle partition, so that a bucket stays small where partitions are sized to the data."""
+    buckets = 8 * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = reads.select("seq").mapInArrow(_counter(k, buckets), "b int, codes binary, counts binary")
+    return sent.groupBy("b").applyInArrow(_summed(k, text), "kmer string, n long" if text else "code long, n long")
 
 
 def coded_counts(reads: DataFrame, k: int = K) -> DataFrame:
-    return reads.select("seq").mapInArrow(_counter(k), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return _counts(reads, k, False)
 
 
 def count(reads: DataFrame, k: int = K) -> DataFrame:
     """(kmer, n)"""
-    return coded_counts(reads, k).select(letters(F.col("code"), k).alias("kmer"), "n")
+    return _counts(reads, k, True)
 
 
 def histogram(reads: DataFrame, k: int = K) -> DataFrame:
