@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar, columns
 from ..plans.dialect import Fn
 from ..sources import formats
-from . import sinks
+from . import loci, models, sinks
 
 
 def _as_text(lines: DataFrame, per_block: int = 4096) -> DataFrame:
@@ -60,9 +60,13 @@ def _vcf(calls: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def scan_vcf(spark: SparkSession, calls: DataFrame) -> DataFrame:
-    t = formats.vcf_calls(_vcf(calls))
-    return t.select(F.col("chrom").cast("long").alias("locus"), "pos", F.col("sample").cast("int").alias("sample"), "a1", "a2", "dp", F.array_join("ad", ",").alias("ad"))
+def scan_vcf(spark: SparkSession, depths: DataFrame) -> DataFrame:
+    """Calls of the high-coverage model, written as a file's lines and read again."""
+    file = lambda lines, line: lines.select(F.lit("v").alias("file"), F.col("part").alias("block"), line.alias("line"), "value")
+    samples = depths.select("sample").distinct()
+    body = file(sinks.called_lines(models.call(depths, "high"), samples), F.col("part") * 1000 + F.col("line"))
+    t = formats.vcf_calls(file(sinks.vcf_head(samples), F.col("line") - 100).unionByName(body))
+    return t.select(F.col("chrom").cast("long").alias("locus"), "pos", F.col("sample").cast("int").alias("sample"), "a1", "a2", "dp", "gq", F.array_join("ad", ",").alias("ad"))
 
 
 def vcf_samples(spark: SparkSession, calls: DataFrame) -> DataFrame:
@@ -102,9 +106,10 @@ _CHECK = {
       c_p AS (SELECT x.name, x.chr, x.p AS pos5, CASE WHEN x.back THEN '-' ELSE '+' END AS strand, 1 + CASE WHEN x.back THEN x.p - y.p ELSE y.p - x.p END AS insert_ FROM c_a x JOIN c_a y ON x.name = y.name AND x.chr = y.chr AND x.back <> y.back WHERE (x.flag & 64) > 0 AND (y.flag & 128) > 0)
       SELECT * FROM c_p WHERE insert_ BETWEEN 1 AND 1000""",
     "unaligned_reads": "SELECT name, CASE WHEN (flag & 128) > 0 THEN 2 ELSE 1 END AS mate, CASE WHEN (flag & 16) > 0 THEN reverse(translate(seq, 'CAGT', 'GTCA')) ELSE seq END AS seq, CASE WHEN (flag & 16) > 0 THEN reverse(qual) ELSE qual END AS qual FROM @alignments WHERE (flag & 2304) = 0",
-    "scan_vcf": f"""WITH {_REF}, c_c AS (SELECT s.locus, s.col, p.sample, c.a1, c.a2, c.dp, ref, alt FROM c_ref s, (SELECT DISTINCT sample FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample)
-      SELECT locus, col AS pos, sample, CASE WHEN a1 = ref OR a2 = ref THEN ref ELSE a1 END AS a1, CASE WHEN a1 = alt OR a2 = alt THEN alt ELSE a1 END AS a2, dp,
-      CASE WHEN dp IS NULL THEN NULL WHEN a1 <> a2 THEN concat(dp - dp // 2, ',', dp // 2) WHEN a1 = ref THEN concat(dp, ',0') ELSE concat('0,', dp) END AS ad FROM c_c""",
+    "scan_vcf": loci._HIGH + """, v_p AS (SELECT s.locus, s.col, p.sample FROM (SELECT DISTINCT locus, col FROM h_g) s CROSS JOIN (SELECT DISTINCT sample FROM @depths) p),
+      v_c AS (SELECT p.locus, p.col, p.sample, several AND depth > 0 AS told, a1 <> a2 AS het, a1, a2, allele, other, depth, gq, c FROM v_p p LEFT JOIN h_g g ON g.locus = p.locus AND g.col = p.col AND g.sample = p.sample)
+      SELECT locus, CAST(col AS BIGINT) AS pos, sample, CASE WHEN told THEN CASE WHEN het THEN allele ELSE a1 END END AS a1, CASE WHEN told THEN CASE WHEN het THEN other ELSE a2 END END AS a2, CASE WHEN depth > 0 THEN CAST(depth AS INT) END AS dp,
+      CASE WHEN told AND a1 IS NOT NULL THEN gq END AS gq, CASE WHEN told THEN concat(c[strpos('ACGT', allele)], ',', c[strpos('ACGT', other)]) END AS ad FROM v_c""",
     "vcf_samples": "SELECT 13 AS meta_lines, string_agg(sample, ',' ORDER BY sample) AS samples FROM (SELECT DISTINCT sample FROM @calls) s",
     "external_loci": f"WITH {_REF} SELECT CAST(locus AS VARCHAR) AS chrom, CAST(col AS BIGINT) AS pos, count(*) AS called, count(*) FILTER (a1 <> a2) AS het FROM @calls JOIN c_ref USING (locus, col) WHERE alt IS NOT NULL GROUP BY ALL",
     "locus_variants": f"WITH {_REF} SELECT locus, string_agg(concat_ws(':', col, ref, coalesce(alt, '.')), ',' ORDER BY col) AS sites FROM c_ref GROUP BY locus",
@@ -236,7 +241,7 @@ _CHECK["number_functions"] = r"""WITH c_n AS (SELECT id, n, k, words, coalesce(l
 READS, CALLS, HAPS, ALIGNED = ("reads",), ("calls",), ("haps",), ("alignments",)
 _RUN = {
     "scan_fastq": (READS, scan_fastq), "scan_fasta": (READS, scan_fasta), "scan_sam": (ALIGNED, scan_sam), "alignment_filter": (ALIGNED, alignment_filter), "loci_by_start": (ALIGNED, loci_by_start), "mates_within": (ALIGNED, mates_within), "unaligned_reads": (ALIGNED, unaligned_reads),
-    "scan_vcf": (CALLS, scan_vcf), "vcf_samples": (CALLS, vcf_samples), "external_loci": (CALLS, external_loci), "locus_variants": (CALLS, locus_variants), "locus_haplotypes": (("calls", "loci"), locus_haplotypes),
+    "scan_vcf": (("depths",), scan_vcf), "vcf_samples": (CALLS, vcf_samples), "external_loci": (CALLS, external_loci), "locus_variants": (CALLS, locus_variants), "locus_haplotypes": (("calls", "loci"), locus_haplotypes),
     "export_genepop": (CALLS, lambda spark, calls: sinks.genepop(calls)), "export_genepop_file": (CALLS, _genepop_file), "export_structure": (CALLS, lambda spark, calls: sinks.structure(calls)), "export_plink": (CALLS, lambda spark, calls: sinks.plink_ped(calls)),
     "export_plink_map": (("calls", "positions"), lambda spark, calls, positions: sinks.plink_map(calls, positions)), "export_hzar": (CALLS, lambda spark, calls: sinks.hzar(calls)), "export_radpainter": (HAPS, lambda spark, haps: sinks.radpainter(haps)),
     "export_phylip": (CALLS, lambda spark, calls: sinks.phylip_variable(calls)), "export_phylip_all": (("calls", "loci"), lambda spark, calls, loci: sinks.phylip_all(calls, loci)), "export_phylip_partitions": (("loci",), lambda spark, loci: sinks.phylip_partitions(loci)), "export_phylip_fixed": (CALLS, lambda spark, calls: sinks.phylip_fixed(calls)), "export_vcf_haplotypes": (HAPS, lambda spark, haps: sinks.vcf_haplotypes(haps)),

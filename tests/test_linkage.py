@@ -2,7 +2,6 @@ import math
 import random
 
 from radspark import runs
-from radspark.operators import linkage
 
 HAPS = "locus long, sample int, pop int, grp int, h1 string, h2 string"
 PLACES = "locus long, chr int, bp long, strand string"
