@@ -41,13 +41,15 @@ CAPACITY = 2048
 END = 0
 STRETCH = 1 << 20  # bytes of text tokenized at once
 REMEMBERED = 1 << 20  # words that a worker remembers: some 200 MB
+_SIGNS = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 # ---------------------------------------------------------------- tokens
 
 
 class Words:
-    """Ids of a text's words as little-endian 32-bit numbers. New words are encoded together, and the places that their tokens come from tell them apart."""
+    """Ids of a text's words as little-endian 32-bit numbers. New words are encoded together, and the places that their tokens come from tell them apart. The tokenizer lowers letters
+    and cuts between a letter or digit and what is neither, so an ASCII word counts as its lower case, and as its beginning and the signs that end it."""
 
     def __init__(self, path: str, most: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
@@ -56,17 +58,38 @@ class Words:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.words: dict[bytes, bytes] = {}
 
-    def learned(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words, which are remembered."""
-        each = list(words)
-        text = b" ".join(each).decode("utf-8", "replace")
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        text = b" ".join(words).decode("utf-8", "replace")
         found = self.tokenizer.encode(text, add_special_tokens=False)
         raw = np.array(found.ids, "<u4").tobytes()
         ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
         to = (4 * np.searchsorted([a for a, _ in found.offsets], ends)).tolist()
-        new = {w: raw[a:b] for w, a, b in zip(each, [0, *to[:-1]], to, strict=True)}
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *to[:-1]], to, strict=True)}
+
+    def learned(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words, which are remembered."""
+        cut: dict[bytes, tuple[bytes, bytes]] = {}
+        known, lacking = self.words, set()
+        for w in words:
+            core, signs = w, b""
+            if w.isascii() and b"<" not in w:  # no special token
+                low = w.lower()
+                core = low.rstrip(_SIGNS)
+                if core[-1:].isalnum():
+                    signs = low[len(core) :]
+                    if signs and signs not in known:
+                        lacking.add(signs)
+                else:
+                    core = low
+            cut[w] = core, signs
+            if core not in known:
+                lacking.add(core)
+        new = self.encoded(list(lacking)) if lacking else {}
+        for w, (core, signs) in cut.items():
+            ids = new[core] if core in new else known[core]
+            new[w] = ids + (new[signs] if signs in new else known[signs]) if signs else ids
         if len(self.words) + len(new) > self.most:
-            self.words.clear()
+            self.words = {}
         if len(new) <= self.most:
             self.words.update((w, i) for w, i in new.items() if len(w) <= 64)
         return new
