@@ -149,3 +149,16 @@ def test_discarded_phases(spark):
     lines = [r["value"].split("\t") for r in sinks.called_lines(called, called.select("sample"), p).orderBy("line").collect()]
     assert [x[9].split(":")[:4] for x in lines] == [["./.", ".", "disc", "."]] * 2 and lines[0][10].startswith("0/0:.:.:30:8:4,4:-2.17,-0.43,-2.61") and lines[0][11].startswith("./.:.:.:.:8")
     assert lines[0][7] == "DP=24;AD=12,12;AF=0.0"
+
+
+def test_repeats_beside_an_error():
+    """An error among repeated letters is a mismatch where that scores more than a gap, or than a shorter exact overlap."""
+    for s in ("ATCATGATCTTAAAAAACCCACCAGTAAGGGGGGGTTGAATGTATGGTTTCATGCTACTACTGC", "ATGCGCTGTAATTGAGGGTTCAGGTTGCGTTGCGTTGCGGGGGCGATCTGGATGTGCGGACAGA", "CTTGTCTATCCATCCCAGGAGTGTATAGACGTATACACGTAATCCCCGCTGCCTAACACTAAAG"):
+        forward = s[:35] + s[35].translate(str.maketrans("ACGT", "CGTA")) + s[36:40]
+        assert alignment.joined(forward, s[24:], 8) == (forward + s[40:], 16)
+
+
+def test_placed_among_repeats():
+    """A mismatch among repeated letters is no gap."""
+    contig, read = "CAATGAGGTTGGGCTTTAGTGTAGTATACGGTTGGGGGGGCATGTGTCTCAACCCGGAACGGGT", "TTGGGGGGCATGTGTCTCAACCCGGAACGGGT"
+    assert genotyping.placed(contig, read, alignment.SuffixTree(contig), 8, 0.8) == (32, "32M")
