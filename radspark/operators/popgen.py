@@ -269,7 +269,7 @@ def _amova(d: Dialect, unit: str) -> dict[str, str]:
         "sig_b": """SELECT msd.*, coalesce((ap / (pops - groups) - sc) / n0, 0) AS sb, coalesce((ap_i / (pops - groups) - sc_i) / n0, 0) AS sb_i, coalesce((ap_m / (pops - groups) - sc_i) / n0, 0) AS sb_m FROM msd""".replace("(pops - groups)", "nullif(pops - groups, 0)"),
         "sig": "SELECT sig_b.*, CASE WHEN groups > 1 THEN (ag - sc - n1 * sb) / n2 ELSE 0E0 END AS sa FROM sig_b",
         "phi": f"""SELECT {unit}, nt, pops, groups, CASE WHEN sa + sb + sc > 1e-12 THEN (sa + sb) / (sa + sb + sc) ELSE 0E0 END AS phi_st, CASE WHEN groups > 1 AND sa + sb + sc > 1e-12 THEN sa / (sa + sb + sc) ELSE 0E0 END AS phi_ct,
-          CASE WHEN groups > 1 AND sa + sb > 1e-12 THEN sb / (sb + sc) ELSE 0E0 END AS phi_sc, CASE WHEN sb_i + sc_i > 1e-12 AND sb_m > 1e-12 THEN sb_i / sb_m ELSE 0E0 END AS fst_prime FROM sig""",
+          CASE WHEN groups > 1 AND sa + sb > 1e-12 THEN coalesce(sb / nullif(sb + sc, 0), cast('NaN' AS DOUBLE)) ELSE 0E0 END AS phi_sc, CASE WHEN sb_i + sc_i > 1e-12 AND sb_m > 1e-12 THEN sb_i / sb_m ELSE 0E0 END AS fst_prime FROM sig""",
     }
 
 
@@ -287,9 +287,14 @@ def _between(d: Dialect) -> dict[str, str]:
 _PHI = "{} AS phi_st, {} AS phi_ct, {} AS phi_sc, {} AS fst_prime"
 
 
+def _rounded_phi(d: Dialect) -> list[str]:
+    """Phi_sc is not a number where populations and copies within them vary in nothing but their groups."""
+    return [d.r("phi_st"), d.r("phi_ct"), f"CASE WHEN isnan(phi_sc) THEN phi_sc ELSE {d.r('phi_sc')} END", d.r("fst_prime")]
+
+
 def phi_st(d):
     """AMOVA over all populations of a locus in their groups: Phi_st, Phi_ct, Phi_sc and Fst / Fst_max; without groups Phi_ct and Phi_sc are 0."""
-    return _between(d) | {"sums": "SELECT * FROM every"} | _amova(d, "locus"), "SELECT locus, pops, groups, " + _PHI.format(*(d.r(x) for x in ("phi_st", "phi_ct", "phi_sc", "fst_prime"))) + " FROM phi"
+    return _between(d) | {"sums": "SELECT * FROM every"} | _amova(d, "locus"), "SELECT locus, pops, groups, " + _PHI.format(*_rounded_phi(d)) + " FROM phi"
 
 
 def phi_st_pairs(d):
@@ -297,7 +302,7 @@ def phi_st_pairs(d):
     return _between(d) | {
         "two": "SELECT a.locus, a.pop AS pop1, b.pop AS pop2 FROM t a JOIN t b ON a.locus = b.locus AND a.pop < b.pop",
         "sums": "SELECT e.*, two.pop1, two.pop2 FROM every e JOIN two ON e.locus = two.locus WHERE pa IN (pop1, pop2) AND pb IN (pop1, pop2)",
-    } | _amova(d, "locus, pop1, pop2"), "SELECT locus, pop1, pop2, groups, " + _PHI.format(*(d.r(x) for x in ("phi_st", "phi_ct", "phi_sc", "fst_prime"))) + " FROM phi"
+    } | _amova(d, "locus, pop1, pop2"), "SELECT locus, pop1, pop2, groups, " + _PHI.format(*_rounded_phi(d)) + " FROM phi"
 
 
 def _check_amova(unit: str, where: str) -> str:

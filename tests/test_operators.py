@@ -168,3 +168,21 @@ def test_nulls_and_empty(spark):
     calls = genotypes(spark, [("A", "C"), (None, None), ("A", "A")])
     assert popgen.OPS["site_pop_stats"](spark, calls=calls).first()["n"] == 2
     assert popgen.OPS["site_pop_stats"](spark, calls=calls.limit(0)).count() == 0
+
+
+def test_phi_sc_without_variance(spark):
+    """Two populations in two groups, each of one haplotype: nothing varies but the groups, and Phi_sc is 0 / 0, as in the checking engine."""
+    haps = spark.createDataFrame([(1, i, i // 2, i // 2, "AC"[i // 2], "AC"[i // 2]) for i in range(4)], "locus long, sample int, pop int, grp int, h1 string, h2 string")
+    r = popgen.OPS["phi_st_pairs"](spark, haps=haps).first()
+    assert r["phi_st"] == r["phi_ct"] == 1 and math.isnan(r["phi_sc"])
+
+
+def test_complete_haplotypes_before_sites_go(spark, check):
+    """A site that one population lacks makes the haplotypes of a locus incomplete; the query's SQL erases it in its turn, not before."""
+    have = {0: {4}, 1: set(), 2: {1, 4, 9}, 3: {2, 8, 11}}
+    rows = [(566, c, s, s % 3, "A", "C", 2) for c, lack in have.items() for s in range(12) if s not in lack]
+    calls = spark.createDataFrame(rows, "locus long, col int, sample int, pop int, a1 string, a2 string, dp int")
+    from radspark.operators import populations
+
+    got = populations.OPS["populations_haplotypes"](spark, calls=calls)
+    assert sorted((r["col"], r["called"], r["pops"]) for r in got.collect()) == [(0, 11, 3), (1, 12, 3)]
