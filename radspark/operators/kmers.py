@@ -34,7 +34,7 @@ def _counter(k: int, buckets: int):
                 order = np.argsort(to, kind="stable")
                 kind, n, to = kind[order], n[order].astype(np.int64), to[order]
                 ends = [*(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else []
-                spans = list(zip([0, *ends[:-1]], ends, strict=True))
+                spans = list(zip([0, *ends[:-1]] if ends else [], ends, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[x]) for x, _ in spans], pa.int32()), *(pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for v in (kind, n))], names=["b", "codes", "counts"])
 
     return run

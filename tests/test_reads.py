@@ -161,3 +161,8 @@ def test_stream_of_reads(spark, tmp_path):
         q.awaitTermination(120)
     assert spark.table("clones").count() == 3
     assert 0 < spark.table("kept").count() < 12
+
+
+def test_kmer_count_of_short_reads(spark):
+    """A batch of reads shorter than a k-mer has no k-mers."""
+    assert kmers.count(spark.createDataFrame([("ACGT",), ("",)], "seq string")).count() == 0
