@@ -361,12 +361,16 @@ _CHECK_HWE = _CHECK_SITE + """,
 
 def kernel_smooth(d, sigma=3600):
     """Gaussian average over [c - 3 sigma, c + 3 sigma) of each chromosome and population, alleles - 1 as weight: around sites that are not fixed, over values above -7."""
+    # all sites of a place have one window and weigh as one, so that pairs grow with places, of which a window holds a bounded number
+    cell = d.div("bp", str(6 * sigma))
     return {
-        "near": f"""SELECT c.event_id, c.chr, c.pop, c.bp, s.stat, (s.alleles - 1) * exp(-1E0 * (s.bp - c.bp) * (s.bp - c.bp) / (2E0 * {sigma} * {sigma})) AS w
-          FROM (SELECT *, {d.div('bp', str(6 * sigma))} AS cell FROM @sites WHERE NOT fixed) c
-          JOIN (SELECT z.*, {d.div('bp', str(6 * sigma))} + o AS cell FROM (SELECT s.*, {d.unnest('-1', '1', 'o')} FROM @sites s WHERE stat > -7) z) s
+        "at": "SELECT chr, pop, bp, count(*) AS n, sum(alleles - 1) AS w, sum((alleles - 1) * stat) AS v FROM @sites WHERE stat > -7 GROUP BY chr, pop, bp",
+        "near": f"""SELECT c.chr, c.pop, c.bp, s.n, s.w, s.v, exp(-1E0 * (s.bp - c.bp) * (s.bp - c.bp) / (2E0 * {sigma} * {sigma})) AS g
+          FROM (SELECT chr, pop, bp, {cell} AS cell FROM (SELECT DISTINCT chr, pop, bp FROM @sites WHERE NOT fixed) y) c
+          JOIN (SELECT z.*, {cell} + o AS cell FROM (SELECT a.*, {d.unnest('-1', '1', 'o')} FROM at a) z) s
           ON c.chr = s.chr AND c.pop = s.pop AND c.cell = s.cell AND s.bp >= c.bp - {3 * sigma} AND s.bp < c.bp + {3 * sigma}""",
-    }, f"SELECT event_id, chr, pop, bp, count(*) AS n, {d.r('sum(w * stat) / sum(w)', 4)} AS smoothed FROM near GROUP BY event_id, chr, pop, bp"
+        "told": f"SELECT chr, pop, bp, sum(n) AS n, {d.r('sum(g * v) / sum(g * w)', 4)} AS smoothed FROM near GROUP BY chr, pop, bp",
+    }, "SELECT s.event_id, s.chr, s.pop, s.bp, t.n, t.smoothed FROM @sites s JOIN told t ON s.chr = t.chr AND s.pop = t.pop AND s.bp = t.bp WHERE NOT s.fixed"
 
 
 _CHECK_SMOOTH = f"""SELECT c.event_id, c.chr, c.pop, c.bp, count(*) AS n, {_r("sum(s.stat * (s.alleles - 1) * exp(-0.5 * ((s.bp - c.bp) / 3600.0) ** 2)) / sum((s.alleles - 1) * exp(-0.5 * ((s.bp - c.bp) / 3600.0) ** 2))", 4)} AS smoothed
@@ -375,11 +379,14 @@ _CHECK_SMOOTH = f"""SELECT c.event_id, c.chr, c.pop, c.bp, count(*) AS n, {_r("s
 
 def bonferroni(d, sigma=3600, alpha=0.05):
     """The level a site's P must be under: alpha over the sites in its window."""
+    cell = d.div("bp", str(6 * sigma))
     return {
-        "near": f"""SELECT c.event_id, c.chr, c.pop, c.bp FROM (SELECT *, {d.div('bp', str(6 * sigma))} AS cell FROM @sites) c
-          JOIN (SELECT z.*, {d.div('bp', str(6 * sigma))} + o AS cell FROM (SELECT s.*, {d.unnest('-1', '1', 'o')} FROM @sites s) z) s
+        "at": "SELECT chr, pop, bp, count(*) AS n FROM @sites GROUP BY chr, pop, bp",
+        "near": f"""SELECT c.chr, c.pop, c.bp, s.n FROM (SELECT *, {cell} AS cell FROM at) c
+          JOIN (SELECT z.*, {cell} + o AS cell FROM (SELECT a.*, {d.unnest('-1', '1', 'o')} FROM at a) z) s
           ON c.chr = s.chr AND c.pop = s.pop AND c.cell = s.cell AND s.bp >= c.bp - {3 * sigma} AND s.bp < c.bp + {3 * sigma}""",
-    }, f"SELECT event_id, chr, pop, bp, count(*) AS sites, {d.r(f'{alpha} / count(*)')} AS level FROM near GROUP BY event_id, chr, pop, bp"
+        "told": "SELECT chr, pop, bp, sum(n) AS sites FROM near GROUP BY chr, pop, bp",
+    }, f"SELECT s.event_id, s.chr, s.pop, s.bp, t.sites, {d.r(f'{alpha} / t.sites')} AS level FROM @sites s JOIN told t ON s.chr = t.chr AND s.pop = t.pop AND s.bp = t.bp"
 
 
 _CHECK_BONFERRONI = f"SELECT event_id, chr, pop, bp, count(*) OVER w AS sites, {_r('0.05 / count(*) OVER w')} AS level FROM @sites WINDOW w AS (PARTITION BY chr, pop ORDER BY bp RANGE BETWEEN 10800 PRECEDING AND 10799 FOLLOWING)"
