@@ -163,7 +163,7 @@ def gapped_secondary(spark, piles: DataFrame) -> DataFrame:
     whole = piles.where("v = 0").select(F.col("stack").alias("other"), "seq")
     cut = piles.where("v > 0 and depth < 4").select(F.col("stack").alias("id"), F.concat(F.substring("seq", 1, 30), F.substring("seq", 32, 64)).alias("seq"))
     c = assembly.gapped_candidates(cut, whole, 11)
-    pairs = c.join(cut.withColumnRenamed("seq", "sb"), "id").join(whole.withColumnRenamed("seq", "sa"), "other")
+    pairs = assembly.with_sequences(c, cut, whole)
     return assembly.best_alignments(assembly.aligned_pairs(pairs)).select(F.col("id").alias("read"), F.col("other").alias("locus"), "gaps")
 
 

@@ -166,3 +166,29 @@ def test_stream_of_reads(spark, tmp_path):
 def test_kmer_count_of_short_reads(spark):
     """A batch of reads shorter than a k-mer has no k-mers."""
     assert kmers.count(spark.createDataFrame([("ACGT",), ("",)], "seq string")).count() == 0
+
+
+def test_kmer_joins_pass_the_driver_by(spark):
+    """K-mers are many times the tables' size that joins are planned by, so none may be sent through the driver."""
+    from radspark import catalog
+
+    for name in ("kmer_similarity_join", "stack_trees", "gapped_join", "gapped_secondary"):
+        assert "Broadcast" not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lumberjack_pairs_by_halves(spark):
+    """Only piles that share a half with a deep one are compared; uneven halves, the deep one itself, and one two mismatches away."""
+    rows = [(i, 0, s, d) for i, (s, d) in enumerate([("ACGTACG", 500), ("TCGTACG", 1), ("ACGTACT", 1), ("TCGTACT", 1), ("ACGTAC", 1), *[("GGGGGGG", 1)] * 40])]
+    piles = spark.createDataFrame(rows, "stack long, sample int, seq string, depth int")
+    got = assembly.lumberjack(piles)
+    assert [r["stack"] for r in got.where("lumberjack").orderBy("stack").collect()] == [0, 1, 2]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "code" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_column_counts_are_as_wide_as_their_columns():
+    """A group's counts are sent for its own columns only, not for a whole stretch."""
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 1]), pa.array(["ACG", "T", "AN"]), pa.array([1, 1, 2])], names=["sample", "seq", "depth"])
+    (out,) = assembly._column_counts(iter([b]))
+    assert [len(x) for x in out.column("counts").to_pylist()] == [3 * 32, 32]
