@@ -12,14 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import graphs
 from .packing import buffers, kmer_codes, slices
 
 K = 15
-GROUP = 4 << 20  # letters of the reads of a group
+GROUP = 2 << 20  # letters of the reads of a group
+BUCKET = 4 << 20  # letters whose k-mers a bucket counts, on average
 
 
 def _counter(k: int, buckets: int):
@@ -30,11 +33,10 @@ def _counter(k: int, buckets: int):
             buf, off = buffers(b.column(0))
             for lo, hi in slices(off):
                 kind, n = np.unique(kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)[0], return_counts=True)
-                to = ((kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+                to = _bucket(kind, buckets)
                 order = np.argsort(to, kind="stable")
                 kind, n, to = kind[order], n[order].astype(np.int64), to[order]
-                ends = [*(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else []
-                spans = list(zip([0, *ends[:-1]] if ends else [], ends, strict=True))
+                spans = _spans(to)
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[x]) for x, _ in spans], pa.int32()), *(pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for v in (kind, n))], names=["b", "codes", "counts"])
 
     return run
@@ -61,9 +63,23 @@ def _summed(k: int, text: bool):
     return run
 
 
+def _letters(reads: DataFrame) -> int:
+    return reads.agg(F.sum(F.length("seq"))).first()[0] or 0
+
+
+def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+
+
+def _spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Where each stretch of equal values begins and ends."""
+    ends = [*(np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1).tolist(), len(sorted_)] if len(sorted_) else []
+    return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+
+
 def _counts(reads: DataFrame, k: int, text: bool) -> DataFrame:
-    """Packed counts meet in buckets, several to a shuffle partition, so that a bucket stays small where partitions are sized to the data."""
-    buckets = 8 * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Packed counts meet in buckets, several to a shuffle partition and as many as the letters need, so that a bucket stays small."""
+    buckets = max(8 * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_letters(reads) // BUCKET))
     sent = reads.select("seq").mapInArrow(_counter(k, buckets), "b int, codes binary, counts binary")
     return sent.groupBy("b").applyInArrow(_summed(k, text), "kmer string, n long" if text else "code long, n long")
 
@@ -123,10 +139,11 @@ def _distinct(n_buckets: int, k: int):
         n = np.concatenate([c[1] if isinstance(c, tuple) else c for c in code])
         kind, inv = np.unique(kinds, return_inverse=True)
         n = np.bincount(inv, n, len(kind)).astype(np.int64)
-        to = kind % n_buckets
-        rows = [(b, np.flatnonzero(to == b)) for b in range(n_buckets)]
+        to = _bucket(kind, n_buckets)
+        order = np.argsort(to, kind="stable")
+        kind, n, to = kind[order], n[order], to[order]
         g = t.column("g")[0].as_py()
-        rows = [(b, g, kind[i].tobytes(), n[i].tobytes()) for b, i in rows if len(i)]
+        rows = [(int(to[x]), g, kind[x:y].tobytes(), n[x:y].tobytes()) for x, y in _spans(to)]
         return pa.table({name: pa.array([r[j] for r in rows], t) for j, (name, t) in enumerate((("b", pa.int32()), ("g", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())))})
 
     return run
@@ -161,8 +178,7 @@ def _look_up(k: int):
 
 def frequencies(reads: DataFrame, k: int = K, keep: tuple = ("read_id",)) -> DataFrame:
     """The kept columns and `freq`: how often each k-mer of the read, in order, occurs in all reads."""
-    size = reads.agg(F.sum(F.length("seq"))).first()[0] or 0
-    groups = max(1, -(-size // GROUP))
+    groups = max(1, -(-_letters(reads) // GROUP))
     r = reads.select(*keep, "seq", F.pmod(F.xxhash64(*keep, "seq"), F.lit(groups)).cast("int").alias("g"))
     told = r.select("g", "seq").groupBy("g").applyInArrow(_distinct(groups, k), "b int, g int, codes binary, counts binary").groupBy("b").applyInArrow(_totals, "b int, g int, codes binary, counts binary")
     schema = r.drop("g", "seq").schema.add("freq", T.ArrayType(T.LongType()))
@@ -211,21 +227,73 @@ def medians(reads: DataFrame, k: int = K) -> DataFrame:
     return f.select("read_id", F.size("freq").alias("kmers"), median_of(F.col("freq")).alias("median"))
 
 
-def _normalise(k: int, limit: float):
+def _own_kmers(n_buckets: int, k: int):
+    """Of a group, each sample's k-mers and their counts, packed by bucket."""
+
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("read_id")
-        buf, off = buffers(t.column("seq"))
-        seen: dict[int, int] = {}
-        keep = []
-        for i in range(len(t)):
-            code = kmer_codes(buf[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), k)[0].tolist()
-            n = sorted(seen.get(c, 0) for c in code)
-            h = len(n) // 2
-            med = 0.0 if not n else (n[h - 1] + n[h]) / 2 if len(n) % 2 == 0 else float(n[max(0, h - 1)])
-            for c in code:
-                seen[c] = seen.get(c, 0) + 1
-            keep.append(med <= limit)
-        return t.filter(pa.array(keep, pa.bool_())).select(["read_id", "sample"])
+        g, rows = t.column("g")[0].as_py(), []
+        for name in t.column("sample").unique().to_pylist():
+            buf, off = buffers(_of(t, name).column("seq"))
+            kind, n = np.unique(kmer_codes(buf, off, k)[0], return_counts=True)
+            to = _bucket(kind, n_buckets)
+            order = np.argsort(to, kind="stable")
+            kind, n, to = kind[order], n[order].astype(np.int64), to[order]
+            rows += [(int(to[x]), g, name, kind[x:y].tobytes(), n[x:y].tobytes()) for x, y in _spans(to)]
+        kinds = (("b", pa.int32()), ("g", pa.int32()), ("sample", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()))
+        return pa.table({name: pa.array([r[j] for r in rows], t) for j, (name, t) in enumerate(kinds)})
+
+    return run
+
+
+def _of(t: pa.Table, sample: str | None) -> pa.Table:
+    at = t.column("sample")
+    return t.filter(pc.is_null(at) if sample is None else pc.fill_null(pc.equal(at, sample), False))
+
+
+def _before(t: pa.Table) -> pa.Table:
+    """A sample's bucket: in place of a group's counts, how often the groups before it hold each k-mer."""
+    t = t.sort_by("g")
+    codes = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("codes")]
+    code, n = np.concatenate(codes), np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("counts")])
+    upto = _running(code, n)
+    parts = np.split(upto, np.cumsum([len(c) for c in codes])[:-1])
+    return t.set_column(t.schema.get_field_index("counts"), "counts", pa.array([p.tobytes() for p in parts], pa.binary()))
+
+
+def _running(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry, the sum of n of the same code before it."""
+    order = np.argsort(code, kind="stable")
+    total = np.cumsum(n[order]) - n[order]
+    first = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(code) else np.zeros(0, np.int64)
+    out = np.empty(len(code), np.int64)
+    out[order] = total - np.repeat(total[first], np.diff(np.append(first, len(code))))
+    return out
+
+
+def _normalise(k: int, limit: float):
+    def run(reads: pa.Table, told: pa.Table) -> pa.Table:
+        out = [reads.slice(0, 0)]
+        for name in reads.column("sample").unique().to_pylist():
+            t, own = _of(reads, name).sort_by("read_id"), _of(told, name)
+            known = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in own.column("codes")])
+            base = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in own.column("counts")])
+            order = np.argsort(known)
+            known, base = known[order], base[order]
+            buf, off = buffers(t.column("seq"))
+            code, row, _ = kmer_codes(buf, off, k)
+            # a k-mer's occurrences in the read itself do not count for it, so all of a read's are as its first
+            at = np.lexsort((np.arange(len(code)), row, code))
+            new = np.append(True, (np.diff(code[at]) != 0) | (np.diff(row[at]) != 0)) if len(code) else np.zeros(0, bool)
+            seen = np.empty(len(code), np.int64)
+            seen[at] = _running(code, np.ones(len(code), np.int64))[at[new]][np.cumsum(new) - 1]
+            seen += base[np.searchsorted(known, code)]
+            ends = np.searchsorted(row, np.arange(len(t) + 1))
+            keep = []
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n, h = np.sort(seen[lo:hi]), (hi - lo) // 2
+                keep.append(lo == hi or ((n[h - 1] + n[h]) / 2 if len(n) % 2 == 0 else n[max(0, h - 1)]) <= limit)
+            out.append(t.filter(pa.array(keep, pa.bool_())))
+        return pa.concat_tables(out).select(["read_id", "sample"])
 
     return run
 
@@ -233,6 +301,13 @@ def _normalise(k: int, limit: float):
 def normalise(reads: DataFrame, k: int = K, limit: float = 2.0) -> DataFrame:
     """(read_id, sample) of the reads kept in digital normalisation: one after another by read_id within a sample, a read goes if the median of its k-mers' counts so far is above the limit.
 
-    The counts depend on all reads before, so a sample is one task's work; deal a large sample to sub-samples first.
+    Reads that go count too, so a k-mer's count so far is that of the reads before, whatever became of them: groups are stretches of the
+    reads in order, and a k-mer's bucket tells each group how often those before it hold the k-mer.
     """
-    return reads.select("read_id", "sample", "seq").groupBy("sample").applyInArrow(_normalise(k, limit), "read_id long, sample string")
+    src = reads.select("read_id", "sample", "seq")
+    groups = max(1, -(-_letters(src) // GROUP))
+    # written, as stretches could be cut elsewhere when made anew
+    r = graphs.written(src.repartitionByRange(groups, "sample", "read_id").withColumn("g", F.spark_partition_id()), "stretches")[0]
+    told = r.groupBy("g").applyInArrow(_own_kmers(groups, k), "b int, g int, sample string, codes binary, counts binary")
+    told = told.groupBy("b", "sample").applyInArrow(_before, "b int, g int, sample string, codes binary, counts binary")
+    return r.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_normalise(k, limit), "read_id long, sample string")

@@ -192,3 +192,33 @@ def test_column_counts_are_as_wide_as_their_columns():
     b = pa.RecordBatch.from_arrays([pa.array([1, 2, 1]), pa.array(["ACG", "T", "AN"]), pa.array([1, 1, 2])], names=["sample", "seq", "depth"])
     (out,) = assembly._column_counts(iter([b]))
     assert [len(x) for x in out.column("counts").to_pylist()] == [3 * 32, 32]
+
+
+def test_normalise_over_stretches(spark, monkeypatch):
+    """Reads of a sample in many stretches are kept as if they came one after another."""
+    monkeypatch.setattr(kmers, "GROUP", 100)
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 2], "".join(rng.choice("AC") for _ in range(rng.randrange(0, 30)))) for i in range(60)]
+    for limit in (2.0, 5.5):
+        want = []
+        for sample in "ab":
+            seen = Counter()
+            for i, s, seq in rows:
+                if s == sample:
+                    own = [seq[j : j + 5] for j in range(len(seq) - 4)]
+                    n, h = sorted(seen[x] for x in own), len(own) // 2
+                    if not n or ((n[h - 1] + n[h]) / 2 if len(n) % 2 == 0 else n[max(0, h - 1)]) <= limit:
+                        want.append(i)
+                    seen.update(own)
+        got = kmers.normalise(spark.createDataFrame(rows, "read_id long, sample string, seq string"), 5, limit)
+        assert len(want) < 60 and sorted(r["read_id"] for r in got.collect()) == sorted(want)
+
+
+def test_kmers_are_dealt_to_small_buckets(spark, monkeypatch):
+    """The number of buckets grows with the letters."""
+    monkeypatch.setattr(kmers, "BUCKET", 20)
+    seen = []
+    counter = kmers._counter
+    monkeypatch.setattr(kmers, "_counter", lambda k, buckets: seen.append(buckets) or counter(k, buckets))
+    reads_ = spark.createDataFrame([("ACGTTGCA" * 200,)], "seq string")
+    assert kmers.count(reads_, 8).agg({"n": "sum"}).first()[0] == 1593 and seen == [80]
