@@ -198,3 +198,29 @@ def test_pairs_across(spark, distance):
     dist = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
     want = sorted((i, j, dist(x, y)) for i, x in enumerate(seqs) for j, y in enumerate(seqs) if i % 2 == 0 and j % 2 == 1 and 1 <= dist(x, y) <= distance)
     assert sorted(map(tuple, assembly.similar_pairs(df, distance, 40, [], across="known").collect())) == want
+
+
+def test_phases_over_batches(spark):
+    """A sample's rows at a locus may be cut anywhere by batches."""
+    from radspark.operators import assembly
+
+    rows = [(l, s, r, c, "AC"[(r + l * c) % 2], "A", "C") for l in range(5) for s in range(3) for r in range(2) for c in range(3)]
+    bases = spark.createDataFrame(rows, "locus long, sample int, read long, col int, base string, a1 string, a2 string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted(tuple(r) for r in assembly.phased(bases).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == [(l, s, "phased", "0,1,2", *(("AAA", "CCC") if l % 2 == 0 else ("ACA", "CAC"))) for l in range(5) for s in range(3)]
+    assert "Pandas" not in assembly.phased(bases)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_chain_for_a_table(spark):
+    """Groups whose genotypes differ in names and order only have one chain, and one P."""
+    from radspark.operators import models
+
+    one, two = [("AA", "AC"), ("AC", "AC"), ("AA", "AA"), ("AA", "AC")], [("TT", "GG"), ("TT", "TT"), ("GG", "GG"), ("GG", "TT")]
+    haps = spark.createDataFrame([(l, 0, i, *h) for l, g in ((1, one), (2, two)) for i, h in enumerate(g)], "locus long, pop int, sample int, h1 string, h2 string")
+    a, b = models.guo_thompson(haps, 100, 4, 500).collect()
+    assert (a["hwe_p"], a["se"]) == (b["hwe_p"], b["se"]) and 0 < a["hwe_p"] <= 1
