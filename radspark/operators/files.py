@@ -176,9 +176,13 @@ _CHECK |= {
     "export_phase": "SELECT locus AS part, CAST(sample * 3 + i AS BIGINT) AS line, [concat('# ', sample), replace(h1, 'N', '?'), replace(h2, 'N', '?')][i + 1] AS value FROM @haps, range(3) z(i)",
     "export_samples_fasta": f"WITH {_SEQ} SELECT locus, sample, allele, seq FROM c_q",
     "export_samples_raw": f"WITH {_SEQ} SELECT locus, sample, min(allele) AS allele, seq FROM c_q GROUP BY locus, sample, seq",
-    "export_vcf_rows": f"""WITH {_REF}, c_c AS (SELECT s.*, p.sample, c.a1, c.a2, c.dp FROM c_ref s CROSS JOIN (SELECT DISTINCT sample FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample)
-      SELECT locus AS part, CAST(col AS BIGINT) AS line, concat_ws(chr(9), locus, col + 1, locus || ':' || col, ref, coalesce(alt, '.'), '.', 'PASS', 'NS=' || count(dp) || ';AF=' || floor(minor / copies * 1000 + 0.5) / 1000, 'GT:DP',
-      string_agg(CASE WHEN dp IS NULL THEN './.' ELSE concat(CASE WHEN a1 <> a2 THEN '0/1' WHEN a1 = ref THEN '0/0' ELSE '1/1' END, ':', dp) END, chr(9) ORDER BY sample)) AS value FROM c_c GROUP BY locus, col, ref, alt, minor, copies""",
+    "export_vcf_rows": """WITH v_n AS (SELECT locus, col, a, count(*) AS n FROM (SELECT locus, col, unnest([a1, a2]) AS a FROM @calls WHERE a1 IS NOT NULL AND a2 IS NOT NULL) z GROUP BY ALL),
+      v_o AS (SELECT locus, col, list(a ORDER BY n DESC, a) AS o, list(n ORDER BY n DESC, a) AS k, sum(n) AS m FROM v_n GROUP BY locus, col),
+      v_s AS (SELECT s.locus, s.col, coalesce(o, []) AS o, coalesce(k, []) AS k, m FROM (SELECT DISTINCT locus, col FROM @calls) s LEFT JOIN v_o ON v_o.locus = s.locus AND v_o.col = s.col),
+      v_c AS (SELECT s.*, p.sample, c.dp, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN list_sort([list_position(o, a1) - 1, list_position(o, a2) - 1]) END AS g FROM v_s s CROSS JOIN (SELECT DISTINCT sample FROM @calls) p LEFT JOIN @calls c ON c.locus = s.locus AND c.col = s.col AND c.sample = p.sample)
+      SELECT locus AS part, CAST(col AS BIGINT) AS line, concat_ws(chr(9), locus, col + 1, locus || ':' || col, coalesce(o[1], 'N'), CASE WHEN len(o) > 1 THEN array_to_string(o[2:], ',') ELSE '.' END, '.', 'PASS',
+      'NS=' || count(g) || ';AF=' || CASE WHEN len(o) > 1 THEN array_to_string([floor(x / m * 1000 + 0.5) / 1000 FOR x IN k[2:]], ',') ELSE '0.0' END, 'GT:DP',
+      string_agg(CASE WHEN g IS NULL THEN './.' ELSE concat_ws(':', g[1] || '/' || g[2], dp) END, chr(9) ORDER BY sample)) AS value FROM v_c GROUP BY locus, col, o, k, m""",
     "matrix_transpose": "SELECT locus || '_' || col AS site, CAST(0 AS BIGINT) AS block, string_agg(dp, chr(9) ORDER BY sample) AS piece FROM @calls GROUP BY ALL",
 }
 

@@ -85,20 +85,23 @@ def vcf_head(samples: DataFrame, source: str = "radspark") -> DataFrame:
 
 
 def vcf_lines(calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """calls (locus, col, sample, a1, a2, dp): a line a site with one or two alleles, its commoner one first (ties: the first by letter); a sample without a call has
+    """calls (locus, col, sample, a1, a2, dp): a line a site, its alleles from the commonest (ties: the first by letter), N where no sample has a call; a sample without a call has
     ./. there. These calls hold no depths by allele; called_lines() writes those of calls that do."""
-    copies = calls.where("a1 is not null and a2 is not null").select("locus", "col", F.explode(F.array("a1", "a2")).alias("a")).groupBy("locus", "col", "a").count()
-    order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("a"))))
-    sites = copies.groupBy("locus", "col").agg(order.alias("o"), F.sum("count").alias("copies")).where("size(o) <= 2")
-    sites = sites.select("locus", "col", "copies", F.col("o")[0]["a"].alias("ref"), F.get("o", F.lit(1))["a"].alias("alt"), (-F.coalesce(F.get("o", F.lit(1))["n"], F.lit(0))).alias("minor"))
-    at = lambda a: F.when(F.col(a) == F.col("ref"), "0").otherwise("1")
     called = F.col("a1").isNotNull() & F.col("a2").isNotNull()
+    copies = calls.select("locus", "col", F.explode(F.when(called, F.array("a1", "a2")).otherwise(F.array(F.lit(None).cast("string")))).alias("a")).groupBy("locus", "col", "a").count()
+    known = F.col("a").isNotNull()
+    order = F.array_sort(F.collect_list(F.when(known, F.struct((-F.col("count")).alias("n"), F.col("a")))))
+    sites = copies.groupBy("locus", "col").agg(order.alias("o"), F.sum(F.when(known, F.col("count"))).alias("copies"))
+    others = F.slice("o", 2, F.greatest(F.size("o") - 1, F.lit(0)))
+    sites = sites.select("locus", "col", "copies", F.col("o.a").alias("alleles"), F.coalesce(F.get("o", F.lit(0))["a"], F.lit("N")).alias("ref"), F.when(F.size("o") > 1, F.array_join(others["a"], ",")).alias("alt"), others["n"].alias("less"))
+    at = lambda a: (F.array_position("alleles", F.col(a)) - 1).cast("string")
     gt = F.concat_ws("/", F.array_sort(F.array(at("a1"), at("a2"))))
     own = calls.join(sites, ["locus", "col"]).select("locus", "col", "sample", F.when(called, F.concat_ws(":", gt, F.col("dp").cast("string"))).alias("call"))
     row = own.groupBy("locus", "col").agg(F.map_from_entries(F.collect_list(F.struct("sample", "call"))).alias("by"), F.count("call").alias("ns"))
     names = samples.agg(F.array_sort(F.collect_set("sample")).alias("names"))  # one row
     row = row.join(sites, ["locus", "col"]).join(F.broadcast(names))
-    about = F.concat(F.lit("NS="), F.col("ns").cast("string"), F.lit(";AF="), (F.floor(F.col("minor") / F.col("copies") * 1000 + 0.5) / 1000).cast("string"))
+    share = F.transform("less", lambda n: (F.floor(-n / F.col("copies") * 1000 + 0.5) / 1000).cast("string"))
+    about = F.concat(F.lit("NS="), F.col("ns").cast("string"), F.lit(";AF="), F.when(F.size("less") > 0, F.array_join(share, ",")).otherwise("0.0"))
     return _records(row, about, F.lit("GT:DP"))
 
 

@@ -186,3 +186,19 @@ def test_complete_haplotypes_before_sites_go(spark, check):
 
     got = populations.OPS["populations_haplotypes"](spark, calls=calls)
     assert sorted((r["col"], r["called"], r["pops"]) for r in got.collect()) == [(0, 11, 3), (1, 12, 3)]
+
+
+def test_vcf_line_for_every_site(spark):
+    """Sites with a third allele, and those that no sample has a call at, have their lines, here and in the SQL."""
+    rows = [(1, 0, 0, 0, "A", "C", 5), (1, 0, 1, 0, "G", "C", 4), (1, 0, 2, 1, "C", "C", 2), (2, 1, 0, 0, None, None, 3), (2, 1, 1, 0, "T", None, 1), (3, 0, 0, 0, "T", "T", 7), (3, 0, 2, 1, "A", "T", 6)]
+    got = {(r["part"], r["line"]): r["value"] for r in catalog.OPS["export_vcf_rows"](spark, calls=spark.createDataFrame(rows, CALLS)).collect()}
+    line = lambda *x: "\t".join(x)
+    want = {
+        (1, 0): line("1", "1", "1:0", "C", "A,G", ".", "PASS", "NS=3;AF=0.167,0.167", "GT:DP", "0/1:5", "0/2:4", "0/0:2"),
+        (2, 1): line("2", "2", "2:1", "N", ".", ".", "PASS", "NS=0;AF=0.0", "GT:DP", "./.", "./.", "./."),
+        (3, 0): line("3", "1", "3:0", "T", "A", ".", "PASS", "NS=2;AF=0.25", "GT:DP", "0/0:7", "./.", "0/1:6"),
+    }
+    assert got == want
+    values = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+    made = catalog.OPS["export_vcf_rows"].check_sql({"calls": f"SELECT * FROM (VALUES {values}) t(locus, col, sample, pop, a1, a2, dp)"})
+    assert {(r[0], r[1]): r[2] for r in duckdb.sql(made).fetchall()} == want
