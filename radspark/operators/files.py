@@ -213,11 +213,9 @@ def number_functions(spark, numbers):
 
 
 def cigar_functions(spark, cigars):
-    text = F.col("cigar")
-    lengths = cigar.on_text(lambda c: list(cigar.lengths(c)), "array<int>")
-    l = cigars.withColumn("l", lengths(text))  # noqa: E741
-    return l.select("id", F.col("l")[0].alias("padded"), F.col("l")[1].alias("ref"), F.col("l")[2].alias("read"), cigar.on_text(cigar.invert)(text).alias("inverted"), cigar.on_text(cigar.simplified)(text).alias("simple"),
-        cigar.on_text(lambda c: cigar.extend(c, 2, 3))(text).alias("extended"), cigar.on_text(lambda c: len(cigar.gap_columns(c)), "int")(text).alias("gaps"))
+    length = lambda i: (lambda c: cigar.lengths(c)[i], "int")
+    fields = {"padded": length(0), "ref": length(1), "read": length(2), "inverted": (cigar.invert, "string"), "simple": (cigar.simplified, "string"), "extended": (lambda c: cigar.extend(c, 2, 3), "string"), "gaps": (lambda c: len(cigar.gap_columns(c)), "int")}
+    return cigars.select("id", cigar.on_texts(fields, "cigar").alias("c")).select("id", "c.*")
 
 
 _SUM = "coalesce(list_sum([CAST(x AS INT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[{}]', 1)]), 0)"

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from radspark.functions import cigar, cross, enzymes
 from radspark.operators import alignment, assembly, graphs, models, populations
@@ -150,3 +151,19 @@ def test_guo_thompson():
 
 def test_blocks():
     assert populations.four_gamete_blocks({(1, 2): 3, (1, 3): 4, (2, 3): 4, (3, 4): 2}, 4) == [(1, 2), (3, 4)]
+
+
+def test_cigar_columns_together(spark):
+    """Several functions of CIGAR texts in one pass, each text of a task parsed once."""
+    from radspark.operators import files
+
+    texts = ["3M1D2M", None, "7M", "x", "2I3M", "3M1D2M", ""]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, cigar string").coalesce(1)
+    made = files.cigar_functions(spark, t)
+    got = {r["id"]: tuple(r)[1:] for r in made.collect()}
+    assert got[0] == got[5] == (6, 6, 5, "3M1I2M", "3M1D2M", "2D3M1D2M3D", 1)
+    assert got[4] == (5, 3, 5, "2D3M", "2I3M", "2D2I3M3D", 0) and all(got[i] == (None,) * 7 for i in (1, 3, 6))
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    seen = []
+    spread = cigar.on_texts({"n": (lambda c: seen.append(1) or len(seen), "int")}, F.col("cigar"))
+    assert [r[0] for r in t.select(spread["n"]).orderBy("id").collect()] == [1, None, 2, None, 3, 1, None]
