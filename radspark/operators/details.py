@@ -115,25 +115,9 @@ def snp_union(spark, calls: DataFrame) -> DataFrame:
     return first.groupBy("locus", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("half", "a"))), lambda x: x["a"]), "").alias("bases"))
 
 
-def _cross_genotypes(haps: DataFrame) -> DataFrame:
-    """(locus, marker, sample, genotype): progeny genotypes of a cross of samples 0 and 1, by letters."""
-
-    def run(t):
-        import pandas as pd
-
-        parents = {s: frozenset((a, b)) for s, a, b in zip(t["sample"], t["h1"], t["h2"], strict=True) if s < 2}
-        m, f = parents.get(0, frozenset()), parents.get(1, frozenset())
-        kind = cross.marker_type(m or None, f or None)
-        names = cross.letters(m, f) if kind and m and f else {}
-        rows = [(int(t["locus"].iloc[0]), kind, int(s), cross.translated(kind, "cp", cross.genotype(a, b, names))) for s, a, b in zip(t["sample"], t["h1"], t["h2"], strict=True) if s > 1 and kind]
-        return pd.DataFrame(rows, columns=["locus", "marker", "sample", "genotype"])
-
-    full = haps.where("instr(h1, 'N') = 0 and instr(h2, 'N') = 0").select("locus", "sample", "h1", "h2")
-    return full.groupBy("locus").applyInPandas(run, "locus long, marker string, sample int, genotype string")
-
-
 def cross_genotypes(spark, haps: DataFrame) -> DataFrame:
-    return _cross_genotypes(haps)
+    """(locus, marker, sample, genotype): progeny genotypes of a cross of samples 0 and 1, by letters."""
+    return crosses.progeny_genotypes(haps)
 
 
 def cross_lines(genotypes: DataFrame, map_type: str = "joinmap_cp") -> DataFrame:
@@ -147,14 +131,14 @@ def cross_lines(genotypes: DataFrame, map_type: str = "joinmap_cp") -> DataFrame
 
 
 def export_cross(spark, haps: DataFrame) -> DataFrame:
-    return cross_lines(_cross_genotypes(haps))
+    return cross_lines(crosses.progeny_genotypes(haps))
 
 
 def export_rqtl(spark, haps: DataFrame) -> DataFrame:
     """(sample, block, piece): a sample's genotypes by comma, - where it has none, in blocks of loci."""
     from . import sinks
 
-    g = _cross_genotypes(haps)
+    g = crosses.progeny_genotypes(haps)
     return sinks._by_sample(g.withColumn("col", F.lit(0)).withColumn("block", F.expr(f"locus div {sinks.BLOCK}")), ["sample"], F.when(F.col("genotype") == "--", "-").otherwise(F.col("genotype")), ",")
 
 

@@ -79,3 +79,40 @@ def test_mates_turned(spark):
     for i, a, b, q, p in rows:
         turned = i in (1, 3, 6)
         assert (got[i]["swapped"], got[i]["seq1"], got[i]["seq2"], got[i]["qual1"], got[i]["qual2"]) == ((True, b, a, p, q) if turned else (False, a, b, q, p)), i
+
+
+def test_progeny_by_rows(spark):
+    """Genotypes and segregation of every kind of cross, against the functions over one locus at a time; no group of rows goes to Python."""
+    import random
+
+    from radspark.functions import cross
+    from radspark.operators import crosses, loci
+
+    rng = random.Random(8)
+    rows = []
+    for locus in range(120):
+        kinds = ["AC", "AG", "CC", "GT"][: rng.choice([1, 2, 3, 4])]
+        for s in range(12):
+            if s > 1 or rng.random() < 0.85:
+                rows.append((locus, s, s % 3, 0, *(rng.choice([*kinds, "NA"] if rng.random() < 0.1 else kinds) for _ in range(2))))
+    haps = spark.createDataFrame(rows, "locus long, sample int, pop int, grp int, h1 string, h2 string")
+    made = crosses.progeny_genotypes(haps)
+    want, tests = set(), set()
+    for locus in range(120):
+        own = {r[1]: r[4:] for r in rows if r[0] == locus and "N" not in r[4] + r[5]}
+        m, f = (frozenset(own.get(s, ())) for s in (0, 1))
+        kind = cross.marker_type(m or None, f or None)
+        if not kind:
+            continue
+        names = cross.letters(m, f) if m and f else {}
+        calls = {s: cross.translated(kind, "cp", cross.genotype(*h, names)) for s, h in own.items() if s > 1}
+        want |= {(locus, kind, s, g) for s, g in calls.items()}
+        shares = cross.SEGREGATION["cp"].get(cross.MAP_TYPES["cp"].get(kind, ""))
+        if shares and calls:
+            n = {g: list(calls.values()).count(g) for g in shares}
+            x, df = cross.segregation_chisq(n, shares)
+            tests.add((locus, kind, sum(n.values()), round(x, 6), df, cross.chisq_p(x, df)))
+    assert {tuple(r) for r in made.collect()} == want and len({k for _, k, _, _ in want}) == 10
+    got = loci.segregation(spark, haps)
+    assert {tuple(r) for r in got.collect()} == tests
+    assert not any("Pandas" in d._jdf.queryExecution().executedPlan().toString() for d in (made, got))
