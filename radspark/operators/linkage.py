@@ -7,9 +7,9 @@ that length: each site meets its own and the next stretch.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,16 +105,50 @@ def merged_blocks(strong: dict[int, list[int]], told: dict[int, list[int]], shar
     return out
 
 
-def _segment_blocks(share: float):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        strong: dict[int, list[int]] = {}
-        told: dict[int, list[int]] = {}
-        for x, y, s in sorted(zip(t["rank1"].tolist(), t["rank2"].tolist(), (t["kind"] == "strong").tolist(), strict=True)):
-            told.setdefault(y, []).append(x)
-            if s:
-                strong.setdefault(y, []).append(x)
-        chr_ = t["chr"].iloc[0]
-        return pd.DataFrame([(chr_, a, b) for a, b in merged_blocks(strong, told, share)], columns=["chr", "first", "last"])
+class Merger:
+    """merged_blocks over sites that come one after another, of one segment after another: what it keeps is the block at hand and counts of the pairs since its last site."""
+
+    def __init__(self, share: float = 0.9) -> None:
+        self.share, self.key, self.first, self.last = share, None, None, None
+        self.have = self.more = (0, 0)
+
+    def end(self) -> list[tuple]:
+        out = [] if self.first is None else [(self.key[0], self.first, self.last)]
+        self.first = None
+        return out
+
+    def add(self, key: tuple, site: int, linked: bool, told: list[int], strong: list[int]) -> list[tuple]:
+        """The blocks that end before a site; told, strong: as in merged_blocks, linked says whether it is strongly linked with any site, earlier or later."""
+        out = self.end() if key != self.key else []
+        self.key = key
+        if self.first is not None:
+            self.more = self.more[0] + len(told) - bisect_left(told, self.first), self.more[1] + len(strong) - bisect_left(strong, self.first)
+        if not linked:
+            return out
+        n, s = self.have[0] + self.more[0], self.have[1] + self.more[1]
+        if self.first is not None and n and s >= self.share * n - 1e-12:
+            self.last, self.have = site, (n, s)
+        else:
+            out += self.end()
+            self.first, self.last, self.have = site, site, (0, 0)
+        self.more = 0, 0
+        return out
+
+
+def _merged(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger, kind = Merger(share), None
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))], names=["chr", "first", "last"])
+
+        for b in batches:
+            kind, rows = b.schema.field("chr").type, []
+            for chr_, segment, *site in zip(*(b.column(n).to_pylist() for n in ("chr", "segment", "rank", "linked", "told", "strong")), strict=True):
+                rows += merger.add((chr_, segment), *site)
+            yield made(rows)
+        if kind is not None:
+            yield made(merger.end())
 
     return run
 
@@ -129,14 +163,21 @@ def ranked_sites(sites: DataFrame, most: int) -> DataFrame:
 def blocks(told: DataFrame, sites: DataFrame, most: int, share: float = 0.9) -> DataFrame:
     """intervals(...) of sites' near pairs -> (chr, block, first, last, place1, place2, snps): blocks of strong linkage, by their sites' ranks; snps counts the sites between.
 
-    Only pairs within `most` are examined. No block spans a stretch of that length without a site, so segments between such stretches are worked on apart, each in a task.
+    Only pairs within `most` are examined. No block spans a stretch of that length without a site, so segments between such stretches are worked on apart, each in a task, which reads its
+    sites in order and keeps none.
     """
     r = graphs.written(ranked_sites(sites, most), "ranks")[0]
     one = r.select("chr", F.col("locus").alias("locus1"), F.col("i").alias("i1"), F.col("rank").alias("rank1"), "segment")
     two = r.select("chr", F.col("locus").alias("locus2"), F.col("i").alias("i2"), F.col("rank").alias("rank2"))
-    p = told.where("kind <> 'uninformative'").join(one, ["chr", "locus1", "i1"]).join(two, ["chr", "locus2", "i2"]).select("chr", "segment", "rank1", "rank2", "kind")
+    p = told.where("kind <> 'uninformative'").join(one, ["chr", "locus1", "i1"]).join(two, ["chr", "locus2", "i2"]).select("chr", "segment", "rank1", "rank2", (F.col("kind") == "strong").alias("strong"))
     chr_type = told.schema["chr"].dataType.simpleString()
-    b = p.groupBy("chr", "segment").applyInPandas(_segment_blocks(share), f"chr {chr_type}, first int, last int")
+    # a row a site: the earlier sites it is linked with, in order; sites with later ones only have no such list
+    side = lambda rank, earlier, strong: F.struct(F.col(rank).alias("rank"), earlier.alias("earlier"), strong.alias("strong"))
+    none = F.lit(None).cast("int")
+    e = p.select("chr", "segment", F.explode(F.array(side("rank2", F.col("rank1"), F.col("strong")), side("rank1", none, F.col("strong")))).alias("e")).select("chr", "segment", "e.*")
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("earlier"))))
+    s = e.where("earlier is not null or strong").groupBy("chr", "segment", "rank").agg(F.max("strong").alias("linked"), listed(F.lit(True)).alias("told"), listed(F.col("strong")).alias("strong"))
+    b = s.repartition("chr", "segment").sortWithinPartitions("chr", "segment", "rank").mapInArrow(_merged(share), f"chr {chr_type}, first int, last int")
     ends = lambda n, at: r.select("chr", F.col("rank").alias(at), F.col("place").alias(n))
     b = b.join(ends("place1", "first"), ["chr", "first"]).join(ends("place2", "last"), ["chr", "last"])
     return b.select("chr", F.row_number().over(Window.partitionBy("chr").orderBy("first")).alias("block"), "first", "last", "place1", "place2", (F.col("last") - F.col("first") + 1).alias("snps"))

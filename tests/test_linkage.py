@@ -138,3 +138,47 @@ def test_bootstrap_draws_a_place_once(spark):
         seed = min(x[6] for x in t if x[2] == r[2] and not x[4])
         want[r[6]] = models.resampled(float((v * w).sum() / w.sum()), r[2], bp, w, v, f, pool, 50, seed)
     assert got == want and len({r[2] for r in rows if r[6] in got}) < len(got) / 2
+
+
+def test_blocks_site_after_site():
+    """What a stream of sites keeps is enough for the blocks of the whole segment, one segment after another."""
+    from radspark.operators import linkage
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        merger, got, want = linkage.Merger(0.9), [], []
+        for key in ((0, 0), (0, 1), (1, 0)):
+            strong, told = {}, {}
+            for y in range(1, 60):
+                for x in range(max(0, y - 9), y):
+                    kind = rng.choices(["strong", "recombined", ""], [6, 0.4, 5] if y // 15 % 2 else [2, 1, 9])[0]
+                    if kind:
+                        told.setdefault(y, []).append(x)
+                    if kind == "strong":
+                        strong.setdefault(y, []).append(x)
+            linked = set(strong) | {x for v in strong.values() for x in v}
+            want += [(key[0], *b) for b in linkage.merged_blocks(strong, told)]
+            for y in sorted(linked | set(told)):
+                got += merger.add(key, y, y in linked, told.get(y, []), strong.get(y, []))
+        assert got + merger.end() == want
+
+
+def test_gamete_blocks(spark):
+    """Blocks of loci of any number of sites against the search over all pairs."""
+    from itertools import combinations
+
+    from radspark.operators import populations
+
+    rng = random.Random(3)
+    rows = [(lo, s, 0, 0, *("".join(rng.choice("AG" if rng.random() < 0.9 else "AN") for _ in range(2 + lo % 7)) for _ in range(2))) for lo in range(40) for s in range(1 + lo % 5)]
+    want = set()
+    for lo in range(40):
+        hs, pairs = [h for r in rows if r[0] == lo for h in r[4:]], {}
+        for i, j in combinations(range(1, 3 + lo % 7), 2):
+            seen = {h[i - 1] + h[j - 1] for h in hs if "N" not in h[i - 1] + h[j - 1]}
+            if len({x for x, _ in seen}) == 2 == len({y for _, y in seen}):
+                pairs[i, j] = len(seen)
+        want |= {(lo, *b) for b in populations.four_gamete_blocks(pairs, max(j for _, j in pairs))} if pairs else set()
+    made = populations.fgt_blocks(spark, spark.createDataFrame(rows, HAPS))
+    assert {tuple(r) for r in made.collect()} == want and len(want) > 60
+    assert "Pandas" not in made._jdf.queryExecution().executedPlan().toString()
