@@ -100,17 +100,30 @@ def _merge(reduce: bool):
 # ---------------------------------------------------------------- building
 
 
+def pairs_across(one: DataFrame, other: DataFrame, distance: int) -> DataFrame:
+    """one (sa), other (sb) -> (sa, sb, dist): pairs of equal length, any length, at 1 to `distance` differing places. Two such share one of distance + 1 parts of their bases; a pair comes
+    from its first shared part only."""
+    parts = distance + 1
+
+    def cut(t, s, h):
+        at = lambda p: F.floor(F.length(s) * p / parts).cast("int")
+        t = t.distinct().select(s, F.length(s).alias("n"), F.array(*[F.xxhash64(F.substr(F.col(s), at(p) + 1, at(p + 1) - at(p))) for p in range(parts)]).alias(h))
+        return t.select(s, "n", h, F.posexplode(h).alias("part", "code"))
+
+    # sizes are guessed from the files: sorted joins, so that none goes through the driver
+    j = cut(one, "sa", "ha").join(cut(other, "sb", "hb").hint("merge"), ["n", "part", "code"])
+    first = F.array_position(F.zip_with("ha", "hb", lambda a, b: (a == b).cast("int")), F.lit(1)) == F.col("part") + 1
+    return j.where(first).select("sa", "sb", assembly.distance_of("sa", "sb").alias("dist")).where((F.col("dist") >= 1) & (F.col("dist") <= distance))
+
+
 def nearest(own: DataFrame, known: DataFrame, distance: int, length: int) -> DataFrame:
     """own, known (locus or catalog, haplotype, seq): (locus, haplotype, catalog, dist), for each haplotype its nearest catalog locus within the distance, ties to the least number."""
     same = own.join(known.select("catalog", "seq"), "seq").groupBy("locus", "haplotype").agg(F.min("catalog").alias("catalog")).withColumn("dist", F.lit(0))
     if not distance:
         return same
     rest = own.join(same, ["locus", "haplotype"], "left_anti")
-    # equal texts have one number: even for the sample's, odd for the catalog's
-    number = lambda odd: (F.shiftleft(F.shiftrightunsigned(F.xxhash64("seq"), 2), 1) + odd).alias("id")
-    both = rest.select(number(0), "seq").unionByName(known.select(number(1), "seq")).distinct().withColumn("known", F.col("id").bitwiseAND(1) == 1)
-    pairs = assembly.similar_pairs(both, distance, length, [], across="known")
-    found = rest.withColumn("a", number(0)).join(pairs, "a").join(known.select("catalog", number(1).alias("b")), "b")
+    pairs = pairs_across(rest.select(F.col("seq").alias("sa")), known.select(F.col("seq").alias("sb")), distance)
+    found = rest.join(pairs, rest["seq"] == pairs["sa"]).drop("seq").join(known.select("catalog", F.col("seq").alias("sb")).hint("merge"), "sb")
     near = found.groupBy("locus", "haplotype").agg(F.min(F.struct("dist", "catalog")).alias("m")).select("locus", "haplotype", "m.catalog", "m.dist")
     return same.unionByName(near)
 

@@ -224,3 +224,17 @@ def test_one_chain_for_a_table(spark):
     haps = spark.createDataFrame([(l, 0, i, *h) for l, g in ((1, one), (2, two)) for i, h in enumerate(g)], "locus long, pop int, sample int, h1 string, h2 string")
     a, b = models.guo_thompson(haps, 100, 4, 500).collect()
     assert (a["hwe_p"], a["se"]) == (b["hwe_p"], b["se"]) and 0 < a["hwe_p"] <= 1
+
+
+@pytest.mark.parametrize("distance", [1, 3])
+def test_pairs_by_parts(spark, distance):
+    """Every pair of two sides within the distance, once, sequences shorter than a k-mer included; a row a part, not one a k-mer."""
+    rng = random.Random(distance)
+    seqs = ["".join(rng.choice("AC") for _ in range(rng.choice([2, 3, 9, 40]))) for _ in range(60)]
+    seqs += ["".join(rng.choice("ACGT") if rng.random() < 0.05 else c for c in s) for s in seqs for _ in range(3)]
+    one, other = seqs[::2], seqs[1::2]
+    made = catalogs.pairs_across(spark.createDataFrame([(s,) for s in one], "sa string"), spark.createDataFrame([(s,) for s in other], "sb string"), distance)
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(a, b, far(a, b)) for a in one for b in other if len(a) == len(b) and 1 <= far(a, b) <= distance}
+    got = [tuple(r) for r in made.collect()]
+    assert set(got) == want and len(got) == len(want) > 50
