@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Dialect, Fn, Op
+from . import smoothing
 
 CALLS = ("calls",)
 
@@ -359,18 +362,46 @@ _CHECK_HWE = _CHECK_SITE + """,
   SELECT locus, col, pop, """ + _r("sum(exp(l)) FILTER (l <= o + 1e-9)", 6) + " AS hwe_p FROM c_own GROUP BY locus, col, pop"
 
 
-def kernel_smooth(d, sigma=3600):
+def _celled(sites, sigma, most=96):
+    """Sites by chromosome, population and stretch of `most` sigma, with those within 3 sigma of a stretch; `own` are those in it."""
+    cell = lambda x: F.floor(x / (most * sigma))
+    near = F.array_distinct(F.array(*[cell(F.col("bp") + o * sigma) for o in (-3, 0, 3)]))
+    return sites.select("*", F.explode(near).alias("cell")).withColumn("own", F.col("cell").eqNullSafe(cell(F.col("bp"))))
+
+
+def _smooth(sigma):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bp")
+        bp, n, w, v = (t.column(c).to_numpy() for c in ("bp", "n", "w", "v"))
+        mine = t.filter(t.column("centre"))
+        where = mine.column("bp").to_numpy()
+        seen = np.flatnonzero(n)
+        first = smoothing.firsts(bp[seen])
+        at = bp[seen][first]
+        c = np.unique(where)
+        lo, hi = np.searchsorted(at, c - 3 * sigma), np.searchsorted(at, c + 3 * sigma)
+        c, lo, hi = (x[lo < hi] for x in (c, lo, hi))
+        sums = smoothing.gaussian_sums(at, np.array([np.add.reduceat(x[seen], first) if len(first) else x[:0] for x in (v, w)]), c, sigma)
+        upto = np.append(first, len(seen))
+        with np.errstate(all="ignore"):
+            smoothed = np.floor(sums[:, 0] / sums[:, 1] * 1e4 + 0.5) / 1e4
+        k = np.searchsorted(c, where)
+        found = np.append(c, 0)[k] == where if len(c) else np.zeros(len(where), bool)
+        found &= k < len(c)
+        told = mine.filter(pa.array(found)).select(["event_id", "chr", "pop", "bp"])
+        return told.append_column("n", pa.array((upto[hi] - upto[lo])[k[found]], pa.int64())).append_column("smoothed", pa.array(smoothed[k[found]]))
+
+    return run
+
+
+def kernel_smooth(spark, sites, sigma=3600):
     """Gaussian average over [c - 3 sigma, c + 3 sigma) of each chromosome and population, alleles - 1 as weight: around sites that are not fixed, over values above -7."""
-    # all sites of a place have one window and weigh as one, so that pairs grow with places, of which a window holds a bounded number
-    cell = d.div("bp", str(6 * sigma))
-    return {
-        "at": "SELECT chr, pop, bp, count(*) AS n, sum(alleles - 1) AS w, sum((alleles - 1) * stat) AS v FROM @sites WHERE stat > -7 GROUP BY chr, pop, bp",
-        "near": f"""SELECT c.chr, c.pop, c.bp, s.n, s.w, s.v, exp(-1E0 * (s.bp - c.bp) * (s.bp - c.bp) / (2E0 * {sigma} * {sigma})) AS g
-          FROM (SELECT chr, pop, bp, {cell} AS cell FROM (SELECT DISTINCT chr, pop, bp FROM @sites WHERE NOT fixed) y) c
-          JOIN (SELECT z.*, {cell} + o AS cell FROM (SELECT a.*, {d.unnest('-1', '1', 'o')} FROM at a) z) s
-          ON c.chr = s.chr AND c.pop = s.pop AND c.cell = s.cell AND s.bp >= c.bp - {3 * sigma} AND s.bp < c.bp + {3 * sigma}""",
-        "told": f"SELECT chr, pop, bp, sum(n) AS n, {d.r('sum(g * v) / sum(g * w)', 4)} AS smoothed FROM near GROUP BY chr, pop, bp",
-    }, "SELECT s.event_id, s.chr, s.pop, s.bp, t.n, t.smoothed FROM @sites s JOIN told t ON s.chr = t.chr AND s.pop = t.pop AND s.bp = t.bp WHERE NOT s.fixed"
+    kind = dict(sites.dtypes)
+    used = F.coalesce(F.col("stat") > -7, F.lit(False))
+    weight = F.coalesce((F.col("alleles") - 1).cast("double"), F.lit(0.0))
+    t = _celled(sites.where("bp is not null and chr is not null and pop is not null"), sigma)
+    t = t.select("event_id", "chr", "pop", "cell", "bp", (F.col("own") & F.coalesce(~F.col("fixed"), F.lit(False))).alias("centre"), used.cast("int").alias("n"), weight.alias("w"), F.when(used, weight * F.col("stat")).otherwise(0.0).alias("v"))
+    return t.groupBy("chr", "pop", "cell").applyInArrow(_smooth(sigma), f"event_id {kind['event_id']}, chr {kind['chr']}, pop {kind['pop']}, bp {kind['bp']}, n long, smoothed double")
 
 
 _CHECK_SMOOTH = f"""SELECT c.event_id, c.chr, c.pop, c.bp, count(*) AS n, {_r("sum(s.stat * (s.alleles - 1) * exp(-0.5 * ((s.bp - c.bp) / 3600.0) ** 2)) / sum((s.alleles - 1) * exp(-0.5 * ((s.bp - c.bp) / 3600.0) ** 2))", 4)} AS smoothed
@@ -555,7 +586,7 @@ OPS = {
     "locus_filter_rpR": Op(CALLS, locus_filter, _CHECK_RPR), "snp_filter_maf_mac": Op(CALLS, snp_filter, _CHECK_SNPS), "depth_mask": Op(CALLS, depth_mask, _CHECK_MASK), "keep_first_snp": Op(CALLS, keep_first_snp, _CHECK_FIRST), "genotype_letters": Op(HAPS, ordered_snp_letters, _CHECK_LETTERS),
     "fst_pairwise": Op(CALLS, fst_pairwise, _CHECK_FST), "fst_summary": Op(CALLS, fst_summary, _CHECK_FST_MEAN), "fisher_exact": Fn(CALLS, fisher, _CHECK_FISHER), "gene_diversity": Op(HAPS, gene_diversity, _CHECK_GENE),
     "haplotype_diversity": Op(HAPS, haplotype_diversity, _CHECK_HAPL), "d_est": Op(HAPS, d_est, _CHECK_DEST), "dxy_jc": Op(("haps", "loci"), dxy, _CHECK_DXY), "phi_st": Op(HAPS, phi_st, _CHECK_PHI), "phi_st_pairs": Op(HAPS, phi_st_pairs, _CHECK_PHI_PAIRS),
-    "hwe_exact": Op(CALLS, hwe_exact, _CHECK_HWE), "kernel_smooth": Op(("sites",), kernel_smooth, _CHECK_SMOOTH), "bonferroni_window": Op(("sites",), bonferroni, _CHECK_BONFERRONI),
+    "hwe_exact": Op(CALLS, hwe_exact, _CHECK_HWE), "kernel_smooth": Fn(("sites",), kernel_smooth, _CHECK_SMOOTH), "bonferroni_window": Op(("sites",), bonferroni, _CHECK_BONFERRONI),
     "ordered_unique_sites": Op(("calls", "positions"), ordered_unique_sites, _CHECK_ORDERED), "locus_overlap": Op(("calls", "positions"), locus_overlap), "dist_samples_per_locus": Op(CALLS, samples_per_locus),
     "missing_per_sample": Op(CALLS, missing_per_sample, _CHECK_MISSING), "dprime_pairs": Op(HAPS, dprime, _CHECK_DPRIME), "dprime_buckets": Op(HAPS, dprime_buckets, _CHECK_BUCKETS),
     "snp_call_multinomial": Op(("depths",), snp_call, _CHECK_MULTINOMIAL), "snp_call_bounded": Op(("depths",), snp_call_bounded, _CHECK_BOUNDED), "snp_call_fixed": Op(("depths",), snp_call_fixed, _CHECK_FIXED), "inbreeding_f": Op(HAPS, inbreeding, _CHECK_INBREEDING),

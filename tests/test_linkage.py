@@ -212,3 +212,33 @@ def test_bootstrap_of_dense_places(spark):
     bp = np.array([x[2] for x in t])
     one, part = next(iter(models.draws(pool, bp, range(1)))), next(iter(models.draws(pool, bp[1000 - (bp[:1000] == bp[1000]).sum() :], range(1))))
     assert len(one) == len(t) and (one[-len(part) :] == part).all() and abs(np.mean(one) - pool.mean()) < 0.03
+
+
+def _crowd(spark, seed):
+    """Sites at nearly every place of a stretch that several cells hold, copies and empty places among them."""
+    rng = random.Random(seed)
+    rows = [(c, 0, rng.randrange(-500, 2500) if c else rng.choice([-7, 7, 5000]), rng.choice([-7.0, rng.random(), 5 * rng.random()]), rng.random() < 0.1, rng.randrange(2, 6), i) for i in range(3000) for c in (i % 3 > 0,)]
+    rows = [(int(c), *r) for c, *r in rows]
+    return rows, spark.createDataFrame(rows, "chr int, pop int, bp long, stat double, fixed boolean, alleles int, event_id long")
+
+
+def _no_pairs(frame):
+    """Sites do not meet sites of their window one by one."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "explode(array(-1, 0, 1))" not in plan
+
+
+def test_kernel_smooth_of_dense_places(spark):
+    from radspark.operators import popgen
+
+    rows, frame = _crowd(spark, 7)
+    out = popgen.kernel_smooth(spark, frame, sigma=300)
+    _no_pairs(out)
+    got = {r.event_id: r for r in out.collect()}
+    assert len(got) == out.count()
+    for c, p, bp, _, fixed, _, i in rows:
+        at = [x for x in rows if x[:2] == (c, p) and bp - 900 <= x[2] < bp + 900 and x[3] > -7]
+        assert (i in got) == (not fixed and bool(at))
+        if i in got and i % 20 == 0:
+            w = [(x[5] - 1) * math.exp(-((x[2] - bp) ** 2) / 180000) for x in at]
+            assert got[i].n == len(at) and math.isclose(got[i].smoothed, sum(a * x[3] for a, x in zip(w, at, strict=True)) / sum(w), abs_tol=6e-5)
