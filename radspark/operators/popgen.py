@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Dialect, Fn, Op
@@ -408,16 +409,15 @@ _CHECK_SMOOTH = f"""SELECT c.event_id, c.chr, c.pop, c.bp, count(*) AS n, {_r("s
   FROM @sites c JOIN @sites s ON s.chr = c.chr AND s.pop = c.pop AND s.bp BETWEEN c.bp - 10800 AND c.bp + 10799 WHERE NOT c.fixed AND s.stat <> -7 GROUP BY c.event_id, c.chr, c.pop, c.bp"""
 
 
-def bonferroni(d, sigma=3600, alpha=0.05):
-    """The level a site's P must be under: alpha over the sites in its window."""
-    cell = d.div("bp", str(6 * sigma))
-    return {
-        "at": "SELECT chr, pop, bp, count(*) AS n FROM @sites GROUP BY chr, pop, bp",
-        "near": f"""SELECT c.chr, c.pop, c.bp, s.n FROM (SELECT *, {cell} AS cell FROM at) c
-          JOIN (SELECT z.*, {cell} + o AS cell FROM (SELECT a.*, {d.unnest('-1', '1', 'o')} FROM at a) z) s
-          ON c.chr = s.chr AND c.pop = s.pop AND c.cell = s.cell AND s.bp >= c.bp - {3 * sigma} AND s.bp < c.bp + {3 * sigma}""",
-        "told": "SELECT chr, pop, bp, sum(n) AS sites FROM near GROUP BY chr, pop, bp",
-    }, f"SELECT s.event_id, s.chr, s.pop, s.bp, t.sites, {d.r(f'{alpha} / t.sites')} AS level FROM @sites s JOIN told t ON s.chr = t.chr AND s.pop = t.pop AND s.bp = t.bp"
+def bonferroni(spark, sites, sigma=3600, alpha=0.05):
+    """The level a site's P must be under: alpha over the sites in its window, as many as there are up to its end but for those before it."""
+    w = Window.partitionBy("chr", "pop", "cell").orderBy("bp")
+    upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 3 * sigma - 1))
+    before = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, -3 * sigma - 1))
+    # rows without a place are each other's window
+    n = F.when(F.col("bp").isNull(), upto).otherwise(upto - before)
+    t = _celled(sites.select("event_id", "chr", "pop", "bp"), sigma, 24).withColumn("sites", n).where("own")
+    return t.select("event_id", "chr", "pop", "bp", "sites", (F.floor(alpha / F.col("sites") * 1e9 + 0.5) / 1e9).alias("level"))
 
 
 _CHECK_BONFERRONI = f"SELECT event_id, chr, pop, bp, count(*) OVER w AS sites, {_r('0.05 / count(*) OVER w')} AS level FROM @sites WINDOW w AS (PARTITION BY chr, pop ORDER BY bp RANGE BETWEEN 10800 PRECEDING AND 10799 FOLLOWING)"
@@ -586,7 +586,7 @@ OPS = {
     "locus_filter_rpR": Op(CALLS, locus_filter, _CHECK_RPR), "snp_filter_maf_mac": Op(CALLS, snp_filter, _CHECK_SNPS), "depth_mask": Op(CALLS, depth_mask, _CHECK_MASK), "keep_first_snp": Op(CALLS, keep_first_snp, _CHECK_FIRST), "genotype_letters": Op(HAPS, ordered_snp_letters, _CHECK_LETTERS),
     "fst_pairwise": Op(CALLS, fst_pairwise, _CHECK_FST), "fst_summary": Op(CALLS, fst_summary, _CHECK_FST_MEAN), "fisher_exact": Fn(CALLS, fisher, _CHECK_FISHER), "gene_diversity": Op(HAPS, gene_diversity, _CHECK_GENE),
     "haplotype_diversity": Op(HAPS, haplotype_diversity, _CHECK_HAPL), "d_est": Op(HAPS, d_est, _CHECK_DEST), "dxy_jc": Op(("haps", "loci"), dxy, _CHECK_DXY), "phi_st": Op(HAPS, phi_st, _CHECK_PHI), "phi_st_pairs": Op(HAPS, phi_st_pairs, _CHECK_PHI_PAIRS),
-    "hwe_exact": Op(CALLS, hwe_exact, _CHECK_HWE), "kernel_smooth": Fn(("sites",), kernel_smooth, _CHECK_SMOOTH), "bonferroni_window": Op(("sites",), bonferroni, _CHECK_BONFERRONI),
+    "hwe_exact": Op(CALLS, hwe_exact, _CHECK_HWE), "kernel_smooth": Fn(("sites",), kernel_smooth, _CHECK_SMOOTH), "bonferroni_window": Fn(("sites",), bonferroni, _CHECK_BONFERRONI),
     "ordered_unique_sites": Op(("calls", "positions"), ordered_unique_sites, _CHECK_ORDERED), "locus_overlap": Op(("calls", "positions"), locus_overlap), "dist_samples_per_locus": Op(CALLS, samples_per_locus),
     "missing_per_sample": Op(CALLS, missing_per_sample, _CHECK_MISSING), "dprime_pairs": Op(HAPS, dprime, _CHECK_DPRIME), "dprime_buckets": Op(HAPS, dprime_buckets, _CHECK_BUCKETS),
     "snp_call_multinomial": Op(("depths",), snp_call, _CHECK_MULTINOMIAL), "snp_call_bounded": Op(("depths",), snp_call_bounded, _CHECK_BOUNDED), "snp_call_fixed": Op(("depths",), snp_call_fixed, _CHECK_FIXED), "inbreeding_f": Op(HAPS, inbreeding, _CHECK_INBREEDING),

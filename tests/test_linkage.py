@@ -242,3 +242,15 @@ def test_kernel_smooth_of_dense_places(spark):
         if i in got and i % 20 == 0:
             w = [(x[5] - 1) * math.exp(-((x[2] - bp) ** 2) / 180000) for x in at]
             assert got[i].n == len(at) and math.isclose(got[i].smoothed, sum(a * x[3] for a, x in zip(w, at, strict=True)) / sum(w), abs_tol=6e-5)
+
+
+def test_bonferroni_of_dense_places(spark):
+    from radspark.operators import popgen
+
+    rows, frame = _crowd(spark, 8)
+    extra = spark.createDataFrame([(0, 0, None, 1.0, False, 3, 9001), (0, 0, None, 1.0, False, 3, 9002), (None, 0, 5, 1.0, False, 3, 9003)], frame.schema)
+    out = popgen.bonferroni(spark, frame.union(extra), sigma=10)
+    _no_pairs(out)
+    got = {r.event_id: r.sites for r in out.collect()}
+    want = {i: sum(1 for x in rows if x[:2] == (c, p) and bp - 30 <= x[2] < bp + 30) for c, p, bp, _, _, _, i in rows}
+    assert got == want | {9001: 2, 9002: 2, 9003: 1}
