@@ -3,7 +3,8 @@
 K-mers (up to 31 letters) are numbers. Counting adds them up within each batch before anything is shuffled. For the filters
 every read gets the frequencies of its k-mers as an array: reads are dealt to groups, a group sends each distinct k-mer once to
 the k-mer's bucket, which adds up and answers, and the group looks its reads' k-mers up in the answers. All rows are packed, and
-a k-mer that is everywhere is one entry a group.
+a k-mer that is everywhere is one entry a group. What is shuffled is small: reads go once, four bases a byte; a group's k-mers go
+scrambled and in order, as distances (some 1.5 bytes); answers are numbers alone, in the order the group had sent, which it makes anew.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import graphs
-from .packing import buffers, kmer_codes, slices
+from .packing import buffers, kmer_codes, packed_counts, packed_sequences, packed_set, slices, unpacked_counts, unpacked_sequences, unpacked_set
 
 K = 15
 GROUP = 2 << 20  # letters of the reads of a group
@@ -129,59 +130,84 @@ def spread(reads: DataFrame, k: int = K) -> DataFrame:
     return med.join(F.broadcast(_at_rank(far, "d").withColumnRenamed("m", "mad")))
 
 
+def _scrambled(code: np.ndarray, k: int) -> np.ndarray:
+    """Codes spread over all numbers of 2 k bits, none twice."""
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << 2 * k) - 1)).astype(np.int64)
+
+
+def _range(scrambled: np.ndarray, buckets: int, k: int) -> np.ndarray:
+    """The bucket of scrambled codes: stretches of them."""
+    bits = min(2 * k, 31)
+    return ((scrambled >> (2 * k - bits)) * buckets) >> bits
+
+
+def _kinds(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scrambled codes of the distinct k-mers, in order, and how often they occur."""
+    kind, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo, hi in slices(off):
+        more, times = np.unique(_scrambled(kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)[0], k), return_counts=True)
+        if len(kind):
+            more, inv = np.unique(np.concatenate([kind, more]), return_inverse=True)
+            times = np.bincount(inv, np.concatenate([n, times]), len(more))
+        kind, n = more, times.astype(np.int64)
+    return kind, n
+
+
 def _distinct(n_buckets: int, k: int):
     def run(t: pa.Table) -> pa.Table:
-        buf, off = buffers(t.column("seq"))
-        code = [np.zeros(0, np.int64)]
-        for lo, hi in slices(off):
-            code.append(np.unique(kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)[0], return_counts=True))
-        kinds = np.concatenate([c[0] if isinstance(c, tuple) else c for c in code])
-        n = np.concatenate([c[1] if isinstance(c, tuple) else c for c in code])
-        kind, inv = np.unique(kinds, return_inverse=True)
-        n = np.bincount(inv, n, len(kind)).astype(np.int64)
-        to = _bucket(kind, n_buckets)
-        order = np.argsort(to, kind="stable")
-        kind, n, to = kind[order], n[order], to[order]
-        g = t.column("g")[0].as_py()
-        rows = [(int(to[x]), g, kind[x:y].tobytes(), n[x:y].tobytes()) for x, y in _spans(to)]
+        kind, n = _kinds(*unpacked_sequences(t), k)
+        to, g = _range(kind, n_buckets, k), t.column("g")[0].as_py()
+        rows = [(int(to[x]), g, packed_set(kind[x:y]), packed_counts(n[x:y])) for x, y in _spans(to)]
         return pa.table({name: pa.array([r[j] for r in rows], t) for j, (name, t) in enumerate((("b", pa.int32()), ("g", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())))})
 
     return run
 
 
 def _totals(t: pa.Table) -> pa.Table:
-    codes = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("codes")]
+    """For each group's k-mers, in order, how often the other groups have them."""
+    codes = [unpacked_set(x.as_buffer()) for x in t.column("codes")]
+    own = np.concatenate([unpacked_counts(x.as_buffer()) for x in t.column("counts")])
     kind, inv = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(inv, np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("counts")]), len(kind)).astype(np.int64)
-    parts = np.split(n[inv], np.cumsum([len(c) for c in codes])[:-1])
-    return t.set_column(t.schema.get_field_index("counts"), "counts", pa.array([p.tobytes() for p in parts], pa.binary()))
+    n = np.bincount(inv, own, len(kind)).astype(np.int64)
+    parts = np.split(n[inv] - own, np.cumsum([len(c) for c in codes])[:-1])
+    return t.select(["b", "g"]).append_column("counts", pa.array([packed_counts(p) for p in parts], pa.binary()))
+
+
+def _told(t: pa.Table) -> np.ndarray:
+    """The answers of all buckets, in the order of the k-mers."""
+    return np.concatenate([np.zeros(0, np.int64)] + [unpacked_counts(x.as_buffer()) for x in t.sort_by("b").column("counts")])
 
 
 def _look_up(k: int):
     def run(reads: pa.Table, told: pa.Table) -> pa.Table:
-        code = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in told.column("codes")])
-        n = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in told.column("counts")])
-        order = np.argsort(code)
-        code, n = code[order], n[order]
-        buf, off = buffers(reads.column("seq"))
+        buf, off = unpacked_sequences(reads)
+        code, n = _kinds(buf, off, k)
+        n = n + _told(told)
         values, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in slices(off):
             own, row, _ = kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-            values.append(n[np.searchsorted(code, own)])
+            values.append(n[np.searchsorted(code, _scrambled(own, k))])
             sizes.append(np.bincount(row, minlength=hi - lo))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         freq = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(values), pa.int64())).cast(pa.list_(pa.int64()))
-        return reads.drop_columns(["g", "seq"]).append_column("freq", freq)
+        return reads.drop_columns(["g", "seq", "letters"]).append_column("freq", freq)
 
     return run
 
 
+def _packed(reads: DataFrame) -> DataFrame:
+    """Reads with packed sequences."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "seq" else f for f in reads.schema]).add("letters", T.LongType())
+    return reads.mapInArrow(packed_sequences, schema)
+
+
 def frequencies(reads: DataFrame, k: int = K, keep: tuple = ("read_id",)) -> DataFrame:
     """The kept columns and `freq`: how often each k-mer of the read, in order, occurs in all reads."""
     groups = max(1, -(-_letters(reads) // GROUP))
-    r = reads.select(*keep, "seq", F.pmod(F.xxhash64(*keep, "seq"), F.lit(groups)).cast("int").alias("g"))
-    told = r.select("g", "seq").groupBy("g").applyInArrow(_distinct(groups, k), "b int, g int, codes binary, counts binary").groupBy("b").applyInArrow(_totals, "b int, g int, codes binary, counts binary")
-    schema = r.drop("g", "seq").schema.add("freq", T.ArrayType(T.LongType()))
+    r = _packed(reads.select(*keep, "seq", F.pmod(F.xxhash64(*keep, "seq"), F.lit(groups)).cast("int").alias("g")))
+    # both sides take all columns of the reads, so that Spark shuffles them once
+    told = r.groupBy("g").applyInArrow(_distinct(-(-groups * GROUP // BUCKET), k), "b int, g int, codes binary, counts binary").groupBy("b").applyInArrow(_totals, "b int, g int, counts binary")
+    schema = T.StructType([f for f in r.schema if f.name in keep]).add("freq", T.ArrayType(T.LongType()))
     return r.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_look_up(k), schema)
 
 
@@ -233,12 +259,9 @@ def _own_kmers(n_buckets: int, k: int):
     def run(t: pa.Table) -> pa.Table:
         g, rows = t.column("g")[0].as_py(), []
         for name in t.column("sample").unique().to_pylist():
-            buf, off = buffers(_of(t, name).column("seq"))
-            kind, n = np.unique(kmer_codes(buf, off, k)[0], return_counts=True)
-            to = _bucket(kind, n_buckets)
-            order = np.argsort(to, kind="stable")
-            kind, n, to = kind[order], n[order].astype(np.int64), to[order]
-            rows += [(int(to[x]), g, name, kind[x:y].tobytes(), n[x:y].tobytes()) for x, y in _spans(to)]
+            kind, n = _kinds(*unpacked_sequences(_of(t, name)), k)
+            to = _range(kind, n_buckets, k)
+            rows += [(int(to[x]), g, name, packed_set(kind[x:y]), packed_counts(n[x:y])) for x, y in _spans(to)]
         kinds = (("b", pa.int32()), ("g", pa.int32()), ("sample", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()))
         return pa.table({name: pa.array([r[j] for r in rows], t) for j, (name, t) in enumerate(kinds)})
 
@@ -253,11 +276,10 @@ def _of(t: pa.Table, sample: str | None) -> pa.Table:
 def _before(t: pa.Table) -> pa.Table:
     """A sample's bucket: in place of a group's counts, how often the groups before it hold each k-mer."""
     t = t.sort_by("g")
-    codes = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("codes")]
-    code, n = np.concatenate(codes), np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("counts")])
-    upto = _running(code, n)
+    codes = [unpacked_set(x.as_buffer()) for x in t.column("codes")]
+    upto = _running(np.concatenate(codes), np.concatenate([unpacked_counts(x.as_buffer()) for x in t.column("counts")]))
     parts = np.split(upto, np.cumsum([len(c) for c in codes])[:-1])
-    return t.set_column(t.schema.get_field_index("counts"), "counts", pa.array([p.tobytes() for p in parts], pa.binary()))
+    return t.select(["b", "g", "sample"]).append_column("counts", pa.array([packed_counts(p) for p in parts], pa.binary()))
 
 
 def _running(code: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -275,12 +297,10 @@ def _normalise(k: int, limit: float):
         out = [reads.slice(0, 0)]
         for name in reads.column("sample").unique().to_pylist():
             t, own = _of(reads, name).sort_by("read_id"), _of(told, name)
-            known = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in own.column("codes")])
-            base = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in own.column("counts")])
-            order = np.argsort(known)
-            known, base = known[order], base[order]
-            buf, off = buffers(t.column("seq"))
+            buf, off = unpacked_sequences(t)
+            known, base = _kinds(buf, off, k)[0], _told(own)
             code, row, _ = kmer_codes(buf, off, k)
+            code = _scrambled(code, k)
             # a k-mer's occurrences in the read itself do not count for it, so all of a read's are as its first
             at = np.lexsort((np.arange(len(code)), row, code))
             new = np.append(True, (np.diff(code[at]) != 0) | (np.diff(row[at]) != 0)) if len(code) else np.zeros(0, bool)
@@ -307,7 +327,7 @@ def normalise(reads: DataFrame, k: int = K, limit: float = 2.0) -> DataFrame:
     src = reads.select("read_id", "sample", "seq")
     groups = max(1, -(-_letters(src) // GROUP))
     # written, as stretches could be cut elsewhere when made anew
-    r = graphs.written(src.repartitionByRange(groups, "sample", "read_id").withColumn("g", F.spark_partition_id()), "stretches")[0]
-    told = r.groupBy("g").applyInArrow(_own_kmers(groups, k), "b int, g int, sample string, codes binary, counts binary")
-    told = told.groupBy("b", "sample").applyInArrow(_before, "b int, g int, sample string, codes binary, counts binary")
+    r = graphs.written(_packed(src).repartitionByRange(groups, "sample", "read_id").withColumn("g", F.spark_partition_id()), "stretches")[0]
+    told = r.groupBy("g").applyInArrow(_own_kmers(-(-groups * GROUP // BUCKET), k), "b int, g int, sample string, codes binary, counts binary")
+    told = told.groupBy("b", "sample").applyInArrow(_before, "b int, g int, sample string, counts binary")
     return r.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_normalise(k, limit), "read_id long, sample string")

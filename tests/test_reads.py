@@ -222,3 +222,47 @@ def test_kmers_are_dealt_to_small_buckets(spark, monkeypatch):
     monkeypatch.setattr(kmers, "_counter", lambda k, buckets: seen.append(buckets) or counter(k, buckets))
     reads_ = spark.createDataFrame([("ACGTTGCA" * 200,)], "seq string")
     assert kmers.count(reads_, 8).agg({"n": "sum"}).first()[0] == 1593 and seen == [80]
+
+
+def test_packed_forms():
+    import numpy as np
+    import pyarrow as pa
+
+    from radspark.operators import packing
+
+    rng, g = random.Random(1), np.random.default_rng(2)
+    seqs = ["".join(rng.choices("ACGT", k=rng.choice([0, 1, 3, 4, 5, 90]))) if rng.random() < 0.8 else rng.choice(["ANT", "N", "", None, "acgü"]) for _ in range(400)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(seqs)], names=["id", "seq"])
+    for part in (b, b.slice(3, 100), b.slice(5, 1)):
+        t = pa.Table.from_batches(list(packing.packed_sequences([part])))
+        for u in (t, t.take(list(range(len(t) - 1, -1, -1)))):
+            buf, off = packing.unpacked_sequences(u)
+            assert [bytes(buf[x:y]).decode() for x, y in zip(off[:-1], off[1:], strict=True)] == [seqs[i] or "" for i in u.column("id").to_pylist()]
+    assert not list(packing.packed_sequences([b.slice(0, 0)]))
+    for n, most in ((1, 5), (2, 9), (1000, 1 << 30), (1000, 1001), (300, 1 << 62)):
+        v = np.unique(g.integers(0, most, n))
+        assert (packing.unpacked_set(packing.packed_set(v)) == v).all()
+    for v in (np.zeros(0, np.int64), np.array([0, 0]), np.array([1, 300, 7, 2**40]), g.integers(0, 3, 1000)):
+        assert (packing.unpacked_counts(packing.packed_counts(v)) == v).all()
+
+
+@pytest.mark.parametrize("k", [15, 31])
+def test_kmer_shuffles_are_small(spark, monkeypatch, k):
+    """Reads go once, with a quarter byte a letter, and k-mers in bits: before, some 20 bytes a letter were shuffled."""
+    monkeypatch.setattr(kmers, "GROUP", 200_000)
+    monkeypatch.setattr(kmers, "BUCKET", 400_000)
+    rng = random.Random(3)
+    rows = [(i, "xy"[i % 2], "".join(rng.choices("ACGT", k=1000))) for i in range(600)]
+    rows += [(600 + i, "x", rows[i][2][:500] + "N" + rows[i][2][500:]) for i in range(30)]
+    df = spark.createDataFrame(rows, "read_id long, sample string, seq string").localCheckpoint()
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    count = Counter(s[j : j + k] for *_, s in rows for j in range(len(s) - k + 1))
+    before = sent()
+    got = {r[0]: r[1] for r in kmers.frequencies(df, k).collect()}
+    middle = sent()
+    for i, _, s in rows[::50] + rows[-3:]:
+        assert got[i] == [count[x] for x in (s[j : j + k] for j in range(len(s) - k + 1)) if "N" not in x]
+    kept = {r[0] for r in kmers.normalise(df, k, 0).collect()}
+    assert kept == {i for i, s, _ in rows if i < 600 or rows[i - 600][1] != s}
+    letters, bits = sum(len(s) for *_, s in rows), {15: 3, 31: 8}[k]
+    assert 0 < middle - before < bits * letters and sent() - middle < bits * letters
