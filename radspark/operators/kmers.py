@@ -186,7 +186,11 @@ def _look_up(k: int):
         values, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in slices(off):
             own, row, _ = kmer_codes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-            values.append(n[np.searchsorted(code, _scrambled(own, k))])
+            own = _scrambled(own, k)
+            order = np.argsort(own)  # looked up in order, not all over the codes
+            found = np.empty(len(own), np.int64)
+            found[order] = n[np.searchsorted(code, own[order])]
+            values.append(found)
             sizes.append(np.bincount(row, minlength=hi - lo))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         freq = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(values), pa.int64())).cast(pa.list_(pa.int64()))
